@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintra.llm import exact_dedup, mixing, simhash
+from vintra.llm import decontamination, exact_dedup, line_dedup, mixing, simhash
 from vintra.llm.common import partitions, shared_dir
 
 
@@ -15,6 +15,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_repeated_lines(documents(spark, sf_dir))
+    return out.select(
+        "doc_id", "n_lines", F.size("dropped").alias("n_dropped"), F.size(F.filter("dropped", lambda x: x["near"])).alias("n_near"), F.col("dropped.line_no").alias("dropped_lines"), F.col("dropped.keep_doc").alias("keep_ids"), F.length("text").alias("chars_left"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -64,5 +75,5 @@ FROM (SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(
 WINDOW w AS (PARTITION BY digest ORDER BY chars DESC, doc_id)
 """
 
-QUERIES = {"op7_mixing": op7_mixing, "op9_simhash": op9_simhash, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op5_decontamination": op5_decontamination, "op6_line_dedup": op6_line_dedup, "op7_mixing": op7_mixing, "op9_simhash": op9_simhash, "op10_exact_dedup": op10_exact_dedup}
 ORACLE = {"op7_mixing": OP7_SQL, "op10_exact_dedup": OP10_SQL}
