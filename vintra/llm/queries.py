@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintra.llm import decontamination, exact_dedup, line_dedup, mixing, simhash
+from vintra.llm import decontamination, exact_dedup, html_text, line_dedup, mixing, quality, simhash
 from vintra.llm.common import partitions, shared_dir
 
 
@@ -15,6 +15,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def remainder(divisor: int) -> Column:
+    """crc32 of doc_id as text, modulo divisor."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(remainder(5) != 0)
+    docs = documents(spark, sf_dir)
+    trees = quality.learn(docs, labels, "quality")
+    return quality.score(docs, trees).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -75,5 +91,5 @@ FROM (SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(
 WINDOW w AS (PARTITION BY digest ORDER BY chars DESC, doc_id)
 """
 
-QUERIES = {"op5_decontamination": op5_decontamination, "op6_line_dedup": op6_line_dedup, "op7_mixing": op7_mixing, "op9_simhash": op9_simhash, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op2_html_text": op2_html_text, "op3_quality": op3_quality, "op5_decontamination": op5_decontamination, "op6_line_dedup": op6_line_dedup, "op7_mixing": op7_mixing, "op9_simhash": op9_simhash, "op10_exact_dedup": op10_exact_dedup}
 ORACLE = {"op7_mixing": OP7_SQL, "op10_exact_dedup": OP10_SQL}
