@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintra.llm import decontamination, exact_dedup, html_text, line_dedup, mixing, quality, simhash
+from vintra.llm import decontamination, exact_dedup, html_text, line_dedup, mixing, quality, simhash, toxicity
 from vintra.llm.common import partitions, shared_dir
 
 
@@ -31,6 +31,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, trees).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = toxicity.learn(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.grade(documents(spark, sf_dir), model).withColumn("rejected", F.col("toxic") >= toxicity.REJECT)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -91,5 +96,5 @@ FROM (SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(
 WINDOW w AS (PARTITION BY digest ORDER BY chars DESC, doc_id)
 """
 
-QUERIES = {"op2_html_text": op2_html_text, "op3_quality": op3_quality, "op5_decontamination": op5_decontamination, "op6_line_dedup": op6_line_dedup, "op7_mixing": op7_mixing, "op9_simhash": op9_simhash, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op2_html_text": op2_html_text, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_decontamination": op5_decontamination, "op6_line_dedup": op6_line_dedup, "op7_mixing": op7_mixing, "op9_simhash": op9_simhash, "op10_exact_dedup": op10_exact_dedup}
 ORACLE = {"op7_mixing": OP7_SQL, "op10_exact_dedup": OP10_SQL}
