@@ -87,15 +87,19 @@ def read_lines(docs: DataFrame, min_words: int, fuzzy_words: int) -> DataFrame:
 
 
 def emit_variants(candidates: DataFrame) -> DataFrame:
-    """(line_id, line) -> (key, pos, line_id): pos -1 for the line itself, else the word left out."""
+    """(line_id, line) -> (key, pos, line_id, fresh): pos -1 for the line itself, else the word left out. Leaving out any word of
+    a run of equal words gives the same variant; it is fresh at the first of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for line_id, line in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                keys = variant_keys(line.as_py().split()).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.arange(-1, len(keys) - 1, dtype=np.int32)), pa.array(np.full(len(keys), line_id, np.int64))], names=["key", "pos", "line_id"])
+                words = line.as_py().split()
+                keys = variant_keys(words).view(np.int64)
+                fresh = [True, True, *(a != b for a, b in zip(words, words[1:], strict=False))]
+                columns = [pa.array(keys), pa.array(np.arange(-1, len(keys) - 1, dtype=np.int32)), pa.array(np.full(len(keys), line_id, np.int64)), pa.array(fresh)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "pos", "line_id", "fresh"])
 
-    return candidates.select("line_id", "line").mapInArrow(in_blocks(run), "key long, pos int, line_id long")
+    return candidates.select("line_id", "line").mapInArrow(in_blocks(run), "key long, pos int, line_id long, fresh boolean")
 
 
 def in_blocks(run, rows: int = 1 << 16):
@@ -162,7 +166,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> DataFr
     variants = scratch.save(emit_variants(lines), "variants")
     replaced = scratch.save(variants.where("pos >= 0").groupBy("key", "pos").agg(F.min("line_id").alias("earlier"), F.max("line_id").alias("last")).where("earlier < last").drop("last"), "replaced")
     one = variants.join(replaced, ["key", "pos"]).where("line_id > earlier").select(F.col("line_id").alias("later"), "earlier")
-    longer = variants.where("pos >= 0").select("key", F.col("line_id").alias("long_id"))
+    longer = variants.where("pos >= 0 and fresh").select("key", F.col("line_id").alias("long_id"))
     other = variants.where("pos = -1").select("key", "line_id").join(longer, "key").where("line_id <> long_id").select(F.greatest("line_id", "long_id").alias("later"), F.least("line_id", "long_id").alias("earlier"))
     pairs = scratch.save(one.unionAll(other).distinct(), "pairs")
     texts = lines.select("line_id", "line")
