@@ -7,14 +7,22 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintra.llm import decontamination, exact_dedup, html_text, line_dedup, mixing, quality, simhash, toxicity
+from vintra.llm import decontamination, exact_dedup, html_text, line_dedup, mixing, quality, recurrent_lm, simhash, surrogates, toxicity
 from vintra.llm.common import partitions, shared_dir
 
 
+#: Stands for the key that a deployment keeps secret.
+KEY = b"replace this key"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(documents(spark, sf_dir), KEY).select("doc_id", "text", "n_entities", "kinds")
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -51,6 +59,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = recurrent_lm.log_likelihoods(documents(spark, sf_dir), remainder(7) != 2)
+    return out.select("doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
@@ -96,5 +109,5 @@ FROM (SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(
 WINDOW w AS (PARTITION BY digest ORDER BY chars DESC, doc_id)
 """
 
-QUERIES = {"op2_html_text": op2_html_text, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_decontamination": op5_decontamination, "op6_line_dedup": op6_line_dedup, "op7_mixing": op7_mixing, "op9_simhash": op9_simhash, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_surrogates": op1_surrogates, "op2_html_text": op2_html_text, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_decontamination": op5_decontamination, "op6_line_dedup": op6_line_dedup, "op7_mixing": op7_mixing, "op8_recurrent_lm": op8_recurrent_lm, "op9_simhash": op9_simhash, "op10_exact_dedup": op10_exact_dedup}
 ORACLE = {"op7_mixing": OP7_SQL, "op10_exact_dedup": OP10_SQL}
