@@ -41,7 +41,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.learn(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.grade(documents(spark, sf_dir), model).withColumn("rejected", F.col("toxic") >= toxicity.REJECT)
+    return toxicity.graded(documents(spark, sf_dir), model).select("doc_id", "severity", "toxic", (F.col("toxic") >= toxicity.REJECT).alias("rejected"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

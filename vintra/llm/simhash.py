@@ -10,6 +10,7 @@ whole table.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -157,40 +158,60 @@ def near_pairs(q: np.ndarray, x: np.ndarray, fp: np.ndarray, reach: int, level:
             yield from near_pairs(q[q_end[d - 1] if d else 0 : q_end[d]], part, fp, reach, level + 1)
 
 
-def shard_links(fp: np.ndarray, home: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as (fingerprint, root) pairs, of the links between the shard's own rows and all that were sent to it."""
+def shard_links(fp: np.ndarray, home: np.ndarray, reach: int, key: np.ndarray | None = None, key_reach: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as (fingerprint, root) pairs, of the links between the shard's own rows and all that were sent to it.
+    With key, a part of the fingerprint, the search runs over keys within key_reach."""
     forest = Forest(len(fp))
-    for i, j in near_pairs(np.arange(len(fp)), np.flatnonzero(home), fp, reach):
+    for i, j in near_pairs(np.arange(len(fp)), np.flatnonzero(home), fp if key is None else key, reach if key is None else key_reach):
+        if key is not None:
+            near = hamming(fp[i], fp[j]) <= reach
+            i, j = i[near], j[near]
         forest.join(i, j)
     roots = forest.roots(np.arange(len(fp)))
     linked = roots != np.arange(len(fp))
     return fp[linked], fp[roots[linked]]
 
 
-def components(fps: DataFrame, scratch: Scratch, reach: int = 2, shard_rows: int = 16384, sample: int = 50_000) -> DataFrame:
-    """(fp, component_id) of (doc_id, fp): component_id is the smallest doc_id that links of `reach` bits or fewer lead to.
+def part(fp: np.ndarray, block: int, blocks: int) -> np.ndarray:
+    """The block-th of the equal parts of fingerprints."""
+    width = 64 // blocks
+    return fp if blocks == 1 else (fp >> np.uint64(block * width)) & np.uint64((1 << width) - 1)
 
-    shard_rows: distinct fingerprints that a shard is meant to hold. sample: fingerprints that the tree is built on, on
-    the driver; it only shapes the shards, and any tree gives the same links.
+
+def links(known: DataFrame, reach: int, blocks: int = 1, shard_rows: int = 16384, sample: int = 50_000) -> DataFrame:
+    """(a, b): a spanning forest of the links of `reach` bits or fewer between distinct fingerprints (fp).
+
+    blocks: of two fingerprints within reach, one of as many equal parts differs in at most reach // blocks bits; for a wide
+    reach the trees stand over these parts. shard_rows: fingerprints that a shard is meant to hold. sample: fingerprints
+    that the trees are built on, on the driver; they only shape the shards, and any trees give the same links.
     """
-    known = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "known")
     n = known.count()
     drawn = [] if n <= shard_rows else known.select("fp").orderBy(F.xxhash64("fp")).limit(sample).toPandas()["fp"]
-    tree = VantageTree(np.asarray(drawn, np.int64).view(np.uint64), max(1, -(-n // shard_rows)), reach)
+    drawn = np.asarray(drawn, np.int64).view(np.uint64)
+    trees = [VantageTree(part(drawn, b, blocks), max(1, -(-n // shard_rows)), reach // blocks) for b in range(blocks)]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(0).to_numpy()
-            rows, leaves, homes = tree.send(x.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(leaves.astype(np.int32)), pa.array(x[rows.astype(np.int64)]), pa.array(homes.astype(bool))], names=["shard", "fp", "home"])
+            for b, tree in enumerate(trees):
+                rows, leaves, homes = tree.send(part(x.view(np.uint64), b, blocks))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), b, np.int32)), pa.array(leaves.astype(np.int32)), pa.array(x[rows.astype(np.int64)]), pa.array(homes.astype(bool))], names=["block", "shard", "fp", "home"])
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = shard_links(pdf["fp"].to_numpy().astype(np.int64).view(np.uint64), pdf["home"].to_numpy().astype(bool), reach)
+        fp = pdf["fp"].to_numpy().astype(np.int64).view(np.uint64)
+        key = None if blocks == 1 else part(fp, int(pdf["block"].iloc[0]), blocks)
+        a, b = shard_links(fp, pdf["home"].to_numpy().astype(bool), reach, key, reach // blocks)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    sent = known.select("fp").mapInArrow(send, "shard int, fp long, home boolean")
-    links = scratch.save(sent.groupBy("shard").applyInPandas(link, "a long, b long"), "links")
-    roots = scratch.save(connected_components(scratch, links).withColumnRenamed("node", "fp"), "roots")
+    sent = known.select("fp").mapInArrow(send, "block int, shard int, fp long, home boolean")
+    return sent.groupBy("block", "shard").applyInPandas(link, "a long, b long")
+
+
+def components(fps: DataFrame, scratch: Scratch, reach: int = 2, **options) -> DataFrame:
+    """(fp, component_id) of (doc_id, fp): component_id is the smallest doc_id that links of `reach` bits or fewer lead to."""
+    known = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "known")
+    found = scratch.save(links(known, reach, **options), "links")
+    roots = scratch.save(connected_components(scratch, found).withColumnRenamed("node", "fp"), "roots")
     firsts = scratch.save(roots.join(known, "fp").groupBy("root").agg(F.min("first_id").alias("component_id")), "firsts")
     linked = scratch.save(roots.join(firsts, "root").select("fp", "component_id"), "linked")
     return scratch.save(known.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "components")
@@ -207,5 +228,77 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 2, **options
     return fps.join(components(fps, scratch, reach, **options), "fp").select("doc_id", "fp", "component_id")
 
 
+def similarity(a: bytes, b: bytes, shingle: int) -> float:
+    """Jaccard similarity of the sets of word shingles; a text of fewer words is one shingle, and two without words are alike."""
+
+    def shingles(text: bytes) -> set[tuple[bytes, ...]]:
+        words = text.translate(LOWER_BYTES).split()
+        return {tuple(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Those of (id, leader) whose texts have a similarity of least or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(k).cast(pa.binary()).to_pylist() for k in (2, 3))
+            yield batch.select(["id", "leader"]).filter(pa.array([similarity(x or b"", y or b"", shingle) >= least for x, y in zip(a, b, strict=True)], pa.bool_()))
+
+    one, other = texts.select(F.col("text_id").alias("id"), F.col("text").alias("a")), texts.select(F.col("text_id").alias("leader"), F.col("text").alias("b"))
+    return pairs.join(one, "id").join(other, "leader").select("id", "leader", "a", "b").mapInArrow(run, "id long, leader long")
+
+
+def leaders(docs: DataFrame, shingle: int = 3, reach: int = 8, blocks: int = 4, check: int = 5, least: float = 0.8, shard_rows: int = 262_144) -> DataFrame:
+    """(doc_id, keep_id): what document each row of docs (doc_id, text) gives way to, or itself.
+
+    Candidates are fingerprints within reach. In each component of them the smallest doc_id leads, and takes the texts
+    whose `check`-word shingles are at least `least` similar to its own; the others are candidates of each other again, until
+    none is left. So every document that gives way is verified to be similar to one that stays, and those that stay were
+    compared with every leader of their component. Equal words are equal texts. Rows with a null doc_id are left out.
+    Rows that repeat a doc_id count with the text of any of them. No rows: no rows.
+    """
+    scratch = Scratch(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            digests = [hashlib.md5(b" ".join((t or b"").translate(LOWER_BYTES).split())).digest() for t in texts]
+            fps = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(fps.view(np.int64))], names=["doc_id", "digest", "fp"])
+
+    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = scratch.save(ids.mapInArrow(run, "doc_id long, digest binary, fp long"), "rows")
+    nodes = scratch.save(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp")), "nodes")
+    pool, taken, texts = nodes.select("id", "fp"), None, None
+    while True:
+        known = scratch.save(pool.groupBy("fp").agg(F.min("id").alias("first_id")), "known")
+        roots = scratch.save(connected_components(scratch, scratch.save(links(known, reach, blocks, shard_rows), "links")).withColumnRenamed("node", "fp"), "roots")
+        rooted = scratch.save(known.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+        firsts = scratch.save(rooted.groupBy("root").agg(F.min("first_id").alias("leader")), "firsts")
+        led = scratch.save(rooted.join(firsts, "root").select("fp", "leader"), "led")
+        pairs = scratch.save(pool.join(led, "fp").where("id <> leader").select("id", "leader", "fp"), "pairs")
+        if not pairs.limit(1).count():
+            break
+        if texts is None:
+            # every later pair is among these
+            wanted = scratch.save(pairs.select(F.col("id").alias("text_id")).unionAll(pairs.select("leader")).distinct(), "wanted")
+            texts = scratch.save(ids.join(wanted, F.col("doc_id") == F.col("text_id")).select("text_id", "text").dropDuplicates(["text_id"]), "texts")
+        good = scratch.save(verified(pairs.select("id", "leader"), texts, check, least), "good")
+        taken = good if taken is None else taken.unionAll(good)
+        pool = scratch.save(pairs.join(good, "id", "left_anti").select("id", "fp"), "pool")
+        scratch.drop(known, roots, rooted, firsts, led)
+    named = nodes.select("digest", F.col("id").alias("keep_id")) if taken is None else nodes.join(taken, "id", "left").select("digest", F.coalesce("leader", "id").alias("keep_id"))
+    return rows.select("doc_id", "digest").join(scratch.save(named, "named"), "digest").select("doc_id", "keep_id")
+
+
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that give way to none; rows with a null doc_id stay."""
+    gone = Scratch(docs.sparkSession).save(leaders(docs, **options).groupBy("doc_id").agg(F.min("keep_id").alias("keep_id")).where("keep_id <> doc_id").select(F.col("doc_id").alias("gone_id")), "gone")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+
+
 def hex64(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

@@ -19,6 +19,7 @@ import hmac
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -212,9 +213,7 @@ def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
     # few documents hold an entity that drew again: Spark broadcasts that table while it is below its threshold, and joins it beyond
     joined = rest.join(by_doc, rest["doc_id"].cast("long").eqNullSafe(F.col("again_id")), "left").drop("again_id")
 
-    def run(batches: Iterator[tuple]) -> Iterator:
-        import pandas as pd
-
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, agains in batches:
             out = [rewritten(t, dict(a or {}), key) for t, a in zip(texts, agains, strict=True)]
             yield pd.DataFrame(out, columns=["text", "n_entities", "kinds"])

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -150,16 +151,17 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 8_000, least_rows: int
     return fit([(counts.get(r["row"], {}), r["size"]) for r in kept], np.array([r["y"] for r in kept]), **options)
 
 
-def grade(docs: DataFrame, model: Ordinal) -> DataFrame:
-    """doc_id, severity (0 to 3), toxic (P(grade > 0)) for each row of docs (doc_id, text), repeated rows too.
+def graded(docs: DataFrame, model: Ordinal) -> DataFrame:
+    """docs (text and more) with severity (0 to 3) and toxic (P(grade > 0)) beside them, repeated rows too.
 
-    Null and empty texts have no features and so the severity of none, near 0.
+    Null and empty texts have no features and so the severity of none, near 0. Columns of docs called severity or toxic
+    give way.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = np.array([held.value.severity(t) for t in batch.column(1).to_pylist()], float).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made[:, 0]), pa.array(made[:, 1])], names=["doc_id", "severity", "toxic"])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([held.value.severity(t) for t in texts], columns=["severity", "toxic"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, severity double, toxic double")
+    made = F.pandas_udf(run, "severity double, toxic double")(F.col("text"))
+    return docs.drop("severity", "toxic").withColumn("made_", made).withColumn("severity", F.col("made_.severity")).withColumn("toxic", F.col("made_.toxic")).drop("made_")
