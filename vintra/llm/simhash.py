@@ -24,25 +24,37 @@ from vintra.llm.common import LOWER_BYTES, Scratch, connected_components
 
 #: Shingles hashed at once, so that memory doesn't grow with a text's length beyond its words.
 BLOCK = 1 << 16
+#: Odd multiplier that makes other bits of a shingle's hash (a fixed value).
+MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Pairs compared at once.
 PAIRS = 1 << 20
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     """The unsigned 64-bit SimHash of a text in UTF-8; 0 without words."""
+    return twin_fingerprints(text, shingle, False)[0]
+
+
+def twin_fingerprints(text: bytes | None, shingle: int = 3, second: bool = True) -> tuple[int, int]:
+    """The SimHash, and one over other bits made of the same shingle hashes (0 if not asked for)."""
     words = (text or b"").translate(LOWER_BYTES).split()
     if not words:
-        return 0
+        return 0, 0
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
     first, last = starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
-    ones, hash64 = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    ones, others, hash64 = np.zeros(64, np.int64), np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    bits = lambda h: np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    packed = lambda count: int(np.packbits(2 * count > n, bitorder="little").view("<u8")[0])
     for k in range(0, n, BLOCK):
         h = np.fromiter((hash64(joined[a:b], 42) for a, b in zip(first[k : k + BLOCK], last[k : k + BLOCK], strict=True)), np.uint64)
-        ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        ones += bits(h)
+        if second:
+            h = (h ^ (h >> np.uint64(29))) * MIX
+            others += bits((h ^ (h >> np.uint64(32))) * MIX)
+    return packed(ones), packed(others) if second else 0
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -158,14 +170,18 @@ def near_pairs(q: np.ndarray, x: np.ndarray, fp: np.ndarray, reach: int, level:
             yield from near_pairs(q[q_end[d - 1] if d else 0 : q_end[d]], part, fp, reach, level + 1)
 
 
-def shard_links(fp: np.ndarray, home: np.ndarray, reach: int, key: np.ndarray | None = None, key_reach: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def shard_links(fp: np.ndarray, home: np.ndarray, reach: int, key: np.ndarray | None = None, key_reach: int = 0, twin: np.ndarray | None = None, twin_reach: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest, as (fingerprint, root) pairs, of the links between the shard's own rows and all that were sent to it.
-    With key, a part of the fingerprint, the search runs over keys within key_reach."""
+    With key, a part of the fingerprint, the search runs over keys within key_reach; with twin, second fingerprints have to be
+    within twin_reach, too."""
     forest = Forest(len(fp))
     for i, j in near_pairs(np.arange(len(fp)), np.flatnonzero(home), fp if key is None else key, reach if key is None else key_reach):
         if key is not None:
             near = hamming(fp[i], fp[j]) <= reach
             i, j = i[near], j[near]
+        if twin is not None:
+            near = hamming(twin[i], twin[j]) <= twin_reach
+            i, j = i[near], j[near]
         forest.join(i, j)
     roots = forest.roots(np.arange(len(fp)))
     linked = roots != np.arange(len(fp))
@@ -178,9 +194,11 @@ def part(fp: np.ndarray, block: int, blocks: int) -> np.ndarray:
     return fp if blocks == 1 else (fp >> np.uint64(block * width)) & np.uint64((1 << width) - 1)
 
 
-def links(known: DataFrame, reach: int, blocks: int = 1, shard_rows: int = 16384, sample: int = 50_000) -> DataFrame:
+def links(known: DataFrame, reach: int, blocks: int = 1, shard_rows: int = 16384, sample: int = 50_000, twin_reach: int | None = None) -> DataFrame:
     """(a, b): a spanning forest of the links of `reach` bits or fewer between distinct fingerprints (fp).
 
+    twin_reach: bits that the second fingerprints (twin) of linked ones may differ in; without it known needs none.
+
     blocks: of two fingerprints within reach, one of as many equal parts differs in at most reach // blocks bits; for a wide
     reach the trees stand over these parts. shard_rows: fingerprints that a shard is meant to hold. sample: fingerprints
     that the trees are built on, on the driver; they only shape the shards, and any trees give the same links.
@@ -195,15 +213,17 @@ def links(known: DataFrame, reach: int, blocks: int = 1, shard_rows: int = 16384
             x = batch.column(0).to_numpy()
             for b, tree in enumerate(trees):
                 rows, leaves, homes = tree.send(part(x.view(np.uint64), b, blocks))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), b, np.int32)), pa.array(leaves.astype(np.int32)), pa.array(x[rows.astype(np.int64)]), pa.array(homes.astype(bool))], names=["block", "shard", "fp", "home"])
+                rows = pa.array(rows.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), b, np.int32)), pa.array(leaves.astype(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(homes.astype(bool))], names=["block", "shard", "fp", "twin", "home"])
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         fp = pdf["fp"].to_numpy().astype(np.int64).view(np.uint64)
         key = None if blocks == 1 else part(fp, int(pdf["block"].iloc[0]), blocks)
-        a, b = shard_links(fp, pdf["home"].to_numpy().astype(bool), reach, key, reach // blocks)
+        twin = None if twin_reach is None else pdf["twin"].to_numpy().astype(np.int64).view(np.uint64)
+        a, b = shard_links(fp, pdf["home"].to_numpy().astype(bool), reach, key, reach // blocks, twin, twin_reach or 0)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    sent = known.select("fp").mapInArrow(send, "block int, shard int, fp long, home boolean")
+    sent = known.select("fp", F.lit(0).cast("long").alias("twin") if twin_reach is None else "twin").mapInArrow(send, "block int, shard int, fp long, twin long, home boolean")
     return sent.groupBy("block", "shard").applyInPandas(link, "a long, b long")
 
 
@@ -251,10 +271,11 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     return pairs.join(one, "id").join(other, "leader").select("id", "leader", "a", "b").mapInArrow(run, "id long, leader long")
 
 
-def leaders(docs: DataFrame, shingle: int = 3, reach: int = 8, blocks: int = 4, check: int = 5, least: float = 0.8, shard_rows: int = 262_144) -> DataFrame:
+def leaders(docs: DataFrame, shingle: int = 3, reach: int = 11, blocks: int = 4, twin_reach: int = 16, check: int = 5, least: float = 0.8, shard_rows: int = 262_144) -> DataFrame:
     """(doc_id, keep_id): what document each row of docs (doc_id, text) gives way to, or itself.
 
-    Candidates are fingerprints within reach. In each component of them the smallest doc_id leads, and takes the texts
+    Candidates are fingerprints within reach, whose second fingerprints are within twin_reach, so that texts which have
+    nothing in common don't chain by chance. In each component of them the smallest doc_id leads, and takes the texts
     whose `check`-word shingles are at least `least` similar to its own; the others are candidates of each other again, until
     none is left. So every document that gives way is verified to be similar to one that stays, and those that stay were
     compared with every leader of their component. Equal words are equal texts. Rows with a null doc_id are left out.
@@ -266,20 +287,20 @@ def leaders(docs: DataFrame, shingle: int = 3, reach: int = 8, blocks: int = 4,
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             digests = [hashlib.md5(b" ".join((t or b"").translate(LOWER_BYTES).split())).digest() for t in texts]
-            fps = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(fps.view(np.int64))], names=["doc_id", "digest", "fp"])
+            fps = np.array([twin_fingerprints(t, shingle) for t in texts], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(fps[:, 0]), pa.array(fps[:, 1])], names=["doc_id", "digest", "fp", "twin"])
 
     ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = scratch.save(ids.mapInArrow(run, "doc_id long, digest binary, fp long"), "rows")
-    nodes = scratch.save(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp")), "nodes")
-    pool, taken, texts = nodes.select("id", "fp"), None, None
+    rows = scratch.save(ids.mapInArrow(run, "doc_id long, digest binary, fp long, twin long"), "rows")
+    nodes = scratch.save(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("twin").alias("twin")), "nodes")
+    pool, taken, texts = nodes.select("id", "fp", "twin"), None, None
     while True:
-        known = scratch.save(pool.groupBy("fp").agg(F.min("id").alias("first_id")), "known")
-        roots = scratch.save(connected_components(scratch, scratch.save(links(known, reach, blocks, shard_rows), "links")).withColumnRenamed("node", "fp"), "roots")
+        known = scratch.save(pool.groupBy("fp").agg(F.min("id").alias("first_id"), F.min("twin").alias("twin")), "known")
+        roots = scratch.save(connected_components(scratch, scratch.save(links(known, reach, blocks, shard_rows, twin_reach=twin_reach), "links")).withColumnRenamed("node", "fp"), "roots")
         rooted = scratch.save(known.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
         firsts = scratch.save(rooted.groupBy("root").agg(F.min("first_id").alias("leader")), "firsts")
         led = scratch.save(rooted.join(firsts, "root").select("fp", "leader"), "led")
-        pairs = scratch.save(pool.join(led, "fp").where("id <> leader").select("id", "leader", "fp"), "pairs")
+        pairs = scratch.save(pool.join(led, "fp").where("id <> leader").select("id", "leader", "fp", "twin"), "pairs")
         if not pairs.limit(1).count():
             break
         if texts is None:
@@ -288,7 +309,7 @@ def leaders(docs: DataFrame, shingle: int = 3, reach: int = 8, blocks: int = 4,
             texts = scratch.save(ids.join(wanted, F.col("doc_id") == F.col("text_id")).select("text_id", "text").dropDuplicates(["text_id"]), "texts")
         good = scratch.save(verified(pairs.select("id", "leader"), texts, check, least), "good")
         taken = good if taken is None else taken.unionAll(good)
-        pool = scratch.save(pairs.join(good, "id", "left_anti").select("id", "fp"), "pool")
+        pool = scratch.save(pairs.join(good, "id", "left_anti").select("id", "fp", "twin"), "pool")
         scratch.drop(known, roots, rooted, firsts, led)
     named = nodes.select("digest", F.col("id").alias("keep_id")) if taken is None else nodes.join(taken, "id", "left").select("digest", F.coalesce("leader", "id").alias("keep_id"))
     return rows.select("doc_id", "digest").join(scratch.save(named, "named"), "digest").select("doc_id", "keep_id")
