@@ -79,7 +79,7 @@ def grades(rows: list[tuple[dict[str, int], int]], toxic: np.ndarray) -> np.ndar
     return out
 
 
-def fit(rows: list[tuple[dict[str, int], int]], toxic: np.ndarray, penalty: float = 5e-4, steps: int = 600) -> Ordinal:
+def fit(rows: list[tuple[dict[str, int], int]], toxic: np.ndarray, penalty: float = 2e-4, steps: int = 600) -> Ordinal:
     """Accelerated proximal gradient on the mean negative log-likelihood plus penalty * |w|, for rows of (telling features'
     counts, words). No rows, or none toxic: severity near 0."""
     names = {f: k for k, f in enumerate(sorted({f for counts, _ in rows for f in counts}))}
