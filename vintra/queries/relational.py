@@ -376,7 +376,7 @@ def t3_top_k_by_class(spark: SparkSession, d: str) -> DataFrame:
     return b.withColumn("nth", F.row_number().over(Window.partitionBy("outcome").orderBy(F.desc("p"), "question_id"))).where("nth <= 5").select("question_id", "outcome", "p")
 
 
-@query("WITH e AS (SELECT l_orderkey, l_linenumber, unnest(['discount', 'quantity', 'tax']) AS name, unnest([l_discount * 100 - 5, l_quantity - 25, l_tax * 100 - 4]) AS v FROM lineitem), t AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY abs(v) DESC, name) AS nth, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY v DESC, name) AS best FROM e) SELECT l_orderkey, l_linenumber, max(CASE WHEN nth = 1 THEN name END) AS driver, max(CASE WHEN nth = 2 THEN name END) AS second FROM t GROUP BY ALL")
+@query("WITH l AS (SELECT *, row_number() OVER () AS id FROM lineitem), e AS (SELECT id, l_orderkey, l_linenumber, unnest(['discount', 'quantity', 'tax']) AS name, unnest([l_discount * 100 - 5, l_quantity - 25, l_tax * 100 - 4]) AS v FROM l), t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(v) DESC, name) AS nth FROM e) SELECT l_orderkey, l_linenumber, max(CASE WHEN nth = 1 THEN name END) AS driver, max(CASE WHEN nth = 2 THEN name END) AS second FROM t GROUP BY id, l_orderkey, l_linenumber")
 def t4_t5_top_drivers(spark: SparkSession, d: str) -> DataFrame:
     shap = F.create_map(F.lit("quantity"), F.col("l_quantity") - 25, F.lit("discount"), F.col("l_discount") * 100 - 5, F.lit("tax"), F.col("l_tax") * 100 - 4)
     top = scalar.top_entries(shap, 2)

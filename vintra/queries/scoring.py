@@ -115,11 +115,11 @@ def m16_cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 FOLDS = "folds AS (SELECT *, min(forecast_date) OVER (PARTITION BY series_id, model, h, (nth - 1) // 12) - 1 AS trained_as_of FROM (SELECT *, dense_rank() OVER (PARTITION BY series_id ORDER BY forecast_date) AS nth FROM results))"
 
 
-@query(f"WITH {RESULTS}, {FOLDS}, e AS (SELECT f.series_id, f.model, f.h, f.trained_as_of, abs(r.actual - r.prediction) AS e FROM (SELECT DISTINCT series_id, model, h, trained_as_of FROM folds) f JOIN folds r ON r.series_id = f.series_id AND r.model = f.model AND r.h = f.h AND r.actual IS NOT NULL AND r.actual_as_of <= f.trained_as_of), o AS (SELECT *, row_number() OVER (PARTITION BY series_id, model, h, trained_as_of ORDER BY e) AS nth, count(*) OVER (PARTITION BY series_id, model, h, trained_as_of) AS n FROM e), z AS (SELECT series_id, model, h, trained_as_of, max(n) AS n, max(CASE WHEN nth = ceil((n + 1) * 0.8::DOUBLE - 1e-9) THEN e END) AS width FROM o GROUP BY ALL HAVING max(n) >= 4) SELECT f.series_id, f.model, f.h AS horizon_months, f.forecast_date, {q('prediction - width', 2)} AS lower, {q('prediction + width', 2)} AS upper, coalesce(n, 0)::INT AS n_calibration FROM folds f LEFT JOIN z ON z.series_id = f.series_id AND z.model = f.model AND z.h = f.h AND z.trained_as_of = f.trained_as_of")
+@query(f"WITH {RESULTS}, {FOLDS}, e AS (SELECT f.series_id, f.model, f.h, f.trained_as_of, abs(r.actual - r.prediction) AS e FROM (SELECT DISTINCT series_id, model, h, trained_as_of FROM folds) f JOIN folds r ON r.series_id = f.series_id AND r.model = f.model AND r.h = f.h AND r.actual IS NOT NULL AND r.actual_as_of <= f.trained_as_of), o AS (SELECT *, row_number() OVER (PARTITION BY series_id, model, h, trained_as_of ORDER BY e) AS nth, count(*) OVER (PARTITION BY series_id, model, h, trained_as_of) AS n FROM e), z AS (SELECT series_id, model, h, trained_as_of, max(n) AS n, max(CASE WHEN nth = ceil((n + 1) * 0.8::DOUBLE - 1e-9) THEN e END) AS width FROM o GROUP BY ALL HAVING max(n) >= 4) SELECT f.series_id, f.model, f.h AS horizon_months, f.forecast_date, {q('prediction - width', 1)} AS lower, {q('prediction + width', 1)} AS upper, coalesce(n, 0)::INT AS n_calibration FROM folds f LEFT JOIN z ON z.series_id = f.series_id AND z.model = f.model AND z.h = f.h AND z.trained_as_of = f.trained_as_of")
 def m17_m18_walk_forward_recalibration(spark: SparkSession, d: str) -> DataFrame:
     r = results(spark, d).withColumn("trained_as_of", F.date_sub(backtest.fold_starts(F.col("forecast_date"), 12), 1))
     out = calibration.recalibrated(r, ["series_id", "model", "horizon_months"])
-    return out.select("series_id", "model", "horizon_months", "forecast_date", quantised(F.col("lower"), 2).alias("lower"), quantised(F.col("upper"), 2).alias("upper"), "n_calibration")
+    return out.select("series_id", "model", "horizon_months", "forecast_date", quantised(F.col("lower"), 1).alias("lower"), quantised(F.col("upper"), 1).alias("upper"), "n_calibration")
 
 
 @query()
@@ -234,7 +234,7 @@ def m29_best_model(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("series_id", "horizon_months").agg(F.min_by("model", F.struct("rmse", "model")).alias("best"))
 
 
-@query(f"WITH {FORECASTS} SELECT model_type, count(*) FILTER (WHERE forecast_date >= DATE '1997-01-01' + length(model_type) * 30)::BIGINT AS kept, count(*) FILTER (WHERE forecast_date < DATE '1997-01-01' + length(model_type) * 30)::BIGINT AS dropped FROM forecasts GROUP BY model_type")
+@query(f"WITH {FORECASTS} SELECT model_type, count(*) FILTER (WHERE forecast_date >= DATE '1997-01-01' + (length(model_type) * 30)::INT)::BIGINT AS kept, count(*) FILTER (WHERE forecast_date < DATE '1997-01-01' + (length(model_type) * 30)::INT)::BIGINT AS dropped FROM forecasts GROUP BY model_type")
 def m30_training_cutoff_rule(spark: SparkSession, d: str) -> DataFrame:
     cutoff = F.date_add(day("1997-01-01"), (F.length("model_type") * 30).cast("int"))
     f = forecasts(spark, d).withColumn("after", F.col("forecast_date") >= cutoff)
