@@ -26,6 +26,14 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def free(name: str, df: DataFrame) -> str:
+    """name, or what it becomes so that df has no column called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. Only a local session may go without; it gets a temporary one."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintra.llm.common import LOWER_BYTES, Scratch
+from vintra.llm.common import LOWER_BYTES, Scratch, free
 
 #: Odd multiplier of the rolling hash over word hashes, modulo 2**64 (a fixed value).
 BASE = 0x9E3779B97F4A7C15
@@ -183,7 +183,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 5, fuzzy_words: int = 8) ->
     """doc_id, line_no, keep_doc, keep_line, near: each line of docs (doc_id, text) that repeats an earlier one.
 
     Lines end at \\n and compare by their words, A-Z lower-cased. Earlier: smaller doc_id (null last), then line_no. A line
-    of at least min_words that an equal line precedes repeats the first of these; one of at least fuzzy_words that a line
+    of at least min_words that an equal line precedes repeats the first of these; one of at least fuzzy_words that such a line
     within one edit precedes repeats the earliest such line (near), and so does each line equal to it. Shorter lines,
     empty ones included, never repeat anything: they are too short to tell a copy from chance. Null texts have no lines.
     Rows that repeat a doc_id count as one document. No rows: no rows.
@@ -205,9 +205,11 @@ def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     A document that only repeats others has an empty text then. Columns of docs called n_lines or dropped give way.
     """
     scratch = Scratch(docs.sparkSession)
-    by_doc = scratch.save(repeated_lines(docs, **options).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("line_no", "keep_doc", "near"))).alias("dropped")), "by-document").withColumnRenamed("doc_id", "dropped_id")
+    by_doc = scratch.save(repeated_lines(docs, **options).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("line_no", "keep_doc", "near"))).alias("dropped")), "by-document")
     rest = docs.drop("n_lines", "dropped")
-    joined = rest.join(by_doc, rest["doc_id"].cast("long").eqNullSafe(F.col("dropped_id")), "left").drop("dropped_id")
+    id_ = free("dropped_id", rest)
+    by_doc = by_doc.withColumnRenamed("doc_id", id_)
+    joined = rest.join(by_doc, rest["doc_id"].cast("long").eqNullSafe(by_doc[id_]), "left").drop(id_)
     lines, gone = F.split("text", "\n"), F.col("dropped.line_no")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i.cast("int"))), "\n")
     return joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0))).withColumn("text", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept)).withColumn("dropped", F.coalesce("dropped", F.array().cast("array<struct<line_no:int,keep_doc:bigint,near:boolean>>")))

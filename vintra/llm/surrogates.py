@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintra.llm.common import Scratch
+from vintra.llm.common import Scratch, free
 
 # Titles by gender, given names by script and gender, and syllables of family names by script.
 TITLES = {
@@ -208,20 +208,22 @@ def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     found = scratch.save(mentions(docs), "mentions")
     moved = scratch.save(redraws(found.select("name", "kind", "entity"), key, scratch), "redraws")
-    by_doc = scratch.save(found.join(moved, "name").groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("name", "attempt"))).alias("again")), "by-document").withColumnRenamed("doc_id", "again_id")
+    by_doc = scratch.save(found.join(moved, "name").groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("name", "attempt"))).alias("again")), "by-document")
     rest = docs.drop("n_entities", "kinds")
+    id_, again, held = free("again_id", rest), free("again", rest), free("made", rest)
+    by_doc = by_doc.withColumnsRenamed({"doc_id": id_, "again": again})
     # few documents hold an entity that drew again: Spark broadcasts that table while it is below its threshold, and joins it beyond
-    joined = rest.join(by_doc, rest["doc_id"].cast("long").eqNullSafe(F.col("again_id")), "left").drop("again_id")
+    joined = rest.join(by_doc, rest["doc_id"].cast("long").eqNullSafe(by_doc[id_]), "left").drop(id_)
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, agains in batches:
             out = [rewritten(t, dict(a or {}), key) for t, a in zip(texts, agains, strict=True)]
             yield pd.DataFrame(out, columns=["text", "n_entities", "kinds"])
 
-    made = F.pandas_udf(run, "text string, n_entities int, kinds array<string>")(F.col("text"), F.col("again"))
+    made = F.pandas_udf(run, "text string, n_entities int, kinds array<string>")(F.col("text"), F.col(again))
     hinted = F.when(F.col("text").rlike(HINT), made)
-    with_made = joined.withColumn("made", hinted)
-    return with_made.withColumn("text", F.coalesce("made.text", "text")).withColumn("n_entities", F.coalesce("made.n_entities", F.lit(0))).withColumn("kinds", F.coalesce("made.kinds", F.array().cast("array<string>"))).drop("made", "again")
+    with_made = joined.withColumn(held, hinted)
+    return with_made.withColumn("text", F.coalesce(F.col(held)["text"], "text")).withColumn("n_entities", F.coalesce(F.col(held)["n_entities"], F.lit(0))).withColumn("kinds", F.coalesce(F.col(held)["kinds"], F.array().cast("array<string>"))).drop(held, again)
 
 
 def rewritten(text: str | None, again: dict[str, int], key: bytes) -> tuple[str | None, int, list[str]]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintra.llm.common import Scratch
+from vintra.llm.common import Scratch, free
 from vintra.llm.quality import bounded_sample
 
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -164,4 +164,5 @@ def graded(docs: DataFrame, model: Ordinal) -> DataFrame:
             yield pd.DataFrame([held.value.severity(t) for t in texts], columns=["severity", "toxic"])
 
     made = F.pandas_udf(run, "severity double, toxic double")(F.col("text"))
-    return docs.drop("severity", "toxic").withColumn("made_", made).withColumn("severity", F.col("made_.severity")).withColumn("toxic", F.col("made_.toxic")).drop("made_")
+    held_ = free("made", docs)
+    return docs.drop("severity", "toxic").withColumn(held_, made).withColumn("severity", F.col(held_)["severity"]).withColumn("toxic", F.col(held_)["toxic"]).drop(held_)
