@@ -220,9 +220,8 @@ def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
             out = [rewritten(t, dict(a or {}), key) for t, a in zip(texts, agains, strict=True)]
             yield pd.DataFrame(out, columns=["text", "n_entities", "kinds"])
 
-    made = F.pandas_udf(run, "text string, n_entities int, kinds array<string>")(F.col("text"), F.col(again))
-    hinted = F.when(F.col("text").rlike(HINT), made)
-    with_made = joined.withColumn(held, hinted)
+    made = F.pandas_udf(run, "text string, n_entities int, kinds array<string>")(F.when(F.col("text").rlike(HINT), F.col("text")), F.col(again))
+    with_made = joined.withColumn(held, made)
     return with_made.withColumn("text", F.coalesce(F.col(held)["text"], "text")).withColumn("n_entities", F.coalesce(F.col(held)["n_entities"], F.lit(0))).withColumn("kinds", F.coalesce(F.col(held)["kinds"], F.array().cast("array<string>"))).drop(held, again)
 
 
