@@ -142,6 +142,17 @@ def test_lines_against_brute_force(spark, small):
     assert (1001, 0) in repeats and (1002, 1) in repeats and (1003, 0) in repeats and (1004, 0) not in repeats and (1008, 0) in repeats
 
 
+def test_variant_keys_are_those_of_the_shorter_lines():
+    rng = random.Random(7)
+    lines = [[b"%d" % rng.randrange(30) for _ in range(n)] for n in (1, 2, 8, 40) for _ in range(50)]
+    for w in lines:
+        keys = line_dedup.variant_keys(w)
+        for k in range(len(w) if len(w) > 1 else 0):
+            assert keys[k + 1] == line_dedup.variant_keys(w[:k] + w[k + 1 :])[0]
+    # every word counts, the first of a long line too
+    assert len({int(line_dedup.variant_keys(w)[0]) for w in lines}) == len({tuple(w) for w in lines})
+
+
 def test_one_edit():
     e = line_dedup.one_edit
     assert e(list("abc"), list("abc")) and e(list("abc"), list("axc")) and e(list("abc"), list("ab")) and e(list("abc"), list("xabc")) and e([], ["a"])

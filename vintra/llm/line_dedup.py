@@ -46,7 +46,7 @@ def variant_keys(words: list[bytes]) -> np.ndarray:
     """The hash of the whole line, then of the line without word 0, 1, ...: linear in the words by two running sums."""
     n = len(words)
     h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
-    power = np.cumprod(np.concatenate([[1], np.full(n, BASE, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+    power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, BASE, np.uint64)]), dtype=np.uint64)
     whole = h * power[n - 1 :: -1][:n]
     before = np.zeros(n, np.uint64)
     if n > 1:
