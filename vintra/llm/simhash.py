@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintra.llm.common import LOWER_BYTES, Scratch, connected_components
@@ -271,14 +271,24 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     return pairs.join(one, "id").join(other, "leader").select("id", "leader", "a", "b").mapInArrow(run, "id long, leader long")
 
 
-def leaders(docs: DataFrame, shingle: int = 3, reach: int = 11, blocks: int = 4, twin_reach: int = 16, check: int = 5, least: float = 0.8, shard_rows: int = 262_144) -> DataFrame:
+def falling(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of (id, leader) between the few leaders of one component: those that give way to a smaller one that stays."""
+    gone: set[int] = set()
+    for x, smaller in pdf.sort_values("id").groupby("id")["leader"]:
+        if any(y not in gone for y in smaller):
+            gone.add(x)
+    return pd.DataFrame({"leader": pd.Series(sorted(gone), dtype="int64")})
+
+
+def leaders(docs: DataFrame, shingle: int = 3, reach: int = 11, blocks: int = 4, twin_reach: int = 16, check: int = 5, least: float = 0.8, shard_rows: int = 262_144, most_heads: int = 64) -> DataFrame:
     """(doc_id, keep_id): what document each row of docs (doc_id, text) gives way to, or itself.
 
     Candidates are fingerprints within reach, whose second fingerprints are within twin_reach, so that texts which have
-    nothing in common don't chain by chance. In each component of them the smallest doc_id leads, and takes the texts
-    whose `check`-word shingles are at least `least` similar to its own; the others are candidates of each other again, until
-    none is left. So every document that gives way is verified to be similar to one that stays, and those that stay were
-    compared with every leader of their component. Equal words are equal texts. Rows with a null doc_id are left out.
+    nothing in common don't chain by chance. In each component of them
+    the smallest doc_ids lead, one in the first round and four times as many in each later one up to most_heads; of leaders
+    that are similar the later one falls. A text whose `check`-word shingles are at least `least` similar to a leader's goes;
+    the others are candidates of each other again, until none is left. So every document that gives way is verified to be
+    similar to one that stays, and those that stay were compared with every leader of their component. Equal words are equal texts. Rows with a null doc_id are left out.
     Rows that repeat a doc_id count with the text of any of them. No rows: no rows.
     """
     scratch = Scratch(docs.sparkSession)
@@ -293,24 +303,30 @@ def leaders(docs: DataFrame, shingle: int = 3, reach: int = 11, blocks: int = 4,
     ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = scratch.save(ids.mapInArrow(run, "doc_id long, digest binary, fp long, twin long"), "rows")
     nodes = scratch.save(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("twin").alias("twin")), "nodes")
-    pool, taken, texts = nodes.select("id", "fp", "twin"), None, None
+    pool, taken, texts, k = nodes.select("id", "fp", "twin"), None, None, 1
     while True:
         known = scratch.save(pool.groupBy("fp").agg(F.min("id").alias("first_id"), F.min("twin").alias("twin")), "known")
         roots = scratch.save(connected_components(scratch, scratch.save(links(known, reach, blocks, shard_rows, twin_reach=twin_reach), "links")).withColumnRenamed("node", "fp"), "roots")
-        rooted = scratch.save(known.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
-        firsts = scratch.save(rooted.groupBy("root").agg(F.min("first_id").alias("leader")), "firsts")
-        led = scratch.save(rooted.join(firsts, "root").select("fp", "leader"), "led")
-        pairs = scratch.save(pool.join(led, "fp").where("id <> leader").select("id", "leader", "fp", "twin"), "pairs")
+        rooted = scratch.save(known.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
+        members = scratch.save(pool.join(rooted, "fp").select("id", "fp", "twin", "root"), "members")
+        # Spark keeps the k first of a component in each task before it shuffles them
+        nth = F.row_number().over(Window.partitionBy("root").orderBy("id"))
+        heads = scratch.save(members.select("root", "id").withColumn("nth", nth).where(F.col("nth") <= k).select("root", F.col("id").alias("leader")), "heads")
+        pairs = scratch.save(members.join(heads, "root").where("id > leader").select("id", "leader"), "pairs")
         if not pairs.limit(1).count():
             break
         if texts is None:
             # every later pair is among these
             wanted = scratch.save(pairs.select(F.col("id").alias("text_id")).unionAll(pairs.select("leader")).distinct(), "wanted")
             texts = scratch.save(ids.join(wanted, F.col("doc_id") == F.col("text_id")).select("text_id", "text").dropDuplicates(["text_id"]), "texts")
-        good = scratch.save(verified(pairs.select("id", "leader"), texts, check, least), "good")
-        taken = good if taken is None else taken.unionAll(good)
-        pool = scratch.save(pairs.join(good, "id", "left_anti").select("id", "fp", "twin"), "pool")
-        scratch.drop(known, roots, rooted, firsts, led)
+        good = scratch.save(verified(pairs, texts, check, least), "good")
+        between = good.join(heads.select("root", F.col("leader").alias("id")), "id").select("root", "id", "leader")
+        fallen = scratch.save(between.groupBy("root").applyInPandas(falling, "leader long"), "fallen")
+        now = scratch.save(good.join(fallen, "leader", "left_anti").groupBy("id").agg(F.min("leader").alias("leader")), "taken")
+        taken = now if taken is None else taken.unionAll(now)
+        pool = scratch.save(members.join(now, "id", "left_anti").join(heads.select(F.col("leader").alias("id")), "id", "left_anti").select("id", "fp", "twin"), "pool")
+        scratch.drop(known, roots, rooted, members, heads, pairs, good, fallen)
+        k = min(most_heads, 4 * k)
     named = nodes.select("digest", F.col("id").alias("keep_id")) if taken is None else nodes.join(taken, "id", "left").select("digest", F.coalesce("leader", "id").alias("keep_id"))
     return rows.select("doc_id", "digest").join(scratch.save(named, "named"), "digest").select("doc_id", "keep_id")
 
