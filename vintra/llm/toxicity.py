@@ -115,7 +115,7 @@ def fit(rows: list[tuple[dict[str, int], int]], toxic: np.ndarray, penalty: floa
         gt = np.zeros(GRADES - 1)
         np.add.at(gt, y[y > 0] - 1, (hi * (1 - hi) / p)[y > 0])
         np.subtract.at(gt, y[y < GRADES - 1], (lo * (1 - lo) / p)[y < GRADES - 1])
-        new_t = np.maximum.accumulate(v - min(step, 4.0) * gt / max(n, 1))
+        new_t = np.maximum.accumulate(v - min(step, 1.0) * gt / max(n, 1))
         nxt = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         u, v = new_w + (momentum - 1) / nxt * (new_w - w), np.maximum.accumulate(new_t + (momentum - 1) / nxt * (new_t - t))
         w, t, momentum = new_w, new_t, nxt
