@@ -136,6 +136,13 @@ def test_surrogates(spark):
     assert surrogates.replace_entities(docs, b"other").collect() != got and surrogates.replace_entities(docs.limit(0), KEY).count() == 0
 
 
+def test_surrogates_hint_misses_nothing(spark):
+    texts = ["so\u00a0Mr Karl Meyer", "so\u2003Frau Meyer", "so\x1cMr Karl Meyer", "+٤٩ ١٢٣ ٤٥٦٧", "deadbeef" * 4, "DEADBEEF" * 8, 'key = "abcdefgh"', "Mr. Meyer", "a@b.org"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(list(surrogates.entities(t)) for t in texts)
+    assert all(r["n_entities"] and r["text"] != texts[r["doc_id"]] for r in surrogates.replace_entities(docs, KEY).collect())
+
+
 def test_surrogates_stay_distinct(spark):
     rows = [(k, f"from {a}.{b} at 7.7.7.{k % 10} to {k % 10}.1.1.{k // 10}") for k, (a, b) in enumerate((i % 9, i % 7) for i in range(90))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

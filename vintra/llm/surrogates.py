@@ -55,8 +55,9 @@ PATTERNS = {
     "person": rf"(?:(?<=\s)|(?<=^))(?:{'|'.join(sorted(GENDER, key=len, reverse=True))})\.? {NAME}(?: {NAME})?",
 }
 ENTITY = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()))
-#: What every entity has one of: a digit, an @, a quote or a title. Texts without are not searched.
-HINT = rf"[0-9@\"]|(^|\s)({'|'.join(GENDER)})\.? "
+#: What every entity has one of: a digit, an @, a quote, a title or hexadecimal letters. Texts without are not searched. For
+#: Java, whose \d and \s know ASCII only, where Python's know all digits and spaces.
+HINT = rf"[\p{{Nd}}@\"]|[a-fA-F]{{32}}|(^|[\s\x1c-\x1f\x85\p{{Z}}])({'|'.join(GENDER)})\.? "
 
 
 def entities(text: str | None) -> Iterator[tuple[int, int, str, str]]:
