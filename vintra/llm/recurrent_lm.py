@@ -69,7 +69,7 @@ class Model:
 
 
 def new_model(top: list[tuple[bytes, int]], tokens: int, distinct: int, own: int, hidden: int, classes: int) -> Model:
-    """top: (token, count) by falling count, the end among them. Biases make it the add-one unigram model."""
+    """top: (token, count) by falling count, and the end. Biases make it the add-one unigram model."""
     head = [x for x in top if x[0] != END][: own - 1]
     head = sorted([*head, next((x for x in top if x[0] == END), (END, 0))], key=lambda x: (-x[1], x[0]))
     place = {t: k for k, (t, _) in enumerate(head)}
@@ -229,8 +229,9 @@ def score_many(m: Model, docs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def averaged(docs: DataFrame, m: Model, trainers: int, rate: float, scratch: Scratch, pieces: int = 64) -> dict[str, np.ndarray]:
-    """Weights after one pass of each trainer, averaged piece by piece in Spark. A document's trainer is a hash of its id and text."""
+def averaged(docs: DataFrame, m: Model, trainers: int, rate: float, scratch: Scratch, pieces: int = 64, block: int = 1024) -> dict[str, np.ndarray]:
+    """Weights after one pass of each trainer, averaged in Spark piece by piece, first within blocks of trainers. A document's
+    trainer is a hash of its id and text."""
     held = docs.sparkSession.sparkContext.broadcast(m)
     names = list(m.w)
 
@@ -240,35 +241,39 @@ def averaged(docs: DataFrame, m: Model, trainers: int, rate: float, scratch: Scr
         rng = np.random.default_rng(5)
         got = train(mine, [encode(mine, words_of(texts[i].encode())) for i in rng.permutation(len(texts))], rate)
         flat = np.concatenate([got[n].ravel() for n in names]).astype(np.float32)
-        return pd.DataFrame({"piece": range(pieces), "part": [p.tobytes() for p in np.array_split(flat, pieces)]})
+        return pd.DataFrame({"piece": range(pieces), "block": int(pdf["trainer"].iloc[0]) // block, "n": 1, "part": [p.astype(float).tobytes() for p in np.array_split(flat, pieces)]})
 
-    def mean(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"piece": pdf["piece"][:1], "part": [np.mean([np.frombuffer(p, np.float32) for p in pdf["part"]], axis=0).astype(np.float32).tobytes()]})
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"piece": pdf["piece"][:1], "block": pdf["block"][:1], "n": [pdf["n"].sum()], "part": [np.sum([np.frombuffer(p) for p in pdf["part"]], axis=0).tobytes()]})
 
-    parts = scratch.save(docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(trainers)).alias("trainer"), "text").groupBy("trainer").applyInPandas(run, "piece int, part binary"), "parts")
-    rows = {r["piece"]: r["part"] for r in parts.groupBy("piece").applyInPandas(mean, "piece int, part binary").collect()}
+    schema = "piece int, block long, n long, part binary"
+    parts = scratch.save(docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(trainers)).alias("trainer"), "text").groupBy("trainer").applyInPandas(run, schema), "parts")
+    sums = parts.groupBy("piece", "block").applyInPandas(summed, schema).groupBy("piece").applyInPandas(summed, schema)
+    rows = {r["piece"]: (np.frombuffer(r["part"]) / r["n"]).astype(np.float32) for r in sums.collect()}
     if not rows:
         return m.w
-    flat, at, out = np.concatenate([np.frombuffer(rows[k], np.float32) for k in range(pieces)]), 0, {}
+    flat, at, out = np.concatenate([rows[k] for k in range(pieces)]), 0, {}
     for n in names:
         out[n] = flat[at : at + m.w[n].size].reshape(m.w[n].shape).copy()
         at += m.w[n].size
     return out
 
 
-def learn(docs: DataFrame, counts: DataFrame, scratch: Scratch, own: int = 2048, hidden: int = 24, classes: int = 45, frequent: int = 200_000, share: float = 0.03, least_tokens: int = 1_500_000, trainer_tokens: int = 300_000, most_trainers: int = 256, rates: tuple[float, ...] = (0.25, 0.15, 0.08)) -> Model:
+def learn(docs: DataFrame, counts: DataFrame, scratch: Scratch, own: int = 2048, hidden: int = 24, classes: int = 45, frequent: int = 200_000, share: float = 0.03, least_tokens: int = 1_500_000, trainer_tokens: int = 300_000, rates: tuple[float, ...] = (0.25, 0.15, 0.08)) -> Model:
     """A model from training docs (doc_id, text) and their token counts, which cover all of them.
 
     own: words of the model's own. frequent: words whose counts tasks hold. share: of the documents that the weights are
-    fitted on, more if they have fewer than least_tokens. trainer_tokens: of a trainer, more beyond most_trainers.
+    fitted on, more if they have fewer than least_tokens. trainer_tokens: of a trainer; their number grows with the documents.
     """
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = [(bytes(r["token"]), r["n"]) for r in counts.orderBy(F.desc("n"), "token").limit(frequent).collect()]
+    if all(t != END for t, _ in top):  # a corpus with so many words more frequent than its end
+        top += [(bytes(r["token"]), r["n"]) for r in counts.where(F.length("token") == 0).collect()]  # one row at most
     m = new_model(top, tokens, distinct, own, hidden, classes)
     part = min(1.0, max(share, least_tokens / max(1, tokens)))
     # another hash than the trainer's
     drawn = scratch.save(docs.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < int(part * 1_000_000)).select("doc_id", "text"), "drawn")
-    trainers = int(min(most_trainers, max(1, round(tokens * part / trainer_tokens))))
+    trainers = max(1, round(tokens * part / trainer_tokens))
     for rate in rates:
         m.w = averaged(drawn, m, trainers, rate, scratch)
     return m
