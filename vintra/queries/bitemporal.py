@@ -1,13 +1,16 @@
 """As-of reads, writes and validation over the derived vintages."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vintra.functions.scalar import quantised
 from vintra.operators import asof, joins, validate, writes
 from vintra.queries.base import DAILY, FIRST, KNOWN, LAST, MONTHLY, OBS, QUESTIONS, RESOLUTIONS, daily, day, obs, q, query, questions, resolutions, table
 
-CUT = day("1998-06-30")
+def cut() -> Column:
+    """The day of the as-of reads; made when called, as it needs a session."""
+    return day("1998-06-30")
+
 SERIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 KEYS = ["series_id", "observed_at"]
 
@@ -22,12 +25,12 @@ def a1_scalar_as_of(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {OBS}, {KNOWN} SELECT observed_at, " + ", ".join(f"max(CASE WHEN series_id = '{s}' THEN value END) AS \"{s}\"" for s in SERIES) + " FROM known GROUP BY observed_at")
 def a2_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    return asof.snapshot(obs(spark, d), CUT, SERIES)
+    return asof.snapshot(obs(spark, d), cut(), SERIES)
 
 
 @query(f"WITH {OBS}, {KNOWN} SELECT observed_at, as_of, value FROM known WHERE series_id = '2-HIGH'")
 def a3_series_as_of(spark: SparkSession, d: str) -> DataFrame:
-    return asof.known(obs(spark, d).where("series_id = '2-HIGH'"), CUT).select("observed_at", "as_of", "value")
+    return asof.known(obs(spark, d).where("series_id = '2-HIGH'"), cut()).select("observed_at", "as_of", "value")
 
 
 @query(f"WITH {OBS} SELECT observed_at, as_of, value FROM obs WHERE series_id = '1-URGENT' AND observed_at BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'")
@@ -54,7 +57,7 @@ def a6_first_release(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {OBS} SELECT series_id, max(as_of) AS latest_as_of, count(*)::BIGINT AS vintages FROM obs WHERE as_of <= DATE '1998-06-30' GROUP BY ALL")
 def a7_a8_clip_and_latest_vintage(spark: SparkSession, d: str) -> DataFrame:
-    clipped = asof.until(obs(spark, d), CUT)
+    clipped = asof.until(obs(spark, d), cut())
     return asof.latest_vintage(clipped).join(clipped.groupBy("series_id").agg(F.count("*").alias("vintages")), "series_id")
 
 
@@ -77,7 +80,7 @@ def a10_backfill(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {OBS}, {KNOWN} SELECT a.series_id, a.observed_at, {q('(a.value / b.value - 1) * 100', 4)} AS value FROM known a JOIN known b ON a.series_id = b.series_id AND a.observed_at = b.observed_at + INTERVAL 1 YEAR WHERE a.value IS NOT NULL AND b.value IS NOT NULL AND a.observed_at >= DATE '1997-01-01'")
 def a11_point_in_time_view(spark: SparkSession, d: str) -> DataFrame:
-    view = asof.year_on_year(asof.known(obs(spark, d), CUT), ["series_id"])
+    view = asof.year_on_year(asof.known(obs(spark, d), cut()), ["series_id"])
     return view.where("value is not null and observed_at >= date '1997-01-01'").select(*KEYS, quantised(F.col("value"), 4).alias("value"))
 
 
@@ -95,12 +98,12 @@ def a12_resolve_latest(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {OBS} SELECT series_id, observed_at, min(as_of) AS first_as_of, arg_min(value, as_of) AS first_value FROM obs WHERE NOT reconstructed AND value IS NOT NULL AND as_of <= DATE '1998-06-30' GROUP BY ALL")
 def a13_first_live(spark: SparkSession, d: str) -> DataFrame:
-    return asof.first_live(obs(spark, d), CUT)
+    return asof.first_live(obs(spark, d), cut())
 
 
 @query(f"WITH {OBS} SELECT series_id, observed_at, max(as_of) AS as_of, arg_max(value, as_of) AS value FROM obs WHERE value IS NOT NULL AND as_of <= DATE '1998-06-30' GROUP BY ALL")
 def a14_latest_known(spark: SparkSession, d: str) -> DataFrame:
-    return asof.latest_known(obs(spark, d), CUT)
+    return asof.latest_known(obs(spark, d), cut())
 
 
 @query(f"WITH {OBS} SELECT series_id, observed_at, max(as_of) AS as_of, arg_max(coalesce(value, -1), as_of) AS value FROM obs GROUP BY ALL")
@@ -148,7 +151,7 @@ def a22_survey_as_of(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {OBS}, {KNOWN}, newest AS (SELECT series_id, max(observed_at) AS top FROM known WHERE value IS NOT NULL GROUP BY ALL) SELECT n.series_id, coalesce(a.observed_at, b.observed_at) AS month, coalesce(a.value, b.value) AS nowcast FROM newest n LEFT JOIN known a ON a.series_id = n.series_id AND a.observed_at = DATE '1998-04-01' JOIN known b ON b.series_id = n.series_id AND b.observed_at = top")
 def a23_nowcast_as_of(spark: SparkSession, d: str) -> DataFrame:
-    k = asof.known(obs(spark, d), CUT).where("value is not null")
+    k = asof.known(obs(spark, d), cut()).where("value is not null")
     wanted = F.max(F.when(F.col("observed_at") == day("1998-04-01"), F.struct("observed_at", "value")))
     newest = F.max(F.struct("observed_at", "value"))
     return k.groupBy("series_id").agg(F.coalesce(wanted, newest).alias("x")).select("series_id", F.col("x.observed_at").alias("month"), F.col("x.value").alias("nowcast"))
@@ -219,7 +222,7 @@ SELECT p.series_id, p.observed_at, p.as_of, p.value, p.reconstructed FROM pulled
 WHERE p.value > 0 AND ((p.reconstructed AND s.oldr IS NULL) OR (NOT p.reconstructed AND (s.oldr IS NULL OR p.value <> s.old OR s.oldr)))""")
 def k10_live_row_rules(spark: SparkSession, d: str) -> DataFrame:
     o = obs(spark, d)
-    return writes.live_rows(o.where("as_of > date '1998-06-30' and as_of <= date '1998-09-30'"), asof.until(o, CUT)).select(*KEYS, "as_of", "value", "reconstructed")
+    return writes.live_rows(o.where("as_of > date '1998-06-30' and as_of <= date '1998-09-30'"), asof.until(o, cut())).select(*KEYS, "as_of", "value", "reconstructed")
 
 
 @query(f"WITH {OBS}, {MONTHLY} SELECT count(*)::BIGINT AS n, count(*) FILTER (WHERE as_of >= forecast_date)::BIGINT AS leaks FROM monthly")
