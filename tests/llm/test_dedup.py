@@ -191,3 +191,14 @@ def test_leaks_against_brute_force(spark, small):
     got = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.read.parquet(f"{small}/benchmark.parquet"), block_chars=2000).collect()
     assert {(r["doc_id"], r["item_id"]): round(r["score"], 9) for r in got} == want
     assert (5001, bench.item_id[0]) in want and (5004, bench.item_id[0]) not in want
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_leaks_of_which_every_fourth_to_sixth_word_is_replaced(spark, whole):
+    items = [(k, " ".join(f"w{k}x{i}" for i in range(24 + k))) for k in range(12)]
+    # item k has one edited copy: every 4th word of it replaced, or every 5th, or every 6th
+    edited = [(100 + k, "before " + " ".join(f"other{i}" if i % (4 + k % 3) == 3 + k % 3 else w for i, w in enumerate(text.split())) + " after") for k, text in items]
+    docs = [*edited, *((1000 + k, f"a whole copy: {text}") for k, text in items if whole)]
+    got = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(d, d % 100) for d, _ in docs}
+    assert all(r["score"] == 1 for r in got if r["doc_id"] >= 1000)

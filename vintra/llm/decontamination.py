@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds propose where a document may hold a test item, Smith-Waterman decides.
+"""Benchmark decontamination: n-gram seeds propose where a document may hold a test item, Smith-Waterman decides.
 
-Tokens are lower-cased runs of letters and digits. An item's seeds are those of its n-grams that at most as many corpus
-documents hold as its median n-gram; the rarity is relative to the item, so that an item which has leaked into every
-third document keeps its seeds. Where seeds of an item hit near one diagonal, the stretch of the document around them is
-aligned with the item word by word. The score is the alignment's share of what a perfect copy gets.
+Tokens are lower-cased runs of letters and digits. Where n-grams of an item hit near one diagonal, the stretch of the
+document around them is aligned with the item word by word, however frequent the n-grams are: of an edited copy often
+just the frequent ones are left. Only stretches that share too few words with the item to reach the score in any order
+aren't aligned. The score is the alignment's share of what a perfect copy gets.
 Test items go over the corpus in blocks of bounded size; texts are read once for each block and never shuffled.
 """
 
@@ -54,6 +54,7 @@ class Items:
             if len(words := tokens(text)) >= n:
                 self.ids.append(item_id)
                 self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int64))
+        self.counts = [np.unique(words, return_counts=True) for words in self.words]
         grams = sorted((code, k, at) for k, words in enumerate(self.words) for at, code in enumerate(self.codes(words).tolist()))
         self.gram, self.item, self.place = (np.array([g[i] for g in grams], np.int64) for i in range(3))
 
@@ -64,8 +65,14 @@ class Items:
             out = (out << BITS) + words[k : k + len(out)]
         return out
 
-    def hits(self, text: str | None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(item, start in document words, word numbers of the stretch, gram codes that hit) for each stretch that may hold an item."""
+    def shared(self, k: int, words: np.ndarray) -> int:
+        """Words that item k and a stretch have in common, each as often as both have it: no alignment matches more."""
+        own, count = self.counts[k]
+        at = np.minimum(np.searchsorted(own, words), len(own) - 1)
+        return int(np.minimum(np.bincount(at[own[at] == words], minlength=len(own)), count).sum())
+
+    def hits(self, text: str | None, least: float) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(item, start in document words, word numbers of the stretch) for each stretch that may hold `least` of an item."""
         get = self.vocabulary.get
         ids = np.fromiter((get(w, -1) for w in tokens(text)), np.int64)
         if len(ids) < self.n or not len(self.gram):
@@ -86,13 +93,14 @@ class Items:
         g = np.repeat(lo[found], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         item, start = self.item[g], where - self.place[g]
         order = np.lexsort((start, item))
-        item, start, g = item[order], start[order], g[order]
+        item, start = item[order], start[order]
         slack = np.array([max(8, len(w) // 2) for w in self.words])[item]
         new = np.concatenate([[True], (item[1:] != item[:-1]) | (np.diff(start) > slack[1:])])
         for i in np.split(np.arange(len(item)), np.flatnonzero(new)[1:]):
             k, pad = item[i[0]], int(slack[i[0]])
             a, b = max(0, int(start[i[0]]) - pad), int(start[i[-1]]) + len(self.words[k]) + pad
-            yield int(k), a, ids[a:b], np.unique(self.gram[g[i]])
+            if self.shared(k, ids[a:b]) >= least * len(self.words[k]):
+                yield int(k), a, ids[a:b]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, block_chars: int = 4_000_000) -> DataFrame:
@@ -111,36 +119,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5,
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == k)
         held = Items([(r[0], r[1]) for r in part.select("item_id", "text").collect()], n)
-        found = scratch.save(search(texts, spark.sparkContext.broadcast(held), scratch, least), f"found-{k}")
+        found = scratch.save(search(texts, spark.sparkContext.broadcast(held), least), f"found-{k}")
         out = found if out is None else out.unionAll(found)
     best = F.max_by(F.struct("score", "start", "end"), F.struct("score", -F.col("start")))
     return out.groupBy("doc_id", "item_id").agg(best.alias("x")).select("doc_id", "item_id", "x.score", "x.start", "x.end")
 
 
-def search(texts: DataFrame, held, scratch: Scratch, least: float) -> DataFrame:
+def search(texts: DataFrame, held, least: float) -> DataFrame:
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, *h) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for h in held.value.hits(t)]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "item", "at", "words", "grams"])
-
-    stretches = scratch.save(texts.mapInArrow(propose, "doc_id long, item int, at long, words array<long>, grams array<long>"), "stretches")
-    counts = stretches.select("doc_id", F.explode("grams").alias("gram")).distinct().groupBy("gram").agg(F.count("*").alias("docs"))
-    df = dict(counts.collect()) if len(held.value.gram) else {}  # one row for each n-gram of the block at most
-    rare: list[set[int]] = []
-    for words in held.value.words:
-        codes = held.value.codes(words).tolist()
-        middle = sorted(df.get(c, 0) for c in codes)[(len(codes) - 1) // 2]
-        rare.append({c for c in codes if df.get(c, 0) <= middle})
-    seeds = texts.sparkSession.sparkContext.broadcast(rare)
+            rows = [(d, *h) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for h in held.value.hits(t, least)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "item", "at", "words"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, item, at, words, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if seeds.value[item].isdisjoint(grams):
-                    continue
+            for doc_id, item, at, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 a = held.value.words[item]
                 score, end = smith_waterman(a, np.array(words, np.int64))
                 if score >= least * MATCH * len(a):
@@ -150,4 +146,5 @@ def search(texts: DataFrame, held, scratch: Scratch, least: float) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "score", "start", "end"])
 
+    stretches = texts.mapInArrow(propose, "doc_id long, item int, at long, words array<long>")
     return stretches.repartition(F.xxhash64("doc_id", "item", "at")).mapInArrow(align, "doc_id long, item_id long, score double, start long, end long")
