@@ -114,6 +114,17 @@ def test_lm_base_score_and_held_out(spark):
     assert recurrent_lm.log_likelihoods(docs.limit(0), F.col("doc_id") % 7 != 2).count() == 0
 
 
+def test_lm_learns_from_all_training_documents(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"word{k} the cat") for k in range(300)], "doc_id long, text string")
+    # stands for a corpus of which these documents are a part: 60 million tokens
+    counts = spark.createDataFrame([(b"the", 30_000_000), (b"cat", 20_000_000), (recurrent_lm.END, 10_000_000)], "token binary, n long")
+    seen = []
+    monkeypatch.setattr(recurrent_lm, "averaged", lambda rows, m, trainers, *rest: seen.append((rows.select("doc_id").distinct().count(), trainers)) or m.w)
+    monkeypatch.setattr(recurrent_lm, "count_tokens", lambda rows: counts)
+    recurrent_lm.log_likelihoods(docs, F.lit(True), own=3, hidden=2, classes=1)
+    assert seen == [(300, 200)] * 3
+
+
 def test_surrogates(spark):
     text = "Mail Anna.Lee@mail3.example.com or anna.lee@mail3.example.com, call +1 (168) 555-5254 from 10.20.30.40; card 4539578763621486. Mrs Anna Meyer and Mr Karl Meyer; Frau MEYER. token = \"08813ad77930c5f691325605b62c9dfd1b407297\""
     rows = [(1, text, "a"), (2, "again anna.lee@mail3.example.com and Господин Иванов", "b"), (2, "again anna.lee@mail3.example.com and Господин Иванов", "b"), (3, None, "c"), (4, "", "d"), (None, "to x.y@b.org", "e")]

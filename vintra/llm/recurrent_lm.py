@@ -5,15 +5,15 @@ classes by frequency; all other words are one class. The output is factored: a s
 words of a class; inside the class of other words a word has its add-one share of counts. So every token, a never-seen
 one too, has a probability, and before training the model equals the add-one unigram model.
 
-Training is truncated backpropagation in numpy. Trainers, each with a share of sampled documents, start from the same
-weights, go over their documents once, and their weights are averaged in Spark; this is done for some rounds. Scoring
+Training is truncated backpropagation in numpy. Trainers, each with a share of all training documents, start from the
+same weights, go over their documents once, and their weights are averaged in Spark; this is done for some rounds. Scoring
 runs many documents side by side, window by window, and carries each one's state to its end.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -229,7 +229,7 @@ def score_many(m: Model, docs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def averaged(docs: DataFrame, m: Model, trainers: int, rate: float, scratch: Scratch, pieces: int = 64, block: int = 1024) -> dict[str, np.ndarray]:
+def averaged(docs: DataFrame, m: Model, trainers: int, rate: float, pieces: int = 64, block: int = 1024) -> dict[str, np.ndarray]:
     """Weights after one pass of each trainer, averaged in Spark piece by piece, first within blocks of trainers. A document's
     trainer is a hash of its id and text."""
     held = docs.sparkSession.sparkContext.broadcast(m)
@@ -241,14 +241,14 @@ def averaged(docs: DataFrame, m: Model, trainers: int, rate: float, scratch: Scr
         rng = np.random.default_rng(5)
         got = train(mine, [encode(mine, words_of(texts[i].encode())) for i in rng.permutation(len(texts))], rate)
         flat = np.concatenate([got[n].ravel() for n in names]).astype(np.float32)
-        return pd.DataFrame({"piece": range(pieces), "block": int(pdf["trainer"].iloc[0]) // block, "n": 1, "part": [p.astype(float).tobytes() for p in np.array_split(flat, pieces)]})
+        return pd.DataFrame({"piece": range(pieces), "block": int(pdf["trainer"].iloc[0]) // block, "n": 1, "part": [p.tobytes() for p in np.array_split(flat, pieces)]})
 
-    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"piece": pdf["piece"][:1], "block": pdf["block"][:1], "n": [pdf["n"].sum()], "part": [np.sum([np.frombuffer(p) for p in pdf["part"]], axis=0).tobytes()]})
+    def summed(kind: type) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        return lambda pdf: pd.DataFrame({"piece": pdf["piece"][:1], "block": pdf["block"][:1], "n": [pdf["n"].sum()], "part": [np.sum([np.frombuffer(p, kind) for p in pdf["part"]], axis=0, dtype=float).tobytes()]})
 
     schema = "piece int, block long, n long, part binary"
-    parts = scratch.save(docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(trainers)).alias("trainer"), "text").groupBy("trainer").applyInPandas(run, schema), "parts")
-    sums = parts.groupBy("piece", "block").applyInPandas(summed, schema).groupBy("piece").applyInPandas(summed, schema)
+    parts = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(trainers)).alias("trainer"), "text").groupBy("trainer").applyInPandas(run, schema)
+    sums = parts.groupBy("piece", "block").applyInPandas(summed(np.float32), schema).groupBy("piece").applyInPandas(summed(np.float64), schema)
     rows = {r["piece"]: (np.frombuffer(r["part"]) / r["n"]).astype(np.float32) for r in sums.collect()}
     if not rows:
         return m.w
@@ -259,23 +259,20 @@ def averaged(docs: DataFrame, m: Model, trainers: int, rate: float, scratch: Scr
     return out
 
 
-def learn(docs: DataFrame, counts: DataFrame, scratch: Scratch, own: int = 2048, hidden: int = 24, classes: int = 45, frequent: int = 200_000, share: float = 0.03, least_tokens: int = 1_500_000, trainer_tokens: int = 300_000, rates: tuple[float, ...] = (0.25, 0.15, 0.08)) -> Model:
+def learn(docs: DataFrame, counts: DataFrame, own: int = 2048, hidden: int = 24, classes: int = 45, frequent: int = 200_000, trainer_tokens: int = 300_000, rates: tuple[float, ...] = (0.25, 0.15, 0.08)) -> Model:
     """A model from training docs (doc_id, text) and their token counts, which cover all of them.
 
-    own: words of the model's own. frequent: words whose counts tasks hold. share: of the documents that the weights are
-    fitted on, more if they have fewer than least_tokens. trainer_tokens: of a trainer; their number grows with the documents.
+    own: words of the model's own. frequent: words whose counts tasks hold. trainer_tokens: of a trainer; their number
+    grows with the documents, all of which are learnt from in each round.
     """
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = [(bytes(r["token"]), r["n"]) for r in counts.orderBy(F.desc("n"), "token").limit(frequent).collect()]
     if all(t != END for t, _ in top):  # a corpus with so many words more frequent than its end
         top += [(bytes(r["token"]), r["n"]) for r in counts.where(F.length("token") == 0).collect()]  # one row at most
     m = new_model(top, tokens, distinct, own, hidden, classes)
-    part = min(1.0, max(share, least_tokens / max(1, tokens)))
-    # another hash than the trainer's
-    drawn = scratch.save(docs.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < int(part * 1_000_000)).select("doc_id", "text"), "drawn")
-    trainers = max(1, round(tokens * part / trainer_tokens))
+    trainers = max(1, round(tokens / trainer_tokens))
     for rate in rates:
-        m.w = averaged(drawn, m, trainers, rate, scratch)
+        m.w = averaged(docs, m, trainers, rate)
     return m
 
 
@@ -291,7 +288,7 @@ def log_likelihoods(docs: DataFrame, train_docs: Column, **options) -> DataFrame
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", train_docs.alias("learnt"))
     counts = scratch.save(count_tokens(rows.where("learnt")), "counts")
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    m = learn(rows.where("learnt"), counts, scratch, **options)
+    m = learn(rows.where("learnt"), counts, **options)
     held = spark.sparkContext.broadcast(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
