@@ -147,6 +147,16 @@ def test_surrogates(spark):
     assert surrogates.replace_entities(docs, b"other").collect() != got and surrogates.replace_entities(docs.limit(0), KEY).count() == 0
 
 
+def test_surrogates_are_not_used_up(spark):
+    letters = "bcdfghjklmnpqrst"
+    names = ["Z" + letters[k // 256 // 16] + letters[k // 256 % 16] + letters[k // 16 % 16] + letters[k % 16] for k in range(4500)]
+    docs = spark.createDataFrame([(k, " and ".join(f"Dr {n}" for n in names[k::10])) for k in range(10)], "doc_id long, text string")
+    got = [w for r in surrogates.replace_entities(docs, KEY).collect() for w in r["text"].replace("Dr ", "").split(" and ")]
+    assert len(got) == len(set(got)) == len(names) and not set(got) & set(names)
+    small = [f"{k // 1000}.{k // 100 % 10}.{k // 10 % 10}.{k % 10}" for k in range(10_000)]
+    assert len({surrogates.surrogate(KEY, "ip", x, 8) for x in small}) > 9**4
+
+
 def test_surrogates_hint_misses_nothing(spark):
     texts = ["so\u00a0Mr Karl Meyer", "so\u2003Frau Meyer", "so\x1cMr Karl Meyer", "+٤٩ ١٢٣ ٤٥٦٧", "deadbeef" * 4, "DEADBEEF" * 8, 'key = "abcdefgh"', "Mr. Meyer", "a@b.org"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -119,9 +119,9 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
         labels = domain.split(".")
         # the registered name changes, what stands for the network's part (.example.com, .org) stays
         fixed = 2 if len(labels) > 2 and labels[-2].lower() == "example" else 1
-        return reshaped(local, draw) + "@" + ".".join([*(reshaped(x, draw) for x in labels[:-fixed]), *labels[-fixed:]])
+        return reshaped(local + "a" * (attempt // 8), draw) + "@" + ".".join([*(reshaped(x, draw) for x in labels[:-fixed]), *labels[-fixed:]])
     if base == "ip":
-        return ".".join(str((x := len(part), 1 + draw.below(9) if x == 1 else 10 + draw.below(90) if x == 2 else 100 + draw.below(155))[1]) for part in entity.split("."))
+        return ".".join(str((x := min(3, len(part) + attempt // 8), 1 + draw.below(9) if x == 1 else 10 + draw.below(90) if x == 2 else 100 + draw.below(155))[1]) for part in entity.split("."))
     if base == "secret":
         hexadecimal = all(c in "0123456789abcdefABCDEF" for c in entity)
         if not hexadecimal:
@@ -150,7 +150,9 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
         kind_script = script(entity)
         pool = GIVEN[kind_script, sex if sex != "n" else "mf"[given.below(2)]].split()
         syllables = SYLLABLES[kind_script].split()
-        out = [*([pool[given.below(len(pool))]] if len(words) > 1 else []), "".join(syllables[family.below(len(syllables))] for _ in range(3)).capitalize()]
+        # a name that draws again gets a longer family name, so that no number of names uses all of them up
+        length = 3 + (attempt if len(words) == 1 else attempt // 16)
+        out = [*([pool[given.below(len(pool))]] if len(words) > 1 else []), "".join(syllables[family.below(len(syllables))] for _ in range(length)).capitalize()]
         return " ".join(w.upper() if old.isupper() else w for w, old in zip(out, words, strict=True))
     return reshaped(entity, draw)
 
