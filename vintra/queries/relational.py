@@ -8,14 +8,14 @@ from vintra.functions.scalar import quantised
 from vintra.operators import asof, joins, series
 from vintra.queries.base import BINARY, DAILY, FORECASTS, FIRST, KNOWN, LAST, MONTHLY, OBS, POSTMORTEMS, QUESTIONS, RESOLUTIONS, binary, daily, day, forecasts, obs, postmortems, q, query, questions, resolutions, table
 
-CUT = day("1998-06-30")
+CUT = "1998-06-30"
 MI = "(year(observed_at) * 12 + month(observed_at) - 1)"
 #: The known series at one cutoff without nulls, with month numbers.
 K = f"{OBS}, {KNOWN}, k AS (SELECT *, {MI} AS m FROM known WHERE value IS NOT NULL)"
 
 
 def known(spark: SparkSession, d: str) -> DataFrame:
-    return asof.known(obs(spark, d), CUT).where("value is not null")
+    return asof.known(obs(spark, d), day(CUT)).where("value is not null")
 
 
 # ---- projections and predicates
@@ -80,8 +80,8 @@ def f11_w18_staleness(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {QUESTIONS}, {RESOLUTIONS} SELECT q.question_id, CASE WHEN DATE '1998-06-30' - (q.target_date - 30) > 3 THEN 'backtest' ELSE 'live' END AS mode FROM questions q LEFT JOIN resolutions r USING (question_id) WHERE q.target_date - 30 <= DATE '1998-06-30' AND q.target_date > DATE '1998-06-30' AND (r.question_id IS NULL OR r.actual_as_of > q.target_date - 30)")
 def f13_due_questions(spark: SparkSession, d: str) -> DataFrame:
     asked = F.date_sub("target_date", 30)
-    rows = questions(spark, d).join(resolutions(spark, d).select("question_id", "actual_as_of"), "question_id", "left").where((asked <= CUT) & (F.col("target_date") > CUT) & (F.col("actual_as_of").isNull() | (F.col("actual_as_of") > asked)))
-    return rows.select("question_id", F.when(F.datediff(CUT, asked) > 3, "backtest").otherwise("live").alias("mode"))
+    rows = questions(spark, d).join(resolutions(spark, d).select("question_id", "actual_as_of"), "question_id", "left").where((asked <= day(CUT)) & (F.col("target_date") > day(CUT)) & (F.col("actual_as_of").isNull() | (F.col("actual_as_of") > asked)))
+    return rows.select("question_id", F.when(F.datediff(day(CUT), asked) > 3, "backtest").otherwise("live").alias("mode"))
 
 
 @query(f"WITH {BINARY} SELECT question_id, lead, ask_date - lead AS ask_on FROM (SELECT DISTINCT question_id, ask_date, outcome, lang FROM binary_frame) CROSS JOIN (VALUES (7), (30), (90)) l(lead) WHERE lang IN ('en', 'fr') AND outcome IS NOT NULL AND ask_date - lead >= DATE '2023-01-15'")
@@ -107,7 +107,7 @@ def j1_star(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {QUESTIONS}, {RESOLUTIONS} SELECT question_id, target_date FROM questions WHERE target_date <= DATE '1998-06-30' AND question_id NOT IN (SELECT question_id FROM resolutions)")
 def j2_open_questions(spark: SparkSession, d: str) -> DataFrame:
-    return questions(spark, d).where(F.col("target_date") <= CUT).join(resolutions(spark, d), "question_id", "left_anti").select("question_id", "target_date")
+    return questions(spark, d).where(F.col("target_date") <= day(CUT)).join(resolutions(spark, d), "question_id", "left_anti").select("question_id", "target_date")
 
 
 @query(f"WITH {FORECASTS}, {POSTMORTEMS} SELECT f.forecast_id FROM forecasts f LEFT JOIN postmortems p USING (forecast_id) WHERE is_backtest AND (p.forecast_id IS NULL OR p.classified_by = 'auto')")

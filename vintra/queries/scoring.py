@@ -378,12 +378,14 @@ def r16_pre_meeting_due(spark: SparkSession, d: str) -> DataFrame:
     return asked.where("asked between date '1998-01-01' and date '1998-03-31'")
 
 
-@query(f"WITH {WIDE}, common AS (SELECT * FROM wide w JOIN (SELECT DISTINCT question_id, source FROM binary_frame) USING (question_id) WHERE y IS NOT NULL AND llm IS NOT NULL), long AS (SELECT source, y, unnest(['base_rate', 'llm', 'market']) AS component, unnest([base_rate, llm, market]) AS p FROM common) SELECT source, component, count(*)::BIGINT AS n, {q('avg((p - y) * (p - y))')} AS brier FROM long GROUP BY ALL")
+@query(f"WITH {WIDE}, common AS (SELECT * FROM wide w JOIN (SELECT DISTINCT question_id, source FROM binary_frame) USING (question_id) WHERE y IS NOT NULL AND llm IS NOT NULL), long AS (SELECT source, y, unnest(['base_rate', 'llm', 'market']) AS component, unnest([base_rate, llm, market]) AS p FROM common) SELECT source, component, count(*)::BIGINT AS n, {q('sum(floor((p - y) * (p - y) * 1e9 + 0.5)::BIGINT)::DOUBLE / count(*) / 1e9')} AS brier FROM long GROUP BY ALL")
 def r18_brier_on_common_set(spark: SparkSession, d: str) -> DataFrame:
     sources = binary(spark, d).select("question_id", "source").distinct()
     common = wide(spark, d).where("y is not null and llm is not null").join(sources, "question_id")
     long = common.selectExpr("source", "y", "stack(3, 'base_rate', base_rate, 'llm', llm, 'market', market) as (component, p)")
-    return long.groupBy("source", "component").agg(F.count("*").alias("n"), quantised(F.avg(F.pow(F.col("p") - F.col("y"), 2))).alias("brier"))
+    # whole numbers add up alike in any order
+    squares = F.floor((F.col("p") - F.col("y")) * (F.col("p") - F.col("y")) * 1e9 + 0.5)
+    return long.groupBy("source", "component").agg(F.count("*").alias("n"), quantised(F.sum(squares).cast("double") / F.count("*") / 1e9).alias("brier"))
 
 
 @query(f"WITH {QUESTIONS}, {FORECASTS}, f AS (SELECT question_id, arg_max(p, struct_pack(a := forecast_date, b := forecast_id)) AS p FROM forecasts WHERE model_type = '1-URGENT' GROUP BY question_id) SELECT q.question_id, f.p FROM questions q LEFT JOIN f USING (question_id) WHERE question_type = 'binary'")
