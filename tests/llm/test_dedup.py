@@ -53,8 +53,9 @@ def test_simhash_query(spark, small):
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got} == {d: (f"{fp[d]:016x}", want[d]) for d in fp}
 
 
-@pytest.mark.parametrize(("reach", "blocks"), [(2, 1), (11, 4)])
-def test_vantage_trees_lose_no_link(spark, reach, blocks):
+@pytest.mark.parametrize(("shard_rows", "leaf_sample"), [(100, 16), (20, 1), (10_000, 16)])
+def test_vantage_trees_lose_no_link(spark, shard_rows, leaf_sample):
+    reach = 2
     rng = random.Random(3)
     fps = {rng.getrandbits(64) for _ in range(400)}
     for x in list(fps)[:200]:
@@ -65,10 +66,10 @@ def test_vantage_trees_lose_no_link(spark, reach, blocks):
     near = np.bitwise_count(a[:, None] ^ a[None, :]) <= reach
     want = components(range(len(order)), [(int(i), int(j)) for i, j in zip(*np.nonzero(near), strict=True) if i < j])
     known = spark.createDataFrame([(x,) for x in order], "fp long")
-    got = simhash.links(known, reach, blocks, shard_rows=100).collect()
+    got = simhash.links(known, Scratch(spark), reach, shard_rows, leaf_sample, least_sample=8).collect()  # few samples: leaves over the bound
     at = {x: k for k, x in enumerate(order)}
     assert components(range(len(order)), [(at[r["a"]], at[r["b"]]) for r in got]) == want
-    assert len(got) <= 6 * blocks * len(order)  # forests, not all pairs
+    assert len(got) <= 60 * len(order)  # forests, not all pairs
 
 
 def test_components(spark):
@@ -80,22 +81,72 @@ def test_components(spark):
     assert connected_components(Scratch(spark), spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_leaders_leave_no_similar_pair(spark, medium):
-    docs = pd.read_parquet(f"{medium}/documents.parquet")
-    shingles = {}
-    for d, t in zip(docs.doc_id, docs.text, strict=True):
-        w = WORD.findall(lower(t))
-        shingles[d] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+def shingle_sets(rows):
+    words = {d: WORD.findall(lower(t)) for d, t in rows}
+    return {d: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for d, w in words.items()}
+
+
+def similar_pairs(sets):
     by = defaultdict(set)
-    for d, s in shingles.items():
+    for d, s in sets.items():
         for x in s:
             by[x].add(d)
-    like = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
-    pairs = {(a, b) for group in by.values() if len(group) < 100 for a in group for b in group if a < b and like(a, b) >= 0.8}
-    keep = {r["doc_id"]: r["keep_id"] for r in simhash.leaders(spark.read.parquet(f"{medium}/documents.parquet")).collect()}
-    assert set(keep) == set(docs.doc_id)
-    assert all(keep[k] == k and (d == k or like(d, k) >= 0.8) for d, k in keep.items())
-    assert [p for p in pairs if keep[p[0]] == p[0] and keep[p[1]] == p[1]] == []
+    near = {(a, b) for group in by.values() for a in group for b in group if a < b}
+    return {(a, b) for a, b in near if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+
+
+def edited(rng, words, share):
+    """words with that share of them replaced, left out or doubled, and some more at the end."""
+    out = [y for w in words for y in ([w] if rng.random() >= share else rng.choice(([], [w, w], [f"e{rng.randrange(10**6)}"])))]
+    return out + [f"t{rng.randrange(10**6)}" for _ in range(int(len(words) * rng.choice((0, 0, share))))]
+
+
+@pytest.mark.parametrize("size", ["small", "medium"])
+def test_near_groups_against_brute_force(spark, size, request):
+    folder = request.getfixturevalue(size)
+    docs = pd.read_parquet(f"{folder}/documents.parquet")[["doc_id", "text"]]
+    rows = list(docs.itertuples(index=False, name=None))
+    want = components(sorted(docs.doc_id), similar_pairs(shingle_sets(rows)))
+    got = simhash.near_groups(spark.read.parquet(f"{folder}/documents.parquet")).collect()
+    assert {r["doc_id"]: r["keep_id"] for r in got} == want
+
+
+def test_near_groups_of_edited_and_longer_copies(spark):
+    rng = random.Random(4)
+    rows, d = [], 0
+    for _ in range(250):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 400))]
+        for _ in range(3):
+            rows.append((d, " ".join(edited(rng, base, rng.choice((0.0, 0.01, 0.02, 0.03))))))
+            d += 1
+    pairs = similar_pairs(shingle_sets(rows))
+    want = components(range(d), pairs)
+    got = {r["doc_id"]: r["keep_id"] for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(want[k] == want[r] for k, r in got.items())  # nothing unlike is joined
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs) > 100
+
+
+@pytest.mark.parametrize(("rows", "parts", "share"), [(100, 8, 1.0), (60, 4, 0.95)])
+def test_near_groups_too_large_to_compare(spark, rows, parts, share):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    docs = [(k, " ".join(edited(rng, base, 0.02 if k % 3 else 0.08))) for k in range(400)] + [(1000 + k, " ".join([*base, "x"[: k % 2], f"{k}"])) for k in range(200)]
+    want = components([k for k, _ in docs], similar_pairs(shingle_sets(docs)))
+    got = {r["doc_id"]: r["keep_id"] for r in simhash.near_groups(spark.createDataFrame(docs, "doc_id long, text string"), class_rows=rows, class_parts=parts).collect()}
+    assert all(want[k] == want[r] for k, r in got.items())
+    gone = [k for k, r in want.items() if k != r]
+    assert sum(got[k] != k for k in gone) >= share * len(gone) > 100
+
+
+def test_near_groups_odd_rows(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(5, text, "a"), (5, text, "b"), (7, text + " more", "c"), (3, None, "d"), (4, "", "e"), (9, " \n", "f"), (None, text, "g"), (11, "one two", "h"), (12, "ONE  two", "i"), (13, "z" * 300_000, "j"), (5, "another text", "k")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, keep_id string")
+    got = simhash.near_groups(docs).collect()
+    assert sorted((r["doc_id"], r["keep_id"]) for r in got) == sorted([*[(5, 5)] * 3, (7, 5), (3, 3), (4, 3), (9, 3), (11, 11), (12, 11), (13, 13)])
+    left = simhash.drop_near_duplicates(docs)
+    assert left.columns == docs.columns and {r["keep_id"] for r in left.collect()} == {"a", "b", "d", "g", "h", "j", "k"}
+    assert simhash.near_groups(docs.limit(0)).count() == 0 and simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
 def test_exact_query_and_index(spark, small):

@@ -6,6 +6,10 @@ distances lead to and is also sent, as a query, to every leaf that the triangle
 distance. Inside a shard the same bound prunes recursively, in numpy blocks. A shard returns a spanning forest of its
 links and not the links, so that a dense group costs one edge a member. Components of the forests are found over the
 whole table.
+
+Texts that share most of their words but not nearly all are farther apart than such a search can reach at scale. For them
+a document also has fingerprints of samples: SimHashes of a few of its shingles, drawn min-wise, so that similar documents
+draw the same ones. Documents that meet in a fingerprint of either kind are compared by their whole sets of shingles.
 """
 
 from __future__ import annotations
@@ -17,44 +21,57 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintra.llm.common import LOWER_BYTES, Scratch, connected_components
 
 #: Shingles hashed at once, so that memory doesn't grow with a text's length beyond its words.
 BLOCK = 1 << 16
-#: Odd multiplier that makes other bits of a shingle's hash (a fixed value).
+#: Odd multiplier that mixes hashes (a fixed value).
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Pairs compared at once.
 PAIRS = 1 << 20
 
 
-def fingerprint(text: bytes | None, shingle: int = 3) -> int:
-    """The unsigned 64-bit SimHash of a text in UTF-8; 0 without words."""
-    return twin_fingerprints(text, shingle, False)[0]
-
-
-def twin_fingerprints(text: bytes | None, shingle: int = 3, second: bool = True) -> tuple[int, int]:
-    """The SimHash, and one over other bits made of the same shingle hashes (0 if not asked for)."""
+def shingle_hashes(text: bytes | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 with seed 42 of the text's word shingles, repeats included, in blocks. Fewer words make one shingle, none none."""
     words = (text or b"").translate(LOWER_BYTES).split()
     if not words:
-        return 0, 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(words) - shingle + 1)
+    n, hash64 = max(1, len(words) - shingle + 1), xxhash.xxh64_intdigest
     first, last = starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
-    ones, others, hash64 = np.zeros(64, np.int64), np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    bits = lambda h: np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    packed = lambda count: int(np.packbits(2 * count > n, bitorder="little").view("<u8")[0])
     for k in range(0, n, BLOCK):
-        h = np.fromiter((hash64(joined[a:b], 42) for a, b in zip(first[k : k + BLOCK], last[k : k + BLOCK], strict=True)), np.uint64)
-        ones += bits(h)
-        if second:
-            h = (h ^ (h >> np.uint64(29))) * MIX
-            others += bits((h ^ (h >> np.uint64(32))) * MIX)
-    return packed(ones), packed(others) if second else 0
+        yield np.fromiter((hash64(joined[a:b], 42) for a, b in zip(first[k : k + BLOCK], last[k : k + BLOCK], strict=True)), np.uint64)
+
+
+def majority(blocks: list[np.ndarray]) -> int:
+    """A bit is 1 if set in over half of the hashes; 0 without any."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in blocks:
+        ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes | None, shingle: int = 3) -> int:
+    """The unsigned 64-bit SimHash of a text in UTF-8; 0 without words."""
+    return majority(list(shingle_hashes(text, shingle)))
+
+
+def sample_fingerprints(hashes: np.ndarray, samples: int, picks: int) -> list[int]:
+    """SimHashes of `samples` samples of so many shingles, drawn min-wise under one order of all hashes for each pick."""
+    out = []
+    for k in range(samples):
+        drawn = []
+        for seed in range(k * picks, (k + 1) * picks):
+            mixed = (hashes ^ np.uint64(xxhash.xxh64_intdigest(b"%d" % seed))) * MIX
+            drawn.append(hashes[np.argmin((mixed ^ (mixed >> np.uint64(32))) * MIX)])
+        out.append(majority([np.array(drawn, np.uint64)]))
+    return out
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -170,67 +187,52 @@ def near_pairs(q: np.ndarray, x: np.ndarray, fp: np.ndarray, reach: int, level:
             yield from near_pairs(q[q_end[d - 1] if d else 0 : q_end[d]], part, fp, reach, level + 1)
 
 
-def shard_links(fp: np.ndarray, home: np.ndarray, reach: int, key: np.ndarray | None = None, key_reach: int = 0, twin: np.ndarray | None = None, twin_reach: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as (fingerprint, root) pairs, of the links between the shard's own rows and all that were sent to it.
-    With key, a part of the fingerprint, the search runs over keys within key_reach; with twin, second fingerprints have to be
-    within twin_reach, too."""
+def shard_links(fp: np.ndarray, home: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as (fingerprint, root) pairs, of the links between the shard's own rows and all that were sent to it."""
     forest = Forest(len(fp))
-    for i, j in near_pairs(np.arange(len(fp)), np.flatnonzero(home), fp if key is None else key, reach if key is None else key_reach):
-        if key is not None:
-            near = hamming(fp[i], fp[j]) <= reach
-            i, j = i[near], j[near]
-        if twin is not None:
-            near = hamming(twin[i], twin[j]) <= twin_reach
-            i, j = i[near], j[near]
+    for i, j in near_pairs(np.arange(len(fp)), np.flatnonzero(home), fp, reach):
         forest.join(i, j)
     roots = forest.roots(np.arange(len(fp)))
     linked = roots != np.arange(len(fp))
     return fp[linked], fp[roots[linked]]
 
 
-def part(fp: np.ndarray, block: int, blocks: int) -> np.ndarray:
-    """The block-th of the equal parts of fingerprints."""
-    width = 64 // blocks
-    return fp if blocks == 1 else (fp >> np.uint64(block * width)) & np.uint64((1 << width) - 1)
-
-
-def links(known: DataFrame, reach: int, blocks: int = 1, shard_rows: int = 16384, sample: int = 50_000, twin_reach: int | None = None) -> DataFrame:
+def links(known: DataFrame, scratch: Scratch, reach: int, shard_rows: int = 16384, leaf_sample: int = 16, least_sample: int = 50_000) -> DataFrame:
     """(a, b): a spanning forest of the links of `reach` bits or fewer between distinct fingerprints (fp).
 
-    twin_reach: bits that the second fingerprints (twin) of linked ones may differ in; without it known needs none.
-
-    blocks: of two fingerprints within reach, one of as many equal parts differs in at most reach // blocks bits; for a wide
-    reach the trees stand over these parts. shard_rows: fingerprints that a shard is meant to hold. sample: fingerprints
-    that the trees are built on, on the driver; they only shape the shards, and any trees give the same links.
+    shard_rows: fingerprints that a shard is meant to hold; a shard with more than four times as many is split by hash, and
+    what is sent to it goes to every piece. The tree is built on the driver, on leaf_sample fingerprints for each leaf (8 bytes
+    for each 1,024 fingerprints) and least_sample at least; it only shapes the shards, and any tree gives the same links.
     """
     n = known.count()
-    drawn = [] if n <= shard_rows else known.select("fp").orderBy(F.xxhash64("fp")).limit(sample).toPandas()["fp"]
-    drawn = np.asarray(drawn, np.int64).view(np.uint64)
-    trees = [VantageTree(part(drawn, b, blocks), max(1, -(-n // shard_rows)), reach // blocks) for b in range(blocks)]
+    leaves = max(1, -(-n // shard_rows))
+    drawn = [] if leaves == 1 else known.select("fp").orderBy(F.xxhash64("fp")).limit(max(least_sample, leaf_sample * leaves)).toPandas()["fp"]
+    tree = VantageTree(np.asarray(drawn, np.int64).view(np.uint64), leaves, reach)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(0).to_numpy()
-            for b, tree in enumerate(trees):
-                rows, leaves, homes = tree.send(part(x.view(np.uint64), b, blocks))
-                rows = pa.array(rows.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), b, np.int32)), pa.array(leaves.astype(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(homes.astype(bool))], names=["block", "shard", "fp", "twin", "home"])
+            rows, shards, homes = tree.send(batch.column(0).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), batch.column(0).take(pa.array(rows.astype(np.int64))), pa.array(homes.astype(bool))], names=["shard", "fp", "home"])
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         fp = pdf["fp"].to_numpy().astype(np.int64).view(np.uint64)
-        key = None if blocks == 1 else part(fp, int(pdf["block"].iloc[0]), blocks)
-        twin = None if twin_reach is None else pdf["twin"].to_numpy().astype(np.int64).view(np.uint64)
-        a, b = shard_links(fp, pdf["home"].to_numpy().astype(bool), reach, key, reach // blocks, twin, twin_reach or 0)
+        a, b = shard_links(fp, pdf["home"].to_numpy().astype(bool), reach)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    sent = known.select("fp", F.lit(0).cast("long").alias("twin") if twin_reach is None else "twin").mapInArrow(send, "block int, shard int, fp long, twin long, home boolean")
-    return sent.groupBy("block", "shard").applyInPandas(link, "a long, b long")
+    sent = known.select("fp").mapInArrow(send, "shard int, fp long, home boolean")
+    if leaves == 1:
+        return sent.groupBy("shard").applyInPandas(link, "a long, b long")
+    sent = scratch.save(sent, "sent")
+    pieces = sent.where("home").groupBy("shard").agg(F.ceil(F.count("*") / (4.0 * shard_rows)).cast("int").alias("pieces"))
+    split = sent.join(scratch.save(pieces, "pieces"), "shard").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    split = split.withColumn("home", F.col("home") & (F.pmod(F.xxhash64("fp"), F.col("pieces")) == F.col("piece")))
+    return split.select("shard", "piece", "fp", "home").groupBy("shard", "piece").applyInPandas(link, "a long, b long")
 
 
 def components(fps: DataFrame, scratch: Scratch, reach: int = 2, **options) -> DataFrame:
     """(fp, component_id) of (doc_id, fp): component_id is the smallest doc_id that links of `reach` bits or fewer lead to."""
     known = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "known")
-    found = scratch.save(links(known, reach, **options), "links")
+    found = scratch.save(links(known, scratch, reach, **options), "links")
     roots = scratch.save(connected_components(scratch, found).withColumnRenamed("node", "fp"), "roots")
     firsts = scratch.save(roots.join(known, "fp").groupBy("root").agg(F.min("first_id").alias("component_id")), "firsts")
     linked = scratch.save(roots.join(firsts, "root").select("fp", "component_id"), "linked")
@@ -248,93 +250,146 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 2, **options
     return fps.join(components(fps, scratch, reach, **options), "fp").select("doc_id", "fp", "component_id")
 
 
-def similarity(a: bytes, b: bytes, shingle: int) -> float:
-    """Jaccard similarity of the sets of word shingles; a text of fewer words is one shingle, and two without words are alike."""
-
-    def shingles(text: bytes) -> set[tuple[bytes, ...]]:
-        words = text.translate(LOWER_BYTES).split()
-        return {tuple(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))}
-
-    x, y = shingles(a), shingles(b)
-    return len(x & y) / len(x | y)
-
-
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Those of (id, leader) whose texts have a similarity of least or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (batch.column(k).cast(pa.binary()).to_pylist() for k in (2, 3))
-            yield batch.select(["id", "leader"]).filter(pa.array([similarity(x or b"", y or b"", shingle) >= least for x, y in zip(a, b, strict=True)], pa.bool_()))
-
-    one, other = texts.select(F.col("text_id").alias("id"), F.col("text").alias("a")), texts.select(F.col("text_id").alias("leader"), F.col("text").alias("b"))
-    return pairs.join(one, "id").join(other, "leader").select("id", "leader", "a", "b").mapInArrow(run, "id long, leader long")
-
-
-def falling(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of (id, leader) between the few leaders of one component: those that give way to a smaller one that stays."""
-    gone: set[int] = set()
-    for x, smaller in pdf.sort_values("id").groupby("id")["leader"]:
-        if any(y not in gone for y in smaller):
-            gone.add(x)
-    return pd.DataFrame({"leader": pd.Series(sorted(gone), dtype="int64")})
+def similar_links(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """For each of the sets (sorted and without repeats) the first one that links of a Jaccard similarity of least or more lead to."""
+    forest, sizes = Forest(len(sets)), np.array([len(x) for x in sets])
+    if len(sets) == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        if both >= least * (sizes.sum() - both):
+            forest.join(np.array([1]), np.array([0]))
+        return forest.up
+    codes, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(codes, kind="stable")
+    codes, who = codes[order], who[order]
+    new = np.concatenate([[True], codes[1:] != codes[:-1]])
+    start = np.flatnonzero(new)[np.cumsum(new) - 1]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    ends = np.cumsum(sizes)
+    for i in range(1, len(sets)):
+        # sets before this one that hold a shingle stand before it in the shingle's run
+        at = place[ends[i - 1] : ends[i]]
+        n = at - start[at]
+        at, n = start[at][n > 0], n[n > 0]
+        shared = np.bincount(who[np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=i)
+        near = np.flatnonzero(shared >= least * (sizes[i] + sizes[:i] - shared))
+        forest.join(np.full(len(near), i), near)
+    return forest.roots(np.arange(len(sets)))
+
+
+def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The runs of equal values in the first column of sorted batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(np.diff(keys)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+            if a == b:
+                continue
+            if held and held[0].column(0)[0].as_py() != keys[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def leaders(docs: DataFrame, shingle: int = 3, reach: int = 11, blocks: int = 4, twin_reach: int = 16, check: int = 5, least: float = 0.8, shard_rows: int = 262_144, most_heads: int = 64) -> DataFrame:
-    """(doc_id, keep_id): what document each row of docs (doc_id, text) gives way to, or itself.
+def classes(nodes: DataFrame, scratch: Scratch, most_rows: int, most_words: int, most_parts: int) -> DataFrame:
+    """(key, id): groups of nodes (id, words, keys) that agree in one of their keys, each of most_rows nodes and most_words words
+    at most.
 
-    Candidates are fingerprints within reach, whose second fingerprints are within twin_reach, so that texts which have
-    nothing in common don't chain by chance. In each component of them
-    the smallest doc_ids lead, one in the first round and four times as many in each later one up to most_heads; of leaders
-    that are similar the later one falls. A text whose `check`-word shingles are at least `least` similar to a leader's goes;
-    the others are candidates of each other again, until none is left. So every document that gives way is verified to be
-    similar to one that stays, and those that stay were compared with every leader of their component. Equal words are equal texts. Rows with a null doc_id are left out.
-    Rows that repeat a doc_id count with the text of any of them. No rows: no rows.
+    A group of up to most_parts times as much is dealt into pieces by hash, and every two pieces make a group, so that all of its
+    members still meet. A larger one is split by what its members agree in besides: its rows go on with every pair of keys, then
+    every three, as far as needed. Members of one that agree in all keys are dealt by hash, the smallest to every part.
+    """
+    tables = len(nodes.select("keys").first()["keys"]) if nodes.limit(1).count() else 0
+    numbers = F.sequence(F.lit(0), F.lit(max(0, tables - 1)))
+    # a key is the hash of its tables' numbers and fingerprints
+    key_of = lambda used: F.xxhash64(F.transform(used, lambda t: F.struct(t.alias("t"), F.get("keys", t).alias("fp"))))
+    now, out = nodes.select("id", "words", "keys", F.transform(numbers, lambda t: F.array(t)).alias("sets")), None
+    for depth in range(1, max(1, tables) + 1):
+        now = scratch.save(now.select("id", "words", "keys", F.explode("sets").alias("used")).withColumn("key", key_of(F.col("used"))).dropDuplicates(["id", "key"]), f"keys-{depth}")
+        sizes = now.groupBy("key").agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.min("id").alias("first"), F.bit_xor(F.xxhash64("id")).alias("who")).where("n > 1")
+        sizes = scratch.save(sizes.withColumn("parts", F.when(F.col("n") > 2, F.ceil(F.greatest(F.col("n") / most_rows, F.col("words") / most_words))).otherwise(1).cast("int")), f"sizes-{depth}")
+        # of groups with the same members one is enough
+        once = sizes.where("parts = 1").groupBy("n", "who").agg(F.min("key").alias("key")).select("key")
+        part = scratch.save(now.select("key", "id").join(once, "key"), f"classes-{depth}")
+        out = part if out is None else out.unionAll(part)
+        medium = now.join(sizes.where(F.col("parts").between(2, most_parts)).select("key", (2 * F.col("parts")).alias("pieces")), "key")
+        medium = medium.select("key", "id", "pieces", F.pmod(F.xxhash64("id"), "pieces").cast("int").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).where("i <> j")
+        out = out.unionAll(scratch.save(medium.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "id"), f"pieces-{depth}"))
+        large = sizes.where(F.col("parts") > most_parts).select("key", "parts", "first")
+        if not large.limit(1).count():
+            break
+        rest = now.join(large, "key")
+        if depth == tables:
+            dealt = rest.select(F.xxhash64("key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("long")).alias("key"), "id")
+            firsts = large.select("key", "first", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k")).select(F.xxhash64("key", F.col("k").cast("long")).alias("key"), F.col("first").alias("id"))
+            out = out.unionAll(scratch.save(dealt.unionAll(firsts).distinct(), "dealt"))
+        more = F.transform(F.array_except(numbers, F.col("used")), lambda t: F.array_sort(F.concat("used", F.array(t))))
+        now = rest.select("id", "words", "keys", more.alias("sets"))
+    return out
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, samples: int = 8, picks: int = 3, reach: int = 2, class_rows: int = 2048, class_words: int = 2_000_000, class_parts: int = 8) -> DataFrame:
+    """(doc_id, keep_id) for each row of docs (doc_id, text) with a doc_id: the smallest doc_id that links lead to, or its own.
+
+    Documents link if the Jaccard similarity of their sets of `shingle`-word shingles is least or more; equal words are equal
+    texts, those without words too. They are compared if their SimHashes are within reach (or lead to each other so), or if they
+    share the SimHash of a sample, `picks` shingles each: of pairs at a similarity s, 1 - (1 - s**picks)**samples do, 99.7 % at
+    0.8 and more beyond. In groups too large to compare, members have to share further fingerprints (see classes).
+    Rows that repeat a doc_id with other texts count with one of them. No rows: no rows.
     """
     scratch = Scratch(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            digests = [hashlib.md5(b" ".join((t or b"").translate(LOWER_BYTES).split())).digest() for t in texts]
-            fps = np.array([twin_fingerprints(t, shingle) for t in texts], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(fps[:, 0]), pa.array(fps[:, 1])], names=["doc_id", "digest", "fp", "twin"])
-
-    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = scratch.save(ids.mapInArrow(run, "doc_id long, digest binary, fp long, twin long"), "rows")
-    nodes = scratch.save(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("twin").alias("twin")), "nodes")
-    pool, taken, texts, k = nodes.select("id", "fp", "twin"), None, None, 1
-    while True:
-        known = scratch.save(pool.groupBy("fp").agg(F.min("id").alias("first_id"), F.min("twin").alias("twin")), "known")
-        roots = scratch.save(connected_components(scratch, scratch.save(links(known, reach, blocks, shard_rows, twin_reach=twin_reach), "links")).withColumnRenamed("node", "fp"), "roots")
-        rooted = scratch.save(known.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
-        members = scratch.save(pool.join(rooted, "fp").select("id", "fp", "twin", "root"), "members")
-        # Spark keeps the k first of a component in each task before it shuffles them
-        nth = F.row_number().over(Window.partitionBy("root").orderBy("id"))
-        heads = scratch.save(members.select("root", "id").withColumn("nth", nth).where(F.col("nth") <= k).select("root", F.col("id").alias("leader")), "heads")
-        pairs = scratch.save(members.join(heads, "root").where("id > leader").select("id", "leader"), "pairs")
-        if not pairs.limit(1).count():
-            break
-        if texts is None:
-            # every later pair is among these
-            wanted = scratch.save(pairs.select(F.col("id").alias("text_id")).unionAll(pairs.select("leader")).distinct(), "wanted")
-            texts = scratch.save(ids.join(wanted, F.col("doc_id") == F.col("text_id")).select("text_id", "text").dropDuplicates(["text_id"]), "texts")
-        good = scratch.save(verified(pairs, texts, check, least), "good")
-        between = good.join(heads.select("root", F.col("leader").alias("id")), "id").select("root", "id", "leader")
-        fallen = scratch.save(between.groupBy("root").applyInPandas(falling, "leader long"), "fallen")
-        now = scratch.save(good.join(fallen, "leader", "left_anti").groupBy("id").agg(F.min("leader").alias("leader")), "taken")
-        taken = now if taken is None else taken.unionAll(now)
-        pool = scratch.save(members.join(now, "id", "left_anti").join(heads.select(F.col("leader").alias("id")), "id", "left_anti").select("id", "fp", "twin"), "pool")
-        scratch.drop(known, roots, rooted, members, heads, pairs, good, fallen)
-        k = min(most_heads, 4 * k)
-    named = nodes.select("digest", F.col("id").alias("keep_id")) if taken is None else nodes.join(taken, "id", "left").select("digest", F.coalesce("leader", "id").alias("keep_id"))
-    return rows.select("doc_id", "digest").join(scratch.save(named, "named"), "digest").select("doc_id", "keep_id")
+            digests, words, fps, drawn = [], [], [], []
+            for t in batch.column(1).cast(pa.binary()).to_pylist():
+                digests.append(hashlib.md5(b" ".join((t or b"").translate(LOWER_BYTES).split())).digest())
+                blocks = list(shingle_hashes(t, shingle))
+                words.append(sum(map(len, blocks)))
+                fps.append(majority(blocks))
+                drawn.append(np.array(sample_fingerprints(np.concatenate(blocks), samples, picks) if blocks else [0] * samples, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(words, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(drawn, pa.list_(pa.int64()))], names=["doc_id", "digest", "words", "fp", "samples"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found = [], []
+            for i, t, digest in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                # a row that repeats a doc_id may hold another text
+                if hashlib.md5(b" ".join((t or b"").translate(LOWER_BYTES).split())).digest() == digest:
+                    ids.append(i)
+                    found.append(np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, shingle)])).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], names=["id", "set"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in by_key(batches):
+            ids = group.column(1).to_numpy()
+            roots = ids[similar_links([np.frombuffer(x, np.uint64) for x in group.column(2).to_pylist()], least)]
+            linked = roots != ids
+            yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(roots[linked])], names=["a", "b"])
+
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = scratch.save(texts.mapInArrow(run, "doc_id long, digest binary, words long, fp long, samples array<long>"), "rows")
+    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("words").alias("words"), F.first("fp").alias("fp"), F.first("samples").alias("samples"))
+    nodes = scratch.save(firsts.groupBy("id").agg(F.min(F.struct("digest", "words", "fp", "samples")).alias("x")).select("id", "x.*"), "nodes")
+    whole = components(nodes.select(F.col("id").alias("doc_id"), "fp"), scratch, reach)
+    keyed = scratch.save(nodes.join(whole, "fp").select("id", "words", F.concat(F.array("component_id"), F.col("samples")).alias("keys")), "keyed")
+    members = scratch.save(classes(keyed, scratch, class_rows, class_words, class_parts), "members")
+    wanted = members.select("id").distinct().join(nodes.select("id", "digest"), "id")
+    made = texts.join(wanted, F.col("doc_id") == F.col("id")).select("id", "text", "digest").mapInArrow(sets, "id long, set binary")
+    made = scratch.save(made.dropDuplicates(["id"]), "sets")
+    compared = members.join(made, "id").select("key", "id", "set").repartition("key").sortWithinPartitions("key", "id").mapInArrow(link, "a long, b long")
+    roots = connected_components(scratch, scratch.save(compared, "similar"))
+    named = scratch.save(nodes.join(roots, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("root", "id").alias("keep_id")), "named")
+    return rows.join(named, "digest", "left").select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that give way to none; rows with a null doc_id stay."""
-    gone = Scratch(docs.sparkSession).save(leaders(docs, **options).groupBy("doc_id").agg(F.min("keep_id").alias("keep_id")).where("keep_id <> doc_id").select(F.col("doc_id").alias("gone_id")), "gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+    """The rows of docs that are the first of their group (see near_groups); rows with a null doc_id stay."""
+    gone = near_groups(docs, **options).groupBy("doc_id").agg(F.min("keep_id").alias("keep_id")).where("keep_id <> doc_id").select(F.col("doc_id").alias("gone_id"))
+    return docs.join(Scratch(docs.sparkSession).save(gone, "gone"), docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
 
 
 def hex64(fp: Column) -> Column:
