@@ -171,17 +171,17 @@ def test_lines_against_brute_force(spark, small):
     rows = [(d, t) for d, t in pd.read_parquet(f"{small}/documents.parquet")[["doc_id", "text"]].itertuples(index=False) if d < 90]
     base = "one two three four five six seven eight nine ten".split()
     rows += [(1000, " ".join(base)), (1001, " ".join([*base[:3], "x", *base[4:]]) + "\nshort line"), (1002, " ".join(base[:-1]) + "\n" + " ".join(base).upper()), (1003, " ".join(["new", *base])), (1004, " ".join(["p", "q", *base])), (1005, None), (1006, "")]
-    rows += [(1007, "a a a a a a a a a"), (1008, "a a a a a a a a a a"), (1009, "b " * 300)]
+    rows += [(1007, "a a a a a a a a a"), (1008, "a a a a a a a a a a"), (1009, "b " * 300), (1010, "One two three\nc1 c2 c3 c4 c5 c6 c7 c8\nc1 c2 c3 c4 c5 c6 c7\nd1 d2 d3 d4 d5 d6 d7"), (1011, "one  two three\n\nd1 d2 d3 d4 d5 d6 x7\nSHORT line")]
     first, repeats = {}, {}
     for d, t in sorted(rows):
         for k, line in enumerate((t or "").split("\n")):
             words = WORD.findall(lower(line))
-            if len(words) < 5:
+            if not words:
                 continue
             key = tuple(words)
             if key not in first:
                 # the earliest line within one edit decides for all lines equal to this one
-                near = [at for other, (at, _) in first.items() if len(words) >= 8 and len(other) >= 8 and line_dedup.one_edit(list(other), words)]
+                near = [at for other, (at, _) in first.items() if max(len(words), len(other)) >= 8 and line_dedup.one_edit(list(other), words)]
                 first[key] = ((d, k), min(near, default=None))
             at, near = first[key]
             if near is not None:
@@ -191,6 +191,17 @@ def test_lines_against_brute_force(spark, small):
     got = line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {(r[0], r[1]): (r[2], r[3], r[4]) for r in got.collect()} == repeats
     assert (1001, 0) in repeats and (1002, 1) in repeats and (1003, 0) in repeats and (1004, 0) not in repeats and (1008, 0) in repeats
+    assert repeats[1010, 2] == (1010, 1, True) and repeats[1011, 0] == (1010, 0, False) and (1011, 1) not in repeats and (1011, 2) not in repeats and repeats[1011, 3][2] is False
+
+
+def test_lines_of_odd_rows(spark):
+    text = "w1 w2 w3 w4 w5 w6 w7 w8"
+    rows = [(2, text, "a"), (None, text + " w9\n\nown line", "b"), (1, None, "c"), (3, "", "d"), (2, text, "e"), (9, "\n".join(f"line {k} {k * k}" for k in range(5000)), "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, dropped string")
+    got = {r["text"] if r["text"] is None else r["text"][:30]: (r["n_lines"], [tuple(x) for x in r["dropped"]]) for r in line_dedup.drop_repeated_lines(docs).collect()}
+    # a line repeats an earlier line of its own document too; a null doc_id comes last
+    assert got == {text[:30]: (1, []), "\nown line": (3, [(0, 2, True)]), None: (0, []), "": (1, []), "line 0 0\nline 1 1\nline 2 4\nlin": (5000, [])}
+    assert line_dedup.drop_repeated_lines(docs.limit(0)).count() == 0
 
 
 def test_variant_keys_are_those_of_the_shorter_lines():
@@ -253,3 +264,21 @@ def test_leaks_of_which_every_fourth_to_sixth_word_is_replaced(spark, whole):
     got = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(d, d % 100) for d, _ in docs}
     assert all(r["score"] == 1 for r in got if r["doc_id"] >= 1000)
+
+
+def test_leaks_of_frequent_items(spark):
+    common = "of the kind that is in each of them as it was".split()
+    item = [w for k in range(5) for w in (*common, f"v{k}")]
+    docs = [(k, " ".join(item)) for k in range(60)] + [(100 + k, " ".join(w for i, w in enumerate(item) if i % 8 != k % 8)) for k in range(40)] + [(200 + k, f"a{k} " + " ".join(common[:5])) for k in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join([*common, *(f"u{k}" for k in range(30))])), (3, None), (4, "two words"), (5, " ".join(item))], "item_id long, text string")
+    got = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench, rare=5, least_seeds=12)
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(d, i) for d, _ in docs if d < 200 for i in (1, 5)}
+
+
+def test_leaks_of_odd_rows(spark):
+    item = " ".join(f"q{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, item, "x"), (1, item, "y"), (1, "other", "z"), (None, item, "n"), (2, None, "m"), (3, "word " * 200_000 + item, "l")], "doc_id int, text string, item_id string")
+    bench = spark.createDataFrame([(7, item, 0.5)], "item_id int, text string, score double")
+    got = sorted(tuple(r) for r in decontamination.leaks(docs, bench).select("doc_id", "item_id", "score", "start").fillna(-1, ["doc_id"]).collect())
+    assert got == [(-1, 7, 1.0, 0), (1, 7, 1.0, 0), (3, 7, 1.0, 200_000)]
+    assert decontamination.leaks(docs.limit(0), bench).count() == 0 and decontamination.leaks(docs, bench.limit(0)).count() == 0

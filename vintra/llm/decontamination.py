@@ -1,10 +1,11 @@
 """Benchmark decontamination: n-gram seeds propose where a document may hold a test item, Smith-Waterman decides.
 
-Tokens are lower-cased runs of letters and digits. Where n-grams of an item hit near one diagonal, the stretch of the
-document around them is aligned with the item word by word, however frequent the n-grams are: of an edited copy often
-just the frequent ones are left. Only stretches that share too few words with the item to reach the score in any order
-aren't aligned. The score is the alignment's share of what a perfect copy gets.
-Test items go over the corpus in blocks of bounded size; texts are read once for each block and never shuffled.
+Tokens are lower-cased runs of letters and digits. A first pass counts in how many documents each n-gram of the items
+occurs. Seeds are the rare ones, and of every item its rarest, however frequent. Where seeds of an item hit near one
+diagonal, the stretch of the document around them is aligned with the item word by word. Stretches that share too few
+words with the item to reach the score in any order aren't aligned. The score is the alignment's share of what a perfect
+copy gets.
+Test items go over the corpus in blocks of bounded size; texts are read twice for each block and never shuffled.
 """
 
 from __future__ import annotations
@@ -58,6 +59,18 @@ class Items:
         grams = sorted((code, k, at) for k, words in enumerate(self.words) for at, code in enumerate(self.codes(words).tolist()))
         self.gram, self.item, self.place = (np.array([g[i] for g in grams], np.int64) for i in range(3))
 
+    def seeds(self, documents: np.ndarray, rare: int, least_seeds: int) -> None:
+        """Leaves of the n-grams those in at most `rare` documents, and the least_seeds rarest of each item; of equally rare ones
+        those whose places are spread over it. documents: of each distinct n-gram, in order."""
+        n = documents[np.cumsum(np.concatenate([[True], self.gram[1:] != self.gram[:-1]])) - 1] if len(self.gram) else self.gram
+        spread = (self.place * 0x9E3779B1) & 0xFFFFFFFF
+        order = np.lexsort((spread, n, self.item))
+        items = self.item[order]
+        rank = np.arange(len(order)) - np.searchsorted(items, items)
+        keep = n <= rare
+        keep[order[rank < least_seeds]] = True
+        self.gram, self.item, self.place = self.gram[keep], self.item[keep], self.place[keep]
+
     def codes(self, words: np.ndarray) -> np.ndarray:
         """The code of the n-gram at each place. Codes that coincide only add stretches to align."""
         out = np.zeros(max(0, len(words) - self.n + 1), np.int64)
@@ -71,19 +84,22 @@ class Items:
         at = np.minimum(np.searchsorted(own, words), len(own) - 1)
         return int(np.minimum(np.bincount(at[own[at] == words], minlength=len(own)), count).sum())
 
-    def hits(self, text: str | None, least: float) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(item, start in document words, word numbers of the stretch) for each stretch that may hold `least` of an item."""
+    def places(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The text's word numbers, where n-grams of the block's words stand, and their codes."""
         get = self.vocabulary.get
         ids = np.fromiter((get(w, -1) for w in tokens(text)), np.int64)
-        if len(ids) < self.n or not len(self.gram):
-            return
-        known = ids[: len(ids) - self.n + 1] >= 0
+        known = ids[: max(0, len(ids) - self.n + 1)] >= 0
         for k in range(1, self.n):
             known &= ids[k : k + len(known)] >= 0
         at = np.flatnonzero(known)
         code = np.zeros(len(at), np.int64)
         for k in range(self.n):
             code = (code << BITS) + ids[at + k]
+        return ids, at, code
+
+    def hits(self, text: str | None, least: float) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(item, start in document words, word numbers of the stretch) for each stretch that may hold `least` of an item."""
+        ids, at, code = self.places(text)
         lo, hi = np.searchsorted(self.gram, code), np.searchsorted(self.gram, code, "right")
         found = np.flatnonzero(hi > lo)
         if not len(found):
@@ -103,13 +119,14 @@ class Items:
                 yield int(k), a, ids[a:b]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, block_chars: int = 4_000_000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, rare: int = 1000, least_seeds: int = 32, block_chars: int = 4_000_000) -> DataFrame:
     """doc_id, item_id, score, start, end: test items found in docs (doc_id, text), with the place in the document's tokens.
 
     score: best alignment score / that of a perfect copy; `least` of it at least. A document and an item give one row, the
     best stretch, the first of equals. Null and empty texts and items find nothing; items that are equal are each found.
     Items of fewer than n tokens find nothing: they can't be told from chance. Rows that repeat a doc_id count as one
-    document. block_chars: text of the items that go over the corpus at once (the driver and each task hold as much). An
+    document. rare: documents that an n-gram may be in to be a seed; least_seeds: the rarest n-grams of an item that are seeds
+    however frequent, so that an item that is copied often is found everywhere. block_chars: text of the items that go over the corpus at once (the driver and each task hold as much). An
     empty table on either side: no rows.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
@@ -119,12 +136,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5,
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == k)
         held = Items([(r[0], r[1]) for r in part.select("item_id", "text").collect()], n)
+        grams = np.unique(held.gram)
+        documents = np.zeros(len(grams), np.int64)
+        for r in document_counts(texts, spark.sparkContext.broadcast((held, grams))).collect():
+            documents[r["gram"]] = r["n"]
+        held.seeds(documents, rare, least_seeds)
         found = scratch.save(search(texts, spark.sparkContext.broadcast(held), least), f"found-{k}")
         out = found if out is None else out.unionAll(found)
     best = F.max_by(F.struct("score", "start", "end"), F.struct("score", -F.col("start")))
     return out.groupBy("doc_id", "item_id").agg(best.alias("x")).select("doc_id", "item_id", "x.score", "x.start", "x.end")
 
 
+def document_counts(texts: DataFrame, held) -> DataFrame:
+    """(gram, n): documents that hold the block's distinct n-gram of that number; one row for each of these at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, grams = held.value
+        n = np.zeros(len(grams) + 1, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                code = np.unique(items.places(text)[2])
+                at = np.searchsorted(grams, code)
+                n[at[grams[np.minimum(at, len(grams) - 1)] == code] if len(grams) else at[:0]] += 1
+        seen = np.flatnonzero(n[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(n[seen])], names=["gram", "n"])
+
+    return texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
 def search(texts: DataFrame, held, least: float) -> DataFrame:
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -67,7 +67,7 @@ def one_edit(a: list[bytes], b: list[bytes]) -> bool:
 
 
 def read_lines(docs: DataFrame, min_words: int, fuzzy_words: int) -> DataFrame:
-    """(doc_id, line_no, digest, keys): lines of at least min_words; keys only from fuzzy_words."""
+    """(doc_id, line_no, digest, keys): lines of at least min_words; keys only of those that may be within an edit of fuzzy_words."""
     schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +80,7 @@ def read_lines(docs: DataFrame, min_words: int, fuzzy_words: int) -> DataFrame:
                         ids.append(doc_id)
                         numbers.append(k)
                         digests.append(hashlib.md5(b" ".join(words)).digest())
-                        keys.append([x - (1 << 64) if x >> 63 else x for x in half_keys(words)] if len(words) >= fuzzy_words else [])
+                        keys.append([x - (1 << 64) if x >> 63 else x for x in half_keys(words)] if len(words) >= fuzzy_words - 1 else [])
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, numbers, digests, keys), schema.types, strict=True)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, line_no int, digest binary, keys array<long>")
@@ -142,19 +142,22 @@ def candidate_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, line_no int, digest binary, line binary").dropDuplicates(["digest"])
 
 
-def verified(pairs: DataFrame) -> DataFrame:
-    """Those of (later, earlier, later_line, earlier_line) within one edit."""
+def verified(pairs: DataFrame, fuzzy_words: int) -> DataFrame:
+    """Those of (later, earlier, later_line, earlier_line) within one edit, the longer of which has fuzzy_words."""
+
+    def near(a: list[bytes], b: list[bytes]) -> bool:
+        return max(len(a), len(b)) >= fuzzy_words and one_edit(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(k).to_pylist() for k in (2, 3))
-            keep = pa.array([one_edit(x.split(), y.split()) for x, y in zip(a, b, strict=True)], pa.bool_())
+            keep = pa.array([near(x.split(), y.split()) for x, y in zip(a, b, strict=True)], pa.bool_())
             yield batch.select(["later", "earlier"]).filter(keep)
 
     return pairs.mapInArrow(run, "later long, earlier long")
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> DataFrame:
+def near_lines(docs: DataFrame, distinct: DataFrame, fuzzy_words: int, scratch: Scratch) -> DataFrame:
     """(digest, keep_doc, keep_line): distinct lines with an earlier line within one edit, and the earliest such line."""
     halves = distinct.select("digest", F.explode("keys").alias("key"))
     shared = scratch.save(halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
@@ -171,7 +174,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> DataFr
     pairs = scratch.save(one.unionAll(other).distinct(), "pairs")
     texts = lines.select("line_id", "line")
     with_lines = pairs.join(texts.select(F.col("line_id").alias("later"), F.col("line").alias("later_line")), "later").join(texts.select(F.col("line_id").alias("earlier"), F.col("line").alias("earlier_line")), "earlier").select("later", "earlier", "later_line", "earlier_line")
-    first = scratch.save(verified(with_lines).groupBy("later").agg(F.min("earlier").alias("earlier")), "near")
+    first = scratch.save(verified(with_lines, fuzzy_words).groupBy("later").agg(F.min("earlier").alias("earlier")), "near")
     at = lines.select("line_id", "doc_id", "line_no", "digest")
     out = first.join(at.select(F.col("line_id").alias("later"), "digest"), "later").join(at.select(F.col("line_id").alias("earlier"), F.col("doc_id").alias("keep_doc"), F.col("line_no").alias("keep_line")), "earlier")
     out = scratch.save(out.select("digest", "keep_doc", "keep_line"), "near-lines")
@@ -179,20 +182,21 @@ def near_lines(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> DataFr
     return out
 
 
-def repeated_lines(docs: DataFrame, min_words: int = 5, fuzzy_words: int = 8) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = 1, fuzzy_words: int = 8) -> DataFrame:
     """doc_id, line_no, keep_doc, keep_line, near: each line of docs (doc_id, text) that repeats an earlier one.
 
     Lines end at \\n and compare by their words, A-Z lower-cased. Earlier: smaller doc_id (null last), then line_no. A line
-    of at least min_words that an equal line precedes repeats the first of these; one of at least fuzzy_words that such a line
-    within one edit precedes repeats the earliest such line (near), and so does each line equal to it. Shorter lines,
-    empty ones included, never repeat anything: they are too short to tell a copy from chance. Null texts have no lines.
+    of at least min_words, one by default, that an equal line precedes repeats the first of these. One that a line within one
+    edit precedes repeats the earliest such line (near), and so does each line equal to it; the bound is one edit in fuzzy_words
+    words, so the longer of the two has that many: of lines of one or two words every two would be within an edit.
+    Lines without words never repeat anything. Null texts have no lines.
     Rows that repeat a doc_id count as one document. No rows: no rows.
     """
     scratch = Scratch(docs.sparkSession)
     lines = scratch.save(read_lines(docs, min_words, fuzzy_words), "lines")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
     distinct = scratch.save(lines.groupBy("digest").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.first("keys").alias("keys")), "distinct")
-    near = near_lines(docs, distinct, scratch)
+    near = near_lines(docs, distinct, fuzzy_words, scratch)
     verdict = scratch.save(
         distinct.join(near, "digest", "left").where("keep_line is not null or first <> last").select("digest", F.coalesce("keep_doc", "first.doc_id").alias("keep_doc"), F.coalesce("keep_line", "first.line_no").alias("keep_line"), F.col("keep_line").isNotNull().alias("near")), "verdict"
     )
@@ -210,6 +214,7 @@ def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     id_ = free("dropped_id", rest)
     by_doc = by_doc.withColumnRenamed("doc_id", id_)
     joined = rest.join(by_doc, rest["doc_id"].cast("long").eqNullSafe(by_doc[id_]), "left").drop(id_)
-    lines, gone = F.split("text", "\n"), F.col("dropped.line_no")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i.cast("int"))), "\n")
-    return joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0))).withColumn("text", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept)).withColumn("dropped", F.coalesce("dropped", F.array().cast("array<struct<line_no:int,keep_doc:bigint,near:boolean>>")))
+    lines, n = F.split("text", "\n"), F.size(F.split("text", "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), n - 1), "dropped.line_no")
+    kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    return joined.withColumn("n_lines", F.coalesce(n, F.lit(0))).withColumn("text", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept)).withColumn("dropped", F.coalesce("dropped", F.array().cast("array<struct<line_no:int,keep_doc:bigint,near:boolean>>")))
