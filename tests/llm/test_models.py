@@ -1,6 +1,7 @@
 """Models, extraction, surrogates and mixing: brute force, exact forms and held-out accuracy."""
 
 import math
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -24,6 +25,32 @@ def test_main_text():
     assert html_text.main_text(f"<body><ul><li><a href=a>One</a><li><a href=b>Two</a></ul><div><p>{long}.</p><p>{long}!</p><p>{long}?</p></div></body>") == f"{long}.\n{long}!\n{long}?"
 
 
+def test_html_levels_decide(monkeypatch, small):
+    """Which lines are content hangs on the smoothed ratios, on pages with an article element too."""
+    pages = list(pd.read_parquet(f"{small}/pages.parquet").html)
+    texts = [html_text.main_text(x) for x in pages]
+    rng, smoothed = np.random.default_rng(3), html_text.smoothed
+    for other in (lambda x, kind: np.ones(len(x)), lambda x, kind: rng.random(len(x)), lambda x, kind: rng.permutation(smoothed(x, kind))):
+        monkeypatch.setattr(html_text, "smoothed", other)
+        assert sum(html_text.main_text(x) != t for x, t in zip(pages, texts, strict=True)) > 0.6 * len(pages)
+
+
+def test_html_clusters():
+    assert html_text.threshold(np.array([1.0, 2.0, 90.0, 100.0])) == pytest.approx(90) and html_text.threshold(np.full(5, 7.0)) == 0
+    a, kind = np.array([0.0, 0, 0, 90, 0, 0, 0]), np.array([0, 0, 0, 0, 1, 1, 1])
+    level = html_text.smoothed(a, kind)
+    assert level[3] > level[2] > level[1] > 0 and level[4:].sum() == 0
+
+
+def test_html_deep_nesting():
+    tracemalloc.start()
+    text = html_text.main_text("<div><b>word " * 30_000 + "</p></i>" * 1000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert text.count("word") > 20_000 and peak < 100e6
+
+
+
 def test_extract_rows(spark, small):
     pages = spark.createDataFrame([(1, "u", None, "x"), (1, "u", None, "x"), (2, None, "<p>" + "a b " * 200_000, "y")], "page_id long, url string, html string, text string")
     got = sorted(html_text.extract(pages).collect(), key=lambda r: r["page_id"])

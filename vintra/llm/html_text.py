@@ -1,16 +1,19 @@
 """Main text of web pages: streaming parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
-The standard library's parser streams events over the page. A line is what stands between two block boundaries. Elements
-that are never article text (scripts, menus, page headers and footers, sidebars, notices, adverts, forms, comments) are
-left out by their tag, role or class. Every other line gets its ratio of text to tags, smoothed over its neighbours by a
-Gaussian; lines above a threshold cluster into content. Content elects a container: an article element or the deepest
-block that holds nearly all content text. In an article or main element, or a block named so, all lines are kept;
-elsewhere those before and after the content cluster and lists of links are not.
+The standard library's parser streams events over the page. A line is what stands between two block boundaries. Scripts,
+styles, form controls and what isn't shown are no lines. Every other line gets its ratio of text to tags. Tags are a prior:
+a line counts a two-hundredth of its ratio if its tag, role or class says that it is no article text (menus, page headers and
+footers, sidebars, notices, adverts, forms, comments), or if an article element or a block named so holds most of the
+page's text and not this line; a line of links counts nothing. Ratios are smoothed by a Gaussian over neighbours of the same
+prior, and the levels part into two clusters by Otsu's threshold. The upper cluster is content. The region goes from the
+first content line to the last, in the deepest block that holds nearly all content text, and grows to the ends of an
+article; in it gaps close: lines below the threshold stay if their prior doesn't speak against them.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -26,7 +29,8 @@ BLOCKS = frozenset(
 )
 CONTAINERS = frozenset("article body center div main section table tbody td".split())
 ARTICLE = frozenset("article main".split())
-NEVER = frozenset("aside button canvas datalist dialog embed footer form head iframe input menu nav noscript object option script select style svg template textarea title".split())
+NEVER = frozenset("button canvas datalist embed head iframe input noscript object option script select style svg template textarea title".split())
+DOUBTED = frozenset("aside dialog footer form menu nav".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 #: An element with one of these words in its class or id, unless the word follows one of WITHOUT.
 BOILERPLATE = frozenset(
@@ -35,6 +39,8 @@ BOILERPLATE = frozenset(
 #: A block with one of these words in its class or id says that it is the article, if no article or main element does.
 ARTICLE_WORDS = frozenset("article articlebody body content entry main post story text".split())
 WITHOUT = frozenset("has no with without".split())
+#: What a doubted line's ratio counts.
+DOUBT = 0.005
 KEPT_WHOLE = frozenset("article body html main".split())
 
 WORDS = re.compile("[a-z]+")
@@ -42,39 +48,55 @@ SIGMA, NEAR = 1.5, 4
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, characters in links, containers) for each line outside left-out elements."""
+    """Collects (text, tags, characters in links, container, doubted) for each line that is shown. A container is a number, at
+    which kinds has what it is and parents the container around it."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, int, int, bool]] = []
         self.kinds: list[str] = []
-        self.open: list[tuple[str, bool, tuple[int, ...]]] = []
-        self.parts, self.tags, self.linked = [], 0, 0
+        self.parents: list[int] = []
+        #: (tag, what its text is: shown 0, doubted 1, left out 2; container) of open elements, and how many of each tag
+        self.open: list[tuple[str, int, int]] = []
+        self.count: Counter = Counter()
+        self.parts, self.tags, self.linked, self.doubted = [], 0, 0, False
 
-    def state(self) -> tuple[bool, tuple[int, ...]]:
-        return self.open[-1][1:] if self.open else (False, ())
+    def state(self) -> tuple[int, int]:
+        return self.open[-1][1:] if self.open else (0, -1)
 
     def cut(self) -> None:
         if text := " ".join("".join(self.parts).split()):
-            self.lines.append((text, self.tags, self.linked, self.state()[1]))
-        self.parts, self.tags, self.linked = [], 0, 0
-
-    def left_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in NEVER or (tag == "header" and not any(t in ARTICLE for t, _, _ in self.open)):
-            return True
+            self.lines.append((text, self.tags, self.linked, self.state()[1], self.doubted))
+        self.parts, self.tags, self.linked, self.doubted = [], 0, 0, False
+
+    def rank(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
+        if tag in NEVER:
+            return 2
+        if tag in DOUBTED or (tag == "header" and not self.count["article"] and not self.count["main"]):
+            return 1
         if tag in KEPT_WHOLE or not attrs:
-            return False
+            return 0
         a = {k: (v or "").lower() for k, v in attrs}
-        if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role") in ROLES or "display:none" in a.get("style", "").replace(" ", ""):
-            return True
+        if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", ""):
+            return 2
         words = WORDS.findall(f"{a.get('class', '')} {a.get('id', '')}")
-        return any(w in BOILERPLATE and (not k or words[k - 1] not in WITHOUT) for k, w in enumerate(words))
+        if a.get("role") in ROLES or any(w in BOILERPLATE and (not k or words[k - 1] not in WITHOUT) for k, w in enumerate(words)):
+            # inside a line nothing can be parted
+            return 1 if tag in BLOCKS else 2
+        return 0
+
+    def close_from(self, k: int) -> None:
+        for tag, _, _ in self.open[k:]:
+            self.count[tag] -= 1
+        del self.open[k:]
 
-    def close_to(self, tags: frozenset[str] | set[str], within: frozenset[str]) -> None:
+    def close_to(self, tags: frozenset[str], within: frozenset[str]) -> None:
         """Ends an open element of tags, with all inside it, unless one of within is nearer."""
+        if not any(self.count[t] for t in tags):
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] in tags:
-                del self.open[k:]
+                self.close_from(k)
                 return
             if self.open[k][0] in within:
                 return
@@ -82,25 +104,27 @@ class Lines(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.cut()
-            self.close_to({"p"}, CONTAINERS)
+            self.close_to(frozenset({"p"}), CONTAINERS)
             if tag == "li":
-                self.close_to({"li"}, frozenset({"ul", "ol"}))
+                self.close_to(frozenset({"li"}), frozenset({"ul", "ol"}))
             elif tag in ("dt", "dd"):
-                self.close_to({"dt", "dd"}, frozenset({"dl"}))
+                self.close_to(frozenset({"dt", "dd"}), frozenset({"dl"}))
             elif tag == "tr":
-                self.close_to({"tr"}, frozenset({"table"}))
+                self.close_to(frozenset({"tr"}), frozenset({"table"}))
         elif tag in ("br", "td", "th"):
             self.parts.append(" ")
         self.tags += 1
         if tag in VOID:
             return
-        out, inside = self.state()
-        out = out or self.left_out(tag, attrs)
-        if tag in CONTAINERS and not out:
+        state, inside = self.state()
+        state = max(state, self.rank(tag, attrs))
+        if tag in CONTAINERS and state < 2:
             named = tag == "div" and any(k in ("class", "id") and v and not ARTICLE_WORDS.isdisjoint(WORDS.findall(v.lower())) for k, v in attrs)
             self.kinds.append("named" if named else tag)
-            inside = (*inside, len(self.kinds) - 1)
-        self.open.append((tag, out, inside))
+            self.parents.append(inside)
+            inside = len(self.kinds) - 1
+        self.open.append((tag, state, inside))
+        self.count[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -111,61 +135,85 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.cut()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                return
-            if self.open[k][0] in CONTAINERS and tag not in BLOCKS:
-                return
+        self.close_to(frozenset({tag}), frozenset() if tag in BLOCKS else CONTAINERS - {tag})
 
     def handle_data(self, data: str) -> None:
-        if not self.state()[0]:
+        if (state := self.state()[0]) < 2:
             self.parts.append(data)
+            self.doubted = self.doubted or (state == 1 and not data.isspace())
             if any(t == "a" for t, _, _ in self.open[-3:]):
                 self.linked += len(data)
 
 
-def smoothed(x: np.ndarray) -> np.ndarray:
-    """Gaussian smoothing that renormalises at both ends."""
-    kernel = np.exp(-0.5 * (np.arange(-NEAR, NEAR + 1) / SIGMA) ** 2)
-    return np.convolve(x, kernel)[NEAR : NEAR + len(x)] / np.convolve(np.ones(len(x)), kernel)[NEAR : NEAR + len(x)]
+def smoothed(x: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Gaussian smoothing over neighbours of the same kind, renormalised where some are of another or missing."""
+    kernel, out = np.exp(-0.5 * (np.arange(-NEAR, NEAR + 1) / SIGMA) ** 2), np.zeros(len(x))
+    for k in np.unique(kind):
+        of = kind == k
+        out[of] = (np.convolve(x * of, kernel)[NEAR : NEAR + len(x)] / np.maximum(np.convolve(of * 1.0, kernel)[NEAR : NEAR + len(x)], 1e-9))[of]
+    return out
+
+
+def threshold(level: np.ndarray) -> float:
+    """The level from which on the upper of two clusters begins: Otsu's, over logarithms. Levels that are all alike are one cluster."""
+    x = np.sort(np.log1p(level))
+    below = np.arange(1, len(x))
+    low, high = np.cumsum(x)[:-1] / below, (x.sum() - np.cumsum(x)[:-1]) / (len(x) - below)
+    spread = below * (len(x) - below) * (high - low) ** 2 * (x[1:] > x[:-1])
+    return float(np.expm1(x[1:][spread.argmax()])) * (1 - 1e-9) if len(spread) and spread.max() > 0 else 0.0
+
+
+def article_of(kinds: list[str], votes: list[int], total: int) -> set[int]:
+    """The containers that the page's tags call its article; none if they hold too little of its text."""
+    first = max((c for c, v in enumerate(votes) if v and kinds[c] in ARTICLE), key=lambda c: (votes[c], -c), default=None)
+    if first is not None and votes[first] * 2 >= total:
+        # several articles of one page, and what main holds besides, follow each other
+        return {c for c, kind in enumerate(kinds) if kind == kinds[first]}
+    return {c for c in [max((c for c, v in enumerate(votes) if v and kinds[c] == "named" and v >= 0.85 * total), default=-1)] if c >= 0}
 
 
 def main_text(html: str | None) -> str:
-    """The article's lines joined by \\n; empty for null, for no text and for a page of left-out elements only."""
+    """The article's lines joined by \\n; empty for null, for no text and for a page of doubted elements only."""
     page = Lines()
     page.feed(html or "")
     page.close()
     page.cut()
-    if not page.lines:
+    if all(doubted for *_, doubted in page.lines):
         return ""
-    size = np.array([len(t) for t, _, _, _ in page.lines])
-    links = np.array([n for _, _, n, _ in page.lines]) / size
-    ratio = size / np.array([max(1, n) for _, n, _, _ in page.lines])
-    level = smoothed(ratio * (links < 0.5))
-    # two clusters: the threshold is what parts the levels best, here their mean less half a deviation
-    content = level >= max(1e-9, level.mean() - 0.5 * level.std())
-    votes: dict[int, int] = {}
-    for n, yes, (_, _, _, inside) in zip(size, content, page.lines, strict=True):
-        for c in inside if yes else ():
-            votes[c] = votes.get(c, 0) + int(n)
-    total = int(size[content].sum())
-    whole = max((c for c in votes if page.kinds[c] in ARTICLE), key=lambda c: (votes[c], -c), default=None)
-    if whole is None or votes[whole] * 2 < total:
-        whole = max((c for c in votes if page.kinds[c] == "named" and votes[c] >= 0.85 * total), default=None)
-    if whole is not None and page.kinds[whole] == "named":
-        keep = [whole in inside for _, _, _, inside in page.lines]
-    elif whole is not None:
-        # several articles of one page, and what main holds besides, follow each other
-        keep = [any(page.kinds[c] == page.kinds[whole] for c in inside) for _, _, _, inside in page.lines]
-    else:
-        best = max((c for c in votes if votes[c] >= 0.85 * total), default=None)
-        inner = np.array([best is None or best in inside for _, _, _, inside in page.lines])
-        at = np.flatnonzero(inner & content)
-        span = np.zeros(len(inner), bool)
-        span[at[0] : at[-1] + 1] = True
-        keep = inner & span & ((links < 0.5) | (size > 200))
-    return "\n".join(t for (t, _, _, _), k in zip(page.lines, keep, strict=True) if k)
+    texts, tags, linked, inside, doubted = (list(c) for c in zip(*page.lines, strict=True))
+    size, doubted = np.array([len(t) for t in texts]), np.array(doubted)
+    links = np.array(linked) / size
+
+    def votes(of: np.ndarray) -> list[int]:
+        """Characters of those lines in each container; a container's number is above those of all around it."""
+        out = [0] * len(page.kinds)
+        for n, c in zip(size[of].tolist(), np.array(inside)[of].tolist(), strict=True):
+            if c >= 0:
+                out[c] += n
+        for c in range(len(out) - 1, -1, -1):
+            if page.parents[c] >= 0:
+                out[page.parents[c]] += out[c]
+        return out
+
+    def lines_in(wanted: set[int]) -> np.ndarray:
+        within = [False] * len(page.kinds)
+        for c in range(len(within)):
+            within[c] = c in wanted or (page.parents[c] >= 0 and within[page.parents[c]])
+        return np.array([c >= 0 and within[c] for c in inside])
+
+    article = article_of(page.kinds, votes(~doubted), int(size[~doubted].sum()))
+    whole = lines_in(article) if article else np.zeros(len(size), bool)
+    doubted |= ~whole & bool(article)
+    level = smoothed(size / np.maximum(1, tags) * np.where(doubted, DOUBT, 1.0) * (links < 0.5), doubted)
+    content = level >= threshold(level)
+    elected = votes(content)
+    best = max((c for c, v in enumerate(elected) if v >= 0.85 * size[content].sum()), default=None)
+    inner = whole if article and not (content & ~whole).any() else np.ones(len(size), bool) if article or best is None else lines_in({best})
+    at = np.flatnonzero(inner & content)
+    region = inner & (np.arange(len(size)) >= at.min(initial=len(size))) & (np.arange(len(size)) <= at.max(initial=-1))
+    region = (region & ((links < 0.5) | (size > 200))) | (whole & bool((region & whole).any()))
+    keep = region & (content | ~doubted)
+    return "\n".join(t for t, k in zip(texts, keep, strict=True) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:
