@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from vintra.llm import html_text, mixing, quality, queries, recurrent_lm, surrogates, toxicity
+from vintra.llm import common, html_text, mixing, quality, queries, recurrent_lm, surrogates, toxicity
 
 KEY = b"test"
 
@@ -176,12 +176,41 @@ def test_surrogates(spark):
 
 def test_surrogates_are_not_used_up(spark):
     letters = "bcdfghjklmnpqrst"
-    names = ["Z" + letters[k // 256 // 16] + letters[k // 256 % 16] + letters[k // 16 % 16] + letters[k % 16] for k in range(4500)]
+    names = ["Z" + letters[k // 256 // 16] + letters[k // 256 % 16] + letters[k // 16 % 16] + letters[k % 16] for k in range(5000)]
     docs = spark.createDataFrame([(k, " and ".join(f"Dr {n}" for n in names[k::10])) for k in range(10)], "doc_id long, text string")
     got = [w for r in surrogates.replace_entities(docs, KEY).collect() for w in r["text"].replace("Dr ", "").split(" and ")]
     assert len(got) == len(set(got)) == len(names) and not set(got) & set(names)
     small = [f"{k // 1000}.{k // 100 % 10}.{k // 10 % 10}.{k % 10}" for k in range(10_000)]
-    assert len({surrogates.surrogate(KEY, "ip", x, 8) for x in small}) > 9**4
+    assert len({surrogates.drawn_part(KEY, "ip", x, f"ip:{x}", 8) for x in small}) > 9**4
+
+
+def test_surrogates_of_persons(spark):
+    given = [n for (script, _), names in surrogates.GIVEN.items() if script == "latin" for n in names.split()]
+    rows = [
+        (1, "Dr Sabine Weber and Frau Sabine Weber, then Prof Kim Lang"), (2, "Mr Kim Lang said; Mrs Kim Lang once"), (3, "Mr Smith's dog and John Smith's cat. O'Brien's not one. Dear Zoe Quark, hello"),
+        (4, "ask Mary Jones or SABINE WEBER: Sabine Weber"), (5, "; ".join(f"{n} Zander" for n in given)), (6, "Mr Zander and Herr Zander"), (7, "Mr Kim Lang"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(docs, KEY).collect()}
+    dr, frau = out[1].split(" and ")[0].removeprefix("Dr "), out[1].split("Frau ")[1].split(",")[0]
+    assert dr == frau == out[4].split(": ")[1] and dr.split()[0] in surrogates.GIVEN["latin", "f"].split()
+    kim = out[1].split("Prof ")[1]
+    assert kim == out[2].split(" said")[0].removeprefix("Mr ") == out[2].split("Mrs ")[1].removesuffix(" once") and kim.split()[0] in surrogates.GIVEN["latin", "m"].split()
+    smith = out[3].split("'s dog")[0].removeprefix("Mr ")
+    assert f" {smith}'s cat" in out[3] and "John" not in out[3] and "O'Brien's" in out[3] and "Zoe" not in out[3] and "Dear " in out[3]
+    assert "Mary" not in out[4] and "Jones" not in out[4]
+    zander = out[5].split("; ")
+    assert len(set(zander)) == len(given) and {z.split()[1] for z in zander} == {out[6].split()[1]} and out[6].split()[1] == out[6].split()[4]
+
+
+def test_surrogates_leave_no_entity_on_disk(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    docs = spark.createDataFrame([(k, f"mail secretperson{k}@mail.org or Mr Verysecret{k % 7}name Hiddenman") for k in range(40)], "doc_id long, text string")
+    assert surrogates.replace_entities(docs, KEY).where("n_entities >= 1 and not contains(text, 'secretperson')").count() == 40
+    frames = [pd.read_parquet(f) for f in tmp_path.rglob("*.parquet")]
+    assert sum(map(len, frames)) >= 40
+    for f in frames:
+        assert not {"sealed", "parts"} & set(f.columns) and not any(x in str(f.to_dict("list")) for x in ("secretperson", "Verysecret", "Hiddenman", "mail.org"))
 
 
 def test_surrogates_hint_misses_nothing(spark):

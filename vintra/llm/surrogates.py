@@ -1,15 +1,20 @@
 """Personal data replaced by keyed surrogates of the same type.
 
 Entities are found by pattern: e-mail addresses, phone numbers, IPv4 addresses, long digit runs (cards, accounts),
-secrets assigned to a name, and persons after a title. A surrogate is drawn from an HMAC of the entity's canonical form,
-so the same entity has the same surrogate in every document and run under one key. It keeps the format: digits stay
-digits, hexadecimal stays so, case, length and punctuation stay, a card number that passes the Luhn check passes it, an
-address stays an address, a name keeps its gender, script and number of words.
+secrets assigned to a name, and persons: names after a title, after words that announce one, and after a known given name.
+A surrogate is drawn from an HMAC of the entity's canonical form, so the same entity has the same surrogate in every
+document and run under one key. It keeps the format: digits stay digits, hexadecimal stays so, case, length and punctuation
+stay, a card number that passes the Luhn check passes it, an address stays an address, a name keeps its gender, script and
+number of words. The parts of a name are entities of their own: a family has one surrogate with and without given names,
+and a given name in a family one gender, which most of its mentions in the corpus give, whatever the title of one.
 
 Distinct entities must not meet in one surrogate, nor a surrogate be another entity of the corpus. The distinct entities
 are checked over the whole corpus: a group that shares a surrogate leaves it to its first member, and a surrogate that
-is an entity goes, and the others draw again until none collides. Only those that drew again are passed to the documents
-that hold them; the rest is drawn in place.
+is an entity goes, and the others draw again until none collides; surrogates get longer with the draws, so that they aren't
+used up. Only those that drew again are passed to the documents that hold them; the rest is drawn in place.
+
+Patterns run once over the texts. What is written in between holds places, keyed hashes, and entities enciphered under the
+key, and the latter are deleted when the draws are done.
 """
 
 from __future__ import annotations
@@ -33,8 +38,8 @@ TITLES = {
     "n": "Dr Prof Professor Doktor Doctor Docteur Mx Доктор",
 }
 GIVEN = {
-    ("latin", "m"): "Adam Bruno Carl David Emil Felix Georg Henri Ivan Jonas Karl Leo Martin Nils Oscar Paul Robert Simon Thomas Victor",
-    ("latin", "f"): "Alice Bella Clara Diana Emma Flora Greta Helena Irene Julia Klara Laura Maria Nina Olga Paula Rosa Sara Teresa Vera",
+    ("latin", "m"): "Adam Albert Alexander Andreas Antonio Arthur Bruno Carl Carlos Charles Christopher Daniel David Diego Edward Emil Felix François Frank Georg George Hans Harry Henri Henry Ivan Jack James Jean John Jonas José Juan Karl Kevin Leo Louis Luis Manuel Mark Martin Michael Miguel Nils Oscar Pablo Paul Pedro Peter Pierre Richard Robert Simon Stefan Stephen Thomas Victor Walter William Wolfgang",
+    ("latin", "f"): "Agnes Alice Amelia Ana Anna Anne Barbara Bella Camille Carmen Caroline Catherine Charlotte Christine Clara Diana Dorothy Elena Elizabeth Emily Emma Eva Flora Greta Hannah Helena Ingrid Irene Isabel Jane Jennifer Julia Karen Klara Laura Linda Lucía Margaret Maria Marie Mary Monika Nancy Nina Olga Paula Petra Rosa Sabine Sandra Sara Sofia Sophie Susan Teresa Ursula Vera Victoria",
     ("cyrillic", "m"): "Антон Борис Вадим Глеб Денис Иван Кирилл Лев Максим Олег Павел Роман Семён Тимур Фёдор",
     ("cyrillic", "f"): "Алина Вера Галина Дарья Елена Жанна Ирина Ксения Лидия Марина Нина Ольга Полина Раиса Софья",
     ("greek", "m"): "Αλέξης Βασίλης Γιώργος Δημήτρης Ηλίας Κώστας Λευτέρης Μάρκος Νίκος Πέτρος",
@@ -44,7 +49,13 @@ SYLLABLES = {"latin": "bar del fen gor hal jan kel lor man nov pel ris sol tar v
 
 GENDER = {t: g for g, names in TITLES.items() for t in names.split()}
 GIVEN_GENDER = {n: g for (_, g), names in GIVEN.items() for n in names.split()}
-NAME = r"[^\W\d_a-zа-яα-ω][^\W\d_]+(?:[-'’][^\W\d_]+)*"
+CAPITAL = "A-ZÀ-ÖØ-ÞΑ-ΫЀ-Я"
+#: A name, without the 's of a genitive.
+NAME = rf"[{CAPITAL}][^\W\d_]+(?:[-'’](?!s(?!\w))[^\W\d_]+)*"
+#: Words that announce a person's name (fixed values).
+CUES = "name is|name:|full name:|dear|signed by|sincerely,|kind regards,|contact person:|attn:|ich heiße|mein name ist|name ist|liebe|lieber|je m'appelle|nom :|nom:|me llamo|mi nombre es|nombre:|меня зовут|имя:"
+TITLE = "|".join(sorted(GENDER, key=len, reverse=True))
+KNOWN = "|".join(sorted(GIVEN_GENDER, key=len, reverse=True))
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}|(?<![\w.%+-])[^\W_][\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?i:(?<=\btoken = \")|(?<=\btoken=\")|(?<=\bkey = \")|(?<=\bkey=\")|(?<=\bsecret = \")|(?<=\bsecret=\")|(?<=\bpassword = \")|(?<=\bpassword=\"))[^\"\s]{6,}(?=\")|\b[0-9a-f]{32,64}\b|\b[0-9A-F]{32,64}\b",
@@ -52,21 +63,29 @@ PATTERNS = {
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "number": r"(?<![\w.])\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?(?!\w)|(?<![\w.])\d{9,19}(?!\w)|\b[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?\b",
-    "person": rf"(?:(?<=\s)|(?<=^))(?:{'|'.join(sorted(GENDER, key=len, reverse=True))})\.? {NAME}(?: {NAME})?",
+    "person": rf"(?:(?<=\s)|(?<=^))(?:{TITLE})\.? {NAME}(?: {NAME})?",
+    "announced": rf"(?<!\w)(?i:{CUES})\s{NAME} {NAME}",
+    "known": rf"(?<![\w'’-])(?=[{CAPITAL}])(?:{KNOWN}) {NAME}",
 }
 ENTITY = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()))
-#: What every entity has one of: a digit, an @, a quote, a title or hexadecimal letters. Texts without are not searched. For
-#: Java, whose \d and \s know ASCII only, where Python's know all digits and spaces.
-HINT = rf"[\p{{Nd}}@\"]|[a-fA-F]{{32}}|(^|[\s\x1c-\x1f\x85\p{{Z}}])({'|'.join(GENDER)})\.? "
+#: What every entity has one of: a digit, an @, a quote, hexadecimal letters, a title, a known given name or a cue. Texts without
+#: are not searched. For Java, whose \d and \s know ASCII only, where Python's know all digits and spaces.
+HINT = rf"[\p{{Nd}}@\"]|[a-fA-F]{{32}}|(?<![\p{{L}}\p{{N}}_])(?=\p{{Lu}})({TITLE}|{KNOWN})\.? |(?iu)(?<![\p{{L}}\p{{N}}_])({CUES})[\s\x1c-\x1f\x85\p{{Z}}]"
 
 
-def entities(text: str | None) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, kind, entity) of a text, in order and apart. For a person the entity is the name without the title."""
+def entities(text: str | None) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of a text's entities, in order and apart. A person's are the name's, without title and cue; the kind has its gender."""
     for m in ENTITY.finditer(text or ""):
-        kind, start = m.lastgroup, m.start()
+        kind, start, found = m.lastgroup, m.start(), m.group()
         if kind == "person":
-            start += m.group().index(" ") + 1
-        yield start, m.end(), kind if kind != "person" else f"person-{gender(m.group())}", text[start : m.end()]
+            start += found.index(" ") + 1
+            kind = f"person-{gender(found)}"
+        elif kind == "announced":
+            start += len(found) - len(" ".join(found.split()[-2:]))
+            kind = f"person-{GIVEN_GENDER.get(found.split()[-2], 'n')}"
+        elif kind == "known":
+            kind = f"person-{GIVEN_GENDER[found.split(' ')[0]]}"
+        yield start, m.end(), kind
 
 
 def gender(titled: str) -> str:
@@ -75,9 +94,26 @@ def gender(titled: str) -> str:
     return g if g != "n" else GIVEN_GENDER.get(given, "n")
 
 
-def canonical(kind: str, entity: str) -> str:
-    """What two mentions of one entity share: addresses, secrets in hexadecimal and names by letters, numbers by their digits and format."""
-    return f"{kind.split('-')[0]}:{entity.lower()}" if kind.split("-")[0] in ("email", "secret", "person") else f"{kind}:{entity}"
+def parts(kind: str, entity: str) -> list[tuple[str, str, str]]:
+    """(kind, text, canonical form) of what an entity consists of. A person: the family, and the given name in it with its gender.
+    Addresses, secrets in hexadecimal and names are one by letters, numbers by their digits and format."""
+    base, _, sex = kind.partition("-")
+    if base != "person":
+        return [(kind, entity, f"{kind}:{entity.lower() if kind in ('email', 'secret') else entity}")]
+    *given, family = entity.split(" ")
+    low = family.lower()
+    return [("family", family, f"family:{low}"), *((f"given-{sex}", f"{g} {family}", f"given:{g.lower()} {low}") for g in given)]
+
+
+def named(key: bytes, form: str) -> bytes:
+    """The keyed hash that stands for a canonical form."""
+    return hmac.new(key, form.encode(), hashlib.sha256).digest()[:16]
+
+
+def sealed(key: bytes, name: bytes, text: bytes) -> bytes:
+    """text enciphered by a key stream of its entity, or what was so deciphered."""
+    stream = b"".join(hmac.new(key, b"seal:%d:" % k + name, hashlib.sha256).digest() for k in range(-(-len(text) // 32)))
+    return bytes(x ^ y for x, y in zip(text, stream, strict=False))
 
 
 class Draw:
@@ -110,10 +146,12 @@ def script(name: str) -> str:
     return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿" else "latin"
 
 
-def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
-    """The surrogate of an entity at an attempt; mentions of one entity in another case get it in their case."""
-    draw = Draw(key, canonical(kind, entity), attempt)
-    base = kind.split("-")[0]
+def drawn_part(key: bytes, kind: str, entity: str, form: str, attempt: int = 0) -> str:
+    """The surrogate of a part (see parts) at an attempt; mentions of one entity in another case get it in their case."""
+    draw = Draw(key, form, attempt)
+    base, _, sex = kind.partition("-")
+    # formats of a fixed length keep it for three rounds of eight draws
+    longer = "0" * max(0, attempt // 8 - 2)
     if base == "email":
         local, domain = entity.rsplit("@", 1)
         labels = domain.split(".")
@@ -121,85 +159,117 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
         fixed = 2 if len(labels) > 2 and labels[-2].lower() == "example" else 1
         return reshaped(local + "a" * (attempt // 8), draw) + "@" + ".".join([*(reshaped(x, draw) for x in labels[:-fixed]), *labels[-fixed:]])
     if base == "ip":
-        return ".".join(str((x := min(3, len(part) + attempt // 8), 1 + draw.below(9) if x == 1 else 10 + draw.below(90) if x == 2 else 100 + draw.below(155))[1]) for part in entity.split("."))
+        return ".".join(str((x := min(3, len(part) + attempt // 8) + len(longer), 1 + draw.below(9) if x == 1 else 10 + draw.below(90) if x == 2 else 100 + draw.below(155) if x == 3 else f"{100 + draw.below(155)}{longer}")[1]) for part in entity.split("."))
     if base == "secret":
         hexadecimal = all(c in "0123456789abcdefABCDEF" for c in entity)
         if not hexadecimal:
-            return reshaped(entity, draw)
+            return reshaped(entity + longer, draw)
         upper = entity == entity.upper()
-        drawn = "".join("0123456789abcdef"[draw.below(16)] for _ in entity)
+        drawn = "".join("0123456789abcdef"[draw.below(16)] for _ in entity + longer)
         return drawn.upper() if upper else drawn
     if base == "phone":
         # the country stays
         head = m.end() if (m := re.match(r"\+\d{1,3}(?=\D|$)", entity)) else 0
-        return entity[:head] + reshaped(entity[head:], draw)
+        return entity[:head] + reshaped(entity[head:] + longer, draw)
     if base == "number":
-        drawn = reshaped(entity, draw)
+        drawn = reshaped(entity + longer, draw)
         old = [int(c) for c in entity if c.isdigit()]
         if len(old) >= 12 and not luhn(old):
             last = max(k for k, c in enumerate(drawn) if c.isdigit())
             new = [int(c) for c in drawn if c.isdigit()]
             drawn = drawn[:last] + str((new[-1] - luhn(new)) % 10) + drawn[last + 1 :]
         return drawn
-    if base == "person":
-        # family and given names are drawn apart, so that a family has one surrogate with and without given names; what
-        # draws again draws its given name first
-        words, sex = entity.split(" "), kind.split("-")[1]
-        family = Draw(key, f"family:{words[-1].lower()}", attempt if len(words) == 1 else attempt // 16)
-        given = Draw(key, f"given:{words[0].lower()}", attempt)
-        kind_script = script(entity)
-        pool = GIVEN[kind_script, sex if sex != "n" else "mf"[given.below(2)]].split()
-        syllables = SYLLABLES[kind_script].split()
-        # a name that draws again gets a longer family name, so that no number of names uses all of them up
-        length = 3 + (attempt if len(words) == 1 else attempt // 16)
-        out = [*([pool[given.below(len(pool))]] if len(words) > 1 else []), "".join(syllables[family.below(len(syllables))] for _ in range(length)).capitalize()]
-        return " ".join(w.upper() if old.isupper() else w for w, old in zip(out, words, strict=True))
-    return reshaped(entity, draw)
-
-
-def mentions(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, entity, name), one row for each document and spelling; name: its canonical form."""
+    if base == "family":
+        syllables = SYLLABLES[script(entity)].split()
+        made = "".join(syllables[draw.below(len(syllables))] for _ in range(3 + attempt)).capitalize()
+        return made.upper() if entity.isupper() else made
+    if base == "given":
+        pool = GIVEN[script(entity), sex if sex != "n" else "mf"[draw.below(2)]].split()
+        # never the same name again; after eight draws two given names, then three
+        pool = [x for x in pool if x.lower() != entity.split(" ")[0].lower()]
+        made = "-".join(pool[draw.below(len(pool))] for _ in range(1 + attempt // 8))
+        return made.upper() if entity.split(" ")[0].isupper() else made
+    return reshaped(entity + longer, draw)
+
+
+def surrogate(key: bytes, kind: str, entity: str, again: dict[bytes, tuple[int, str]] | None = None) -> str:
+    """The surrogate of an entity. again: attempt and kind of parts, by their keyed hashes, that drew again or have another gender."""
+    made = []
+    for part_kind, text, form in parts(kind, entity):
+        attempt, part_kind = (again or {}).get(named(key, form), (0, part_kind)) if again else (0, part_kind)
+        made.append(drawn_part(key, part_kind, text, form, attempt))
+    return " ".join([*made[1:], made[0]])
+
+
+FOUND = "doc_id long, text_hash long, spans array<struct<start:int,end:int,kind:string>>, parts array<struct<name:binary,kind:string,sealed:binary>>"
+
+
+def find(docs: DataFrame, key: bytes) -> DataFrame:
+    """FOUND for each document (doc_id, text) with entities: their places and distinct parts."""
+    spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
+    parts_type = pa.list_(pa.struct([("name", pa.binary()), ("kind", pa.string()), ("sealed", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, k, e, canonical(k, e)) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, e in {(k, e) for _, _, k, e in entities(t)}]
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), *[pa.string()] * 3), strict=True)], names=["doc_id", "kind", "entity", "name"])
+            ids, hashes, spans, held = [], [], [], []
+            for doc_id, text_hash, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if found := list(entities(text)):
+                    distinct = {(k, t, f) for a, b, kind in found for k, t, f in parts(kind, text[a:b])}
+                    ids.append(doc_id)
+                    hashes.append(text_hash)
+                    spans.append([{"start": a, "end": b, "kind": k} for a, b, k in found])
+                    held.append([{"name": (n := named(key, f)), "kind": k, "sealed": sealed(key, n, t.encode())} for k, t, f in sorted(distinct)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(spans, spans_type), pa.array(held, parts_type)], names=["doc_id", "text_hash", "spans", "parts"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(HINT)).mapInArrow(run, "doc_id long, kind string, entity string, name string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").where(F.col("text").rlike(HINT)).mapInArrow(run, FOUND)
 
 
 def drawn(names: DataFrame, key: bytes) -> DataFrame:
-    """(name, kind, entity, attempt) with alias: the canonical form of the surrogate."""
+    """names (name, kind, sealed, attempt) with alias: the keyed hash of the surrogate's canonical form."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [canonical(k, surrogate(key, k, e, a)) for k, e, a in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*batch.schema.names, "alias"])
-
-    return names.select("name", "kind", "entity", "attempt").mapInArrow(run, "name string, kind string, entity string, attempt int, alias string")
+            made = []
+            for name, kind, shut, attempt in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                text = sealed(key, name, shut).decode()
+                if kind.startswith("given"):
+                    # apart from others in the same family; families are apart themselves
+                    given, family = text.split(" ")
+                    form = f"given:{given.lower()} {family.lower()}"
+                    made.append(named(key, f"alias:{drawn_part(key, kind, text, form, attempt).lower()} {family.lower()}"))
+                else:
+                    form = f"family:{text.lower()}" if kind == "family" else parts(kind, text)[0][2]
+                    other = drawn_part(key, kind, text, form, attempt)
+                    made.append(named(key, f"family:{other.lower()}" if kind == "family" else parts(kind, other)[0][2]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, "alias"])
+
+    return names.select("name", "kind", "sealed", "attempt").mapInArrow(run, "name binary, kind string, sealed binary, attempt int, alias binary")
 
 
 def redraws(found: DataFrame, key: bytes, scratch: Scratch) -> DataFrame:
-    """(name, attempt) of the entities that don't keep their first draw. Only colliding ones are drawn again in a round, against
-    the aliases that the others hold."""
-    names = scratch.save(found.groupBy("name").agg(F.min(F.struct("kind", "entity")).alias("x")).select("name", "x.kind", "x.entity"), "names")
-    # the gender of a person is the smallest of its mentions' kinds, f before m before n
-    settled, todo, out = None, names.withColumn("attempt", F.lit(0)), None
+    """(name, attempt, kind) of the parts that don't keep their first draw or whose mentions differ in gender. Only colliding ones
+    are drawn again in a round, against the aliases that the others hold."""
+    rows = found.select(F.explode("parts").alias("x")).select("x.*")
+    # the gender that most documents give, and of equally many f before m; n only if no mention tells
+    sexes = [F.sum((F.substring_index("kind", "-", -1) == x).cast("long")).alias(x) for x in "mf"]
+    sums = rows.groupBy("name").agg(F.min("kind").alias("least"), F.max("kind").alias("most"), F.min("sealed").alias("sealed"), *sexes)
+    kind = F.when(~F.col("least").startswith("given"), F.col("least")).when(F.col("f") + F.col("m") == 0, "given-n").when(F.col("f") >= F.col("m"), "given-f").otherwise("given-m")
+    names = scratch.save(sums.select("name", kind.alias("kind"), "sealed", (F.col("least") != F.col("most")).alias("mixed")), "names")
+    settled, todo, out, used = names.select(F.col("name").alias("alias")), names.withColumn("attempt", F.lit(0)), None, [names]
     while True:
         now = scratch.save(drawn(todo, key), "drawn")
-        rank = now.groupBy("alias").agg(F.min("name").alias("first"))
-        taken = names.select(F.col("name").alias("alias")) if settled is None else names.select(F.col("name").alias("alias")).unionAll(settled.select("alias"))
-        free = rank.join(taken, "alias", "left_anti")
-        kept = scratch.save(now.join(free.select("alias", F.col("first").alias("name")), ["alias", "name"], "left_semi").select("name", "attempt", "alias"), "kept")
-        again = scratch.save(now.join(kept, "name", "left_anti").withColumn("attempt", F.col("attempt") + 1).select("name", "kind", "entity", "attempt"), "again")
-        settled = kept.select("alias") if settled is None else settled.unionAll(kept.select("alias"))
-        if kept.where("attempt > 0").limit(1).count():
-            moved = kept.where("attempt > 0").select("name", "attempt")
-            out = moved if out is None else out.unionAll(moved)
+        kept_alias = now.groupBy("alias").agg(F.min("name").alias("name")).join(settled, "alias", "left_anti")
+        kept = scratch.save(now.join(kept_alias, ["alias", "name"], "left_semi").select("name", "kind", "attempt", "alias"), "kept")
+        again = scratch.save(now.join(kept.select("name"), "name", "left_anti").select("name", "kind", "sealed", (F.col("attempt") + 1).alias("attempt")), "again")
+        moved = kept.where("attempt > 0") if out is not None else kept.join(names.where("mixed").select("name"), "name", "left_semi")
+        out = moved.select("name", "attempt", "kind") if out is None else out.unionAll(moved.select("name", "attempt", "kind"))
+        settled, used = settled.unionAll(kept.select("alias")), [*used, now, again]
         if not again.limit(1).count():
-            return out if out is not None else names.select("name", F.lit(0).alias("attempt")).limit(0)
+            break
         todo = again
+    out = scratch.save(out, "redraws")
+    scratch.drop(*used)
+    return out
 
 
 def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
@@ -209,31 +279,36 @@ def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
     Repeated rows are replaced alike. Columns of docs called n_entities or kinds give way. No rows: no rows.
     """
     scratch = Scratch(docs.sparkSession)
-    found = scratch.save(mentions(docs), "mentions")
-    moved = scratch.save(redraws(found.select("name", "kind", "entity"), key, scratch), "redraws")
-    by_doc = scratch.save(found.join(moved, "name").groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("name", "attempt"))).alias("again")), "by-document")
+    found = scratch.save(find(docs, key), "found")
+    moved = redraws(found, key, scratch)
+    places = scratch.save(found.groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans"), F.first(F.col("parts.name")).alias("names")), "places")
+    scratch.drop(found)
+    by_doc = places.select("doc_id", "text_hash", F.explode(F.array_distinct("names")).alias("name")).join(moved, "name").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("name", "attempt", "kind")).alias("again"))
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash"))
+    places = places.alias("a").join(scratch.save(by_doc, "by-document").alias("b"), same, "left").select("a.doc_id", "a.text_hash", "a.spans", "b.again")
     rest = docs.drop("n_entities", "kinds")
-    id_, again, held = free("again_id", rest), free("again", rest), free("made", rest)
-    by_doc = by_doc.withColumnsRenamed({"doc_id": id_, "again": again})
-    # few documents hold an entity that drew again: Spark broadcasts that table while it is below its threshold, and joins it beyond
-    joined = rest.join(by_doc, rest["doc_id"].cast("long").eqNullSafe(by_doc[id_]), "left").drop(id_)
-
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, agains in batches:
-            out = [rewritten(t, dict(a or {}), key) for t, a in zip(texts, agains, strict=True)]
+    id_, hash_, spans, again, held = (free(x, rest) for x in ("found_id", "found_hash", "spans", "again", "made"))
+    places = places.withColumnsRenamed({"doc_id": id_, "text_hash": hash_, "spans": spans, "again": again})
+    joined = rest.join(places, rest["doc_id"].cast("long").eqNullSafe(places[id_]) & (F.xxhash64(rest["text"]) == places[hash_]), "left").drop(id_, hash_)
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, places, agains in batches:
+            out = [rewritten(t, p, {bytes(x["name"]): (x["attempt"], x["kind"]) for x in ([] if a is None else a)}, key) for t, p, a in zip(texts, places, agains, strict=True)]
             yield pd.DataFrame(out, columns=["text", "n_entities", "kinds"])
 
-    made = F.pandas_udf(run, "text string, n_entities int, kinds array<string>")(F.when(F.col("text").rlike(HINT), F.col("text")), F.col(again))
+    # Spark doesn't keep rows from a function by a condition around it
+    made = F.pandas_udf(run, "text string, n_entities int, kinds array<string>")(F.when(F.col(spans).isNotNull(), F.col("text")), F.col(spans), F.col(again))
     with_made = joined.withColumn(held, made)
-    return with_made.withColumn("text", F.coalesce(F.col(held)["text"], "text")).withColumn("n_entities", F.coalesce(F.col(held)["n_entities"], F.lit(0))).withColumn("kinds", F.coalesce(F.col(held)["kinds"], F.array().cast("array<string>"))).drop(held, again)
+    return with_made.withColumn("text", F.coalesce(F.col(held)["text"], "text")).withColumn("n_entities", F.coalesce(F.col(held)["n_entities"], F.lit(0))).withColumn("kinds", F.coalesce(F.col(held)["kinds"], F.array().cast("array<string>"))).drop(held, again, spans)
 
 
-def rewritten(text: str | None, again: dict[str, int], key: bytes) -> tuple[str | None, int, list[str]]:
+def rewritten(text: str | None, places: list[dict] | None, again: dict[bytes, tuple[int, str]], key: bytes) -> tuple[str | None, int, list[str]]:
     if text is None:
         return None, 0, []
-    parts, at, kinds = [], 0, []
-    for start, end, kind, entity in entities(text):
-        parts += [text[at:start], surrogate(key, kind, entity, again.get(canonical(kind, entity), 0))]
-        kinds.append(kind.split("-")[0])
+    out, at, kinds = [], 0, set()
+    for x in places:
+        start, end, kind = x["start"], x["end"], x["kind"]
+        out += [text[at:start], surrogate(key, kind, text[start:end], again)]
+        kinds.add(kind.split("-")[0])
         at = end
-    return "".join([*parts, text[at:]]), len(kinds), sorted(set(kinds))
+    return "".join([*out, text[at:]]), len(places), sorted(kinds)
