@@ -148,7 +148,7 @@ def test_lm_learns_from_all_training_documents(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(recurrent_lm, "averaged", lambda rows, m, trainers, *rest: seen.append((rows.select("doc_id").distinct().count(), trainers)) or m.w)
     monkeypatch.setattr(recurrent_lm, "count_tokens", lambda rows: counts)
-    recurrent_lm.log_likelihoods(docs, F.lit(True), own=3, hidden=2, classes=1)
+    recurrent_lm.log_likelihoods(docs, F.lit(True), own=3, hidden=2, classes=1, trainer_tokens=300_000, rates=(0.25, 0.15, 0.08))
     assert seen == [(300, 200)] * 3
 
 

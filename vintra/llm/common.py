@@ -34,13 +34,20 @@ def free(name: str, df: DataFrame) -> str:
     return name
 
 
+#: The folders of local sessions without spark.checkpoint.dir, by application: the setting can't be changed in a running one.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. Only a local session may go without; it gets a temporary one."""
-    if not (path := spark.conf.get("spark.checkpoint.dir", None)):
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.conf.set("spark.checkpoint.dir", path := "file://" + tempfile.mkdtemp(prefix="vintra-"))
-    return path.rstrip("/")
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="vintra-")
+    return _LOCAL[app]
 
 
 class Scratch:

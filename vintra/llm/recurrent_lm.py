@@ -6,7 +6,7 @@ words of a class; inside the class of other words a word has its add-one share o
 one too, has a probability, and before training the model equals the add-one unigram model.
 
 Training is truncated backpropagation in numpy. Trainers, each with a share of all training documents, start from the
-same weights, go over their documents once, and their weights are averaged in Spark; this is done for some rounds. Scoring
+same weights, go over their documents once, and their weights are averaged in Spark; this can be done for some rounds. Scoring
 runs many documents side by side, window by window, and carries each one's state to its end.
 """
 
@@ -103,43 +103,52 @@ def step(w: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.nda
 
 
 def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    """In place."""
+    x -= x.max(axis=1, keepdims=True)
+    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+    return x
 
 
 def output(m: Model, h: np.ndarray, y: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log-probabilities of tokens y (the size for the class of others) after states h; with grads, adds to them and
     returns the gradient by h."""
     w, last = m.w, len(m.starts) - 1
-    of = np.searchsorted(m.starts, y, side="right") - 1
-    of[y >= m.size] = last
-    p = log_softmax(h @ w["class"].T + w["class_bias"])
+    # sorted by word, so that each class is one slice
+    order = np.argsort(y, kind="stable")
+    y, h = y[order], h[order]
+    ends = np.append(np.searchsorted(y, m.starts), len(y))
+    of = np.repeat(np.arange(last + 1), np.diff(ends))
+    p = h @ w["class"].T
+    p += w["class_bias"]
+    log_softmax(p)
     rows = np.arange(len(y))
     out = p[rows, of]
     dh = None
     if grads is not None:
-        d = np.exp(p)
+        d = np.exp(p, out=p)
         d[rows, of] -= 1
         dh = d @ w["class"]
         grads["class"] += d.T @ h
         grads["class_bias"] += d.sum(axis=0)
-    order = np.argsort(of, kind="stable")
-    ends = np.searchsorted(of[order], np.arange(last + 1))
     for c in range(last):
-        i = order[ends[c] : ends[c + 1]]
-        if not len(i):
+        i = slice(ends[c], ends[c + 1])
+        if i.start == i.stop:
             continue
         a, b = m.starts[c], m.starts[c + 1]
-        q = log_softmax(h[i] @ w["word"][a:b].T + w["word_bias"][a:b])
-        at = np.arange(len(i))
-        out[i] += q[at, y[i] - a]
+        q = h[i] @ w["word"][a:b].T
+        q += w["word_bias"][a:b]
+        log_softmax(q)
+        at = rows[: i.stop - i.start], y[i] - a
+        out[i] += q[at]
         if grads is not None:
-            d = np.exp(q)
-            d[at, y[i] - a] -= 1
+            d = np.exp(q, out=q)
+            d[at] -= 1
             dh[i] += d @ w["word"][a:b]
             grads["word"][a:b] += d.T @ h[i]
             grads["word_bias"][a:b] += d.sum(axis=0)
-    return out, dh
+    back = np.empty_like(order)
+    back[order] = rows
+    return out[back], None if dh is None else dh[back]
 
 
 def encode(m: Model, words: list[bytes]) -> np.ndarray:
@@ -147,16 +156,21 @@ def encode(m: Model, words: list[bytes]) -> np.ndarray:
     return np.fromiter((get(w, other)[0] for w in words), np.int32, len(words))
 
 
-def train(m: Model, docs: list[np.ndarray], rate: float, streams: int = 64, window: int = 16) -> dict[str, np.ndarray]:
-    """The weights after one pass over documents (word numbers without the end), by Adagrad over windows; streams of
-    documents run side by side, states carry over from window to window and start anew at each document."""
+def train(m: Model, docs: list[np.ndarray], rate: float, streams: int = 96, window: int = 16, updates: int = 500) -> dict[str, np.ndarray]:
+    """The weights after a pass over documents (word numbers without the end), by Adagrad over windows; streams of
+    documents run side by side, states carry over from window to window and start anew at each document. The rate falls
+    to a fifth in the end. updates: where there would be fewer of them, fewer streams run, and one goes over the documents
+    again until there are so many."""
     end = m.known[END][0]
     flow = np.concatenate([np.concatenate([d, [end]]) for d in docs]) if docs else np.zeros(0, np.int32)
     if len(flow) < 2:
         return m.w
-    streams = max(1, min(streams, len(flow) // (2 * window)))
-    width = len(flow) // streams
-    y = flow[: width * streams].reshape(streams, width).T
+    streams = max(1, min(streams, len(flow) // (updates * window)))
+    if streams == 1:
+        flow = np.tile(flow, -(-updates * window // len(flow)))
+    # what the streams don't share equally is learnt as an end
+    width = -(-len(flow) // streams)
+    y = np.concatenate([flow, np.full(width * streams - len(flow), end, flow.dtype)]).reshape(streams, width).T
     x = np.vstack([np.full((1, streams), end), y[:-1]])
     w = {k: v.copy() for k, v in m.w.items()}
     m = Model(m.known, m.starts, m.other_mass, m.total, w)
@@ -166,32 +180,41 @@ def train(m: Model, docs: list[np.ndarray], rate: float, streams: int = 64, wind
     for t0 in range(0, width, window):
         xs, ys = x[t0 : t0 + window], y[t0 : t0 + window]
         grads = {name: np.zeros_like(v) for name, v in w.items()}
-        kept, states = [], []
-        for ids in xs:
-            keep = (ids != end).astype(np.float32)[:, None]
-            before = h * keep
-            h, z, r, n, gn = step(w, w["input"][ids] + w["bias"], before)
-            kept.append((keep, before, z, r, n, gn))
-            states.append(h)
-        _, dh = output(m, np.concatenate(states), ys.ravel(), grads)
+        inputs, kept, states = w["input"][xs] + w["bias"], [], np.empty((*xs.shape, k), np.float32)
+        keeps = (xs != end).astype(np.float32)[:, :, None]
+        for t in range(len(xs)):
+            before = h * keeps[t]
+            h, z, r, n, gn = step(w, inputs[t], before)
+            kept.append((before, z, r, n, gn))
+            states[t] = h
+        _, dh = output(m, states.reshape(-1, k), ys.ravel(), grads)
         dh = dh.reshape(len(xs), streams, k)
-        back = np.zeros_like(h)
+        back, das = np.zeros_like(h), np.empty_like(inputs)
         for t in range(len(xs) - 1, -1, -1):
-            keep, before, z, r, n, gn = kept[t]
+            before, z, r, n, gn = kept[t]
             d = dh[t] + back
-            dz, dn = d * (before - n) * z * (1 - z), d * (1 - z) * (1 - n * n)
-            dr = dn * gn * r * (1 - r)
-            da, dg = np.concatenate([dz, dr, dn], axis=1), np.concatenate([dz, dr, dn * r], axis=1)
+            dn = d * (1 - z) * (1 - n * n)
+            das[t, :, :k] = d * (before - n) * z * (1 - z)
+            das[t, :, k : 2 * k] = dn * gn * r * (1 - r)
+            das[t, :, 2 * k :] = dn
+            dg = das[t].copy()
+            dg[:, 2 * k :] *= r
             grads["state"] += before.T @ dg
-            grads["bias"] += da.sum(axis=0)
-            np.add.at(grads["input"], xs[t], da)
-            back = (d * z + dg @ w["state"].T) * keep
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) / ys.size
-        scale = (1.0 / ys.size) * min(1.0, 1.0 / max(norm, 1e-9))
+            back = (d * z + dg @ w["state"].T) * keeps[t]
+        das = das.reshape(-1, 3 * k)
+        grads["bias"] += das.sum(axis=0)
+        order = np.argsort(xs, axis=None, kind="stable")
+        words, first = np.unique(xs.ravel()[order], return_index=True)
+        grads["input"][words] = np.add.reduceat(das[order], first, axis=0)
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) / ys.size
+        scale = np.float32((1.0 / ys.size) * min(1.0, 1.0 / max(norm, 1e-9)))
+        now = np.float32(rate * (1 - 0.8 * t0 / width))
         for name, g in grads.items():
             g *= scale
             seen[name] += g * g
-            w[name] -= rate * g / np.sqrt(seen[name])
+            g /= np.sqrt(seen[name])
+            g *= now
+            w[name] -= g
     return w
 
 
@@ -259,11 +282,12 @@ def averaged(docs: DataFrame, m: Model, trainers: int, rate: float, pieces: int
     return out
 
 
-def learn(docs: DataFrame, counts: DataFrame, own: int = 2048, hidden: int = 24, classes: int = 45, frequent: int = 200_000, trainer_tokens: int = 300_000, rates: tuple[float, ...] = (0.25, 0.15, 0.08)) -> Model:
+def learn(docs: DataFrame, counts: DataFrame, own: int = 1024, hidden: int = 16, classes: int = 32, frequent: int = 200_000, trainer_tokens: int = 800_000, rates: tuple[float, ...] = (0.3,)) -> Model:
     """A model from training docs (doc_id, text) and their token counts, which cover all of them.
 
     own: words of the model's own. frequent: words whose counts tasks hold. trainer_tokens: of a trainer; their number
-    grows with the documents, all of which are learnt from in each round.
+    grows with the documents, all of which are learnt from in each round. rates: of the rounds, one by default, as a round
+    over all documents costs about as much as scoring them.
     """
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = [(bytes(r["token"]), r["n"]) for r in counts.orderBy(F.desc("n"), "token").limit(frequent).collect()]
