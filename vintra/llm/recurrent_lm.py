@@ -156,7 +156,7 @@ def encode(m: Model, words: list[bytes]) -> np.ndarray:
     return np.fromiter((get(w, other)[0] for w in words), np.int32, len(words))
 
 
-def train(m: Model, docs: list[np.ndarray], rate: float, streams: int = 96, window: int = 16, updates: int = 500) -> dict[str, np.ndarray]:
+def train(m: Model, docs: list[np.ndarray], rate: float, streams: int = 192, window: int = 16, updates: int = 250) -> dict[str, np.ndarray]:
     """The weights after a pass over documents (word numbers without the end), by Adagrad over windows; streams of
     documents run side by side, states carry over from window to window and start anew at each document. The rate falls
     to a fifth in the end. updates: where there would be fewer of them, fewer streams run, and one goes over the documents
@@ -282,7 +282,7 @@ def averaged(docs: DataFrame, m: Model, trainers: int, rate: float, pieces: int
     return out
 
 
-def learn(docs: DataFrame, counts: DataFrame, own: int = 1024, hidden: int = 16, classes: int = 32, frequent: int = 200_000, trainer_tokens: int = 800_000, rates: tuple[float, ...] = (0.3,)) -> Model:
+def learn(docs: DataFrame, counts: DataFrame, own: int = 512, hidden: int = 16, classes: int = 22, frequent: int = 200_000, trainer_tokens: int = 800_000, rates: tuple[float, ...] = (0.3,)) -> Model:
     """A model from training docs (doc_id, text) and their token counts, which cover all of them.
 
     own: words of the model's own. frequent: words whose counts tasks hold. trainer_tokens: of a trainer; their number
