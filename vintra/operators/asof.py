@@ -43,13 +43,16 @@ def intervals(obs: DataFrame) -> DataFrame:
 
 
 def known_at(obs: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """known() at every day of cutoffs (cutoff): a range join on validity intervals, with one row a period and cutoff.
+    """known() at every day of cutoffs (cutoff), with one row a period and cutoff.
 
-    Vintages that no cutoff falls on go before the join; the cutoff table is a calendar and is broadcast by its size.
+    Each validity interval lists the months it spans, within those of the cutoffs, and meets the cutoffs of these months.
     """
-    valid = intervals(obs)
+    days = cutoffs.select("cutoff", month_index(F.col("cutoff")).alias("_month")).where("cutoff is not null").distinct()
+    valid = intervals(obs).crossJoin(days.agg(F.min("_month").alias("_first"), F.max("_month").alias("_last")))
+    since, to = F.greatest(month_index(F.col("as_of")), F.col("_first")), F.least(F.coalesce(month_index(F.col("until_day")), F.col("_last")), F.col("_last"))
+    spans = valid.withColumn("_month", F.explode(F.when(since <= to, F.sequence(since, to)).otherwise(F.array().cast("array<int>"))))
     inside = (F.col("as_of") <= F.col("cutoff")) & (F.col("until_day").isNull() | (F.col("cutoff") < F.col("until_day")))
-    return valid.join(cutoffs.select("cutoff").distinct(), inside).drop("until_day")
+    return spans.join(days, "_month").where(inside).drop("until_day", "_month", "_first", "_last")
 
 
 def known_monthly(obs: DataFrame, first: str, last: str) -> DataFrame:
@@ -86,8 +89,8 @@ def release_lags(obs: DataFrame) -> DataFrame:
     """(series_id, lag): days after a period's start within which nine of ten periods appear; only periods newer than those of
     the series' first vintage count, and a series without any has a null lag."""
     first = obs.groupBy("series_id").agg(F.min("as_of").alias("start"))
-    newest = obs.join(F.broadcast(first), "series_id").where("as_of = start").groupBy("series_id").agg(F.max("observed_at").alias("newest"))
-    waits = first_releases(obs).join(F.broadcast(newest), "series_id").where("observed_at > newest").withColumn("days", F.datediff("first_as_of", "observed_at"))
+    newest = obs.join(first, "series_id").where("as_of = start").groupBy("series_id").agg(F.max("observed_at").alias("newest"))
+    waits = first_releases(obs).join(newest, "series_id").where("observed_at > newest").withColumn("days", F.datediff("first_as_of", "observed_at"))
     lags = waits.groupBy("series_id").agg(F.ceil(F.percentile("days", F.lit(0.9))).cast("int").alias("lag"))
     return first.select("series_id").join(lags, "series_id", "left")
 
@@ -96,7 +99,7 @@ def backfill_first(obs: DataFrame, lags: DataFrame) -> DataFrame:
     """The first vintage of a series re-dated to period + lag where that is earlier: it held history that had been known."""
     start = F.min("as_of").over(Window.partitionBy("series_id"))
     assumed = F.date_add("observed_at", F.col("lag"))
-    dated = obs.withColumn("start", start).join(F.broadcast(lags), "series_id", "left")
+    dated = obs.withColumn("start", start).join(lags, "series_id", "left")
     return dated.withColumn("as_of", F.when((F.col("as_of") == F.col("start")) & (assumed < F.col("start")), assumed).otherwise(F.col("as_of"))).drop("start", "lag")
 
 
@@ -129,7 +132,7 @@ def actuals(obs: DataFrame, yoy: bool = False, resolve_with: str = "first_releas
         now = known(obs, F.lit("9999-12-31").cast("date"))
         now = year_on_year(now, ["series_id"]) if yoy else now
         dates = first_releases(obs).select(*KEY)
-        return now.join(dates, list(KEY), "left_semi").join(F.broadcast(latest_vintage(obs)), "series_id").where("value is not null").select(*KEY, F.col("value").alias("actual"), F.col("latest_as_of").alias("actual_as_of"))
+        return now.join(dates, list(KEY), "left_semi").join(latest_vintage(obs), "series_id").where("value is not null").select(*KEY, F.col("value").alias("actual"), F.col("latest_as_of").alias("actual_as_of"))
     first = first_releases(obs)
     if not yoy:
         return first.select(*KEY, F.col("first_value").alias("actual"), F.col("first_as_of").alias("actual_as_of"))

@@ -33,7 +33,7 @@ def relative_rmse(df: DataFrame, by: list[str]) -> DataFrame:
 def against_baseline(table: DataFrame, by: list[str], model: str, baseline: str, value: str = "rmse") -> DataFrame:
     """table with the ratio of a score to the baseline model's in the same group."""
     base = table.where(F.col(model) == baseline).select(*by, F.col(value).alias("_base"))
-    return table.join(F.broadcast(base), by, "left").withColumn(f"{value}_ratio", F.try_divide(value, "_base")).drop("_base")
+    return table.join(base, by, "left").withColumn(f"{value}_ratio", F.try_divide(value, "_base")).drop("_base")
 
 
 def binary_summary(df: DataFrame, by: list[str]) -> DataFrame:

@@ -58,7 +58,7 @@ def transition_rates(events: DataFrame, by: list[str], order: str, state: str, s
 def token_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """calls with cost: tokens at each model's price for a million, null for a model without one."""
     cost = (F.col("input_tokens") * F.col("input_price") + F.col("output_tokens") * F.col("output_price")) / 1e6
-    return calls.join(F.broadcast(prices), "model", "left").withColumn("cost", cost)
+    return calls.join(prices, "model", "left").withColumn("cost", cost)
 
 
 def spent_before(calls: DataFrame, by: list[str], order: list[str]) -> DataFrame:

@@ -284,7 +284,7 @@ def p11_p12_feature_matrix(spark: SparkSession, d: str) -> DataFrame:
 def p6_statistical_models(spark: SparkSession, d: str) -> DataFrame:
     from vintra.plans import models
 
-    h = backtest.histories(obs(spark, d), "1998-01-01", "1999-12-01").where("forecast_date in (date '1998-07-01', date '1999-07-01')")
+    h = backtest.histories(obs(spark, d), FIRST, LAST)
     both = [models.statistical(h, 3, name, z_of(0.8)).withColumn("model", F.lit(name)) for name in ("ets", "arima")]
     return both[0].unionByName(both[1])
 
@@ -404,7 +404,7 @@ def h1_time_folds(spark: SparkSession, d: str) -> DataFrame:
     dates = r.select("forecast_date").distinct().withColumn("r", F.dense_rank().over(Window.orderBy("forecast_date")))
     most = dates.agg(F.max("r").alias("most"))
     folds = dates.crossJoin(most).select("forecast_date", F.when(F.col("r") > F.col("most") / 6.0, F.least(F.ceil(F.col("r") / (F.col("most") / 6.0)) - 1, F.lit(5))).alias("fold"))
-    return r.join(F.broadcast(folds), "forecast_date").select("series_id", "forecast_date", "fold")
+    return r.join(folds, "forecast_date").select("series_id", "forecast_date", "fold")
 
 
 @query(f"WITH {RESULTS}, starts AS (SELECT fold, DATE '1996-06-01' + to_months(12 * fold) AS starts FROM (VALUES (0), (1), (2)) f(fold)) SELECT fold, count(*) FILTER (WHERE forecast_date < starts)::BIGINT AS before, count(*) FILTER (WHERE forecast_date < starts AND actual_as_of < starts)::BIGINT AS kept FROM results CROSS JOIN starts WHERE actual IS NOT NULL GROUP BY fold")
