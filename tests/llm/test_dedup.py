@@ -162,6 +162,12 @@ def test_exact_query_and_index(spark, small):
     assert got == {3: (3, True), 2: (3, False), 9: (8, False), 8: (8, True)}  # most code points first
     again = exact_dedup.DigestIndex(spark, path, 4)
     again.compact()
+    with pytest.raises(ValueError, match="4 buckets"):
+        exact_dedup.DigestIndex(spark, path, 8)
+    odd = spark.createDataFrame([(5, "same", "x"), (5, "same", "y"), (None, "same", "z")], "doc_id long, text string, keep_id string")
+    assert again.add(odd.limit(0)).count() == 0
+    got = exact_dedup.DigestIndex(spark, f"{path}-odd", 2).add(odd).collect()
+    assert {(r["keep_id"], r["group_size"]) for r in got} == {(5, 3)} and sum(r["kept"] for r in got) == 1
     got = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in again.add(spark.createDataFrame([(1, "a  b"), (7, "new")], "doc_id long, text string")).collect()}
     assert got == {1: (3, False), 7: (7, True)}
     assert again.entries().count() == 3

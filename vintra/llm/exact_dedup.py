@@ -25,7 +25,12 @@ class DigestIndex:
     """A persistent set of SHA-256 digests with the document that each came from."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        """Opens the index at path, or makes an empty one. buckets is fixed when the index is made; pass the same later."""
+        """Opens the index at path, or makes an empty one. buckets is fixed when the index is made, and kept beside it; an index
+        that has another number is refused."""
+        made = f"{path.rstrip('/')}-buckets"
+        spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("ignore").parquet(made)
+        if (has := spark.read.parquet(made).first()["buckets"]) != buckets:
+            raise ValueError(f"the index at {path} has {has} buckets, not {buckets}")
         self.spark, self.path, self.buckets = spark, path, buckets
         self.table = "digests_" + hashlib.md5(path.encode()).hexdigest()[:16]
         spark.sql(
