@@ -309,7 +309,7 @@ def p8_p9_probability_models(spark: SparkSession, d: str) -> DataFrame:
     from vintra.plans import models
 
     rows = _training(spark, d).withColumn("up", (F.col("change") > 0).cast("int")).withColumn("move", F.when(F.col("change") > 5e4, "hike").when(F.col("change") < -5e4, "cut").otherwise("hold"))
-    train, ask = rows.where("forecast_date < date '1999-06-01'"), rows.where("forecast_date >= date '2000-01-01'").select("series_id", "forecast_date", "level", "lag1", "growth1", "chg1")
+    train, ask = rows.where("forecast_date < date '1999-06-01' and change is not null"), rows.where("forecast_date >= date '2000-01-01'").select("series_id", "forecast_date", "level", "lag1", "growth1", "chg1")
     names = ["level", "lag1", "growth1", "chg1"]
     up = models.threshold_probability(train, ask, names, "up", trees=8).select("series_id", "forecast_date", "p")
     return up.join(models.category_probabilities(train, ask, names, "move", ["cut", "hold", "hike"], trees=10).select("series_id", "forecast_date", "probabilities"), ["series_id", "forecast_date"])
