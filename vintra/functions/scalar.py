@@ -1,6 +1,7 @@
 """Scalar expressions: rounding, scaling by kind, interval and probability scores, text cleaning."""
 
 import math
+import re
 from statistics import NormalDist
 
 from pyspark.sql import Column
@@ -13,6 +14,31 @@ def quantised(x: Column, digits: int = 6) -> Column:
     return F.floor(x * unit + 0.5).cast("double") / unit
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x to at most seven digits by its exact binary value, ties to even: 2.675 lies below the tie and gives 2.67. The product
+    with the power of ten is split into its double and the rest that the double leaves out (Dekker)."""
+    k = F.lit(10.0**digits)
+    p, c = x * k, x * F.lit(134217729.0)
+    high = c - (c - x)
+    rest = (high * k - p) + (x - high) * k
+    low = F.floor(p).cast("double")
+    over = p - low - 0.5
+    odd = F.pmod(low, F.lit(2.0)) == 1
+    up = (over > 0) | ((over == 0) & ((rest > 0) | ((rest == 0) & odd)))
+    return (low + up.cast("double")) / k
+
+
+def json_numbers(values: Column) -> Column:
+    """A map of numbers as JSON text; what isn't a number becomes null."""
+    return F.to_json(F.transform_values(values, lambda _, v: F.when(~F.isnan(v), v)))
+
+
+def drifting(name: str, series: list[str]) -> bool:
+    """Whether a feature follows time rather than the moment: levels, logs and lags of the series, log ratios, the month count."""
+    own = "|".join(re.escape(s) for s in series)
+    return name == "trend_months" or name.startswith("log_ratio_") or bool(re.fullmatch(rf"({own})(_log|_lag\d+)?", name))
+
+
 def clip(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(x, F.lit(high)))
 

@@ -74,6 +74,11 @@ def linear_trend(history: DataFrame, horizons: list[int], coverage: float = 0.8,
     return out.withColumn("model", F.lit("linear_trend")).withColumn("prediction", point).withColumn("lower", point - half).withColumn("upper", point + half)
 
 
+def training_window(history: DataFrame, months: int | None) -> DataFrame:
+    """The history of the last so many months before each date's cutoff; all of it (an expanding window) if None."""
+    return history if months is None else history.where(month_index(F.col("observed_at")) > month_index(cutoff_of(F.col("forecast_date"))) - months)
+
+
 MODELS = {"random_walk": random_walk, "historical_mean": historical_mean, "linear_trend": linear_trend}
 
 
@@ -87,9 +92,7 @@ def resolved(forecasts: DataFrame, obs: DataFrame, yoy: bool = False, resolve_wi
 def walk_forward(obs: DataFrame, first: str, last: str, horizons: list[int], models: list[str], yoy: bool = False, coverage: float = 0.8, resolve_with: str = "first_release", window_months: int | None = None, model_cutoff: str | None = None) -> DataFrame:
     """The backtest of models over monthly forecast dates. window_months: a rolling history. model_cutoff: no earlier date is asked,
     as the model may know what came before."""
-    history = histories(obs, max(first, model_cutoff or first), last, yoy)
-    if window_months is not None:
-        history = history.where(month_index(F.col("observed_at")) > month_index(cutoff_of(F.col("forecast_date"))) - window_months)
+    history = training_window(histories(obs, max(first, model_cutoff or first), last, yoy), window_months)
     out = None
     for name in models:
         made = MODELS[name](history, horizons, coverage).select(*AT, "max_as_of_seen", "target_period", "horizon_months", "model", "prediction", "lower", "upper")
