@@ -14,7 +14,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -55,14 +56,22 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """head: words of the model's own; count: their counts and those of other frequent words; w: weights by name."""
+    """index: rows of the frequent words in place (the model's own number, or its size for the class of others) and count; the
+    last row stands for all words that index lacks. w: weights by name."""
 
-    known: dict[bytes, tuple[int, int]]
+    index: dict[bytes, int]
+    place: np.ndarray
+    count: np.ndarray
     starts: np.ndarray
     other_mass: float
     total: float
     w: dict[str, np.ndarray]
 
+    @property
+    def known(self) -> dict[bytes, tuple[int, int]]:
+        """Number and count of each frequent word."""
+        return {t: (int(self.place[k]), int(self.count[k])) for t, k in self.index.items()}
+
     @property
     def size(self) -> int:
         return len(self.w["word_bias"])
@@ -73,7 +82,9 @@ def new_model(top: list[tuple[bytes, int]], tokens: int, distinct: int, own: int
     head = [x for x in top if x[0] != END][: own - 1]
     head = sorted([*head, next((x for x in top if x[0] == END), (END, 0))], key=lambda x: (-x[1], x[0]))
     place = {t: k for k, (t, _) in enumerate(head)}
-    known = {t: (place.get(t, len(head)), n) for t, n in [*top, *(x for x in head if x[0] == END)]}
+    known = dict([*top, *(x for x in head if x[0] == END)])
+    places = np.array([*(place.get(t, len(head)) for t in known), len(head)], np.int32)
+    counts = np.array([*known.values(), 0], float)
     mass = np.array([n + 1.0 for _, n in head])
     starts = np.unique(np.linspace(0, len(head), min(classes, len(head)) + 1).astype(int))
     # an end that the corpus doesn't have takes the mass of an unseen token
@@ -85,7 +96,7 @@ def new_model(top: list[tuple[bytes, int]], tokens: int, distinct: int, own: int
     word_bias = np.log(mass) - np.log(np.repeat(class_mass[:-1], np.diff(starts)))
     w = {"input": small(len(head) + 1, 3 * hidden), "state": small(hidden, 3 * hidden), "bias": np.zeros(3 * hidden, np.float32), "class": np.zeros((len(starts), hidden), np.float32), "class_bias": np.log(class_mass / class_mass.sum()).astype(np.float32), "word": np.zeros((len(head), hidden), np.float32), "word_bias": word_bias.astype(np.float32)}
     w["bias"][:hidden] = 1.0
-    return Model(known, starts, other, total, w)
+    return Model({t: k for k, t in enumerate(known)}, places, counts, starts, other, total, w)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -151,9 +162,9 @@ def output(m: Model, h: np.ndarray, y: np.ndarray, grads: dict[str, np.ndarray]
     return out[back], None if dh is None else dh[back]
 
 
-def encode(m: Model, words: list[bytes]) -> np.ndarray:
-    get, other = m.known.get, (m.size, 0)
-    return np.fromiter((get(w, other)[0] for w in words), np.int32, len(words))
+def rows_of(m: Model, words: list[bytes]) -> np.ndarray:
+    """Rows of words in place and count."""
+    return np.fromiter(map(m.index.get, words, repeat(len(m.index))), np.int64, len(words))
 
 
 def train(m: Model, docs: list[np.ndarray], rate: float, streams: int = 192, window: int = 16, updates: int = 250) -> dict[str, np.ndarray]:
@@ -161,7 +172,7 @@ def train(m: Model, docs: list[np.ndarray], rate: float, streams: int = 192, win
     documents run side by side, states carry over from window to window and start anew at each document. The rate falls
     to a fifth in the end. updates: where there would be fewer of them, fewer streams run, and one goes over the documents
     again until there are so many."""
-    end = m.known[END][0]
+    end = m.place[m.index[END]]
     flow = np.concatenate([np.concatenate([d, [end]]) for d in docs]) if docs else np.zeros(0, np.int32)
     if len(flow) < 2:
         return m.w
@@ -173,7 +184,7 @@ def train(m: Model, docs: list[np.ndarray], rate: float, streams: int = 192, win
     y = np.concatenate([flow, np.full(width * streams - len(flow), end, flow.dtype)]).reshape(streams, width).T
     x = np.vstack([np.full((1, streams), end), y[:-1]])
     w = {k: v.copy() for k, v in m.w.items()}
-    m = Model(m.known, m.starts, m.other_mass, m.total, w)
+    m = replace(m, w=w)
     seen = {k: np.full_like(v, 1e-3) for k, v in w.items()}
     k = w["state"].shape[0]
     h = np.zeros((streams, k), np.float32)
@@ -221,7 +232,7 @@ def train(m: Model, docs: list[np.ndarray], rate: float, streams: int = 192, win
 def score_many(m: Model, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log-likelihood of each document (word numbers without the end), to its end; what the class of others holds
     inside is left to the caller."""
-    end, k = m.known[END][0], m.w["state"].shape[0]
+    end, k = m.place[m.index[END]], m.w["state"].shape[0]
     out = np.zeros(len(docs))
     order = np.argsort([-len(d) for d in docs], kind="stable")
     inputs = m.w["input"] + m.w["bias"]
@@ -262,7 +273,7 @@ def averaged(docs: DataFrame, m: Model, trainers: int, rate: float, pieces: int
         mine = held.value
         texts = sorted(t for t in pdf["text"] if t is not None)
         rng = np.random.default_rng(5)
-        got = train(mine, [encode(mine, words_of(texts[i].encode())) for i in rng.permutation(len(texts))], rate)
+        got = train(mine, [mine.place[rows_of(mine, words_of(texts[i].encode()))] for i in rng.permutation(len(texts))], rate)
         flat = np.concatenate([got[n].ravel() for n in names]).astype(np.float32)
         return pd.DataFrame({"piece": range(pieces), "block": int(pdf["trainer"].iloc[0]) // block, "n": 1, "part": [p.tobytes() for p in np.array_split(flat, pieces)]})
 
@@ -317,22 +328,22 @@ def log_likelihoods(docs: DataFrame, train_docs: Column, **options) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        get, size = model.known.get, model.size
+        far_row, logs = len(model.index), np.log10(model.count + 1)
+        end = model.index[END]
         for batch in batches:
             docs_, n, known, base, inside, others, far = [], [], [], [], [], [], []
             for text in batch.column(1).cast(pa.binary()):
                 words = words_of(text.as_py())
-                found = [get(w) for w in words]
-                docs_.append(np.array([size if f is None else f[0] for f in found], np.int32))
-                c = np.array([f[1] for f in found if f is not None] + [model.known[END][1]], float)
-                logs = np.log10(c + 1)
-                is_other = np.array([f[0] == size for f in found if f is not None] + [False], bool)
+                at = rows_of(model, words)
+                place, log = model.place[at], logs[at]
+                is_other = place == model.size
+                docs_.append(place)
                 n.append(len(words) + 1)
-                known.append(int((c > 0).sum()))
-                base.append(float(logs.sum()))
-                inside.append(float(logs[is_other].sum()))
-                far.append([w for w, f in zip(words, found, strict=True) if f is None])
-                others.append(int(is_other.sum()) + len(far[-1]))
+                known.append(int((model.count[at] > 0).sum()) + int(model.count[end] > 0))
+                base.append(float(log.sum() + logs[end]))
+                inside.append(float(log[is_other].sum()))
+                far.append([words[i] for i in np.flatnonzero(at == far_row)])
+                others.append(int(is_other.sum()))
             states = score_many(model, docs_) / LOG10
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(states + np.array(inside) - np.array(others) * np.log10(model.other_mass)), pa.array(far, pa.list_(pa.binary()))],
