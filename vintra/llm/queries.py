@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintra.llm import decontamination, exact_dedup, html_text, line_dedup, mixing, quality, recurrent_lm, simhash, surrogates, toxicity
-from vintra.llm.common import partitions, shared_dir
+from vintra.llm import conversations, decontamination, exact_dedup, html_text, line_dedup, merkle, mixing, packing, quality, recurrent_lm, simhash, surrogates, toxicity
+from vintra.llm.common import Scratch, lower_ascii, partitions, shared_dir
 
 
 #: Stands for the key that a deployment keeps secret.
@@ -73,6 +73,36 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.add(documents(spark, sf_dir))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    if not vocabulary:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    scratch = Scratch(spark)
+    pieces = packing.pack(documents(spark, sf_dir), vocabulary).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    out = packing.with_steps(scratch.save(pieces, "pieces"), scratch)
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", F.col("window").cast("long").alias("window"), "step")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    claim = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, merkle.digest_of(*columns[:4], lower_ascii(F.col("text"))))
+    out = merkle.verified(documents(spark, sf_dir), "lang", "doc_id", merkle.digest_of(*columns), claim)
+    text = lambda c: F.lower(F.hex(c))
+    return out.select(F.col("key").alias("doc_id"), *[text(c).alias(c) for c in ("leaf", "subroot", "root")], text("proof").alias("proof_sha256"), text("folded_root").alias("folded_root"), "verified")
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = conversations.damaged(given)
+    found = Scratch(spark).save(conversations.audits(turns), "audits")
+    digests = conversations.repaired_digests(turns, found)
+    both = found.join(digests.withColumnRenamed("conv_id", "id"), F.col("conv_id").eqNullSafe(F.col("id"))).drop("id").withColumnRenamed("conv_id", "id")
+    out = given.select("conv_id").distinct().join(both, F.col("conv_id").eqNullSafe(F.col("id")), "left")
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
@@ -109,5 +139,5 @@ FROM (SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(
 WINDOW w AS (PARTITION BY digest ORDER BY chars DESC, doc_id)
 """
 
-QUERIES = {"op1_surrogates": op1_surrogates, "op2_html_text": op2_html_text, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_decontamination": op5_decontamination, "op6_line_dedup": op6_line_dedup, "op7_mixing": op7_mixing, "op8_recurrent_lm": op8_recurrent_lm, "op9_simhash": op9_simhash, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_surrogates": op1_surrogates, "op2_html_text": op2_html_text, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_decontamination": op5_decontamination, "op6_line_dedup": op6_line_dedup, "op7_mixing": op7_mixing, "op8_recurrent_lm": op8_recurrent_lm, "op9_simhash": op9_simhash, "op10_exact_dedup": op10_exact_dedup, "op11_packing": op11_packing, "op12_merkle": op12_merkle, "op13_conversations": op13_conversations}
 ORACLE = {"op7_mixing": OP7_SQL, "op10_exact_dedup": OP10_SQL}
