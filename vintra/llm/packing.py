@@ -52,7 +52,7 @@ class Encoder:
         for w in words:
             v = w.rstrip(b".,;:!?")
             parts[w] = (v, w[len(v) :]) if v and len(v) < len(w) and v[-1] in _LETTERS else (w,)
-        new = list({p for x in parts.values() for p in x} - self.known.keys())
+        new = list({p for x in parts.values() for p in x if p not in self.known})
         for p, e in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
             self.known[p] = np.array(e.ids, "<u4").tobytes()
         for w, x in parts.items():
@@ -78,7 +78,7 @@ class Encoder:
             except KeyError:
                 if len(self.known) > self.keep:
                     self.known.clear()
-                self.learn(set(words) - self.known.keys())
+                self.learn({w for w in words if w not in self.known})
                 out.append(b"".join(map(self.known.__getitem__, words)))
         return b"".join(out)
 
