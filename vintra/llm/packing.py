@@ -36,28 +36,58 @@ class Encoder:
     """Texts (UTF-8) -> ids as little-endian unsigned 32-bit numbers, the same as encoding each text whole.
 
     The vocabulary drops white space and lower-cases before it merges, so a text's ids are those of its words in a row.
-    Words are encoded once and kept, up to `keep` of them; ASCII letters are lower-cased first where no combining mark
-    and no special token can make a difference. A run of points after an ASCII letter is a token of its own.
+    Words are encoded once and kept, two generations of `keep` of them; ASCII letters are lower-cased first where no combining mark
+    and no special token can make a difference. A run of points at the end of a word, after a letter, is a token of its own.
     """
 
-    def __init__(self, path: str, keep: int = 300_000, block: int = 1 << 20):
+    def __init__(self, path: str, keep: int = 250_000, block: int = 1 << 20):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.keep, self.block = Tokenizer.from_file(path), keep, block
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encoded(self, words: list[bytes]) -> list[bytes]:
+        """Words of letters are encoded in one go: each ends with the only token that ends a word."""
+        texts = [w.decode() for w in words]
+        if len(words) > 1 and all(t.isalpha() for t in texts):
+            ids = self.ids([" ".join(texts)])[0]
+            cuts = np.nonzero(self.ends[ids])[0] + 1
+            if len(cuts) == len(words) and cuts[-1] == len(ids):
+                flat, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                return [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+        return [x.tobytes() for x in self.ids(texts)]
 
     def learn(self, words: set[bytes]) -> None:
-        parts = {}
+        """Encodes words that aren't known, or were a generation ago."""
+        known, older, parts, new = self.known, self.older, {}, set()
         for w in words:
+            if w in older:
+                known[w] = older[w]
+                continue
             v = w.rstrip(b".,;:!?")
-            parts[w] = (v, w[len(v) :]) if v and len(v) < len(w) and v[-1] in _LETTERS else (w,)
-        new = list({p for x in parts.values() for p in x if p not in self.known})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
-        for w, x in parts.items():
-            if len(x) > 1:
-                self.known[w] = self.known[x[0]] + self.known[x[1]]
+            if v and len(v) < len(w) and (v[-1] in _LETTERS or v.decode()[-1].isalpha()):
+                parts[w] = v, w[len(v) :]
+                new.update(parts[w])
+            else:
+                new.add(w)
+        plain, other = [], []
+        for w in new:
+            if w in older:
+                known[w] = older[w]
+            elif w not in known:
+                (plain if w.isalpha() or not w.isascii() and w.decode().isalpha() else other).append(w)
+        for group in (plain, other):
+            known.update(zip(group, self.encoded(group), strict=True))
+        for w, (v, tail) in parts.items():
+            known[w] = known[v] + known[tail]
 
     def blocks(self, text: bytes) -> Iterator[list[bytes]]:
         """The words of a text, so many bytes at a time."""
@@ -73,13 +103,11 @@ class Encoder:
     def __call__(self, text: bytes) -> bytes:
         out = []
         for words in self.blocks(text):
-            try:
-                out.append(b"".join(map(self.known.__getitem__, words)))
-            except KeyError:
+            if missing := set(words).difference(self.known):
                 if len(self.known) > self.keep:
-                    self.known.clear()
-                self.learn({w for w in words if w not in self.known})
-                out.append(b"".join(map(self.known.__getitem__, words)))
+                    self.known, self.older, missing = {}, self.known, set(words)
+                self.learn(missing)
+            out.append(b"".join(map(self.known.__getitem__, words)))
         return b"".join(out)
 
 
