@@ -15,7 +15,7 @@ from __future__ import annotations
 import os
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +40,11 @@ class Encoder:
     and no special token can make a difference. A run of points at the end of a word, after a letter, is a token of its own.
     """
 
-    def __init__(self, path: str, keep: int = 250_000, block: int = 1 << 20):
+    def __init__(self, path: str, keep: int = 250_000, block: int = 1 << 20, group: int = 1 << 15):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.keep, self.block = Tokenizer.from_file(path), keep, block
+        self.tokenizer, self.keep, self.block, self.group = Tokenizer.from_file(path), keep, block, group
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -100,15 +100,30 @@ class Encoder:
             yield text[at:end].split()
             at = end
 
-    def __call__(self, text: bytes) -> bytes:
-        out = []
-        for words in self.blocks(text):
-            if missing := set(words).difference(self.known):
-                if len(self.known) > self.keep:
-                    self.known, self.older, missing = {}, self.known, set(words)
-                self.learn(missing)
-            out.append(b"".join(map(self.known.__getitem__, words)))
-        return b"".join(out)
+    def look_up(self, texts: list[list[bytes]]) -> Iterator[bytes]:
+        if missing := set().union(*texts).difference(self.known):
+            if len(self.known) > self.keep:
+                self.known, self.older = {}, self.known
+                missing = set().union(*texts)
+            self.learn(missing)
+        for words in texts:
+            yield b"".join(map(self.known.__getitem__, words))
+
+    def __call__(self, texts: Iterable[bytes]) -> Iterator[bytes]:
+        """Texts together up to a block, longer ones by blocks."""
+        group, size = [], 0
+        for text in texts:
+            if len(text) > self.block:
+                yield from self.look_up(group)
+                group, size = [], 0
+                yield b"".join(x for words in self.blocks(text) for x in self.look_up([words]))
+                continue
+            group += self.blocks(text) if text else [[]]
+            size += len(text)
+            if size >= self.group:
+                yield from self.look_up(group)
+                group, size = [], 0
+        yield from self.look_up(group)
 
 
 class Pool:
@@ -185,8 +200,8 @@ def packer(path: str, end_id: int, tiers: tuple[int, ...], pool_tokens: int, sch
             return out
 
         for given in batches:
-            for doc_id, text in zip(given.column(0).to_pylist(), given.column(1), strict=True):
-                ids = encode(text.as_py() or b"") + end
+            for doc_id, ids in zip(given.column(0).to_pylist(), encode(text.as_py() or b"" for text in given.column(1)), strict=True):
+                ids += end
                 doc, total = (doc_id, len(ids) // 4), len(ids) // 4
                 for start in range(0, total - most + 1, most):
                     held += placed(most, [(doc, start, ids[4 * start : 4 * (start + most)])])
