@@ -45,14 +45,18 @@ def random_walk(history: DataFrame, horizons: list[int], coverage: float = 0.8)
     return out.withColumn("model", F.lit("random_walk")).withColumn("prediction", F.col("last_value")).withColumn("lower", F.col("last_value") + F.col("q")[0]).withColumn("upper", F.col("last_value") + F.col("q")[1])
 
 
-def historical_mean(history: DataFrame, horizons: list[int], coverage: float = 0.8, months: int | None = None, log: bool = False) -> DataFrame:
-    """The mean of all values, or of the last so many, with a normal interval; geometric on the log scale. Needs two values."""
+def historical_mean(history: DataFrame, horizons: list[int], coverage: float = 0.8, months: int | None = None, log: bool = False, digits: int | None = None) -> DataFrame:
+    """The mean of all values, or of the last so many, with a normal interval; geometric on the log scale. Needs two values.
+
+    digits: of values with so many decimals; they are then summed as decimals, so that the mean doesn't depend on the order of rows.
+    """
     rows = history
     if months is not None:
         w = Window.partitionBy(*AT).orderBy(F.desc("observed_at"))
         rows = rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= months)
     v = F.log("value") if log else F.col("value")
-    fit = rows.groupBy(*AT).agg(F.avg(v).alias("mu"), F.stddev_samp(v).alias("sd"), F.count("*").alias("n")).where("n >= 2")
+    mean = F.avg(v) if log or digits is None else F.sum(F.col("value").cast(f"decimal(28,{digits})")).cast("double") / F.count("value")
+    fit = rows.groupBy(*AT).agg(mean.alias("mu"), F.stddev_samp(v).alias("sd"), F.count("*").alias("n")).where("n >= 2")
     back = F.exp if log else (lambda x: x)
     half = F.lit(z_of(coverage)) * F.col("sd")
     out = _planned(_last(history), horizons).join(fit, list(AT))
@@ -89,13 +93,13 @@ def resolved(forecasts: DataFrame, obs: DataFrame, yoy: bool = False, resolve_wi
     return scored(rows).select("series_id", "model", "forecast_date", "data_as_of", "max_as_of_seen", "target_period", "horizon_months", "prediction", "lower", "upper", "actual", "actual_as_of", "error", "abs_error", "squared_error", "in_interval")
 
 
-def walk_forward(obs: DataFrame, first: str, last: str, horizons: list[int], models: list[str], yoy: bool = False, coverage: float = 0.8, resolve_with: str = "first_release", window_months: int | None = None, model_cutoff: str | None = None) -> DataFrame:
-    """The backtest of models over monthly forecast dates. window_months: a rolling history. model_cutoff: no earlier date is asked,
+def walk_forward(obs: DataFrame, first: str, last: str, horizons: list[int], models: list[str], yoy: bool = False, coverage: float = 0.8, resolve_with: str = "first_release", window_months: int | None = None, model_cutoff: str | None = None, digits: int | None = None) -> DataFrame:
+    """The backtest of models over monthly forecast dates. digits: of historical_mean(). window_months: a rolling history. model_cutoff: no earlier date is asked,
     as the model may know what came before."""
     history = training_window(histories(obs, max(first, model_cutoff or first), last, yoy), window_months)
     out = None
     for name in models:
-        made = MODELS[name](history, horizons, coverage).select(*AT, "max_as_of_seen", "target_period", "horizon_months", "model", "prediction", "lower", "upper")
+        made = MODELS[name](history, horizons, coverage, **({"digits": digits} if name == "historical_mean" else {})).select(*AT, "max_as_of_seen", "target_period", "horizon_months", "model", "prediction", "lower", "upper")
         out = made if out is None else out.unionByName(made)
     return resolved(out, obs, yoy, resolve_with)
 

@@ -18,14 +18,14 @@ plan AS (SELECT *, (forecast_date + to_months(h))::DATE AS target_period, year(f
 moves AS (SELECT p.series_id, p.forecast_date, p.h, quantile_cont(a.value - b.value, 0.1) AS low, quantile_cont(a.value - b.value, 0.9) AS high FROM plan p JOIN history a ON a.series_id = p.series_id AND a.forecast_date = p.forecast_date
   JOIN history b ON b.series_id = p.series_id AND b.forecast_date = p.forecast_date AND b.m = a.m - p.steps GROUP BY ALL),
 walk AS (SELECT p.series_id, 'random_walk' AS model, p.forecast_date, max_as_of_seen, target_period, p.h, last_value AS prediction, last_value + low AS lower, last_value + high AS upper FROM plan p LEFT JOIN moves v ON v.series_id = p.series_id AND v.forecast_date = p.forecast_date AND v.h = p.h),
-fit AS (SELECT series_id, forecast_date, avg(value) AS mu, stddev_samp(value) AS sd FROM history GROUP BY ALL HAVING count(*) >= 2),
+fit AS (SELECT series_id, forecast_date, sum(round(value * 100)::BIGINT)::BIGINT::DOUBLE / 100 / count(*) AS mu, stddev_samp(value) AS sd FROM history GROUP BY ALL HAVING count(*) >= 2),
 mean AS (SELECT p.series_id, 'historical_mean' AS model, p.forecast_date, max_as_of_seen, target_period, p.h, mu AS prediction, mu - {Z80}::DOUBLE * sd AS lower, mu + {Z80}::DOUBLE * sd AS upper FROM plan p JOIN fit f ON f.series_id = p.series_id AND f.forecast_date = p.forecast_date),
 truth AS (SELECT series_id, observed_at, min(as_of) AS actual_as_of, arg_min(value, as_of) AS actual FROM obs WHERE value IS NOT NULL GROUP BY ALL),
 results AS (SELECT r.*, forecast_date - 1 AS data_as_of, actual, actual_as_of, prediction - actual AS error FROM (SELECT * FROM walk UNION ALL SELECT * FROM mean) r LEFT JOIN truth t ON t.series_id = r.series_id AND t.observed_at = r.target_period)"""
 
 
 def results(spark: SparkSession, d: str) -> DataFrame:
-    return backtest.walk_forward(obs(spark, d), FIRST, LAST, [1, 3, 6], ["random_walk", "historical_mean"])
+    return backtest.walk_forward(obs(spark, d), FIRST, LAST, [1, 3, 6], ["random_walk", "historical_mean"], digits=2)
 
 
 @query(f"WITH {RESULTS} SELECT series_id, model, forecast_date, data_as_of, max_as_of_seen, target_period, h AS horizon_months, {q('prediction', 3)} AS prediction, {q('lower', 3)} AS lower, {q('upper', 3)} AS upper, actual, actual_as_of, {q('error', 3)} AS error, CASE WHEN actual IS NOT NULL THEN actual BETWEEN lower AND upper END AS in_interval FROM results")
