@@ -35,6 +35,28 @@ def test_html_levels_decide(monkeypatch, small):
         assert sum(html_text.main_text(x) != t for x, t in zip(pages, texts, strict=True)) > 0.6 * len(pages)
 
 
+NAV = "<nav><ul><li><a href=x>Home</a></li><li><a href=y>About us</a></li></ul></nav>"
+FOOT = "<footer>Copyright 2020 by all of us</footer>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="layout sidebar-right">{nav}<article>{art}</article></div>{foot}', '<div class="ad-free content">{art}</div>', '<div id=page class="comments-open">{nav}{art}{foot}</div>', "<form id=aspnetForm>{nav}{art}{foot}</form>",
+        "<form><main>{art}</main></form>", "{nav}<form><div class=sidebar>{art}</div></form>", "<article>{art}</article><div class=comments><article>{art}{art}</article></div>", "<div>{art}</div><aside><article>Another story</article></aside>",
+        '<div class="notice-page"><div class="ads-top">Buy now, it is cheap</div><main>{art}</main><div class="comments">{art}{art}</div></div>', "<div role=search>{nav}<div role=dialog>{art}</div></div>",
+    ],
+)
+def test_html_doubted_wrappers(page):
+    """What wraps an article isn't condemned by its name; what stands beside it is."""
+    lines = [f"Paragraph {k} of it" + " and more words" * 12 + "." for k in range(5)]
+    assert html_text.main_text("<body>" + page.format(art="".join(f"<p>{x}</p>" for x in lines), nav=NAV, foot=FOOT) + "</body>") == "\n".join(lines)
+
+
+def test_html_nothing_but_doubted():
+    assert html_text.main_text(f"{NAV}<div class=comments>{'<p>A nice page, thank you.</p>' * 20}</div><form>Name <input> Age <input></form>{FOOT}") == ""
+
+
 def test_html_clusters():
     assert html_text.threshold(np.array([1.0, 2.0, 90.0, 100.0])) == pytest.approx(90) and html_text.threshold(np.full(5, 7.0)) == 0
     a, kind = np.array([0.0, 0, 0, 90, 0, 0, 0]), np.array([0, 0, 0, 0, 1, 1, 1])

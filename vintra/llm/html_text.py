@@ -4,7 +4,9 @@ The standard library's parser streams events over the page. A line is what stand
 styles, form controls and what isn't shown are no lines. Every other line gets its ratio of text to tags. Tags are a prior:
 a line counts a two-hundredth of its ratio if its tag, role or class says that it is no article text (menus, page headers and
 footers, sidebars, notices, adverts, forms, comments), or if an article element or a block named so holds most of the
-page's text and not this line; a line of links counts nothing. Ratios are smoothed by a Gaussian over neighbours of the same
+page's text and not this line; a line of links counts nothing. What an element's tag or words say doesn't hold if the element wraps the
+page: if it has the article element with the most text in it, and that is more than all that no one doubts, or if it's no menu, footer
+or the like by its tag, and no reader comments, and holds half of a page of which nearly all is doubted. Ratios are smoothed by a Gaussian over neighbours of the same
 prior, and the levels part into two clusters by Otsu's threshold. The upper cluster is content. The region goes from the
 first content line to the last, in the deepest block that holds nearly all content text, and grows to the ends of an
 article; in it gaps close: lines below the threshold stay if their prior doesn't speak against them.
@@ -39,6 +41,10 @@ BOILERPLATE = frozenset(
 #: A block with one of these words in its class or id says that it is the article, if no article or main element does.
 ARTICLE_WORDS = frozenset("article articlebody body content entry main post story text".split())
 WITHOUT = frozenset("has no with without".split())
+#: An element of this class or id is reader comments even if it holds most of a page's text.
+COMMENTS = frozenset("comment comments commentlist discussion disqus replies responses".split())
+#: Fewer characters outside links than this are no article that a doubted element could wrap.
+WRAPPED = 200
 #: What a doubted line's ratio counts.
 DOUBT = 0.005
 KEPT_WHOLE = frozenset("article body html main".split())
@@ -48,26 +54,30 @@ SIGMA, NEAR = 1.5, 4
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, characters in links, container, doubted) for each line that is shown. A container is a number, at
-    which kinds has what it is and parents the container around it."""
+    """Collects (text, tags, characters in links, container, doubt) for each line that is shown. A container is a number, at
+    which kinds has what it is, parents the container around it and doubt_of the doubt it is in. A doubt is the number of the
+    innermost doubted element, at which around has the doubted element around that and firm whether no amount of text helps it; -1 is none."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, int, int]] = []
         self.kinds: list[str] = []
         self.parents: list[int] = []
-        #: (tag, what its text is: shown 0, doubted 1, left out 2; container) of open elements, and how many of each tag
-        self.open: list[tuple[str, int, int]] = []
+        self.doubt_of: list[int] = []
+        self.around: list[int] = []
+        self.firm: list[bool] = []
+        #: (tag, what its text is: shown 0, doubted 1, left out 2; container; doubt) of open elements, and how many of each tag
+        self.open: list[tuple[str, int, int, int]] = []
         self.count: Counter = Counter()
-        self.parts, self.tags, self.linked, self.doubted = [], 0, 0, False
+        self.parts, self.tags, self.linked, self.doubt = [], 0, 0, -1
 
-    def state(self) -> tuple[int, int]:
-        return self.open[-1][1:] if self.open else (0, -1)
+    def state(self) -> tuple[int, int, int]:
+        return self.open[-1][1:] if self.open else (0, -1, -1)
 
     def cut(self) -> None:
         if text := " ".join("".join(self.parts).split()):
-            self.lines.append((text, self.tags, self.linked, self.state()[1], self.doubted))
-        self.parts, self.tags, self.linked, self.doubted = [], 0, 0, False
+            self.lines.append((text, self.tags, self.linked, self.state()[1], self.doubt))
+        self.parts, self.tags, self.linked, self.doubt = [], 0, 0, -1
 
     def rank(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
         if tag in NEVER:
@@ -86,7 +96,7 @@ class Lines(HTMLParser):
         return 0
 
     def close_from(self, k: int) -> None:
-        for tag, _, _ in self.open[k:]:
+        for tag, *_ in self.open[k:]:
             self.count[tag] -= 1
         del self.open[k:]
 
@@ -116,14 +126,21 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        state, inside = self.state()
-        state = max(state, self.rank(tag, attrs))
+        state, inside, doubt = self.state()
+        own = self.rank(tag, attrs)
+        if own == 1 and state < 2:
+            self.around.append(doubt)
+            names = " ".join(v or "" for k, v in attrs if k in ("class", "id")).lower().split()
+            self.firm.append(tag == "header" or (tag in DOUBTED and tag != "form") or not COMMENTS.isdisjoint(names))
+            doubt = len(self.around) - 1
+        state = max(state, own)
         if tag in CONTAINERS and state < 2:
             named = tag == "div" and any(k in ("class", "id") and v and not ARTICLE_WORDS.isdisjoint(WORDS.findall(v.lower())) for k, v in attrs)
             self.kinds.append("named" if named else tag)
             self.parents.append(inside)
+            self.doubt_of.append(doubt)
             inside = len(self.kinds) - 1
-        self.open.append((tag, state, inside))
+        self.open.append((tag, state, inside, doubt))
         self.count[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -138,10 +155,12 @@ class Lines(HTMLParser):
         self.close_to(frozenset({tag}), frozenset() if tag in BLOCKS else CONTAINERS - {tag})
 
     def handle_data(self, data: str) -> None:
-        if (state := self.state()[0]) < 2:
+        state, _, doubt = self.state()
+        if state < 2:
             self.parts.append(data)
-            self.doubted = self.doubted or (state == 1 and not data.isspace())
-            if any(t == "a" for t, _, _ in self.open[-3:]):
+            if self.doubt < 0 and not data.isspace():
+                self.doubt = doubt
+            if any(x[0] == "a" for x in self.open[-3:]):
                 self.linked += len(data)
 
 
@@ -172,17 +191,64 @@ def article_of(kinds: list[str], votes: list[int], total: int) -> set[int]:
     return {c for c in [max((c for c, v in enumerate(votes) if v and kinds[c] == "named" and v >= 0.85 * total), default=-1)] if c >= 0}
 
 
+def doubted_lines(page: Lines, plain: np.ndarray) -> np.ndarray:
+    """Which lines stand in a doubted element that doesn't wrap the page. plain: a line's characters outside links."""
+    n, kinds = len(page.around), page.kinds
+    doubt = np.array([x[4] for x in page.lines])
+    # text of each article element that nothing inside it doubts; containers have greater numbers than those around them
+    own = [0] * len(kinds)
+    for x, chars in zip(page.lines, plain.tolist(), strict=True):
+        if x[3] >= 0 and x[4] == page.doubt_of[x[3]]:
+            own[x[3]] += chars
+    for c in range(len(kinds) - 1, -1, -1):
+        if (up := page.parents[c]) >= 0 and page.doubt_of[up] == page.doubt_of[c]:
+            own[up] += own[c]
+    holds = [0] * n
+    for d, chars in zip(doubt.tolist(), plain.tolist(), strict=True):
+        if d >= 0:
+            holds[d] += chars
+    for d in range(n - 1, -1, -1):
+        if page.around[d] >= 0:
+            holds[page.around[d]] += holds[d]
+    wraps = [False] * n
+
+    def doubted() -> np.ndarray:
+        held = []
+        for d in range(n):
+            held.append(not wraps[d] or (page.around[d] >= 0 and held[page.around[d]]))
+        return np.array([d >= 0 and held[d] for d in doubt.tolist()], bool)
+
+    now, total = doubted(), int(plain.sum())
+    article = max((c for c, kind in enumerate(kinds) if kind in ARTICLE), key=lambda c: (own[c], -c), default=None)
+    plainly = any(kind in ARTICLE and page.doubt_of[c] < 0 and own[c] * 10 >= total for c, kind in enumerate(kinds))
+    if article is not None and not plainly and page.doubt_of[article] >= 0 and own[article] > plain[~now].sum():
+        d = page.doubt_of[article]
+        while d >= 0:
+            wraps[d], d = True, page.around[d]
+        now = doubted()
+    while plain[~now].sum() * 10 < total:
+        d = next((d for d in range(n) if not wraps[d] and not page.firm[d] and holds[d] * 2 >= total and holds[d] >= WRAPPED), None)
+        if d is None:
+            break
+        wraps[d] = True
+        now = doubted()
+    return now
+
+
 def main_text(html: str | None) -> str:
-    """The article's lines joined by \\n; empty for null, for no text and for a page of doubted elements only."""
+    """The article's lines joined by \\n; empty for null, for no text and for a page of menus, notices and the like only."""
     page = Lines()
     page.feed(html or "")
     page.close()
     page.cut()
-    if all(doubted for *_, doubted in page.lines):
+    if not page.lines:
         return ""
-    texts, tags, linked, inside, doubted = (list(c) for c in zip(*page.lines, strict=True))
-    size, doubted = np.array([len(t) for t in texts]), np.array(doubted)
+    texts, tags, linked, inside, _ = (list(c) for c in zip(*page.lines, strict=True))
+    size = np.array([len(t) for t in texts])
     links = np.array(linked) / size
+    doubted = doubted_lines(page, np.maximum(0, size - np.array(linked)))
+    if doubted.all():
+        return ""
 
     def votes(of: np.ndarray) -> list[int]:
         """Characters of those lines in each container; a container's number is above those of all around it."""
