@@ -180,7 +180,7 @@ def histograms(table: DataFrame, specs: list[Spec], models: list[Booster], growi
     specs_of = {s: (x.loss, len(models[s].base)) for s, x in enumerate(specs)}
     keys = ["spec", "class", "node", "feature", "bin"]
     parts = table.mapInPandas(run, "spec int, class int, node int, feature int, bin int, g long, h long, n long")
-    return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")]).toPandas()
+    return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")]).toArrow().to_pandas()
 
 
 def best_split(sums: np.ndarray, l2: float, least: int, signs: np.ndarray, low: float, high: float) -> tuple | None:
@@ -386,15 +386,19 @@ def trains(fold: int) -> Column:
     return F.col("_rank") < F.col("_least") + fold * F.col("_size")
 
 
-def cross_validated(rows: DataFrame, features: list[str], label: str, date: str, base: Spec, grid: dict[str, list], splits: int, gap: int, scratch) -> tuple[Booster, dict, DataFrame]:
+def cross_validated(rows: DataFrame, features: list[str], label: str, date: str, base: Spec, grid: dict[str, list], splits: int, gap: int, scratch, published: str | None = None) -> tuple[Booster, dict, DataFrame]:
     """(final model, its grid point with rounds and loss, out-of-fold rows with prediction).
 
+    published: the day a row's label came out; a fold then learns only from rows whose label was out before its first date.
+
     All grid points and folds are fitted at once. The point with the least mean validation loss (root mean square, or log loss) is refitted on
     all labelled rows with the mean of its best rounds; out-of-fold rows are predicted by the fold models of that point.
     """
     folded = scratch.save(gap_folds(rows, date, splits, gap), "folds")
     points = [dict(zip(grid, v, strict=True)) for v in itertools.product(*grid.values())]
-    specs = [replace(base, train=base.train & trains(k), valid=base.train & (F.col("_fold") == k), **p) for p in points for k in range(splits)]
+    begins = {r["_fold"]: r["day"] for r in folded.where("_fold is not null").groupBy("_fold").agg(F.min(date).alias("day")).collect()} if published else {}
+    out_by = lambda k: F.coalesce(F.col(published) < F.lit(begins[k]), F.lit(False)) if k in begins else F.lit(True)
+    specs = [replace(base, train=base.train & trains(k) & out_by(k), valid=base.train & (F.col("_fold") == k), **p) for p in points for k in range(splits)]
     models = fit(folded, features, label, specs, scratch)
     found = []
     for n, p in enumerate(points):

@@ -1,16 +1,10 @@
-"""Fitted models: gradient-boosted changes, threshold classifiers and smoothing on short series.
+"""Models of one short series each: exponential smoothing and autoregression.
 
-One series' history is a few hundred rows, so a group is a series at a refit date and groups run in parallel; pooled
-models are Spark ML pipelines over all rows.
+One series' history is a few hundred rows, so a group is a series at a refit date and groups run in parallel.
 """
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,35 +18,6 @@ def time_folds(date: str, folds: int, gap: int, by: list[str] | None = None) ->
     return F.when(F.col("_rank") > most / (folds + 1), F.least(F.ceil(F.col("_rank") / (most / (folds + 1))) - 1, F.lit(folds))), rank
 
 
-def boosted_changes(train: DataFrame, ask: DataFrame, features: list[str], label: str, trees: int = 30, depth: int = 3) -> DataFrame:
-    """ask with `change` predicted by boosted trees on median-imputed features."""
-    filled = [f"{f}_filled" for f in features]
-    stages = [Imputer(inputCols=features, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="_x"), GBTRegressor(featuresCol="_x", labelCol=label, predictionCol="change", maxIter=trees, maxDepth=depth, seed=7)]
-    return Pipeline(stages=stages).fit(train.where(F.col(label).isNotNull())).transform(ask).drop("_x", *filled)
-
-
-def threshold_probability(train: DataFrame, ask: DataFrame, features: list[str], label: str, trees: int = 20, depth: int = 3) -> DataFrame:
-    """ask with p of label 1 in [0.01, 0.99]; a smoothed constant if the training labels agree."""
-    yes, n = train.agg(F.sum(F.col(label).cast("double")), F.count(label)).first()
-    if not n or yes in (0.0, float(n)):
-        return ask.withColumn("p", F.lit(((yes or 0.0) + 1) / (n + 2)))
-    filled = [f"{f}_filled" for f in features]
-    stages = [Imputer(inputCols=features, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="_x"), GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=trees, maxDepth=depth, seed=7)]
-    out = Pipeline(stages=stages).fit(train.withColumn("_y", F.col(label).cast("double"))).transform(ask)
-    return out.withColumn("p", F.greatest(F.lit(0.01), F.least(vector_to_array("probability")[1], F.lit(0.99)))).drop("_x", "rawPrediction", "probability", "prediction", *filled)
-
-
-def category_probabilities(train: DataFrame, ask: DataFrame, features: list[str], label: str, categories: list[str], trees: int = 30) -> DataFrame:
-    """ask with probabilities, a map over categories, by a forest."""
-    filled = [f"{f}_filled" for f in features]
-    index = F.array_position(F.array(*[F.lit(c) for c in categories]), F.col(label)) - 1
-    stages = [Imputer(inputCols=features, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="_x"), RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, seed=7)]
-    rows = train.withColumn("_y", index.cast("double")).where("_y >= 0")
-    out = Pipeline(stages=stages).fit(rows).transform(ask).withColumn("_p", vector_to_array("probability"))
-    shares = F.map_from_arrays(F.array(*[F.lit(c) for c in categories]), F.array(*[F.coalesce(F.get("_p", F.lit(k)), F.lit(0.0)) for k in range(len(categories))]))
-    return out.withColumn("probabilities", shares).drop("_x", "_p", "rawPrediction", "probability", "prediction", *filled)
-
-
 def damped_trend(values: np.ndarray, steps: int, phi: float = 0.95) -> tuple[float, float]:
     """Damped-trend exponential smoothing: the forecast and the deviation of one-step errors, best smoothing by grid."""
     best = (np.inf, values[-1], 0.0)

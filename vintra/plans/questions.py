@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from vintra.functions.calendar import months_after
 from vintra.functions.scalar import significant
-from vintra.operators.asof import first_live
+from vintra.operators.asof import first_live, first_releases, known, until
 
 TOLERANCE = 1e-9
 
@@ -32,6 +32,30 @@ def cleared(base: Column, later: Column, level: Column, base_now: Column, kind:
     return relative_step(base, later, kind) >= relative_step(base_now, level, kind) - TOLERANCE
 
 
+def log_step(base: Column, level: Column) -> Column:
+    """A count's threshold as the logarithm of its ratio to the base."""
+    return F.log(F.try_divide(level, base))
+
+
+def expanded(obs: DataFrame, cutoff: Column, horizons: list[int], multiples: list[float]) -> DataFrame:
+    """Past months as threshold questions with known answers: every month known at the cutoff, with a value above zero, times each horizon whose month is known too,
+    times each multiple of its value.
+
+    Returns series_id, base_month, as_of (the month's first release: what could be seen when it was asked), horizon_months, step, base, later, cleared (later reaches the
+    level within a relative 1e-9: 1 or 0) and published (the later month's first release). Values are those known at the cutoff. One join by series and
+    month; the products are exploded.
+    """
+    seen = until(obs, cutoff)
+    first = first_releases(seen).select("series_id", "observed_at", "first_as_of")
+    values = known(obs, cutoff).where("value is not null").join(first, ["series_id", "observed_at"])
+    later = values.select("series_id", F.col("observed_at").alias("later_month"), F.col("value").alias("later"), F.col("first_as_of").alias("published"))
+    base = values.where("value > 0").select("series_id", F.col("observed_at").alias("base_month"), F.col("value").alias("base"), F.col("first_as_of").alias("as_of"), F.explode(F.array(*[F.lit(h) for h in horizons])).alias("horizon_months"))
+    pairs = base.withColumn("later_month", months_after(F.col("base_month"), F.col("horizon_months") + 1)).join(later, ["series_id", "later_month"])
+    level = F.col("base") * F.col("multiple")
+    out = pairs.withColumn("multiple", F.explode(F.array(*[F.lit(float(m)) for m in multiples])))
+    return out.select("series_id", "base_month", "as_of", "horizon_months", log_step(F.col("base"), level).alias("step"), "base", "later", (F.col("later") >= level * (1 - TOLERANCE)).cast("int").alias("cleared"), "published")
+
+
 def outcomes(questions: DataFrame, obs: DataFrame, as_of: Column) -> DataFrame:
     """questions (series_id, target_date, threshold) with outcome yes or no from the first live value, null until there is one."""
     live = first_live(obs, as_of).select("series_id", F.col("observed_at").alias("target_date"), "first_value", "first_as_of")

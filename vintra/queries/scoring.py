@@ -289,32 +289,6 @@ def p6_statistical_models(spark: SparkSession, d: str) -> DataFrame:
     return both[0].unionByName(both[1])
 
 
-def _training(spark: SparkSession, d: str) -> DataFrame:
-    m = features.monthly_features(backtest.histories(obs(spark, d), FIRST, LAST), lags=[1, 2, 3, 12], changes=[1, 3, 12], max_stale=60)
-    truth = results(spark, d).where("model = 'random_walk' and horizon_months = 3").select("series_id", "forecast_date", (F.col("actual") - F.col("prediction")).alias("change"))
-    return m.join(truth, ["series_id", "forecast_date"])
-
-
-@query()
-def p7_boosted_changes(spark: SparkSession, d: str) -> DataFrame:
-    from vintra.plans import models
-
-    rows = _training(spark, d)
-    out = models.boosted_changes(rows.where("forecast_date < date '1999-06-01'").withColumnRenamed("change", "label"), rows.where("forecast_date >= date '2000-01-01'").drop("change"), ["level", "lag1", "lag3", "growth1", "growth12", "month_3"], "label", trees=10)
-    return out.select("series_id", "forecast_date", "change")
-
-
-@query()
-def p8_p9_probability_models(spark: SparkSession, d: str) -> DataFrame:
-    from vintra.plans import models
-
-    rows = _training(spark, d).withColumn("up", (F.col("change") > 0).cast("int")).withColumn("move", F.when(F.col("change") > 5e4, "hike").when(F.col("change") < -5e4, "cut").otherwise("hold"))
-    train, ask = rows.where("forecast_date < date '1999-06-01' and change is not null"), rows.where("forecast_date >= date '2000-01-01'").select("series_id", "forecast_date", "level", "lag1", "growth1", "chg1")
-    names = ["level", "lag1", "growth1", "chg1"]
-    up = models.threshold_probability(train, ask, names, "up", trees=8).select("series_id", "forecast_date", "p")
-    return up.join(models.category_probabilities(train, ask, names, "move", ["cut", "hold", "hike"], trees=10).select("series_id", "forecast_date", "probabilities"), ["series_id", "forecast_date"])
-
-
 @query(f"WITH {QUESTIONS}, p AS (SELECT target AS series_id, d::DATE AS ask_date, h AS horizon_months, (d + to_months(h))::DATE AS target_date FROM (SELECT DISTINCT target FROM questions) CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '1998-01-01', TIMESTAMP '1998-12-01', INTERVAL 1 MONTH)) AS d) CROSS JOIN (VALUES (1), (3), (6)) v(h)) SELECT * FROM p")
 def p16_planned_questions(spark: SparkSession, d: str) -> DataFrame:
     s = questions(spark, d).select(F.col("target").alias("series_id"), F.lit("count").alias("kind")).distinct()
