@@ -124,7 +124,7 @@ def top_words(df: DataFrame, by: list[str], text: str, n: int, stop: list[str])
     """The n most frequent words and word pairs of each group: pairs that occur more than once take half of the places, rounded up."""
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit("([a-z][a-z0-9-]+)"), F.lit(1)), lambda w: ~w.isin(stop))
     rows = df.select(*by, words.alias("_w"))
-    pairs = F.filter(F.transform(F.arrays_zip(F.col("_w").alias("a"), F.slice("_w", 2, 1_000_000).alias("b")), lambda p: F.when(p["b"].isNotNull(), F.concat_ws(" ", p["a"], p["b"]))), lambda p: p.isNotNull())
+    pairs = F.filter(F.transform(F.arrays_zip(F.col("_w").alias("a"), F.slice(F.col("_w"), F.lit(2), F.greatest(F.size("_w"), F.lit(1))).alias("b")), lambda p: F.when(p["b"].isNotNull(), F.concat_ws(" ", p["a"], p["b"]))), lambda p: p.isNotNull())
     counted = lambda c, kind: rows.select(*by, F.explode(c).alias("term")).groupBy(*by, "term").agg(F.count("*").alias("n")).withColumn("kind", F.lit(kind))
     w = Window.partitionBy(*by).orderBy(F.desc("n"), "term")
     two = counted(pairs, "pair").where("n > 1").withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= math.ceil(n / 2))

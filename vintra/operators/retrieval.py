@@ -1,26 +1,27 @@
-"""Dated full-text retrieval: tokens with title and body weights, any/all matching, ranking, quotas by type."""
+"""Dated full-text retrieval by scanning: for few documents, or those that no index holds. The rules are those of the lexeme index."""
 
-import re
+from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Common English function words.
-STOP_WORDS = "a about after all also an and any are as at be been but by can could did do does for from had has have he her his how i if in into is it its just me more my no not of on one or our out over she so some than that the their them then there these they this to up us was we were what when which who will with would you your".split()
-TITLE_WEIGHT, BODY_WEIGHT = 1.0, 0.4
+from vintra.functions.stemming import Stems, lexemes as lexemes_of
+from vintra.sources.lexeme_index import BODY_WEIGHT, TITLE_WEIGHT, ZETA2, condition, known_by, parsed
 
 
-def stemmed(token: Column) -> Column:
-    """A light stem by suffix: plurals, -ing and -ed of longer words. Not a full stemmer; both sides of a match use it."""
-    out = F.regexp_replace(token, r"(?<=[a-z]{3})(ies)$", "y")
-    out = F.regexp_replace(out, r"(?<=[a-z]{3}[^s])s$", "")
-    return F.regexp_replace(out, r"(?<=[a-z]{4})(ing|ed)$", "")
+def lexemes(text: Column) -> Column:
+    """Array of (place, lexeme): stemmed lower-case words without stop words, in order, repeats included."""
 
+    @F.pandas_udf("array<struct<at int, term string>>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        stems = Stems()
+        for texts in parts:
+            yield texts.map(lambda t: [{"at": n, "term": s} for n, s in lexemes_of(t, stems)])
 
-def lexemes(text: Column) -> Column:
-    """Stemmed lower-case words without stop words, in order, repeats included."""
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    return F.transform(F.filter(tokens, lambda t: ~t.isin(STOP_WORDS)), stemmed)
+    return run(text)
 
 
 def indexed(docs: DataFrame) -> DataFrame:
@@ -28,52 +29,47 @@ def indexed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("title_terms", lexemes(F.col("title"))).withColumn("body_terms", lexemes(F.col("content")))
 
 
-def rank(title: Column, body: Column, query: Column) -> Column:
-    """Weighted frequency of the query's lexemes over 1 + ln(length)."""
-    hits = lambda terms: F.size(F.filter(terms, lambda t: F.array_contains(query, t)))
-    length = F.size(title) + F.size(body)
-    return (TITLE_WEIGHT * hits(title) + BODY_WEIGHT * hits(body)) / (1 + F.log(F.greatest(length, F.lit(1)).cast("double")))
+def rank(title: Column, body: Column, query: str) -> Column:
+    """The rank that the index gives."""
+    terms = sorted({t for _, t in lexemes_of(query)})
+    squares = lambda n: F.aggregate(F.sequence(F.lit(0), n), F.lit(0.0), lambda a, k: a + F.when(k > 0, 1 / (k * k).cast("double")).otherwise(0.0))
+    total = F.lit(0.0)
+    for term in terms:
+        count = lambda of, term=term: F.size(F.filter(of, lambda x: x["term"] == term))
+        a, b = count(title), count(body)
+        total = total + TITLE_WEIGHT * squares(a) + BODY_WEIGHT * (squares(a + b) - squares(a))
+    return total / ZETA2 / max(1, len(terms)) / F.log2(F.greatest(F.size(title) + F.size(body), F.lit(1)) + F.lit(1.0))
 
 
 def published_by(docs: DataFrame, as_of: Column, days: int | None = None) -> DataFrame:
     """Published before the end of the day (UTC); within the last `days` if given."""
-    out = docs.where(F.col("published_at") < F.date_add(as_of, 1).cast("timestamp"))
-    return out if days is None else out.where(F.col("published_at") >= F.date_sub(as_of, days).cast("timestamp"))
+    return docs.where(known_by(as_of, days))
 
 
-def match_any(docs: DataFrame, query: Column) -> DataFrame:
+def match_any(docs: DataFrame, query: str) -> DataFrame:
     """Documents with any lexeme of the query; a query of stop words only matches all."""
-    return docs.where((F.size(query) == 0) | F.arrays_overlap("title_terms", query) | F.arrays_overlap("body_terms", query))
+    terms = sorted({t for _, t in lexemes_of(query)})
+    return docs.where(F.exists("title_terms", lambda x: x["term"].isin(terms)) | F.exists("body_terms", lambda x: x["term"].isin(terms))) if terms else docs
 
 
 def websearch(query: str) -> Column:
     """A condition on indexed documents: quoted phrases, or, and -word; everything else must occur."""
-    terms = F.concat("title_terms", F.array(F.lit("")), "body_terms")
-    joined = F.concat(F.lit(" "), F.concat_ws(" ", terms), F.lit(" "))
-    alternatives: list[list[Column]] = [[]]
-    for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query):
-        if word.lower() == "or" and not minus:
-            alternatives.append([])
-            continue
-        part = F.concat_ws(" ", lexemes(F.lit(phrase or word)))
-        found = (part == "") | F.contains(joined, F.concat(F.lit(" "), part, F.lit(" ")))
-        alternatives[-1].append(((part == "") | ~found) if minus else found)
-    out = None
-    for parts in (a for a in alternatives if a):
-        both = parts[0]
-        for p in parts[1:]:
-            both = both & p
-        out = both if out is None else out | both
-    return F.lit(True) if out is None else out
-
-
-def retrieve(docs: DataFrame, query: Column, as_of: Column, n: int) -> DataFrame:
+    alternatives = parsed(query)
+
+    def places(term: str) -> Column:
+        title, body = (F.transform(F.filter(of, lambda x: x["term"] == term), lambda x: x["at"]) for of in ("title_terms", "body_terms"))
+        return F.when(F.size(title) + F.size(body) > 0, F.struct(title.alias("title"), body.alias("body")))
+
+    return condition(alternatives, {t: places(t) for parts in alternatives for _, phrase in parts for _, t in phrase})
+
+
+def retrieve(docs: DataFrame, query: str, as_of: Column, n: int) -> DataFrame:
     """The n best matches known on a day: rank, then newest, then largest source_id."""
     found = match_any(published_by(docs, as_of), query).withColumn("rank", rank(F.col("title_terms"), F.col("body_terms"), query))
     return found.orderBy(F.desc("rank"), F.desc("published_at"), F.desc("source_id")).limit(n)
 
 
-def with_quotas(docs: DataFrame, query: Column, as_of: Column, quotas: dict[str, int], days: int = 365) -> DataFrame:
+def with_quotas(docs: DataFrame, query: str, as_of: Column, quotas: dict[str, int], days: int = 365) -> DataFrame:
     """The best matches of each document type up to its quota, within a window of days."""
     found = match_any(published_by(docs.where(F.col("document_type").isin(*quotas)), as_of, days), query).withColumn("rank", rank(F.col("title_terms"), F.col("body_terms"), query))
     w = Window.partitionBy("document_type").orderBy(F.desc("rank"), F.desc("published_at"), F.desc("source_id"))
