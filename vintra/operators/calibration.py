@@ -57,14 +57,75 @@ def recalibrated(results: DataFrame, by: list[str], coverage: float = 0.8, signe
     return out.withColumn("in_interval", F.when(F.col("actual").isNotNull(), (F.col("lower") <= F.col("actual")) & (F.col("actual") <= F.col("upper")))).drop("_low", "_high", "_n")
 
 
-def isotonic(train: DataFrame, df: DataFrame, p: str = "p", outcome: str = "outcome") -> DataFrame:
-    """df with p mapped by a rising step function fitted on train, interpolated between steps."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import IsotonicRegression
-
-    vector = VectorAssembler(inputCols=[p], outputCol="_x")
-    model = IsotonicRegression(featuresCol="_x", labelCol="_y").fit(vector.transform(train.where(F.col(outcome).isin("yes", "no")).withColumn("_y", (F.col(outcome) == "yes").cast("double"))))
-    return model.transform(vector.transform(df)).withColumnRenamed("prediction", "calibrated").drop("_x")
+def pooled_steps(sorted_rows, keys: list[str]):
+    """The least-squares rising fit of each group's points (x, hits, n): neighbours that violate the order are pooled until none does. numpy, on one group's distinct x."""
+    import pandas as pd
+
+    xs, hits, n = sorted_rows["x"].to_numpy(float), sorted_rows["hits"].to_numpy(float), sorted_rows["n"].to_numpy(float)
+    blocks: list[list[float]] = []
+    for x, h, m in zip(xs, hits, n, strict=True):
+        blocks.append([x, x, h, m])
+        # products of counts are exact: no quotient is compared
+        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3]:
+            low, high, h, m = blocks.pop()
+            blocks[-1] = [blocks[-1][0], high, blocks[-1][2] + h, blocks[-1][3] + m]
+    head = {k: sorted_rows[k].iloc[0] for k in keys}
+    return pd.DataFrame([head | {"low": b[0], "high": b[1], "y": b[2] / b[3]} for b in blocks])
+
+
+def isotonic_steps(train: DataFrame, keys: list[str], p: str = "p", outcome: str = "outcome") -> DataFrame:
+    """(keys, low, high, y): the rising step function of each group's outcomes (yes or no) over p.
+
+    Equal probabilities are summed first, so what a group's task sees is its distinct probabilities: it grows with their number, not with the forecasts. Groups
+    whose outcomes agree have no steps.
+    """
+    rows = train.where(F.col(outcome).isin("yes", "no") & F.col(p).isNotNull())
+    points = rows.groupBy(*keys, F.col(p).cast("double").alias("x")).agg(F.sum((F.col(outcome) == "yes").cast("long")).alias("hits"), F.count("*").alias("n"))
+    shape = ", ".join(f"{k} {train.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(pdf):
+        pdf = pdf.sort_values("x")
+        out = pooled_steps(pdf, keys)
+        return out if 0 < pdf["hits"].sum() < pdf["n"].sum() else out.iloc[:0]
+
+    return points.groupBy(*keys).applyInPandas(run, f"{shape}, low double, high double, y double")
+
+
+def isotonic(train: DataFrame, asked: DataFrame, keys: list[str], p: str = "p", outcome: str = "outcome") -> DataFrame:
+    """asked with `calibrated`: its group's step at p, linear between steps, constant beyond the ends; p itself without a fit."""
+    steps = isotonic_steps(train, keys, p, outcome)
+    arrays = steps.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.array_sort(F.collect_list(F.struct("low", "high", "y"))).alias("_s"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    x = F.col(p).cast("double")
+    below = F.element_at(F.filter("_s", lambda s: s["low"] <= x), -1)
+    above = F.get(F.filter("_s", lambda s: s["low"] > x), F.lit(0))
+    between = below["y"] + (above["y"] - below["y"]) * (x - below["high"]) / (above["low"] - below["high"])
+    first = F.get("_s", F.lit(0))
+    value = F.when(F.col("_s").isNull(), x).when(x < first["low"], first["y"]).when((x <= below["high"]) | above.isNull(), below["y"]).otherwise(between)
+    return asked.join(arrays, on, "left").withColumn("calibrated", value).drop("_s", *[f"_{k}" for k in keys])
+
+
+def fold_isotonic(forecasts: DataFrame, keys: list[str], fold: str, starts: str, published: str, key: list[str]) -> DataFrame:
+    """Categorical forecasts (key, keys, fold, starts, published, outcome, probabilities: a map by category) with `calibrated`, a map that sums to one.
+
+    A fold's function is fitted, for each group of keys, on all categories of the forecasts whose outcome had been published before the fold starts, as forecasts of their own.
+    starts: the fold's first day, the same for all its rows. A fold is met by the groups' earlier forecasts: rows times later folds, folds being few.
+    """
+    flat = forecasts.select(*key, *keys, fold, starts, published, "outcome", F.explode("probabilities").alias("category", "p")).withColumn("_hit", F.when(F.col("outcome").isNotNull(), F.when(F.col("category") == F.col("outcome"), "yes").otherwise("no")))
+    folds = forecasts.select(*keys, fold, starts).distinct()
+    past = flat.where(F.col("_hit").isNotNull()).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(published).alias("_out"), "p", F.col("_hit").alias("hit"))
+    on = F.col("_out") < F.col(starts)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    train = folds.join(past, on).select(*keys, fold, "p", "hit")
+    mapped = isotonic(train, flat.drop("_hit"), [*keys, fold], "p", "hit")
+    raw = F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "p"))))
+    fitted = F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "calibrated"))))
+    total = F.aggregate(F.map_values("_f"), F.lit(0.0), lambda a, x: a + x)
+    out = mapped.groupBy(*key, *keys, fold).agg(raw.alias("_r"), fitted.alias("_f"))
+    return out.select(*key, *keys, fold, F.when(total > 0, renormalised(F.col("_f"))).otherwise(F.col("_r")).alias("calibrated"))
 
 
 def platt(train: DataFrame, df: DataFrame, p: str = "p", outcome: str = "outcome") -> DataFrame:
@@ -101,37 +162,66 @@ def blend(values: list[Column], weights: list[Column]) -> Column:
     return F.when(count == 0, None).when(total > 0, weighted / total).otherwise(plain / count)
 
 
-def walk_forward_blend(wide: DataFrame, components: list[str], target: str, seen: Column, key: list[str], asked: str, method: str = "learned", least: int = 10, step: float = 0.05) -> DataFrame:
-    """Blends each row's components with weights from the rows it may know: `seen` relates a past row `p` to the row's `asked`.
+def moments_as_of(wide: DataFrame, columns: list[str], published: str, asked: str, strict: bool) -> DataFrame:
+    """For each day of `asked`: n_history and the sums m_i_j of products of columns i <= j, over the rows with all columns that had been published
+    by then (strict: before that day).
 
-    wide: one row a question; target: the outcome or actual. Weights by grid search (first best), by inverse mean squared
-    error, or equal; equal too with fewer than `least` complete past rows. The grid is laid out only after past rows have
-    been summed into second moments (component by component products), which is all a squared loss needs.
+    Rows are summed by the day of their publication; days and asks then form one running sum. That is a row or two for each day of a calendar, ordered
+    in one task, however many rows there are.
     """
-    names = [*components, target]
-    complete = F.lit(True)
-    for c in names:
-        complete = complete & F.col(f"p.{c}").isNotNull()
-    asks = wide.select(asked).distinct()
-    past = asks.alias("a").join(wide.alias("p"), seen & complete, "left")
-    moment = {(i, j): f"m_{i}_{j}" for i in range(len(names)) for j in range(i, len(names))}
-    sums = past.groupBy(F.col(f"a.{asked}").alias(asked)).agg(F.count(F.when(complete, 1)).alias("n_history"), *[F.sum(F.when(complete, F.col(f"p.{names[i]}") * F.col(f"p.{names[j]}"))).alias(m) for (i, j), m in moment.items()])
-    k = len(components)
-    m = lambda i, j: F.col(moment[min(i, j), max(i, j)])
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    sums = [F.count("*").alias("n_history"), *[F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"m_{i}_{j}") for i, j in pairs]]
+    daily = wide.where(F.col(published).isNotNull()).dropna(subset=columns).groupBy(F.col(published).cast("date").alias("_day")).agg(*sums).withColumn("_ask", F.lit(False))
+    asks = wide.where(F.col(asked).isNotNull()).select(F.col(asked).cast("date").alias("_day")).distinct().withColumn("_ask", F.lit(True))
+    names = ["n_history", *[f"m_{i}_{j}" for i, j in pairs]]
+    both = daily.unionByName(asks, allowMissingColumns=True)
+    before = Window.orderBy("_day", F.desc("_ask") if strict else F.asc("_ask")).rowsBetween(Window.unboundedPreceding, 0)
+    running = both.select("_day", "_ask", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in names])
+    return running.where("_ask").drop("_ask").withColumnRenamed("_day", asked)
+
+
+def blend_weights(moments: DataFrame, k: int, method: str, least: int, step: float) -> DataFrame:
+    """moments_as_of() of k components and their target with weights: of the least squared error on a grid (first best), by inverse mean squared error, or
+    equal; equal too with fewer than `least` rows. The grid is laid out for days alone."""
+    m = lambda i, j: F.col(f"m_{min(i, j)}_{max(i, j)}")
     equal = F.array(*[F.lit(1.0 / k)] * k)
     if method == "inverse_variance":
-        inverse = [1 / F.greatest((m(i, i) - 2 * m(i, k) + m(k, k)) / F.col("n_history"), F.lit(1e-12)) for i in range(k)]
-        weights = F.array(*[x / sum(inverse[1:], inverse[0]) for x in inverse])
-        fitted = sums.withColumn("weights", weights)
+        inverse = [1 / F.greatest(F.try_divide(m(i, i) - 2 * m(i, k) + m(k, k), F.col("n_history")), F.lit(1e-12)) for i in range(k)]
+        fitted = moments.withColumn("weights", F.array(*[x / sum(inverse[1:], inverse[0]) for x in inverse]))
     elif method == "learned":
-        grid = wide.sparkSession.createDataFrame([(n, w) for n, w in enumerate(simplex(k, step))], "n int, w array<double>")
+        grid = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.array(*[F.lit(x) for x in w]).alias("w")) for n, w in enumerate(simplex(k, step))]))
+        w = lambda i: F.col("g.w")[i]
         loss = m(k, k)
         for i in range(k):
-            loss = loss - 2 * F.col("w")[i] * m(i, k)
+            loss = loss - 2 * w(i) * m(i, k)
             for j in range(k):
-                loss = loss + F.col("w")[i] * F.col("w")[j] * m(i, j)
-        fitted = sums.crossJoin(F.broadcast(grid)).groupBy(asked, "n_history").agg(F.min_by("w", F.struct(loss, "n")).alias("weights"))
+                loss = loss + w(i) * w(j) * m(i, j)
+        key = [c for c in moments.columns if not c.startswith("m_")]
+        # losses that agree to nine digits are the same, and the first of the grid counts
+        fitted = moments.withColumn("g", grid).groupBy(*key).agg(F.min_by("g.w", F.struct(F.round(F.try_divide(loss, F.col("n_history")), 9).alias("loss"), F.col("g.n").alias("n"))).alias("weights"))
+    elif method == "equal":
+        fitted = moments.withColumn("weights", equal)
     else:
-        fitted = sums.withColumn("weights", equal)
-    fitted = fitted.select(asked, "n_history", F.when(F.col("n_history") >= least, F.col("weights")).otherwise(equal).alias("weights"))
-    return wide.join(fitted, asked).withColumn("blended", blend([F.col(c) for c in components], [F.col("weights")[i] for i in range(k)]))
+        raise ValueError(f"unknown method {method}")
+    return fitted.select(*[c for c in fitted.columns if not c.startswith("m_") and c != "weights"], F.when(F.col("n_history") >= least, F.col("weights")).otherwise(equal).alias("weights"))
+
+
+def walk_forward_blend(wide: DataFrame, components: list[str], target: str, published: str, asked: str, strict: bool = True, method: str = "learned", least: int = 10, step: float = 0.05) -> DataFrame:
+    """wide with n_history, weights and `blended`: each row's components under weights from the rows whose target had been published before its
+    `asked` day (strict), or by it.
+
+    wide: one row a question; a component is null where it made no forecast, and the weights of the others are then scaled up. Rows without an `asked` day have no blend.
+    """
+    k = len(components)
+    fitted = blend_weights(moments_as_of(wide, [*components, target], published, asked, strict), k, method, least, step)
+    return wide.join(fitted.withColumnRenamed(asked, "_asked"), F.col(asked).cast("date") == F.col("_asked"), "left").drop("_asked").withColumn("blended", blend([F.col(c) for c in components], [F.col("weights")[i] for i in range(k)]))
+
+
+def numeric_blend(rows: DataFrame, components: list[str], method: str = "learned", least: int = 10) -> DataFrame:
+    """Numeric forecasts (series_id, forecast_date, target_period, data_as_of, actual, actual_as_of and structs (prediction, lower, upper) named as the components)
+    with the blended prediction, lower and upper: weights from relative errors of all series' forecasts whose actual had been published by data_as_of."""
+    errors = {f"_e{i}": F.try_divide(F.col(f"{c}.prediction"), "actual") - 1 for i, c in enumerate(components)}
+    wide = rows.withColumns(errors).withColumn("_zero", F.when(F.col("actual").isNotNull(), F.lit(0.0)))
+    out = walk_forward_blend(wide, list(errors), "_zero", "actual_as_of", "data_as_of", False, method, least).drop(*errors, "_zero", "blended")
+    weights = [F.col("weights")[i] for i in range(len(components))]
+    return out.withColumns({v: blend([F.col(f"{c}.{v}") for c in components], weights) for v in ("prediction", "lower", "upper")}).drop(*components)

@@ -124,10 +124,45 @@ def m17_m18_walk_forward_recalibration(spark: SparkSession, d: str) -> DataFrame
 
 @query()
 def m19_isotonic_and_platt(spark: SparkSession, d: str) -> DataFrame:
-    b = binary(spark, d).where("component = 'market'")
-    train, ask = b.where("outcome is not null and question_id % 2 = 0"), b.where("question_id % 2 = 1").select("question_id", "p")
-    iso = calibration.isotonic(train, ask).select("question_id", F.col("calibrated").alias("isotonic"))
-    return iso.join(calibration.platt(train, ask).select("question_id", F.col("calibrated").alias("platt")), "question_id")
+    """All components: fitted on questions resolved before mid-2023, asked from then on."""
+    b, start = binary(spark, d), day("2023-07-01")
+    train, ask = b.where(F.col("outcome").isNotNull() & (F.col("resolved_at") < start)), b.where(F.col("ask_date") >= start).select("component", "question_id", "p")
+    out = calibration.isotonic(train, ask, ["component"]).select("component", "question_id", F.col("p"), F.col("calibrated").alias("isotonic"))
+    for c in COMPONENTS:
+        one = calibration.platt(train.where(F.col("component") == c), ask.where(F.col("component") == c)).select("component", "question_id", F.col("calibrated").alias("platt"))
+        both = one if c == COMPONENTS[0] else both.unionByName(one)
+    return out.join(both, ["component", "question_id"]).select("component", "question_id", "isotonic", "platt")
+
+
+def folded(spark: SparkSession, d: str) -> DataFrame:
+    """Categorical forecasts of orders in folds by year; the outcome is out 40 days after the forecast."""
+    rows = categorical(spark, d).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("asked")), "id")
+    return rows.withColumns({"fold": F.year("asked"), "starts": F.trunc("asked", "year").cast("date"), "published": F.date_add("asked", 40)})
+
+
+FOLDED = f"""{CATEGORICAL}, dated AS (SELECT p.*, year(o_orderdate) AS fold, date_trunc('year', o_orderdate)::DATE AS starts, o_orderdate::DATE + 40 AS published FROM probs p JOIN orders ON o_orderkey = id),
+seen AS (SELECT f.model, f.fold, p.p AS x, sum((p.category = p.outcome)::INT)::BIGINT AS hits, count(*)::BIGINT AS n FROM (SELECT DISTINCT model, fold, starts FROM dated) f JOIN dated p ON p.model = f.model AND p.published < f.starts GROUP BY ALL),
+upto AS (SELECT *, sum(hits) OVER w AS ch, sum(n) OVER w AS cn FROM seen WINDOW w AS (PARTITION BY model, fold ORDER BY x)),
+runs AS (SELECT a.model, a.fold, a.x AS low, b.x AS high, (b.ch - a.ch + a.hits)::DOUBLE / (b.cn - a.cn + a.n) AS mean FROM upto a JOIN upto b ON a.model = b.model AND a.fold = b.fold AND b.x >= a.x),
+worst AS (SELECT model, fold, high, low, min(mean) OVER (PARTITION BY model, fold, low ORDER BY high DESC) AS least FROM runs),
+fit AS (SELECT u.model, u.fold, u.x, max(w.least) AS y FROM upto u JOIN worst w ON w.model = u.model AND w.fold = u.fold AND w.low <= u.x AND w.high = u.x GROUP BY ALL)"""
+
+
+@query(f"WITH {FOLDED} SELECT model, fold::INT AS fold, x, {q('y', 8)} AS y FROM fit")
+def m19_fold_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The rising function of each model and fold at the probabilities it was fitted on, against the min-max formula."""
+    flat = metrics.one_vs_rest(folded(spark, d)).select("model", "fold", "starts", "published", "p", "outcome")
+    past = flat.select(F.col("model").alias("m"), F.col("published").alias("out"), "p", "outcome")
+    train = flat.select("model", "fold", "starts").distinct().join(past, (F.col("model") == F.col("m")) & (F.col("out") < F.col("starts"))).select("model", "fold", "p", "outcome")
+    points = train.select("model", "fold", "p").distinct()
+    return calibration.isotonic(train, points, ["model", "fold"]).select("model", "fold", F.col("p").alias("x"), quantised(F.col("calibrated"), 8).alias("y"))
+
+
+@query()
+def m19_fold_calibration(spark: SparkSession, d: str) -> DataFrame:
+    """Every categorical forecast under its fold's function, renormalised."""
+    out = calibration.fold_isotonic(folded(spark, d), ["model"], "fold", "starts", "published", ["id"])
+    return out.select("id", "model", "fold", *[F.col("calibrated")[c].alias(c) for c in ("F", "O", "P")])
 
 
 WIDE = f"{BINARY}, wide AS (SELECT question_id, ask_date, max(CASE outcome WHEN 'yes' THEN 1.0::DOUBLE WHEN 'no' THEN 0.0::DOUBLE END) AS y, max(resolved_at) AS resolved_at, max(CASE WHEN component = 'base_rate' THEN p END) AS base_rate, max(CASE WHEN component = 'llm' THEN p END) AS llm, max(CASE WHEN component = 'market' THEN p END) AS market FROM binary_frame GROUP BY ALL)"
@@ -147,16 +182,39 @@ def _inverse(c: str) -> str:
 v AS (SELECT ask_date, n, CASE WHEN n >= 10 THEN ib / (ib + il + im) ELSE 1 / 3.0::DOUBLE END AS wb, CASE WHEN n >= 10 THEN il / (ib + il + im) ELSE 1 / 3.0::DOUBLE END AS wl, CASE WHEN n >= 10 THEN im / (ib + il + im) ELSE 1 / 3.0::DOUBLE END AS wm FROM w)
 SELECT question_id, n::BIGINT AS n_history, {q('(base_rate * wb + coalesce(llm * wl, 0) + market * wm) / (wb + CASE WHEN llm IS NULL THEN 0 ELSE wl END + wm)', 5)} AS blended FROM wide JOIN v USING (ask_date)""")
 def m20_m21_walk_forward_blend(spark: SparkSession, d: str) -> DataFrame:
-    seen = F.col("p.resolved_at") < F.col("a.ask_date")
-    out = calibration.walk_forward_blend(wide(spark, d), list(COMPONENTS), "y", seen, ["question_id"], "ask_date", "inverse_variance")
+    out = calibration.walk_forward_blend(wide(spark, d), list(COMPONENTS), "y", "resolved_at", "ask_date", True, "inverse_variance")
     return out.select("question_id", "n_history", quantised(F.col("blended"), 5).alias("blended"))
 
 
-@query()
+GRID = ", ".join(f"({n}, {w[0]!r}::DOUBLE, {w[1]!r}::DOUBLE, {w[2]!r}::DOUBLE)" for n, w in enumerate(calibration.simplex(3)))
+
+
+@query(f"""WITH {WIDE}, grid AS (SELECT * FROM (VALUES {GRID}) g(nth, wb, wl, wm)),
+h AS (SELECT a.ask_date, p.base_rate AS b, p.llm AS l, p.market AS m, p.y FROM (SELECT DISTINCT ask_date FROM wide) a JOIN wide p ON p.resolved_at < a.ask_date AND p.y IS NOT NULL AND p.base_rate IS NOT NULL AND p.llm IS NOT NULL AND p.market IS NOT NULL),
+mo AS (SELECT ask_date, count(*) AS n, sum(b * b) AS bb, sum(l * l) AS ll, sum(m * m) AS mm, sum(b * l) AS bl, sum(b * m) AS bm, sum(l * m) AS lm, sum(b * y) AS yb, sum(l * y) AS yl, sum(m * y) AS ym, sum(y * y) AS yy FROM h GROUP BY ask_date),
+lo AS (SELECT ask_date, n, nth, wb, wl, wm, floor((yy - 2 * (wb * yb + wl * yl + wm * ym) + wb * wb * bb + wl * wl * ll + wm * wm * mm + 2 * (wb * wl * bl + wb * wm * bm + wl * wm * lm)) / n * 1e9 + 0.5) AS loss FROM mo CROSS JOIN grid),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ask_date ORDER BY loss, nth) AS r FROM lo) WHERE r = 1),
+v AS (SELECT w.ask_date, coalesce(n, 0) AS n, CASE WHEN n >= 10 THEN wb ELSE 1 / 3.0::DOUBLE END AS wb, CASE WHEN n >= 10 THEN wl ELSE 1 / 3.0::DOUBLE END AS wl, CASE WHEN n >= 10 THEN wm ELSE 1 / 3.0::DOUBLE END AS wm FROM (SELECT DISTINCT ask_date FROM wide) w LEFT JOIN best USING (ask_date)),
+s AS (SELECT question_id, n, base_rate, llm, market, wb, CASE WHEN llm IS NULL THEN 0 ELSE wl END AS wl, wm FROM wide JOIN v USING (ask_date))
+SELECT question_id, n::BIGINT AS n_history, {q('CASE WHEN wb + wl + wm > 0 THEN (base_rate * wb + coalesce(llm, 0) * wl + market * wm) / (wb + wl + wm) ELSE (base_rate + coalesce(llm, 0) + market) / (2 + (llm IS NOT NULL)::INT) END', 5)} AS blended FROM s""")
 def m20_m21_learned_blend(spark: SparkSession, d: str) -> DataFrame:
-    seen = F.col("p.resolved_at") < F.col("a.ask_date")
-    out = calibration.walk_forward_blend(wide(spark, d), list(COMPONENTS), "y", seen, ["question_id"], "ask_date", "learned")
-    return out.select("question_id", "n_history", "weights", quantised(F.col("blended"), 5).alias("blended"))
+    out = calibration.walk_forward_blend(wide(spark, d), list(COMPONENTS), "y", "resolved_at", "ask_date", True, "learned")
+    return out.select("question_id", "n_history", quantised(F.col("blended"), 5).alias("blended"))
+
+
+@query(f"""WITH {RESULTS}, w AS (SELECT series_id, forecast_date, target_period, data_as_of, actual, actual_as_of, max(CASE WHEN model = 'random_walk' THEN prediction END) AS p0, max(CASE WHEN model = 'historical_mean' THEN prediction END) AS p1,
+  max(CASE WHEN model = 'random_walk' THEN lower END) AS l0, max(CASE WHEN model = 'historical_mean' THEN lower END) AS l1 FROM results GROUP BY ALL),
+m AS (SELECT a.data_as_of, count(p.actual) AS n, 1 / greatest(avg((p.p0 / p.actual - 1) * (p.p0 / p.actual - 1)), 1e-12) AS i0, 1 / greatest(avg((p.p1 / p.actual - 1) * (p.p1 / p.actual - 1)), 1e-12) AS i1
+  FROM (SELECT DISTINCT data_as_of FROM w) a LEFT JOIN w p ON p.actual_as_of <= a.data_as_of AND p.p0 IS NOT NULL AND p.p1 IS NOT NULL AND p.actual IS NOT NULL AND p.actual <> 0 GROUP BY a.data_as_of),
+v AS (SELECT data_as_of, n, CASE WHEN n >= 10 THEN i0 / (i0 + i1) ELSE 0.5::DOUBLE END AS w0, CASE WHEN n >= 10 THEN i1 / (i0 + i1) ELSE 0.5::DOUBLE END AS w1 FROM m)
+SELECT series_id, forecast_date, target_period, n::BIGINT AS n_history, {q('CASE WHEN p0 IS NULL THEN p1 WHEN p1 IS NULL THEN p0 ELSE (p0 * w0 + p1 * w1) / (w0 + w1) END', 2)} AS prediction, {q('CASE WHEN l0 IS NULL THEN l1 WHEN l1 IS NULL THEN l0 ELSE (l0 * w0 + l1 * w1) / (w0 + w1) END', 1)} AS lower FROM w JOIN v USING (data_as_of)""")
+def m21_numeric_blend(spark: SparkSession, d: str) -> DataFrame:
+    r = results(spark, d)
+    key = ["series_id", "forecast_date", "target_period", "data_as_of", "actual", "actual_as_of"]
+    models = ["random_walk", "historical_mean"]
+    rows = r.groupBy(*key).agg(*[F.first(F.when(F.col("model") == m, F.struct("prediction", "lower", "upper")), ignorenulls=True).alias(m) for m in models])
+    out = calibration.numeric_blend(rows, models, "inverse_variance")
+    return out.select("series_id", "forecast_date", "target_period", "n_history", quantised(F.col("prediction"), 2).alias("prediction"), quantised(F.col("lower"), 1).alias("lower"))
 
 
 @query(f"""WITH {FORECASTS}, {RESOLUTIONS}, t AS (SELECT forecast_id, abs(prediction - actual_value) AS e, abs(prediction - coalesce(latest_value, actual_value)) AS r, 1.5::DOUBLE * (upper - lower) / 2 AS band, actual_value AS first, coalesce(latest_value, actual_value) AS latest, (forecast_id % 80) AS moves, actual_value * 0.5::DOUBLE AS last_known FROM forecasts JOIN resolutions USING (question_id) WHERE actual_value IS NOT NULL)
