@@ -99,7 +99,7 @@ def isotonic(train: DataFrame, asked: DataFrame, keys: list[str], p: str = "p",
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
     x = F.col(p).cast("double")
-    below = F.element_at(F.filter("_s", lambda s: s["low"] <= x), -1)
+    below = F.try_element_at(F.filter("_s", lambda s: s["low"] <= x), F.lit(-1))
     above = F.get(F.filter("_s", lambda s: s["low"] > x), F.lit(0))
     between = below["y"] + (above["y"] - below["y"]) * (x - below["high"]) / (above["low"] - below["high"])
     first = F.get("_s", F.lit(0))
