@@ -39,8 +39,9 @@ def upsert(table: DataFrame, incoming: DataFrame, key: list[str], keep: Column |
     return both.select(winner.otherwise(F.col("n")).alias("r")).select("r.*")
 
 
-def upsert_status(table: DataFrame, incoming: DataFrame, key: list[str], values: list[str]) -> DataFrame:
-    """incoming with status inserted, updated or unchanged, by null-safe comparison of values."""
+def upsert_status(table: DataFrame, incoming: DataFrame, key: list[str], values: list[str], order: str | None = None) -> DataFrame:
+    """incoming with status inserted, updated or unchanged, by null-safe comparison of values. order: of rows with one key the last one counts."""
+    incoming = incoming if order is None else last_wins(incoming, key, order)
     seen = table.select(*[F.col(k).alias(f"o_{k}") for k in key], F.struct(*values).alias("_old"))
     on = F.lit(True)
     for k in key:
@@ -75,6 +76,26 @@ def _renamed(key: list[str]) -> Column:
     return on
 
 
+def gapless_through(days: DataFrame, keys: list[str], day: str, marks: DataFrame | None = None) -> DataFrame:
+    """(keys, through): the last day up to which a key's days follow each other without a gap, from its first day on, or from its mark.
+
+    marks (keys, through): how far a key had come; days after it extend the mark as long as the next one is there, and a key without new days keeps
+    its mark. Days that repeat count once and null days don't count. A key's distinct days are ordered in one window: a calendar's length at most.
+    """
+    seen = days.where(F.col(day).isNotNull()).select(*keys, F.col(day).cast("date").alias("_day")).distinct()
+    if marks is not None:
+        old = marks.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("through").alias("_through"))
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        later = seen.join(old, on, "left").where(F.col("_through").isNull() | (F.col("_day") > F.col("_through"))).select(*keys, "_day")
+        seen = later.unionByName(marks.select(*keys, F.col("through").alias("_day")))
+    w = Window.partitionBy(*keys).orderBy("_day")
+    island = F.date_sub("_day", F.row_number().over(w))
+    runs = seen.withColumn("_island", island).groupBy(*keys, "_island").agg(F.max("_day").alias("_last"))
+    return runs.groupBy(*keys).agg(F.min_by("_last", "_island").alias("through"))
+
+
 def live_rows(pulled: DataFrame, stored: DataFrame) -> DataFrame:
     """Of pulled (series_id, observed_at, as_of, value, reconstructed) what is worth storing: values above zero that are a
     backfill of an unknown period, or a live row that is new, changed, or confirms what was only reconstructed."""

@@ -1,16 +1,22 @@
 """As-of reads, writes and validation over the derived vintages."""
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vintra.functions.scalar import quantised
 from vintra.operators import asof, joins, validate, writes
 from vintra.queries.base import DAILY, FIRST, KNOWN, LAST, MONTHLY, OBS, QUESTIONS, RESOLUTIONS, daily, day, obs, q, query, questions, resolutions, table
+from vintra.sources.merge import MergedTable
+from vintra.sources.scratch import shared_dir
+
 
 def cut() -> Column:
     """The day of the as-of reads; made when called, as it needs a session."""
     return day("1998-06-30")
 
+
 SERIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 KEYS = ["series_id", "observed_at"]
 
@@ -216,6 +222,39 @@ def k9_incremental_cursor(spark: SparkSession, d: str) -> DataFrame:
     return top.join(again, "event_type")
 
 
+MARKS = """days AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events WHERE ts IS NOT NULL), {name} AS (SELECT user_id, arg_min(last, island) AS through FROM (
+  SELECT user_id, island, max(day) AS last FROM (SELECT *, day - row_number() OVER (PARTITION BY user_id ORDER BY day)::INT AS island FROM {of}) GROUP BY ALL) GROUP BY user_id)"""
+
+
+@query(f"WITH {MARKS.format(name='marks', of='days')} SELECT d.user_id, through, count(*) FILTER (WHERE day > through)::BIGINT AS days_after, max(day) AS newest FROM days d JOIN marks USING (user_id) GROUP BY ALL")
+def k9_gapless_mark(spark: SparkSession, d: str) -> DataFrame:
+    """Up to which day each user's days are complete, and how many lie behind a gap."""
+    days = table(spark, d, "events").select("user_id", F.to_date("ts").alias("day"))
+    marks = writes.gapless_through(days, ["user_id"], "day")
+    rest = days.where("day is not null").distinct().join(marks, "user_id").groupBy("user_id", "through").agg(F.count(F.when(F.col("day") > F.col("through"), 1)).alias("days_after"), F.max("day").alias("newest"))
+    return rest.select("user_id", "through", "days_after", "newest")
+
+
+@query(f"WITH {MARKS.format(name='whole', of='days')} SELECT user_id, through FROM whole WHERE user_id IN (SELECT user_id FROM days WHERE day <= DATE '2024-01-15')")
+def k9_extended_mark(spark: SparkSession, d: str) -> DataFrame:
+    """Marks of the days until mid-month, moved on by the later ones: only where nothing lies between."""
+    days = table(spark, d, "events").select("user_id", F.to_date("ts").alias("day"))
+    marks = writes.gapless_through(days.where(F.col("day") <= day("2024-01-15")), ["user_id"], "day")
+    moved = writes.gapless_through(days.where(F.col("day") > day("2024-01-15")), ["user_id"], "day", marks)
+    return moved.join(marks.select("user_id"), "user_id", "left_semi").select("user_id", "through")
+
+
+@query("SELECT date_trunc('month', o_orderdate)::DATE AS month, count(*)::BIGINT AS n, sum(CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END)::BIGINT AS versions FROM orders GROUP BY ALL")
+def k1_k2_partition_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Orders merged into a table by month in three steps: most of them, then all (new ones alone are written), then changed ones."""
+    o = table(spark, d, "orders").select("o_orderkey", F.trunc("o_orderdate", "month").cast("date").alias("month"), F.lit(1).alias("version"))
+    merged = MergedTable(spark, f"{shared_dir(spark)}/merge-{uuid.uuid4().hex}", ["month", "o_orderkey"], "month")
+    merged.insert(o.where("o_orderkey % 5 <> 0"))
+    merged.insert(o)
+    merged.upsert(o.where("o_orderkey % 3 = 0").withColumn("version", F.lit(2)), ["version"])
+    return merged.read().groupBy("month").agg(F.count("*").alias("n"), F.sum("version").alias("versions"))
+
+
 @query(f"""WITH {OBS}, stored AS (SELECT series_id, observed_at, arg_max(coalesce(value, -1), as_of) AS old, arg_max(reconstructed, as_of) AS oldr FROM obs WHERE as_of <= DATE '1998-06-30' GROUP BY ALL),
 pulled AS (SELECT series_id, observed_at, as_of, value, reconstructed FROM obs WHERE as_of > DATE '1998-06-30' AND as_of <= DATE '1998-09-30')
 SELECT p.series_id, p.observed_at, p.as_of, p.value, p.reconstructed FROM pulled p LEFT JOIN stored s ON s.series_id = p.series_id AND s.observed_at = p.observed_at

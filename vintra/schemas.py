@@ -8,8 +8,12 @@ MISS_CATEGORIES = ("expected_variance", "bad_data", "bad_model", "regime_change"
 SERIES_KINDS = ("count", "percent", "log10")
 
 
+_TYPES = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "date": T.DateType(), "timestamp": T.TimestampType(), "map<string,double>": T.MapType(T.StringType(), T.DoubleType()), "map<string,string>": T.MapType(T.StringType(), T.StringType()), "decimal(10,6)": T.DecimalType(10, 6)}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Names and types, read without a session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (field.split(" ") for field in text.split(", "))])
 
 
 OBSERVATIONS = _struct("series_id string, observed_at date, as_of date, value double, reconstructed boolean")

@@ -67,7 +67,9 @@ def release_dates(lines: DataFrame) -> DataFrame:
     rows = lines.select("line_no", F.when(year != "", year.cast("int")).alias("y"), F.when(quarter != "", quarter.cast("int")).alias("survey_quarter"), date.alias("d"))
     carried = rows.withColumn("survey_year", F.last("y", ignorenulls=True).over(Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
     released = F.when(F.length(F.substring_index("d", "/", -1)) == 4, F.to_date("d", "M/d/yyyy")).otherwise(F.to_date("d", "M/d/yy"))
-    return carried.where("survey_quarter is not null and d <> ''").select("survey_year", "survey_quarter", released.alias("released"))
+    # two digits are a year of this century to Spark; a survey is released within a year of its own
+    near = F.when(F.year(released) > F.col("survey_year") + 1, F.add_months(released, -1200)).otherwise(released)
+    return carried.where("survey_quarter is not null and d <> ''").select("survey_year", "survey_quarter", near.alias("released"))
 
 
 def survey_long(medians: DataFrame, columns: int = 6) -> DataFrame:

@@ -2,31 +2,12 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vintra.operators.writes import insert_absent
+from vintra.sources.merge import MergedTable
 
 
-def append_absent(spark: SparkSession, path: str, incoming: DataFrame, key: list[str], partition_by: list[str] | None = None) -> int:
-    """Appends the rows whose key isn't there; the number appended. Makes the table if there is none."""
-    deduplicated = incoming.dropDuplicates(key)
-    try:
-        fresh = insert_absent(spark.read.parquet(path), deduplicated, key)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        fresh = deduplicated
-    before = _count(spark, path)
-    writer = fresh.write.mode("append")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return _count(spark, path) - before
-
-
-def _count(spark: SparkSession, path: str) -> int:
-    try:
-        return spark.read.parquet(path).count()
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return 0
-        raise
+def append_absent(spark: SparkSession, path: str, incoming: DataFrame, key: list[str], partition_by: str | None = None) -> int:
+    """Appends the rows whose key isn't there; the number appended, as the write counted them. Makes the table if there is none. Read it by MergedTable."""
+    return MergedTable(spark, path, key, partition_by).insert(incoming).inserted
 
 
 def report(df: DataFrame, path: str) -> None:
