@@ -56,3 +56,11 @@ def test_explanations_add_up(spark, small):
         sizes = [abs(x["value"]) for x in r["drivers"]]
         assert sizes == sorted(sizes, reverse=True) and math.fsum(x["value"] for x in r["drivers"]) == pytest.approx(r["explained"], rel=1e-9, abs=1e-6)
     assert {x["name"] for r in rows for x in r["drivers"]} == {"quantity", "discount", "tax", "line", "shipped"}
+
+
+def test_statistical_models_cover_every_date(spark, small):
+    got = QUERIES["p6_statistical_models"](spark, small).toPandas()
+    assert set(got.model) == {"ets", "arima"} and set(got.series_id) == set(models.SERIES)
+    late = got[got.forecast_date.astype(str) >= "1998-02-01"]
+    assert late.groupby(["model", "series_id"]).forecast_date.nunique().eq(35).all()  # refits from the first one with two years of history
+    assert (got.lower < got.prediction).all() and (got.prediction < got.upper).all() and (got.prediction > 0).all()

@@ -46,7 +46,7 @@ def test_against_sql(spark, small, con, name):
 
 
 #: Tested by value in test_model_queries.
-VALUED = {"m19_fold_calibration", "m19_isotonic_and_platt", "p7_boosted_changes", "p8_decision_probabilities", "p9_threshold_probabilities", "p10_explained_prices"}
+VALUED = {"p6_statistical_models", "m19_fold_calibration", "m19_isotonic_and_platt", "p7_boosted_changes", "p8_decision_probabilities", "p9_threshold_probabilities", "p10_explained_prices"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - VALUED))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from vintra.functions import scalar
 from vintra.functions.calendar import month_start
 from vintra.functions.scalar import quantised
-from vintra.plans import backtest, boosting, features, questions as plans
+from vintra.plans import backtest, boosting, features, questions as plans, statespace
 from vintra.plans.boosting import Spec
 from vintra.queries.base import FIRST, LAST, OBS, day, obs, q, query, table
 from vintra.queries.scoring import decisions, results
@@ -32,6 +32,15 @@ def training(spark: SparkSession, d: str) -> DataFrame:
     return monthly(spark, d).join(truth, ["series_id", "forecast_date"])
 
 
+@query()
+def p6_statistical_models(spark: SparkSession, d: str) -> DataFrame:
+    """Smoothing and ARIMA forecasts three months after the last known one, at every forecast date with two years behind its refit; refits every twelve dates."""
+    h = Scratch(spark).save(backtest.histories(obs(spark, d), FIRST, LAST).select("series_id", "forecast_date", "observed_at", "value"), "histories")
+    refit = backtest.fold_starts(F.col("forecast_date"), 12)
+    both = [statespace.forecasts(h, refit, F.lit("count"), family, 3).withColumn("model", F.lit(family)) for family in ("ets", "arima")]
+    return both[0].unionByName(both[1])
+
+
 @query()
 def p7_boosted_changes(spark: SparkSession, d: str) -> DataFrame:
     """Three-month changes: grid and folds with a gap of the horizon, interval from the out-of-fold errors, for the dates after training."""

@@ -338,15 +338,6 @@ def p11_p12_feature_matrix(spark: SparkSession, d: str) -> DataFrame:
     return m.select("series_id", "forecast_date", "level", "lag1", "lag12", *[quantised(F.col(c), n).alias(c) for c, n in digits.items()], "months_behind", "month_3", "quarter_2")
 
 
-@query()
-def p6_statistical_models(spark: SparkSession, d: str) -> DataFrame:
-    from vintra.plans import models
-
-    h = backtest.histories(obs(spark, d), FIRST, LAST)
-    both = [models.statistical(h, 3, name, z_of(0.8)).withColumn("model", F.lit(name)) for name in ("ets", "arima")]
-    return both[0].unionByName(both[1])
-
-
 @query(f"WITH {QUESTIONS}, p AS (SELECT target AS series_id, d::DATE AS ask_date, h AS horizon_months, (d + to_months(h))::DATE AS target_date FROM (SELECT DISTINCT target FROM questions) CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '1998-01-01', TIMESTAMP '1998-12-01', INTERVAL 1 MONTH)) AS d) CROSS JOIN (VALUES (1), (3), (6)) v(h)) SELECT * FROM p")
 def p16_planned_questions(spark: SparkSession, d: str) -> DataFrame:
     s = questions(spark, d).select(F.col("target").alias("series_id"), F.lit("count").alias("kind")).distinct()
