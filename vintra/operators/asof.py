@@ -97,9 +97,10 @@ def release_lags(obs: DataFrame) -> DataFrame:
 
 def backfill_first(obs: DataFrame, lags: DataFrame) -> DataFrame:
     """The first vintage of a series re-dated to period + lag where that is earlier: it held history that had been known."""
-    start = F.min("as_of").over(Window.partitionBy("series_id"))
+    # a row a series: its vintages aren't gathered
+    starts = obs.groupBy("series_id").agg(F.min("as_of").alias("start")).join(lags, "series_id", "left")
     assumed = F.date_add("observed_at", F.col("lag"))
-    dated = obs.withColumn("start", start).join(lags, "series_id", "left")
+    dated = obs.join(starts, "series_id")
     return dated.withColumn("as_of", F.when((F.col("as_of") == F.col("start")) & (assumed < F.col("start")), assumed).otherwise(F.col("as_of"))).drop("start", "lag")
 
 

@@ -98,26 +98,34 @@ def p_value(statistic: float, n: int) -> float:
 def cluster_bootstrap(df: DataFrame, by: list[str], cluster: str, value: str, draws: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
     """low and high of the mean when whole clusters are drawn with replacement; null for fewer than two clusters.
 
-    Clusters are first summed, which is all that a draw needs; a group's draws are then made from its sums by numpy.
+    Clusters are first summed, which is all that a draw needs. A group's sums, one pair a cluster, go to as many tasks as there are blocks of
+    draws, and the draws' means are met by an exact percentile. Draw k has the seed (seed, k).
     """
     import numpy as np
     import pandas as pd
 
     sums = df.where(F.col(value).isNotNull()).groupBy(*by, cluster).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(cluster)
-        k, head = len(pdf), pdf[by].iloc[:1].reset_index(drop=True)
-        if k < 2:
-            return head.assign(low=np.nan, high=np.nan)
-        rng = np.random.default_rng(seed)
-        s, n = pdf["s"].to_numpy(float), pdf["n"].to_numpy(float)
-        means = np.array([s[i].sum() / n[i].sum() for i in (rng.integers(0, k, k) for _ in range(draws))])
-        tail = (1 - level) / 2
-        return head.assign(low=np.quantile(means, tail), high=np.quantile(means, 1 - tail))
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(cluster).alias("c"), F.col("s").cast("double").alias("s"), F.col("n").alias("n"))))
+    groups = sums.groupBy(*by).agg(pairs.alias("x")).select(*by, F.col("x.s").alias("s"), F.col("x.n").alias("n"))
+    block = 100
+    blocks = groups.where(F.size("s") > 1).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // block)))).repartition(*by, "_block")
+
+    def run(batches):
+        for b in batches:
+            means = []
+            for s, n, k in zip(b["s"], b["n"], b["_block"], strict=True):
+                s, n = np.asarray(s, float), np.asarray(n, float)
+                at = [np.random.default_rng((seed, d)).integers(0, len(s), len(s)) for d in range(k * block, min(draws, (k + 1) * block))]
+                means.append([s[i].sum() / n[i].sum() for i in at])
+            yield pd.DataFrame({**{c: b[c] for c in by}, "m": means})
 
     fields = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
-    return sums.groupBy(*by).applyInPandas(run, f"{fields}, low double, high double")
+    tail = (1 - level) / 2
+    ends = blocks.mapInPandas(run, f"{fields}, m array<double>").select(*by, F.explode("m").alias("m")).groupBy(*by).agg(F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    out = groups.select(*by).join(ends.select(*[F.col(c).alias(f"_{c}") for c in by], "q"), on, "left")
+    return out.select(*by, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def top_words(df: DataFrame, by: list[str], text: str, n: int, stop: list[str]) -> DataFrame:

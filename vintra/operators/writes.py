@@ -4,6 +4,8 @@ rewritten as a whole (or by partition); nothing is updated in place."""
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vintra.sources.scratch import Scratch
+
 
 def _matches(a: DataFrame, b: DataFrame, key: list[str]) -> Column:
     """Null-safe equality of keys: a null key value is a value."""
@@ -58,12 +60,23 @@ def guarded_upsert(table: DataFrame, incoming: DataFrame, key: list[str], by: st
     return upsert(table, incoming, key, keep=(F.col(f"o.{by}") != "auto") & (F.col(f"n.{by}") == "auto"))
 
 
+def numbered_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with its rows' numbers from 1 in an order: ranges are sorted and written, and each range's numbers follow the sizes of those before it."""
+    scratch = Scratch(df.sparkSession)
+    at = F.monotonically_increasing_id()
+    rows = scratch.save(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at), "ranges")
+    part = F.shiftright("_at", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    # a row for each range
+    starts = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
+    return rows.join(starts, part == F.col("_part")).withColumn(name, F.col("_at") - F.col("_first") + F.col("_before") + 1).drop("_at", "_part", "_first", "_before")
+
+
 def get_or_create(table: DataFrame, wanted: DataFrame, key: list[str], id_column: str) -> tuple[DataFrame, DataFrame]:
-    """(wanted rows with their ids, the rows to append). New ids follow the largest one, in the order of the key; the numbering
-    window runs over the new keys only."""
+    """(wanted rows with their ids, the rows to append). New ids follow the largest one, in the order of the key."""
     fresh = insert_absent(table, wanted.dropDuplicates(key), key)
     top = table.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("top"))
-    numbered = fresh.crossJoin(F.broadcast(top)).withColumn(id_column, F.col("top") + F.row_number().over(Window.orderBy(*[F.col(k).asc_nulls_first() for k in key]))).drop("top")
+    numbered = numbered_rows(fresh, [F.col(k).asc_nulls_first() for k in key], "_no").crossJoin(F.broadcast(top)).withColumn(id_column, F.col("top") + F.col("_no")).drop("top", "_no")
     all_ids = table.select(id_column, *key).unionByName(numbered.select(id_column, *key))
     out = wanted.join(all_ids.select(id_column, *[F.col(k).alias(f"i_{k}") for k in key]), _renamed(key))
     return out.drop(*[f"i_{k}" for k in key]), numbered

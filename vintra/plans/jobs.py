@@ -83,12 +83,15 @@ def fitted_dates(events: DataFrame, lead_days: int, every_months: int) -> DataFr
 def event_backtest(events: DataFrame, lead_days: int, every_months: int) -> DataFrame:
     """Climatology of outcomes over meetings, walked forward: events (series_id, meeting, published, outcome) give one row a
     meeting with p_<outcome>, smoothed by one each and counted over what was published when the model was last fitted, and the
-    Brier score, null while the outcome isn't known. Fits meet the events of their series, of which only counts leave a task."""
+    Brier score, null while the outcome isn't known. Outcomes are counted by the day they came out, and fits read the running
+    count: a row a series and day, not a row a fit and event."""
     dated = fitted_dates(events, lead_days, every_months)
     fits = dated.select("series_id", "trained_as_of").distinct()
     past = events.where("outcome is not null").select("series_id", "published", F.col("outcome").alias("past"))
-    seen = fits.join(past, "series_id").where(F.col("published") <= F.col("trained_as_of"))
-    counts = seen.groupBy("series_id", "trained_as_of").agg(*[F.count(F.when(F.col("past") == o, 1)).alias(f"n_{o}") for o in OUTCOMES])
+    daily = past.groupBy("series_id", F.col("published").alias("day")).agg(*[F.count(F.when(F.col("past") == o, 1)).alias(f"n_{o}") for o in OUTCOMES])
+    both = daily.withColumn("fit", F.lit(False)).unionByName(fits.select("series_id", F.col("trained_as_of").alias("day"), F.lit(True).alias("fit")), allowMissingColumns=True)
+    upto = Window.partitionBy("series_id").orderBy("day", "fit").rowsBetween(Window.unboundedPreceding, 0)
+    counts = both.select("series_id", F.col("day").alias("trained_as_of"), "fit", *[F.sum(f"n_{o}").over(upto).alias(f"n_{o}") for o in OUTCOMES]).where("fit").drop("fit")
     rows = dated.join(counts, ["series_id", "trained_as_of"], "left").join(events.select("series_id", "meeting", "outcome"), ["series_id", "meeting"])
     n = {o: F.coalesce(f"n_{o}", F.lit(0)) for o in OUTCOMES}
     p = {o: (n[o] + 1) / (sum(n.values()) + len(OUTCOMES)) for o in OUTCOMES}
@@ -132,7 +135,12 @@ def context(history: DataFrame, docs: DataFrame, recent: int = 12, n_docs: int =
     known = marked.groupBy(*at).agg(values.alias("recent"), F.avg("value").alias("baseline"), F.max("max_as_of_seen").alias("max_as_of_seen"))
     latest = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("published"), "doc_id"))
     months = docs.withColumn("month", month_start(F.col("published"))).withColumn("nth", latest("month")).where(F.col("nth") <= n_docs).drop("nth")
-    dates = history.select("forecast_date").distinct()
-    told = dates.join(months, F.col("month") < F.col("forecast_date")).withColumn("nth", latest("forecast_date")).where(F.col("nth") <= n_docs)
+    # documents and dates in one order, a few rows a month: a date reads how many documents lie before it, and meets the last ones by their number
+    oldest = Window.orderBy("published", F.desc("doc_id"))
+    numbered = months.select("doc_id", F.row_number().over(oldest).alias("no"))
+    counted = months.groupBy(F.col("month").alias("day")).agg(F.count("*").alias("k")).withColumn("is_date", F.lit(False)).unionByName(history.select(F.col("forecast_date").alias("day"), F.lit(0).cast("long").alias("k"), F.lit(True).alias("is_date")).distinct())
+    upto = F.sum("k").over(Window.orderBy("day", F.desc("is_date")).rowsBetween(Window.unboundedPreceding, 0))
+    asked = counted.withColumn("upto", upto).where("is_date").select(F.col("day").alias("forecast_date"), "upto")
+    told = asked.where("upto > 0").select("forecast_date", "upto", F.explode(F.sequence(F.greatest(F.lit(1), F.col("upto") - n_docs + 1), F.col("upto"))).alias("no")).join(numbered, "no").withColumn("nth", F.col("upto") - F.col("no") + 1)
     ids = told.groupBy("forecast_date").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "doc_id"))), lambda x: x["doc_id"]).alias("doc_ids"))
     return known.join(ids, "forecast_date", "left")

@@ -85,6 +85,12 @@ def token_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
     return calls.join(prices, "model", "left").withColumn("cost", cost)
 
 
+def first_calls(calls: DataFrame, context: str, order: list[str]) -> DataFrame:
+    """calls with `paid`: true for the first one of each context in `order`, whose columns name a call. One row a context meets its calls, however many share it."""
+    first = calls.groupBy(F.col(context).alias("_context")).agg(F.min(F.struct(*order)).alias("_first"))
+    return calls.join(first, F.col(context).eqNullSafe(F.col("_context"))).withColumn("paid", F.struct(*order).eqNullSafe(F.col("_first"))).drop("_context", "_first")
+
+
 def spent_before(calls: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """calls with the cost of all earlier ones of the group: what a budget stop compares with its limit."""
     return calls.withColumn("spent", F.coalesce(F.sum("cost").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))

@@ -267,6 +267,7 @@ def k10_live_row_rules(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {OBS}, {MONTHLY} SELECT count(*)::BIGINT AS n, count(*) FILTER (WHERE as_of >= forecast_date)::BIGINT AS leaks FROM monthly")
 def v1_no_lookahead(spark: SparkSession, d: str) -> DataFrame:
     seen = asof.known_monthly(obs(spark, d), FIRST, LAST)
+    validate.assert_no_lookahead(seen.withColumn("data_as_of", F.date_sub("forecast_date", 1)), "as_of", "data_as_of")
     return seen.agg(F.count("*").alias("n"), F.count(F.when(F.col("as_of") >= F.col("forecast_date"), 1)).alias("leaks"))
 
 

@@ -115,6 +115,25 @@ def r17_calibration_table(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("nominal").agg(F.count("*").alias("n"), quantised(F.avg(F.col("in_interval").cast("double"))).alias("empirical"))
 
 
+@query(f"SELECT l_orderkey AS key, l_linenumber AS line, CASE WHEN l_extendedprice = 0 THEN 0 ELSE floor(l_extendedprice / pow(10, floor(log10(l_extendedprice)) - 2) + 0.5) * pow(10, floor(log10(l_extendedprice)) - 2) END AS three, {q('greatest(l_discount * 100, l_tax * 100)', 6)} AS log_floor, {q('least(greatest(l_quantity * 3, l_tax), 100)', 6)} AS percent_cap, {q('l_quantity * 3', 6)} AS as_is FROM lineitem")
+def s_significant_and_bounded(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("l_quantity") * 3
+    return table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line"), scalar.significant(F.col("l_extendedprice")).alias("three"), quantised(scalar.bounded(F.col("l_discount") * 100, F.lit("log10"), F.col("l_tax") * 100)).alias("log_floor"),
+        quantised(scalar.bounded(x, F.lit("percent"), F.col("l_tax"))).alias("percent_cap"), quantised(scalar.bounded(x, F.lit("count"), F.col("l_tax"))).alias("as_is"),
+    )
+
+
+MARKDOWN = "'---' || chr(10) || 'tags: x' || chr(10) || '---' || chr(10) || '![pic](u.png)  <b>' || text || '</b> [a link](http://x)' || chr(10) || ' ' || chr(10) || chr(10) || 'end'"
+
+
+@query(rf"WITH m AS (SELECT doc_id, regexp_replace(regexp_replace({MARKDOWN}, '\A---\n(?s:.*?)\n---\n', ''), '!\[[^\]]*\]\([^)]*\)', '', 'g') AS t FROM documents), n AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10) || chr(10), 'g') AS t FROM m) SELECT doc_id, md5(trim(t)) AS digest, length(trim(t))::BIGINT AS n FROM n")
+def s_clean_markdown(spark: SparkSession, d: str) -> DataFrame:
+    source = F.concat(F.lit("---\ntags: x\n---\n![pic](u.png)  <b>"), "text", F.lit("</b> [a link](http://x)\n \n\nend"))
+    clean = scalar.clean_markdown(source)
+    return table(spark, d, "documents").select("doc_id", F.md5(clean.cast("binary")).alias("digest"), F.length(clean).cast("long").alias("n"))
+
+
 TOLD = "told AS (SELECT doc_id, DATE '1996-01-01' + (doc_id % 1700)::INT AS published FROM documents)"
 
 

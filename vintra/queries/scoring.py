@@ -231,6 +231,14 @@ def m23_classify_binary(spark: SparkSession, d: str) -> DataFrame:
     return w.select("question_id", postmortem.classify_binary(F.col("llm"), F.col("outcome"), F.col("base_rate")).alias("category"))
 
 
+@query(f"WITH {FORECASTS}, t AS (SELECT forecast_id, p, CASE forecast_id % 3 WHEN 0 THEN 'hike' WHEN 1 THEN 'cut' ELSE 'hold' END AS outcome, CASE WHEN forecast_id % 13 > 0 THEN (forecast_id % 9 - 4)::DOUBLE / 20 END AS spread FROM forecasts) SELECT forecast_id, CASE WHEN p >= 0.2::DOUBLE THEN 'expected_variance' WHEN spread IS NULL OR CASE outcome WHEN 'hike' THEN spread >= 0.1::DOUBLE WHEN 'cut' THEN spread <= -0.1::DOUBLE ELSE abs(spread) < 0.1::DOUBLE END THEN 'bad_model' ELSE 'regime_change' END AS category FROM t")
+def m23_classify_decision(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("forecast_id")
+    outcome = F.when(k % 3 == 0, "hike").when(k % 3 == 1, "cut").otherwise("hold")
+    spread = F.when(k % 13 > 0, (k % 9 - 4).cast("double") / 20)
+    return forecasts(spark, d).select("forecast_id", postmortem.classify_decision(F.col("p"), outcome, spread).alias("category"))
+
+
 DECISIONS = "rates AS (SELECT date_trunc('week', o_orderdate)::DATE AS meeting, floor(sum(floor(o_totalprice)::BIGINT) / count(*) / 20000)::BIGINT AS target FROM orders GROUP BY ALL), decisions AS (SELECT meeting, target, lag(target) OVER (ORDER BY meeting) AS before FROM rates), labelled AS (SELECT meeting, target, CASE WHEN target > before THEN 'hike' WHEN target < before THEN 'cut' ELSE 'hold' END AS outcome FROM decisions WHERE before IS NOT NULL)"
 
 
@@ -331,6 +339,18 @@ def p4_threshold_base_rate(spark: SparkSession, d: str) -> DataFrame:
     return h.groupBy("series_id", "forecast_date").agg(F.count("*").alias("n"), quantised(plans.laplace(yes, F.count("*"))).alias("p"))
 
 
+TARGETS = ("1-URGENT", "5-LOW")
+
+
+@query(f"WITH {OBS}, {MONTHLY}, last AS (SELECT {AT}, max(m) AS lm FROM history GROUP BY ALL), v AS (SELECT {AT}, max(CASE WHEN m = lm THEN value END) AS level, max(CASE WHEN m = lm - 12 THEN value END) AS lag12 FROM last JOIN history USING (series_id, forecast_date) GROUP BY ALL) SELECT forecast_date, {', '.join(f"max(CASE WHEN series_id = '{s}' THEN {c} END) AS {n}_{c}" for n, s in zip(('urgent', 'low'), TARGETS) for c in ('level', 'lag12'))}, max(CASE WHEN series_id = '{TARGETS[0]}' THEN level END) AS target_level, max(CASE WHEN series_id = '{TARGETS[0]}' THEN lag12 END) AS target_lag12 FROM v WHERE series_id IN {TARGETS} GROUP BY forecast_date")
+def p12_target_features(spark: SparkSession, d: str) -> DataFrame:
+    """Two series' features side by side, the first one's again as the target's."""
+    m = features.monthly_features(backtest.histories(obs(spark, d), FIRST, LAST), lags=[12], changes=[], max_stale=600)
+    wide = features.pivoted(m, list(TARGETS), ["level", "lag12"])
+    named = wide.withColumnsRenamed({f"{s}_{c}": f"{n}_{c}" for n, s in zip(("urgent", "low"), TARGETS, strict=True) for c in ("level", "lag12")})
+    return features.with_target(named, "urgent")
+
+
 @query(f"WITH {OBS}, {MONTHLY}, last AS (SELECT {AT}, max(m) AS lm FROM history GROUP BY ALL), j AS (SELECT l.series_id, l.forecast_date, lm, h.m, h.value FROM last l JOIN history h ON h.series_id = l.series_id AND h.forecast_date = l.forecast_date), v AS (SELECT {AT}, lm, max(CASE WHEN m = lm THEN value END) AS level, max(CASE WHEN m = lm - 1 THEN value END) AS l1, max(CASE WHEN m = lm - 2 THEN value END) AS l2, max(CASE WHEN m = lm - 12 THEN value END) AS l12 FROM j GROUP BY ALL), b AS (SELECT *, year(forecast_date - 1) * 12 + month(forecast_date - 1) - 1 - lm AS behind FROM v) SELECT {AT}, level, l1 AS lag1, l12 AS lag12, {q('(level / l1 - 1) * 100', 4)} AS growth1, {q('(level / l12 - 1) * 100', 4)} AS growth12, {q('level - l1', 2)} AS chg1, {q('(level + l1 + l2) / 3', 2)} AS mean3, behind::DOUBLE AS months_behind, (month(forecast_date - 1) = 3)::INT::DOUBLE AS month_3, (quarter(forecast_date - 1) = 2)::INT::DOUBLE AS quarter_2 FROM b")
 def p11_p12_feature_matrix(spark: SparkSession, d: str) -> DataFrame:
     m = features.monthly_features(backtest.histories(obs(spark, d), FIRST, LAST), lags=[1, 12], changes=[1, 12], max_stale=60)
@@ -351,6 +371,14 @@ def p18_cache_and_budget(spark: SparkSession, d: str) -> DataFrame:
     return plans.spent_before(c, ["conv_id"], ["turn"]).select("conv_id", "turn", F.col("spent").cast("long").alias("spent"), (F.col("context") == least).alias("lowest"))
 
 
+@query("WITH c AS (SELECT conv_id, turn, length(text) // 4 AS cost, sha256(text) AS context FROM conversations), f AS (SELECT *, row_number() OVER (PARTITION BY context ORDER BY conv_id, turn) = 1 AS paid FROM c) SELECT conv_id, count(*) FILTER (WHERE paid)::BIGINT AS calls, count(*) FILTER (WHERE NOT paid)::BIGINT AS cached, sum(CASE WHEN paid THEN cost ELSE 0 END)::BIGINT AS cost FROM f GROUP BY conv_id")
+def p18_cached_calls(spark: SparkSession, d: str) -> DataFrame:
+    """The first call with a context is paid, later ones with the same hash are read from the cache."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.floor(F.length("text") / 4).alias("cost"), F.sha2("text", 256).alias("context"))
+    paid = plans.first_calls(c, "context", ["conv_id", "turn"])
+    return paid.groupBy("conv_id").agg(F.count(F.when(F.col("paid"), 1)).alias("calls"), F.count(F.when(~F.col("paid"), 1)).alias("cached"), F.sum(F.when(F.col("paid"), F.col("cost")).otherwise(0)).cast("long").alias("cost"))
+
+
 @query(f"WITH q AS (SELECT o_orderpriority AS series_id, date_trunc('quarter', o_orderdate)::DATE AS quarter, (count(*) % 17)::DOUBLE / 4 AS rate FROM orders GROUP BY ALL) SELECT series_id, quarter, {q('exp(sum(0.25::DOUBLE * ln(1 + rate / 100)) OVER (PARTITION BY series_id ORDER BY quarter)) * 100')} AS level FROM q")
 def p19_chained_levels(spark: SparkSession, d: str) -> DataFrame:
     rates = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("series_id"), F.date_trunc("quarter", "o_orderdate").cast("date").alias("quarter")).agg(((F.count("*") % 17).cast("double") / 4).alias("rate"))
