@@ -277,10 +277,53 @@ def test_leaks_of_frequent_items(spark):
     item = [w for k in range(5) for w in (*common, f"v{k}")]
     docs = [(k, " ".join(item)) for k in range(60)] + [(100 + k, " ".join(w for i, w in enumerate(item) if i % 8 != k % 8)) for k in range(40)] + [(200 + k, f"a{k} " + " ".join(common[:5])) for k in range(40)]
     bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join([*common, *(f"u{k}" for k in range(30))])), (3, None), (4, "two words"), (5, " ".join(item))], "item_id long, text string")
-    got = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench, rare=5, least_seeds=12)
+    got = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench)
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(d, i) for d, _ in docs if d < 200 for i in (1, 5)}
 
 
+def edits(rng, words, vocabulary):
+    """A copy with words replaced, dropped or put in at a random rate, or one of its parts, or a long insertion in its middle."""
+    kind, rate = rng.randrange(6), rng.choice([0.1, 0.2, 0.3, 0.45])
+    if kind == 0:
+        return [w for k, w in enumerate(words) for w in ((w, rng.choice(vocabulary)) if k % 2 else (w,))]
+    if kind == 1:
+        return [rng.choice(vocabulary) if k % 3 == 2 else w for k, w in enumerate(words)]
+    if kind == 2:
+        half = len(words) * 5 // 9 + 1
+        return words[:half] if rng.random() < 0.5 else words[-half:]
+    if kind == 3:
+        at = rng.randrange(len(words))
+        return words[:at] + rng.choices(vocabulary, k=int(0.8 * len(words))) + words[at:]
+    out = []
+    for w in words:
+        x = rng.random()
+        out += [rng.choice(vocabulary)] if x < rate / 3 else [] if x < 2 * rate / 3 else [w, rng.choice(vocabulary)] if x < rate else [w]
+    return out
+
+
+@pytest.mark.parametrize("vocabulary", [40, 4000])
+def test_no_alignment_that_reaches_the_score_is_lost(spark, vocabulary):
+    """Items of every length, edited at random, in documents of the same words: the pairs are those of a full alignment."""
+    rng = random.Random(vocabulary)
+    known = [f"w{k}" for k in range(vocabulary)]
+    items = [(k, rng.choices(known, k=rng.choice([4, 5, 6, 8, 10, 15, 25, 40, 60, 90]))) for k in range(60)]
+    docs = [(d, rng.choices(known, k=rng.randrange(30)) + edits(rng, rng.choice(items)[1], known) + rng.choices(known, k=rng.randrange(30))) for d in range(250)]
+    want = {}
+    for d, text in docs:
+        words = np.array([int(w[1:]) for w in text])
+        for i, item in items:
+            a = np.array([int(w[1:]) for w in item])
+            if len(words) and (s := decontamination.smith_waterman(a, words)[0] / (2 * len(a))) >= 0.5:
+                want[d, i] = round(s, 9)
+    frame = lambda rows, name: spark.createDataFrame([(k, " ".join(w)) for k, w in rows], f"{name} long, text string")
+    got = {(r["doc_id"], r["item_id"]): round(r["score"], 9) for r in decontamination.leaks(frame(docs, "doc_id"), frame(items, "item_id"), block_chars=3000).collect()}
+    assert got == want and len(want) > 150
+
+
+def test_least_pairs():
+    assert [decontamination.least_pairs(n, 0.5) for n in (3, 4, 6, 9, 24, 200)] == [1, 1, 1, 2, 7, 66] and decontamination.least_pairs(10, 1.0) == 9
+
+
 def test_leaks_of_odd_rows(spark):
     item = " ".join(f"q{k}" for k in range(20))
     docs = spark.createDataFrame([(1, item, "x"), (1, item, "y"), (1, "other", "z"), (None, item, "n"), (2, None, "m"), (3, "word " * 200_000 + item, "l")], "doc_id int, text string, item_id string")
