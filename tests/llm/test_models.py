@@ -1,6 +1,7 @@
 """Models, extraction, surrogates and mixing: brute force, exact forms and held-out accuracy."""
 
 import math
+import random
 import tracemalloc
 from collections import Counter
 
@@ -150,7 +151,7 @@ def test_lm_is_a_distribution_and_carries_state():
 def test_lm_base_score_and_held_out(spark):
     texts = [(k, "The cat sat on the mat\nand THE dog ran " * (1 + k % 5)) for k in range(120)] + [(500, None), (501, ""), (502, "never seen words"), (502, "never seen words")]
     docs = spark.createDataFrame([(k, t, "x") for k, t in texts], "doc_id long, text string, score string")
-    got = recurrent_lm.log_likelihoods(docs, F.col("doc_id") % 7 != 2, own=6, hidden=8, classes=2, frequent=8).collect()
+    got = recurrent_lm.log_likelihoods(docs, F.col("doc_id") % 7 != 2, own=6, hidden=8, classes=2, frequent=8, streams=2, passes=6, rates=(0.3, 0.3)).collect()
     assert len(got) == len(texts)
     words = lambda t: (t or "").lower().split() + [""]
     c = Counter(w for k, t in texts if k % 7 != 2 for w in words(t))
@@ -163,15 +164,34 @@ def test_lm_base_score_and_held_out(spark):
     assert recurrent_lm.log_likelihoods(docs.limit(0), F.col("doc_id") % 7 != 2).count() == 0
 
 
-def test_lm_learns_from_all_training_documents(spark, monkeypatch):
-    docs = spark.createDataFrame([(k, f"word{k} the cat") for k in range(300)], "doc_id long, text string")
+def test_lm_learns_once_from_every_training_document(spark, monkeypatch):
+    """Whatever the size: rounds share the documents, and the number of trainers grows with the tokens."""
+    docs = spark.createDataFrame([(k, f"word{k} the cat") for k in range(300)] + [(7, None), (7, None)], "doc_id long, text string")
     # stands for a corpus of which these documents are a part: 60 million tokens
     counts = spark.createDataFrame([(b"the", 30_000_000), (b"cat", 20_000_000), (recurrent_lm.END, 10_000_000)], "token binary, n long")
     seen = []
-    monkeypatch.setattr(recurrent_lm, "averaged", lambda rows, m, trainers, *rest: seen.append((rows.select("doc_id").distinct().count(), trainers)) or m.w)
+    monkeypatch.setattr(recurrent_lm, "averaged", lambda rows, m, trainers, *rest: seen.append(([r["doc_id"] for r in rows.collect()], trainers)) or m.w)
     monkeypatch.setattr(recurrent_lm, "count_tokens", lambda rows: counts)
-    recurrent_lm.log_likelihoods(docs, F.lit(True), own=3, hidden=2, classes=1, trainer_tokens=300_000, rates=(0.25, 0.15, 0.08))
-    assert seen == [(300, 200)] * 3
+    recurrent_lm.log_likelihoods(docs, F.lit(True), own=3, hidden=2, classes=1, trainer_tokens=100_000, rates=(0.25, 0.15, 0.08))
+    assert [n for _, n in seen] == [200] * 3 and sorted(sum((d for d, _ in seen), [])) == sorted([*range(300), 7, 7])
+    assert all(60 < len(d) < 140 for d, _ in seen)
+
+
+def test_lm_learns_on_held_out_documents(spark):
+    """A language with an order that counts can't see: the model's held-out likelihood gains most of what there is to gain."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(40)]
+
+    def text(n):
+        k, out = rng.randrange(40), []
+        for _ in range(n):
+            k = (k * 7 + rng.randrange(3)) % 40
+            out.append(words[k])
+        return " ".join(out)
+
+    docs = spark.createDataFrame([(k, text(150)) for k in range(1500)], "doc_id long, text string")
+    got = recurrent_lm.log_likelihoods(docs, F.col("doc_id") % 5 != 2, own=41, classes=6, streams=64, trainer_tokens=40_000).where("not learnt").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert got["s"] / got["b"] < 0.75
 
 
 def test_surrogates(spark):

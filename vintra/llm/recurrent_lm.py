@@ -5,9 +5,10 @@ classes by frequency; all other words are one class. The output is factored: a s
 words of a class; inside the class of other words a word has its add-one share of counts. So every token, a never-seen
 one too, has a probability, and before training the model equals the add-one unigram model.
 
-Training is truncated backpropagation in numpy. Trainers, each with a share of all training documents, start from the
-same weights, go over their documents once, and their weights are averaged in Spark; this can be done for some rounds. Scoring
-runs many documents side by side, window by window, and carries each one's state to its end.
+Training is truncated backpropagation in numpy, in rounds: the training documents are dealt to the rounds and each round's to
+trainers, all of which start from the same weights; their weights are averaged in Spark for the next round. So every document is learnt from
+once, and weights meet often enough to stay close. Scoring runs many documents side by side, window by window, and carries each
+one's state to its end. Texts are read twice, for the counts and to become numbers, which are written.
 """
 
 from __future__ import annotations
@@ -113,11 +114,15 @@ def step(w: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.nda
     return n + z * (h - n), z, r, n, g[:, 2 * k :]
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+def exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exp, its row sums, the logarithm of the sums of x) of x, which is overwritten; rows are shifted only where a value could overflow or all vanish."""
+    shift = 0.0
+    if len(x) and (x.max() > 60 or x.min() < -60):
+        shift = x.max(axis=1)
+        x -= shift[:, None]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    return x, total, np.log(total) + shift
 
 
 def output(m: Model, h: np.ndarray, y: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -131,12 +136,13 @@ def output(m: Model, h: np.ndarray, y: np.ndarray, grads: dict[str, np.ndarray]
     of = np.repeat(np.arange(last + 1), np.diff(ends))
     p = h @ w["class"].T
     p += w["class_bias"]
-    log_softmax(p)
     rows = np.arange(len(y))
     out = p[rows, of]
+    p, total, log_total = exponentials(p)
+    out -= log_total
     dh = None
     if grads is not None:
-        d = np.exp(p, out=p)
+        d = np.divide(p, total[:, None], out=p)
         d[rows, of] -= 1
         dh = d @ w["class"]
         grads["class"] += d.T @ h
@@ -148,11 +154,12 @@ def output(m: Model, h: np.ndarray, y: np.ndarray, grads: dict[str, np.ndarray]
         a, b = m.starts[c], m.starts[c + 1]
         q = h[i] @ w["word"][a:b].T
         q += w["word_bias"][a:b]
-        log_softmax(q)
         at = rows[: i.stop - i.start], y[i] - a
         out[i] += q[at]
+        q, total, log_total = exponentials(q)
+        out[i] -= log_total
         if grads is not None:
-            d = np.exp(q, out=q)
+            d = np.divide(q, total[:, None], out=q)
             d[at] -= 1
             dh[i] += d @ w["word"][a:b]
             grads["word"][a:b] += d.T @ h[i]
@@ -167,18 +174,16 @@ def rows_of(m: Model, words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(m.index.get, words, repeat(len(m.index))), np.int64, len(words))
 
 
-def train(m: Model, docs: list[np.ndarray], rate: float, streams: int = 192, window: int = 16, updates: int = 250) -> dict[str, np.ndarray]:
-    """The weights after a pass over documents (word numbers without the end), by Adagrad over windows; streams of
+def train(m: Model, docs: list[np.ndarray], rate: float, streams: int = 384, window: int = 8, passes: int = 1) -> dict[str, np.ndarray]:
+    """The weights after passes over documents (word numbers without the end), by Adagrad over windows; streams of
     documents run side by side, states carry over from window to window and start anew at each document. The rate falls
-    to a fifth in the end. updates: where there would be fewer of them, fewer streams run, and one goes over the documents
-    again until there are so many."""
+    to a fifth in the end. Nothing but the rate of a window looks at the amount of text; fewer tokens than streams are that many streams."""
     end = m.place[m.index[END]]
     flow = np.concatenate([np.concatenate([d, [end]]) for d in docs]) if docs else np.zeros(0, np.int32)
     if len(flow) < 2:
         return m.w
-    streams = max(1, min(streams, len(flow) // (updates * window)))
-    if streams == 1:
-        flow = np.tile(flow, -(-updates * window // len(flow)))
+    flow = np.tile(flow, passes)
+    streams = min(streams, len(flow))
     # what the streams don't share equally is learnt as an end
     width = -(-len(flow) // streams)
     y = np.concatenate([flow, np.full(width * streams - len(flow), end, flow.dtype)]).reshape(streams, width).T
@@ -263,17 +268,17 @@ def score_many(m: Model, docs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def averaged(docs: DataFrame, m: Model, trainers: int, rate: float, pieces: int = 64, block: int = 1024) -> dict[str, np.ndarray]:
-    """Weights after one pass of each trainer, averaged in Spark piece by piece, first within blocks of trainers. A document's
-    trainer is a hash of its id and text."""
-    held = docs.sparkSession.sparkContext.broadcast(m)
+def averaged(rows: DataFrame, m: Model, trainers: int, rate: float, options: dict, pieces: int = 64, block: int = 1024) -> dict[str, np.ndarray]:
+    """Weights after each trainer's run over its rows (doc_id, ids), averaged in Spark piece by piece, first within blocks of trainers. A document's
+    trainer is a hash of its id and words."""
+    held = rows.sparkSession.sparkContext.broadcast(m)
     names = list(m.w)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         mine = held.value
-        texts = sorted(t for t in pdf["text"] if t is not None)
+        texts = sorted(pdf["ids"])
         rng = np.random.default_rng(5)
-        got = train(mine, [mine.place[rows_of(mine, words_of(texts[i].encode()))] for i in rng.permutation(len(texts))], rate)
+        got = train(mine, [np.frombuffer(texts[i], np.int32) for i in rng.permutation(len(texts))], rate, **options)
         flat = np.concatenate([got[n].ravel() for n in names]).astype(np.float32)
         return pd.DataFrame({"piece": range(pieces), "block": int(pdf["trainer"].iloc[0]) // block, "n": 1, "part": [p.tobytes() for p in np.array_split(flat, pieces)]})
 
@@ -281,7 +286,7 @@ def averaged(docs: DataFrame, m: Model, trainers: int, rate: float, pieces: int
         return lambda pdf: pd.DataFrame({"piece": pdf["piece"][:1], "block": pdf["block"][:1], "n": [pdf["n"].sum()], "part": [np.sum([np.frombuffer(p, kind) for p in pdf["part"]], axis=0, dtype=float).tobytes()]})
 
     schema = "piece int, block long, n long, part binary"
-    parts = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(trainers)).alias("trainer"), "text").groupBy("trainer").applyInPandas(run, schema)
+    parts = rows.select(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(trainers)).alias("trainer"), "ids").groupBy("trainer").applyInPandas(run, schema)
     sums = parts.groupBy("piece", "block").applyInPandas(summed(np.float32), schema).groupBy("piece").applyInPandas(summed(np.float64), schema)
     rows = {r["piece"]: (np.frombuffer(r["part"]) / r["n"]).astype(np.float32) for r in sums.collect()}
     if not rows:
@@ -293,67 +298,78 @@ def averaged(docs: DataFrame, m: Model, trainers: int, rate: float, pieces: int
     return out
 
 
-def learn(docs: DataFrame, counts: DataFrame, own: int = 512, hidden: int = 16, classes: int = 22, frequent: int = 200_000, trainer_tokens: int = 800_000, rates: tuple[float, ...] = (0.3,)) -> Model:
-    """A model from training docs (doc_id, text) and their token counts, which cover all of them.
-
-    own: words of the model's own. frequent: words whose counts tasks hold. trainer_tokens: of a trainer; their number
-    grows with the documents, all of which are learnt from in each round. rates: of the rounds, one by default, as a round
-    over all documents costs about as much as scoring them.
-    """
+def untrained(counts: DataFrame, own: int, hidden: int, classes: int, frequent: int) -> tuple[Model, int, int]:
+    """(the model before training, training tokens, distinct ones)."""
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = [(bytes(r["token"]), r["n"]) for r in counts.orderBy(F.desc("n"), "token").limit(frequent).collect()]
     if all(t != END for t, _ in top):  # a corpus with so many words more frequent than its end
         top += [(bytes(r["token"]), r["n"]) for r in counts.where(F.length("token") == 0).collect()]  # one row at most
-    m = new_model(top, tokens, distinct, own, hidden, classes)
-    trainers = max(1, round(tokens / trainer_tokens))
-    for rate in rates:
-        m.w = averaged(docs, m, trainers, rate)
-    return m
+    return new_model(top, tokens, distinct, own, hidden, classes), tokens, distinct
+
+
+def learn(encoded: DataFrame, m: Model, tokens: int, trainer_tokens: int, rates: tuple[float, ...], **options) -> dict[str, np.ndarray]:
+    """Weights from training rows (doc_id, ids), which have so many tokens: one round for each rate, over its share of the rows.
+
+    trainer_tokens: about as many for a trainer in a round; the number of trainers grows with the rows.
+    """
+    trainers = max(1, round(tokens / trainer_tokens / len(rates)))
+    for k, rate in enumerate(rates):
+        share = encoded.where(F.pmod(F.xxhash64("ids", "doc_id"), F.lit(len(rates))) == k)
+        m = replace(m, w=averaged(share, m, trainers, rate, options))
+    return m.w
 
 
-def log_likelihoods(docs: DataFrame, train_docs: Column, **options) -> DataFrame:
+def log_likelihoods(docs: DataFrame, train_docs: Column, own: int = 2048, hidden: int = 24, classes: int = 45, frequent: int = 200_000, trainer_tokens: int = 800_000, rates: tuple[float, ...] = (0.8, 0.5, 0.3), **options) -> DataFrame:
     """doc_id, learnt, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text).
 
     train_docs: a condition on docs; rows that meet it are learnt from. Tokens: words with A-Z lower-cased, and one end, so
     that null and empty texts have one token. base_score: log10 probability under add-one counts; score: under the model.
     n_known: tokens that the training rows have. Repeated rows are learnt and scored as often as they occur. Without
     training rows every token has probability 1 under the counts.
+
+    own: words of the model's own. frequent: words whose counts tasks hold. rates: of the rounds, see learn(); options: of train().
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", train_docs.alias("learnt"))
     counts = scratch.save(count_tokens(rows.where("learnt")), "counts")
-    tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    m = learn(rows.where("learnt"), counts, **options)
-    held = spark.sparkContext.broadcast(m)
+    start, tokens, distinct = untrained(counts, own, hidden, classes, frequent)
+    first = spark.sparkContext.broadcast(start)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = first.value
         far_row, logs = len(model.index), np.log10(model.count + 1)
-        end = model.index[END]
+        end, other = model.index[END], np.log10(model.other_mass)
         for batch in batches:
-            docs_, n, known, base, inside, others, far = [], [], [], [], [], [], []
+            ids, n, known, base, inside, far = [], [], [], [], [], []
             for text in batch.column(1).cast(pa.binary()):
                 words = words_of(text.as_py())
                 at = rows_of(model, words)
                 place, log = model.place[at], logs[at]
                 is_other = place == model.size
-                docs_.append(place)
+                ids.append(place.astype(np.int32).tobytes())
                 n.append(len(words) + 1)
                 known.append(int((model.count[at] > 0).sum()) + int(model.count[end] > 0))
                 base.append(float(log.sum() + logs[end]))
-                inside.append(float(log[is_other].sum()))
+                inside.append(float((log[is_other] - other).sum()))
                 far.append([words[i] for i in np.flatnonzero(at == far_row)])
-                others.append(int(is_other.sum()))
-            states = score_many(model, docs_) / LOG10
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(states + np.array(inside) - np.array(others) * np.log10(model.other_mass)), pa.array(far, pa.list_(pa.binary()))],
-                names=["doc_id", "learnt", "row", "n_tokens", "known", "base", "states", "far"],
+                [batch.column(0), batch.column(2), batch.column(3), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(inside, pa.float64()), pa.array(far, pa.list_(pa.binary()))],
+                names=["doc_id", "learnt", "row", "ids", "n_tokens", "known", "base", "inside", "far"],
             )
 
-    schema = "doc_id long, learnt boolean, row long, n_tokens long, known long, base double, states double, far array<binary>"
-    scored = scratch.save(rows.select("doc_id", "text", "learnt", F.monotonically_increasing_id().alias("row")).mapInArrow(run, schema), "scored")
-    far = scored.select("row", F.explode("far").alias("token")).join(counts, "token").groupBy("row").agg(F.count("*").alias("far_known"), F.sum(F.log10(F.col("n") + 1)).alias("far_log"))
-    out = scored.drop("far").join(far, "row", "left")
+    schema = "doc_id long, learnt boolean, row long, ids binary, n_tokens long, known long, base double, inside double, far array<binary>"
+    encoded = scratch.save(rows.select("doc_id", "text", "learnt", F.monotonically_increasing_id().alias("row")).mapInArrow(encode, schema), "encoded")
+    weights = learn(encoded.where("learnt").select("doc_id", "ids"), start, tokens, trainer_tokens, rates, **options)
+    held = spark.sparkContext.broadcast(replace(start, w=weights))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            states = score_many(held.value, [np.frombuffer(x.as_py(), np.int32) for x in batch.column("ids")]) / LOG10
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "learnt", "row", "n_tokens", "known", "base")), pa.array(states + batch.column("inside").to_numpy())], names=["doc_id", "learnt", "row", "n_tokens", "known", "base", "states"])
+
+    scored = encoded.select("doc_id", "learnt", "row", "ids", "n_tokens", "known", "base", "inside").mapInArrow(score, "doc_id long, learnt boolean, row long, n_tokens long, known long, base double, states double")
+    far = encoded.select("row", F.explode("far").alias("token")).join(counts, "token").groupBy("row").agg(F.count("*").alias("far_known"), F.sum(F.log10(F.col("n") + 1)).alias("far_log"))
+    out = scratch.save(scored, "scored").join(far, "row", "left")
     far_log = F.coalesce("far_log", F.lit(0.0))
     return out.select(
         "doc_id", "learnt", "n_tokens", (F.col("known") + F.coalesce("far_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
