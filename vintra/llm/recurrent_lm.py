@@ -29,7 +29,7 @@ from vintra.llm.common import LOWER_BYTES, Scratch
 #: The end of a document as a token: no word is empty.
 END = b""
 #: Documents scored side by side, and steps that share an output layer.
-SIDE, WINDOW = 1024, 16
+SIDE, WINDOW = 1024, 32
 LOG10 = float(np.log(10.0))
 
 
@@ -87,7 +87,9 @@ def new_model(top: list[tuple[bytes, int]], tokens: int, distinct: int, own: int
     places = np.array([*(place.get(t, len(head)) for t in known), len(head)], np.int32)
     counts = np.array([*known.values(), 0], float)
     mass = np.array([n + 1.0 for _, n in head])
-    starts = np.unique(np.linspace(0, len(head), min(classes, len(head)) + 1).astype(int))
+    # classes of equal sums of square roots: the frequent words' classes are small, so a token costs few exponentials
+    roots = np.cumsum(np.sqrt(mass))
+    starts = np.unique([0, *(np.searchsorted(roots, roots[-1] * np.arange(1, min(classes, len(head))) / min(classes, len(head))) + 1).tolist(), len(head)])
     # an end that the corpus doesn't have takes the mass of an unseen token
     total = float(tokens + distinct + 1 + (0 if any(t == END for t, _ in top) else 1))
     other = max(1.0, total - mass.sum())
@@ -134,8 +136,10 @@ def output(m: Model, h: np.ndarray, y: np.ndarray, grads: dict[str, np.ndarray]
     y, h = y[order], h[order]
     ends = np.append(np.searchsorted(y, m.starts), len(y))
     of = np.repeat(np.arange(last + 1), np.diff(ends))
-    p = h @ w["class"].T
-    p += w["class_bias"]
+    # biases are weights of a state that is always 1
+    h = np.concatenate([h, np.ones((len(h), 1), h.dtype)], axis=1)
+    of_class, of_word = (np.concatenate([w[n], w[f"{n}_bias"][:, None]], axis=1) for n in ("class", "word"))
+    p = h @ of_class.T
     rows = np.arange(len(y))
     out = p[rows, of]
     p, total, log_total = exponentials(p)
@@ -145,15 +149,15 @@ def output(m: Model, h: np.ndarray, y: np.ndarray, grads: dict[str, np.ndarray]
         d = np.divide(p, total[:, None], out=p)
         d[rows, of] -= 1
         dh = d @ w["class"]
-        grads["class"] += d.T @ h
-        grads["class_bias"] += d.sum(axis=0)
+        found = d.T @ h
+        grads["class"] += found[:, :-1]
+        grads["class_bias"] += found[:, -1]
     for c in range(last):
         i = slice(ends[c], ends[c + 1])
         if i.start == i.stop:
             continue
         a, b = m.starts[c], m.starts[c + 1]
-        q = h[i] @ w["word"][a:b].T
-        q += w["word_bias"][a:b]
+        q = h[i] @ of_word[a:b].T
         at = rows[: i.stop - i.start], y[i] - a
         out[i] += q[at]
         q, total, log_total = exponentials(q)
@@ -162,8 +166,9 @@ def output(m: Model, h: np.ndarray, y: np.ndarray, grads: dict[str, np.ndarray]
             d = np.divide(q, total[:, None], out=q)
             d[at] -= 1
             dh[i] += d @ w["word"][a:b]
-            grads["word"][a:b] += d.T @ h[i]
-            grads["word_bias"][a:b] += d.sum(axis=0)
+            found = d.T @ h[i]
+            grads["word"][a:b] += found[:, :-1]
+            grads["word_bias"][a:b] += found[:, -1]
     back = np.empty_like(order)
     back[order] = rows
     return out[back], None if dh is None else dh[back]
@@ -195,7 +200,7 @@ def train(m: Model, docs: list[np.ndarray], rate: float, streams: int = 384, win
     h = np.zeros((streams, k), np.float32)
     for t0 in range(0, width, window):
         xs, ys = x[t0 : t0 + window], y[t0 : t0 + window]
-        grads = {name: np.zeros_like(v) for name, v in w.items()}
+        grads = {name: np.zeros_like(v) for name, v in w.items() if name != "input"}
         inputs, kept, states = w["input"][xs] + w["bias"], [], np.empty((*xs.shape, k), np.float32)
         keeps = (xs != end).astype(np.float32)[:, :, None]
         for t in range(len(xs)):
@@ -221,16 +226,18 @@ def train(m: Model, docs: list[np.ndarray], rate: float, streams: int = 384, win
         grads["bias"] += das.sum(axis=0)
         order = np.argsort(xs, axis=None, kind="stable")
         words, first = np.unique(xs.ravel()[order], return_index=True)
-        grads["input"][words] = np.add.reduceat(das[order], first, axis=0)
+        grads["input"] = np.add.reduceat(das[order], first, axis=0)
         norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) / ys.size
         scale = np.float32((1.0 / ys.size) * min(1.0, 1.0 / max(norm, 1e-9)))
         now = np.float32(rate * (1 - 0.8 * t0 / width))
         for name, g in grads.items():
+            # of the inputs only the window's words have a gradient
+            at = words if name == "input" else slice(None)
             g *= scale
-            seen[name] += g * g
-            g /= np.sqrt(seen[name])
+            seen[name][at] += g * g
+            g /= np.sqrt(seen[name][at])
             g *= now
-            w[name] -= g
+            w[name][at] -= g
     return w
 
 
@@ -301,7 +308,14 @@ def averaged(rows: DataFrame, m: Model, trainers: int, rate: float, options: dic
 def untrained(counts: DataFrame, own: int, hidden: int, classes: int, frequent: int) -> tuple[Model, int, int]:
     """(the model before training, training tokens, distinct ones)."""
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = [(bytes(r["token"]), r["n"]) for r in counts.orderBy(F.desc("n"), "token").limit(frequent).collect()]
+    # the least count of which no more tokens than `frequent` are: whole levels are taken, so that nothing has to be ordered
+    held, least = 0, None
+    for n, k in sorted(((r["n"], r["k"]) for r in counts.groupBy("n").agg(F.count("*").alias("k")).collect()), reverse=True):
+        if (held := held + k) > frequent:
+            break
+        least = n
+    rows = counts.where(F.col("n") >= least).collect() if least is not None else []
+    top = sorted(((bytes(r["token"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
     if all(t != END for t, _ in top):  # a corpus with so many words more frequent than its end
         top += [(bytes(r["token"]), r["n"]) for r in counts.where(F.length("token") == 0).collect()]  # one row at most
     return new_model(top, tokens, distinct, own, hidden, classes), tokens, distinct
@@ -319,7 +333,7 @@ def learn(encoded: DataFrame, m: Model, tokens: int, trainer_tokens: int, rates:
     return m.w
 
 
-def log_likelihoods(docs: DataFrame, train_docs: Column, own: int = 2048, hidden: int = 24, classes: int = 45, frequent: int = 200_000, trainer_tokens: int = 800_000, rates: tuple[float, ...] = (0.8, 0.5, 0.3), **options) -> DataFrame:
+def log_likelihoods(docs: DataFrame, train_docs: Column, own: int = 2048, hidden: int = 24, classes: int = 32, frequent: int = 200_000, trainer_tokens: int = 800_000, rates: tuple[float, ...] = (0.8, 0.5, 0.3), **options) -> DataFrame:
     """doc_id, learnt, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text).
 
     train_docs: a condition on docs; rows that meet it are learnt from. Tokens: words with A-Z lower-cased, and one end, so
@@ -327,7 +341,7 @@ def log_likelihoods(docs: DataFrame, train_docs: Column, own: int = 2048, hidden
     n_known: tokens that the training rows have. Repeated rows are learnt and scored as often as they occur. Without
     training rows every token has probability 1 under the counts.
 
-    own: words of the model's own. frequent: words whose counts tasks hold. rates: of the rounds, see learn(); options: of train().
+    own: words of the model's own. frequent: words whose counts tasks hold, at most. rates: of the rounds, see learn(); options: of train().
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", train_docs.alias("learnt"))
