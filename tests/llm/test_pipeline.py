@@ -92,3 +92,26 @@ def test_models_of_odd_rows(spark):
     assert scored.count() == len(rows) and scored.where("score between 0 and 1").count() == len(rows)
     assert toxicity.graded(docs.limit(0), toxicity.learn(docs.limit(0), labels.limit(0))).count() == 0
     assert quality.score(docs.limit(0), quality.learn(docs.limit(0), labels.limit(0), "quality")).count() == 0
+
+
+def test_odd_rows_and_clashing_columns(spark, small, tmp_path):
+    """Null ids, sources and texts, long texts, repeated rows and columns named as the stages' own: nothing fails, and clean rows stay."""
+    rows = [(k, f"A clean document number {k} says something of its own. " + " ".join(f"word{k}x{i}" for i in range(40)), "en", "s", 100) for k in range(60)]
+    rows += [(1000, None, "en", "s", None), (1001, "", None, None, 0), (None, "a text without an id " + "and more " * 30, "en", "t", 1), (1002, "b " * 100_000, "en", "t", 200_000)] + [(1003, "a row that repeats entirely", "en", "t", 27)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = {c: F.lit(c) for c in ("size", "target", "taken", "copies", "mix_doc_id", "gone_id", "dropped", "n_lines", "severity", "toxic", "keep_id", "row", "id")}
+    docs = docs.withColumns(clash)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{small}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    scratch, now = Scratch(spark), spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        before, now = now, scratch.save(stage(spark, now, str(tmp_path)), name)
+        assert set(before.columns) <= set(now.columns), name
+        assert set(range(60)) <= {r["doc_id"] for r in now.select("doc_id").collect()} or name == "mixing", name
+    got = now.toPandas()
+    assert (got["size"] == "size").all() and {"size_", "taken_", "source_size"} <= set(got.columns)
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = scratch.save(stage(spark, empty, str(tmp_path)), f"none-{name}")
+        assert empty.count() == 0, name

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vintra.llm.common import LOWER_BYTES, Scratch, connected_components
+from vintra.llm.common import LOWER_BYTES, Scratch, connected_components, free
 
 #: Shingles hashed at once, so that memory doesn't grow with a text's length beyond its words.
 BLOCK = 1 << 16
@@ -387,9 +387,13 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, samples:
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are the first of their group (see near_groups); rows with a null doc_id stay."""
-    gone = near_groups(docs, **options).groupBy("doc_id").agg(F.min("keep_id").alias("keep_id")).where("keep_id <> doc_id").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(Scratch(docs.sparkSession).save(gone, "gone"), docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    """The rows of docs that are the first of their group (see near_groups), with all their columns; rows with a null doc_id stay.
+
+    Rows that repeat a doc_id stay or go together. No rows: no rows.
+    """
+    gone = near_groups(docs, **options).groupBy("doc_id").agg(F.min("keep_id").alias("keep_id")).where("keep_id <> doc_id").select(F.col("doc_id").alias(free("gone_id", docs)))
+    gone = Scratch(docs.sparkSession).save(gone, "gone")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[gone.columns[0]], "left_anti")
 
 
 def hex64(fp: Column) -> Column:
