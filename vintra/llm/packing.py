@@ -15,7 +15,7 @@ from __future__ import annotations
 import os
 import re
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,64 +29,61 @@ TIERS = (256, 512, 1024, 2048)
 #: Sequences are numbered by task and within it.
 TASK_BITS = 40
 _SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
-_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+_LETTERS, _POINTS = frozenset(b"abcdefghijklmnopqrstuvwxyz"), frozenset(b".,;:!?")
 
 
 class Encoder:
     """Texts (UTF-8) -> ids as little-endian unsigned 32-bit numbers, the same as encoding each text whole.
 
     The vocabulary drops white space and lower-cases before it merges, so a text's ids are those of its words in a row.
-    Words are encoded once and kept, two generations of `keep` of them; ASCII letters are lower-cased first where no combining mark
+    Words are encoded once and kept, up to `keep` of them; ASCII letters are lower-cased first where no combining mark
     and no special token can make a difference. A run of points at the end of a word, after a letter, is a token of its own.
     """
 
-    def __init__(self, path: str, keep: int = 250_000, block: int = 1 << 20, group: int = 1 << 15):
+    def __init__(self, path: str, keep: int = 500_000, block: int = 1 << 20):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.keep, self.block, self.group = Tokenizer.from_file(path), keep, block, group
+        self.tokenizer, self.keep, self.block = Tokenizer.from_file(path), keep, block
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encoded(self, words: list[bytes]) -> list[bytes]:
-        """Words of letters are encoded in one go: each ends with the only token that ends a word."""
-        texts = [w.decode() for w in words]
-        if len(words) > 1 and all(t.isalpha() for t in texts):
-            ids = self.ids([" ".join(texts)])[0]
-            cuts = np.nonzero(self.ends[ids])[0] + 1
-            if len(cuts) == len(words) and cuts[-1] == len(ids):
-                flat, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
-                return [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
-        return [x.tobytes() for x in self.ids(texts)]
+    def letters(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words of letters, encoded in one go: each ends with the only token that ends a word."""
+        ids = self.ids([b" ".join(words).decode()])[0]
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words) or cuts[-1] != len(ids):
+            return [x.tobytes() for x in self.ids([w.decode() for w in words])]
+        flat, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        return [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
     def learn(self, words: set[bytes]) -> None:
-        """Encodes words that aren't known, or were a generation ago."""
-        known, older, parts, new = self.known, self.older, {}, set()
+        known, plain, other, parts = self.known, {}, [], []
         for w in words:
-            if w in older:
-                known[w] = older[w]
-                continue
-            v = w.rstrip(b".,;:!?")
-            if v and len(v) < len(w) and (v[-1] in _LETTERS or v.decode()[-1].isalpha()):
-                parts[w] = v, w[len(v) :]
-                new.update(parts[w])
+            if w[-1] in _POINTS:
+                v = w.rstrip(b".,;:!?")
+                if v and (v[-1] in _LETTERS or v.decode()[-1].isalpha()):
+                    tail = w[len(v) :]
+                    parts.append((w, v, tail))
+                    if tail not in known:
+                        known[tail] = self.ids([tail.decode()])[0].tobytes()
+                    if v in known:
+                        continue
+                    w = v
+            if w.isalpha() or not w.isascii() and w.decode().isalpha():
+                plain[w] = None
             else:
-                new.add(w)
-        plain, other = [], []
-        for w in new:
-            if w in older:
-                known[w] = older[w]
-            elif w not in known:
-                (plain if w.isalpha() or not w.isascii() and w.decode().isalpha() else other).append(w)
-        for group in (plain, other):
-            known.update(zip(group, self.encoded(group), strict=True))
-        for w, (v, tail) in parts.items():
+                other.append(w)
+        if plain:
+            known.update(zip(plain, self.letters(list(plain)), strict=True))
+        if other:
+            known.update(zip(other, (x.tobytes() for x in self.ids([w.decode() for w in other])), strict=True))
+        for w, v, tail in parts:
             known[w] = known[v] + known[tail]
 
     def blocks(self, text: bytes) -> Iterator[list[bytes]]:
@@ -100,30 +97,17 @@ class Encoder:
             yield text[at:end].split()
             at = end
 
-    def look_up(self, texts: list[list[bytes]]) -> Iterator[bytes]:
-        if missing := set().union(*texts).difference(self.known):
-            if len(self.known) > self.keep:
-                self.known, self.older = {}, self.known
-                missing = set().union(*texts)
-            self.learn(missing)
-        for words in texts:
-            yield b"".join(map(self.known.__getitem__, words))
-
-    def __call__(self, texts: Iterable[bytes]) -> Iterator[bytes]:
-        """Texts together up to a block, longer ones by blocks."""
-        group, size = [], 0
-        for text in texts:
-            if len(text) > self.block:
-                yield from self.look_up(group)
-                group, size = [], 0
-                yield b"".join(x for words in self.blocks(text) for x in self.look_up([words]))
-                continue
-            group += self.blocks(text) if text else [[]]
-            size += len(text)
-            if size >= self.group:
-                yield from self.look_up(group)
-                group, size = [], 0
-        yield from self.look_up(group)
+    def __call__(self, text: bytes) -> bytes:
+        out = []
+        for words in self.blocks(text):
+            found = list(map(self.known.get, words))
+            if None in found:
+                if len(self.known) > self.keep:
+                    self.known, found = {}, [None] * len(words)
+                self.learn({w for w, ids in zip(words, found, strict=True) if ids is None})
+                found = map(self.known.__getitem__, words)
+            out.append(b"".join(found))
+        return b"".join(out)
 
 
 class Pool:
@@ -200,7 +184,7 @@ def packer(path: str, end_id: int, tiers: tuple[int, ...], pool_tokens: int, sch
             return out
 
         for given in batches:
-            for doc_id, ids in zip(given.column(0).to_pylist(), encode(text.as_py() or b"" for text in given.column(1)), strict=True):
+            for doc_id, ids in zip(given.column(0).to_pylist(), (encode(text.as_py() or b"") for text in given.column(1)), strict=True):
                 ids += end
                 doc, total = (doc_id, len(ids) // 4), len(ids) // 4
                 for start in range(0, total - most + 1, most):
