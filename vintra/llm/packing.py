@@ -101,11 +101,19 @@ class Encoder:
         out = []
         for words in self.blocks(text):
             found = list(map(self.known.get, words))
-            if None in found:
+            at, places = -1, []
+            while True:  # what is missing is looked up again alone
+                try:
+                    at = found.index(None, at + 1)
+                except ValueError:
+                    break
+                places.append(at)
+            if places:
                 if len(self.known) > self.keep:
-                    self.known, found = {}, [None] * len(words)
-                self.learn({w for w, ids in zip(words, found, strict=True) if ids is None})
-                found = map(self.known.__getitem__, words)
+                    self.known = {}
+                self.learn({words[k] for k in places})
+                for k in places:
+                    found[k] = self.known[words[k]]
             out.append(b"".join(found))
         return b"".join(out)
 
@@ -184,7 +192,7 @@ def packer(path: str, end_id: int, tiers: tuple[int, ...], pool_tokens: int, sch
             return out
 
         for given in batches:
-            for doc_id, ids in zip(given.column(0).to_pylist(), (encode(text.as_py() or b"") for text in given.column(1)), strict=True):
+            for doc_id, ids in zip(given.column(0).to_pylist(), (encode(text or b"") for text in given.column(1).to_pylist()), strict=True):
                 ids += end
                 doc, total = (doc_id, len(ids) // 4), len(ids) // 4
                 for start in range(0, total - most + 1, most):
