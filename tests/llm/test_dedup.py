@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from vintra.llm import decontamination, exact_dedup, line_dedup, queries, simhash
 from vintra.llm.common import Scratch, connected_components, shared_dir
@@ -331,3 +332,16 @@ def test_leaks_of_odd_rows(spark):
     got = sorted(tuple(r) for r in decontamination.leaks(docs, bench).select("doc_id", "item_id", "score", "start").fillna(-1, ["doc_id"]).collect())
     assert got == [(-1, 7, 1.0, 0), (1, 7, 1.0, 0), (3, 7, 1.0, 200_000)]
     assert decontamination.leaks(docs.limit(0), bench).count() == 0 and decontamination.leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_drop_exact_copies(spark):
+    """One row a text, also where a doc_id repeats with other texts, with clashing columns; what the index has goes."""
+    rows = [(1, "a b", "x"), (1, "other", "y"), (1, "a  b ", "z"), (2, "ab", "w"), (3, None, "n"), (4, " ", "e"), (None, "no id", "i"), (5, "seen " * 50_000, "l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own string").withColumn("digest", F.lit("d")).withColumn("id", F.lit(0))
+    index = exact_dedup.DigestIndex(spark, f"{shared_dir(spark)}/drop-{uuid.uuid4().hex}", 4)
+    got = exact_dedup.drop_exact_copies(docs, index)
+    assert got.columns == docs.columns and sorted(r["own"] for r in got.collect()) == ["e", "i", "l", "y", "z"]
+    assert exact_dedup.drop_exact_copies(docs, index).count() == 5  # a batch that runs again gets the same rows
+    again = docs.unionAll(docs.limit(1).withColumn("text", F.lit("new"))).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)) + 100)
+    assert [r["text"] for r in exact_dedup.drop_exact_copies(again, index).collect()] == ["new"]
+    assert exact_dedup.drop_exact_copies(docs.limit(0), index).count() == 0

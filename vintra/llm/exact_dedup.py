@@ -72,6 +72,12 @@ class DigestIndex:
 
 
 def drop_exact_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """The rows of docs whose text the index didn't have before, one for each text, with all their columns."""
-    kept = index.add(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """The rows of docs whose text the index didn't have before, one for each text, with all their columns.
+
+    Of rows with one doc_id and different texts each is its own; of rows with one doc_id and equal texts a longest one stays. Null and empty
+    texts are equal. No rows: no rows.
+    """
+    kept = index.add(docs).where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest"))
+    own = docs.select(F.struct(*docs.columns).alias("r"), F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("own"))
+    found = own.join(kept, F.col("r.doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("digest")), "left_semi")
+    return found.groupBy("own").agg(F.max_by("r", F.coalesce(F.length("r.text"), F.lit(0))).alias("r")).select("r.*")
