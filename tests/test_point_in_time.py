@@ -29,6 +29,12 @@ def test_series_as_of_does_not_skip_null_vintages(obs):
     assert series("2024-03-20") == [3.8, None] and series("2024-12-31") == [3.8, 3.9, 3.8] and series("2024-02-01") == []
 
 
+def test_nowcast_of_a_month_that_is_known_as_null(spark, obs):
+    k = asof.known(obs.unionByName(obs.where("value is null").withColumn("series_id", F.lit("W"))), F.lit("2024-03-20").cast("date"))
+    got = lambda x: {r["series_id"]: (str(r["month"])[:7], r["nowcast"]) for r in asof.nowcast(k, F.lit(x).cast("date")).collect()}
+    assert got("2024-02-01") == {"U": ("2024-02", 3.8), "V": ("2024-01", 1.0)} and got("2024-03-01") == {"U": ("2024-01", 3.8), "V": ("2024-01", 1.0)}
+
+
 def test_known_at_needs_no_cartesian_product(spark, obs):
     cutoffs = spark.createDataFrame([(D(x),) for x in ("2024-02-01", "2024-03-07", "2024-03-08", "2030-01-01")], "cutoff date")
     found = asof.known_at(obs, cutoffs)

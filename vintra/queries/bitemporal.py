@@ -157,10 +157,7 @@ def a22_survey_as_of(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {OBS}, {KNOWN}, newest AS (SELECT series_id, max(observed_at) AS top FROM known WHERE value IS NOT NULL GROUP BY ALL) SELECT n.series_id, coalesce(a.observed_at, b.observed_at) AS month, coalesce(a.value, b.value) AS nowcast FROM newest n LEFT JOIN known a ON a.series_id = n.series_id AND a.observed_at = DATE '1998-04-01' JOIN known b ON b.series_id = n.series_id AND b.observed_at = top")
 def a23_nowcast_as_of(spark: SparkSession, d: str) -> DataFrame:
-    k = asof.known(obs(spark, d), cut()).where("value is not null")
-    wanted = F.max(F.when(F.col("observed_at") == day("1998-04-01"), F.struct("observed_at", "value")))
-    newest = F.max(F.struct("observed_at", "value"))
-    return k.groupBy("series_id").agg(F.coalesce(wanted, newest).alias("x")).select("series_id", F.col("x.observed_at").alias("month"), F.col("x.value").alias("nowcast"))
+    return asof.nowcast(asof.known(obs(spark, d), cut()), day("1998-04-01"))
 
 
 INCOMING = "old AS (SELECT c_custkey AS k, c_name AS v, c_acctbal AS w FROM customer WHERE c_custkey % 3 <> 0), incoming AS (SELECT c_custkey AS k, c_name AS v, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_acctbal END AS w FROM customer WHERE c_custkey % 2 = 0)"
