@@ -97,3 +97,19 @@ def test_many_groups_and_paths(spark):
     assert len(out) == 300 and len(roots) == 1 and len({bytes(r["subroot"]) for r in out}) == 70
     for r in out:
         assert merkle.folded(bytes(r["leaf"]), [(p["place"], tuple(map(bytes, p["others"]))) for p in r["path"]]) in roots
+
+
+def test_rows_without_a_claim_are_folded_too(spark, monkeypatch):
+    """A sibling that is wrong in the tree shows at every row that has it, whether its leaf is claimed or not."""
+    runs = merkle.lowest_runs
+
+    def broken(levels, seeds, count, fanout, scratch):
+        wrong = lambda x: ([b"\0" * 32, *x[0][1:]] if x[0] else x[0], x[1])
+        out = runs(levels, seeds, count, fanout, scratch)
+        return out.mapValues(wrong) if count == 20 else out
+
+    monkeypatch.setattr(merkle, "lowest_runs", broken)
+    df = spark.createDataFrame([(k, "g", f"t{k}") for k in range(20)], "id long, g string, text string")
+    out = merkle.verified(df, "g", "id", merkle.digest_of(F.col("id")), F.lit(None).cast("binary"), fanout=4).collect()
+    # the first child of each run has true siblings
+    assert {r["key"] for r in out if r["verified"]} == set(range(0, 20, 4)) and all(r["verified"] == (r["folded_root"] == r["root"]) for r in out)

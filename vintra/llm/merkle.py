@@ -166,7 +166,8 @@ def verified(rows: DataFrame, group: str, order: str, leaf: Column, claim: Colum
     def proven(item: tuple) -> tuple:
         (place, key, digest, claim), (kids, (subroot, path)) = item[1]
         path = (step(kids, place), *path) if kids else path
-        found = folded(bytes(claim), path) if claim is not None else root
+        # rows without a claim fold their own leaf: that the tree holds it is checked, not assumed
+        found = folded(bytes(digest if claim is None else claim), path)
         return key, digest, subroot, root, hashed(x for _, others in path for x in others), found, found == root, *((path,) if with_path else ())
 
     out = own.join(runs, partitions(spark)).map(proven)
