@@ -139,6 +139,21 @@ def test_near_groups_too_large_to_compare(spark, rows, parts, share):
     assert sum(got[k] != k for k in gone) >= share * len(gone) > 100
 
 
+@pytest.mark.parametrize("rows", [8, 30])
+def test_no_link_is_lost_in_a_group_too_large_to_compare(spark, rows):
+    """Chains of copies in one text's company, and pairs that share little else with it: the groups are those of brute force."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    texts = [edited(rng, base, 0.03 if k % 3 else 0.1) for k in range(300)]
+    for k in range(40):
+        own = [f"o{k}x{rng.randrange(5000)}" for _ in range(60)]
+        texts += [[*base[:60], *own], [*base[:60], *own[:-3], f"y{k}"]]
+    docs = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    want = components([k for k, _ in docs], similar_pairs(shingle_sets(docs)))
+    got = {r["doc_id"]: r["keep_id"] for r in simhash.near_groups(spark.createDataFrame(docs, "doc_id long, text string"), class_rows=rows, class_parts=1).collect()}
+    assert got == want and sum(want[k] != k for k in want) > 100
+
+
 def test_near_groups_odd_rows(spark):
     text = " ".join(f"w{k}" for k in range(40))
     rows = [(5, text, "a"), (5, text, "b"), (7, text + " more", "c"), (3, None, "d"), (4, "", "e"), (9, " \n", "f"), (None, text, "g"), (11, "one two", "h"), (12, "ONE  two", "i"), (13, "z" * 300_000, "j"), (5, "another text", "k")]

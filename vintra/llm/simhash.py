@@ -294,41 +294,64 @@ def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def classes(nodes: DataFrame, scratch: Scratch, most_rows: int, most_words: int, most_parts: int) -> DataFrame:
+def classes(nodes: DataFrame, scratch: Scratch, most_rows: int, most_words: int, most_parts: int) -> tuple[DataFrame, DataFrame]:
     """(key, id): groups of nodes (id, words, keys) that agree in one of their keys, each of most_rows nodes and most_words words
-    at most.
+    at most; and the ids of those whose groups are too large for all of them to meet there.
 
     A group of up to most_parts times as much is dealt into pieces by hash, and every two pieces make a group, so that all of its
-    members still meet. A larger one is split by what its members agree in besides: its rows go on with every pair of keys, then
-    every three, as far as needed. Members of one that agree in all keys are dealt by hash, the smallest to every part.
+    members still meet. A larger one is only dealt, the smallest to every part; crossed() finds what its members still lack.
     """
-    tables = len(nodes.select("keys").first()["keys"]) if nodes.limit(1).count() else 0
-    numbers = F.sequence(F.lit(0), F.lit(max(0, tables - 1)))
-    # a key is the hash of its tables' numbers and fingerprints
-    key_of = lambda used: F.xxhash64(F.transform(used, lambda t: F.struct(t.alias("t"), F.get("keys", t).alias("fp"))))
-    now, out = nodes.select("id", "words", "keys", F.transform(numbers, lambda t: F.array(t)).alias("sets")), None
-    for depth in range(1, max(1, tables) + 1):
-        now = scratch.save(now.select("id", "words", "keys", F.explode("sets").alias("used")).withColumn("key", key_of(F.col("used"))).dropDuplicates(["id", "key"]), f"keys-{depth}")
-        sizes = now.groupBy("key").agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.min("id").alias("first"), F.bit_xor(F.xxhash64("id")).alias("who")).where("n > 1")
-        sizes = scratch.save(sizes.withColumn("parts", F.when(F.col("n") > 2, F.ceil(F.greatest(F.col("n") / most_rows, F.col("words") / most_words))).otherwise(1).cast("int")), f"sizes-{depth}")
-        # of groups with the same members one is enough
-        once = sizes.where("parts = 1").groupBy("n", "who").agg(F.min("key").alias("key")).select("key")
-        part = scratch.save(now.select("key", "id").join(once, "key"), f"classes-{depth}")
-        out = part if out is None else out.unionAll(part)
-        medium = now.join(sizes.where(F.col("parts").between(2, most_parts)).select("key", (2 * F.col("parts")).alias("pieces")), "key")
-        medium = medium.select("key", "id", "pieces", F.pmod(F.xxhash64("id"), "pieces").cast("int").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).where("i <> j")
-        out = out.unionAll(scratch.save(medium.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "id"), f"pieces-{depth}"))
-        large = sizes.where(F.col("parts") > most_parts).select("key", "parts", "first")
-        if not large.limit(1).count():
-            break
-        rest = now.join(large, "key")
-        if depth == tables:
-            dealt = rest.select(F.xxhash64("key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("long")).alias("key"), "id")
-            firsts = large.select("key", "first", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k")).select(F.xxhash64("key", F.col("k").cast("long")).alias("key"), F.col("first").alias("id"))
-            out = out.unionAll(scratch.save(dealt.unionAll(firsts).distinct(), "dealt"))
-        more = F.transform(F.array_except(numbers, F.col("used")), lambda t: F.array_sort(F.concat("used", F.array(t))))
-        now = rest.select("id", "words", "keys", more.alias("sets"))
-    return out
+    now = scratch.save(nodes.select("id", "words", F.posexplode("keys").alias("t", "fp")).select("id", "words", F.xxhash64("t", "fp").alias("key")), "keys")
+    sizes = now.groupBy("key").agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.min("id").alias("first"), F.bit_xor(F.xxhash64("id")).alias("who")).where("n > 1")
+    sizes = scratch.save(sizes.withColumn("parts", F.when(F.col("n") > 2, F.ceil(F.greatest(F.col("n") / most_rows, F.col("words") / most_words))).otherwise(1).cast("int")), "sizes")
+    # of groups with the same members one is enough
+    once = sizes.where("parts = 1").groupBy("n", "who").agg(F.min("key").alias("key")).select("key")
+    whole = now.select("key", "id").join(once, "key")
+    medium = now.join(sizes.where(F.col("parts").between(2, most_parts)).select("key", (2 * F.col("parts")).alias("pieces")), "key")
+    medium = medium.select("key", "id", "pieces", F.pmod(F.xxhash64("id"), "pieces").cast("int").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).where("i <> j")
+    pieces = medium.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "id")
+    large = sizes.where(F.col("parts") > most_parts).select("key", "parts", "first")
+    rest = scratch.save(now.join(large, "key").select("key", "id", F.pmod(F.xxhash64("id"), F.col("parts")).cast("long").alias("k")), "rest")
+    firsts = large.select("key", F.col("first").alias("id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k")).select("key", "id", F.col("k").cast("long").alias("k"))
+    dealt = rest.unionAll(firsts).select(F.xxhash64("key", "k").alias("key"), "id").distinct()
+    members = [scratch.save(x, name) for x, name in ((whole, "classes"), (pieces, "pieces"), (dealt, "dealt"))]
+    return members[0].unionAll(members[1]).unionAll(members[2]), rest.select("id").distinct()
+
+
+def crossed(sets: DataFrame, roots: DataFrame, scratch: Scratch, least: float, most_rows: int, most_words: int) -> DataFrame:
+    """(key, id): groups, of about most_rows rows and most_words shingles, in which every two of the sets (id, set) whose similarity is
+    least or more, and whose roots (node, root; without one a set is its own) differ, meet.
+
+    Similar sets share at least ceil(least * size) shingles of either, so in any one order of all shingles they share one among the first
+    size - ceil(least * size) + 1. The order is by rarity: shingles of one set only come first, and meet nobody. A shingle's sets of its
+    most frequent root needn't meet each other; they are dealt into pieces that each meet every piece of the others, which also meet.
+    """
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                codes = np.frombuffer(x.as_buffer(), np.int64)
+                for k in range(0, len(codes), BLOCK):
+                    part = codes[k : k + BLOCK]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), i, np.int64)), pa.array(np.full(len(part), len(codes), np.int64)), pa.array(part)], names=["id", "size", "h"])
+
+    held = scratch.save(sets.mapInArrow(shingles, "id long, size long, h long"), "shingles")
+    shared = scratch.save(held.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    by_id = held.join(shared, "h").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("shared"))
+    prefix = F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1 - (F.col("size") - F.size("shared"))
+    rare = by_id.select("id", "size", F.explode(F.slice("shared", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))["h"]).alias("h"))
+    rare = scratch.save(rare.join(roots, F.col("id") == F.col("node"), "left").select("h", "id", "size", F.coalesce("root", "id").alias("root")), "rare")
+    by_root = rare.groupBy("h", "root").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.bit_xor(F.xxhash64("id")).alias("who"))
+    groups = by_root.groupBy("h").agg(F.max(F.struct("n", "root", "words")).alias("top"), F.sum("n").alias("n"), F.sum("words").alias("words"), F.bit_xor("who").alias("who"), F.count("*").alias("roots")).where("roots > 1")
+    # of groups with the same members one is enough
+    groups = groups.groupBy("n", "who").agg(F.min(F.struct("h", "top", "words")).alias("x")).select("n", "x.*")
+    parts = lambda n, words: F.ceil(F.greatest(n / (most_rows / 2), words / (most_words / 2))).cast("int")
+    groups = scratch.save(groups.select("h", F.col("top.root").alias("top"), parts(F.col("top.n"), F.col("top.words")).alias("a"), parts(F.col("n") - F.col("top.n"), F.col("words") - F.col("top.words")).alias("b")), "groups")
+    dealt = rare.join(groups, "h").select("h", "id", (F.col("root") == F.col("top")).alias("inner"), F.pmod(F.xxhash64("id"), "a").cast("int").alias("i"), F.pmod(F.xxhash64("id"), "b").cast("int").alias("j"), "a", "b")
+    to_all = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    inner = F.transform(to_all("b"), lambda j: F.struct(F.col("i").alias("i"), j.alias("j")))
+    outer = F.concat(F.transform(to_all("a"), lambda i: F.struct(i.alias("i"), F.col("j").alias("j"))), F.transform(F.array_remove(to_all("b"), F.col("j")), lambda k: F.struct((-1 - F.least("j", k)).alias("i"), F.greatest("j", k).alias("j"))))
+    return scratch.save(dealt.select("h", "id", F.explode(F.when(F.col("inner"), inner).otherwise(outer)).alias("x")).select(F.xxhash64("h", "x.i", "x.j").alias("key"), "id"), "crossed")
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, samples: int = 8, picks: int = 3, reach: int = 2, class_rows: int = 2048, class_words: int = 2_000_000, class_parts: int = 8) -> DataFrame:
@@ -337,7 +360,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, samples:
     Documents link if the Jaccard similarity of their sets of `shingle`-word shingles is least or more; equal words are equal
     texts, those without words too. They are compared if their SimHashes are within reach (or lead to each other so), or if they
     share the SimHash of a sample, `picks` shingles each: of pairs at a similarity s, 1 - (1 - s**picks)**samples do, 99.7 % at
-    0.8 and more beyond. In groups too large to compare, members have to share further fingerprints (see classes).
+    0.8 and more beyond. Members of groups too large to compare meet by their rarest shingles, all similar ones of them (see crossed).
     Rows that repeat a doc_id with other texts count with one of them. No rows: no rows.
     """
     scratch = Scratch(docs.sparkSession)
@@ -376,12 +399,16 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, samples:
     nodes = scratch.save(firsts.groupBy("id").agg(F.min(F.struct("digest", "words", "fp", "samples")).alias("x")).select("id", "x.*"), "nodes")
     whole = components(nodes.select(F.col("id").alias("doc_id"), "fp"), scratch, reach)
     keyed = scratch.save(nodes.join(whole, "fp").select("id", "words", F.concat(F.array("component_id"), F.col("samples")).alias("keys")), "keyed")
-    members = scratch.save(classes(keyed, scratch, class_rows, class_words, class_parts), "members")
+    members, crowd = classes(keyed, scratch, class_rows, class_words, class_parts)
     wanted = members.select("id").distinct().join(nodes.select("id", "digest"), "id")
     made = texts.join(wanted, F.col("doc_id") == F.col("id")).select("id", "text", "digest").mapInArrow(sets, "id long, set binary")
     made = scratch.save(made.dropDuplicates(["id"]), "sets")
-    compared = members.join(made, "id").select("key", "id", "set").repartition("key").sortWithinPartitions("key", "id").mapInArrow(link, "a long, b long")
-    roots = connected_components(scratch, scratch.save(compared, "similar"))
+    compared = lambda groups: groups.join(made, "id").select("key", "id", "set").repartition("key").sortWithinPartitions("key", "id").mapInArrow(link, "a long, b long")
+    similar = scratch.save(compared(members), "similar")
+    roots = scratch.save(connected_components(scratch, similar), "roots")
+    if crowd.limit(1).count():
+        more = scratch.save(compared(crossed(made.join(crowd, "id"), roots, scratch, least, class_rows, class_words)), "similar")
+        roots = connected_components(scratch, similar.unionAll(more))
     named = scratch.save(nodes.join(roots, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("root", "id").alias("keep_id")), "named")
     return rows.join(named, "digest", "left").select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"))
 
