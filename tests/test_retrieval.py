@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from vintra.functions.stemming import lexemes, stem
-from vintra.operators import retrieval
+from vintra.operators import metrics, retrieval
 from vintra.queries.base import day
 from vintra.queries.retrieval import AS_OF, TEXT, WEB, corpus, index_of
-from vintra.sources.lexeme_index import LexemeIndex, known_by
+from vintra.sources import lexeme_index
+from vintra.sources.lexeme_index import LexemeIndex, Terms, known_by
 from vintra.sources.scratch import shared_dir
 
 # A sample vocabulary with its published stems.
@@ -81,3 +82,29 @@ def test_rank_of_title_and_length(spark, index):
     index.add(spark.createDataFrame(data, SHAPE).withColumn("published_at", at))
     got = {r["source_id"]: r["rank"] for r in index.match_any("inflation").collect()}
     assert got["title"] == pytest.approx(1 / 1.64493406685 / 1.584962500721156) and got["title"] > got["body"] > got["long"]
+
+
+def test_postings_of_documents_in_blocks(spark, small):
+    """Numbers for lexemes, in any blocks and with the vocabulary cleared between them, give what lexemes() gives text by text."""
+    texts = [None, "", "of the", "The Rates of the_Bank's 2nd ÉTÉ", *(r["text"] for r in corpus(spark, small).select(F.col("content").alias("text")).limit(40).collect())]
+    terms = Terms(8, most=50)
+    for k in range(0, len(texts), 7):
+        rows_, places, numbers = terms.of(texts[k : k + 7])
+        got = [[(int(p), terms.terms[n]) for r, p, n in zip(rows_, places, numbers, strict=True) if r == i] for i in range(len(texts[k : k + 7]))]
+        assert got == [lexemes(t) for t in texts[k : k + 7]]
+
+
+def test_tasks_of_the_index_grow_with_the_texts(spark, index, monkeypatch):
+    """A task holds the postings of so many characters; before, the number of tasks was fixed."""
+    docs = spark.range(400).select(F.lit("a").alias("document_type"), F.col("id").cast("string").alias("source_id"), F.lit("one").alias("title"), F.repeat(F.lit("bank rates "), 20).alias("content"), F.to_timestamp(F.lit("2024-01-02")).alias("published_at"))
+    monkeypatch.setattr(lexeme_index, "TASK_CHARS", 5000)
+    index.add(docs)
+    files = index.postings(["bank"]).select(F.input_file_name().alias("f")).distinct().count()
+    assert files > 10 and index.match_any("bank").count() == 400 and index.match_all('"bank rates"').count() == 400
+
+
+def test_texts_are_taken_apart_once_for_words_and_pairs(spark):
+    docs = spark.createDataFrame([("en", "The cat and the dog-house b2 the cat the dog-house"), ("en", None), ("en", "the"), ("de", "x1 x1")], "lang string, text string")
+    out = metrics.top_words(docs, ["lang"], "text", 4, ["the", "and"])
+    assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["lang"], r["term"], r["n"], r["kind"]) for r in out.collect()) == [("de", "x1", 2, "word"), ("en", "b2", 1, "word"), ("en", "cat", 2, "word"), ("en", "cat dog-house", 2, "pair"), ("en", "dog-house", 2, "word")]

@@ -2,7 +2,8 @@
 
 A posting is a lexeme in a document: its places in title and body, and what it adds to the document's rank. Postings lie in
 folders by a hash of the lexeme and sorted by it, so a query reads the folders of its own lexemes and skips the rest of each file.
-Documents that are there already aren't added again. A lexeme of a third of all documents is spread over several files.
+Documents that are there already aren't added again. A folder has a file for each task, which holds some of the documents: a lexeme
+of a third of all documents is spread over all of them.
 """
 
 from __future__ import annotations
@@ -11,22 +12,81 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vintra.functions.stemming import Stems, lexemes
+from vintra.functions.stemming import TOKEN, Stems, lexemes
 
 KEY = ("document_type", "source_id")
 TITLE_WEIGHT, BODY_WEIGHT = 1.0, 0.4
 #: The sum of 1 / k^2, by which a lexeme's places are scaled.
 ZETA2 = 1.64493406685
+#: Characters whose postings are made at once, those that are worth a task, and those whose postings a task holds at most.
+BLOCK_CHARS, LEAST_CHARS, TASK_CHARS = 1 << 20, 1 << 22, 1 << 25
 
 
 def bucket_of(term: str, buckets: int) -> int:
     return zlib.crc32(term.encode()) % buckets
 
 
+class Terms(dict):
+    """word -> number of its lexeme, -1 for stop words; terms and their buckets by number. Up to `most` words are kept."""
+
+    def __init__(self, buckets: int = 1, most: int = 500_000):
+        super().__init__()
+        self.count, self.most, self.stems = buckets, most, Stems(most)
+        self.numbers, self.terms, self.buckets = {}, [], []
+
+    def __missing__(self, word: str) -> int:
+        term = self.stems[word]
+        if term is None:
+            out = -1
+        elif (out := self.numbers.get(term)) is None:
+            out = self.numbers[term] = len(self.terms)
+            self.terms.append(term)
+            self.buckets.append(bucket_of(term, self.count))
+        self[word] = out
+        return out
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place, number) of the lexemes of the texts, in order; see stemming.lexemes."""
+        if len(self) >= self.most:
+            self.clear()
+            self.numbers, self.terms, self.buckets = {}, [], []
+        found = [np.array([self[w] for w in TOKEN.findall((t or "").lower())], np.int32) for t in texts]
+        sizes = np.array([len(x) for x in found], np.int64)
+        numbers = np.concatenate([np.zeros(0, np.int32), *found])
+        rows = np.repeat(np.arange(len(texts)), sizes)
+        places = np.arange(len(numbers)) - (np.cumsum(sizes) - sizes)[rows] + 1
+        kept = numbers >= 0
+        return rows[kept], places[kept].astype(np.int32), numbers[kept]
+
+
+def postings_of(docs: pa.RecordBatch, terms: Terms, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The postings of documents (document_type, source_id, title, content, published_at)."""
+    # both sides by one call: numbers of a call are of one vocabulary
+    rows, places, numbers = terms.of([*docs.column(2).to_pylist(), *docs.column(3).to_pylist()])
+    if not len(rows):
+        return
+    n = docs.num_rows
+    side, rows = rows >= n, rows % n
+    words = np.bincount(rows, minlength=n)
+    order = np.argsort(rows * len(terms.terms) + numbers, kind="stable")
+    rows, numbers, side, places = rows[order], numbers[order], side[order], places[order]
+    new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (numbers[1:] != numbers[:-1])]))
+    a, b = (np.add.reduceat(x.astype(np.int64), new) for x in (~side, side))
+    squares = np.concatenate([[0.0], np.cumsum(1 / np.arange(1, words.max() + 1, dtype=float) ** 2)])
+    score = TITLE_WEIGHT * squares[a] + BODY_WEIGHT * (squares[a + b] - squares[a])
+    lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(x)]).astype(np.int32), places[mine]) for x, mine in ((a, ~side), (b, side))]
+    at, number = pa.array(rows[new]), numbers[new]
+    kind, key, published = (docs.column(c).take(at) for c in (0, 1, 4))
+    columns = [np.array(terms.buckets, np.int32)[number], pa.array(terms.terms).take(pa.array(number)), kind, key, published, words[rows[new]].astype(np.int32), score, *lists]
+    yield pa.RecordBatch.from_arrays([(c if isinstance(c, pa.Array) else pa.array(c)).cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 class LexemeIndex:
     """postings (term, document_type, source_id, published_at, words, score, title, body) and documents (document_type, source_id, published_at)
     under a path that all executors share."""
@@ -49,39 +109,28 @@ class LexemeIndex:
         old = self._read("documents")
         fresh = docs if old is None else docs.join(old.select(*KEY), list(KEY), "left_anti")
         kind = docs.schema["source_id"].dataType.simpleString()
-        shape = f"bucket int, term string, document_type string, source_id {kind}, published_at timestamp, words int, score double, title array<int>, body array<int>, part int"
+        shape = f"bucket int, term string, document_type string, source_id {kind}, published_at timestamp, words int, score double, title array<int>, body array<int>"
         from pyspark.sql.pandas.types import to_arrow_schema
         from pyspark.sql.types import StructType
 
-        schema, buckets, spread = to_arrow_schema(StructType.fromDDL(shape)), self.buckets, self.spread
+        schema, buckets = to_arrow_schema(StructType.fromDDL(shape)), self.buckets
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            stems = Stems()
-            squares = [0.0]
+            terms = Terms(buckets)
             for batch in batches:
-                out = {f.name: [] for f in schema}
-                for kind, key, title, content, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    places: dict[str, tuple[list, list]] = {}
-                    parts = (lexemes(title, stems), lexemes(content, stems))
-                    for side, found in enumerate(parts):
-                        for n, term in found:
-                            places.setdefault(term, ([], []))[side].append(n)
-                    words = len(parts[0]) + len(parts[1])
-                    while len(squares) <= words:
-                        squares.append(squares[-1] + 1 / len(squares) ** 2)
-                    for term, (a, b) in places.items():
-                        score = TITLE_WEIGHT * squares[len(a)] + BODY_WEIGHT * (squares[len(a) + len(b)] - squares[len(a)])
-                        for name, v in zip(out, (bucket_of(term, buckets), term, kind, key, at, words, score, a, b, zlib.crc32(str(key).encode()) % spread), strict=True):
-                            out[name].append(v)
-                    if len(out["term"]) >= 50_000:
-                        yield pa.RecordBatch.from_pydict(out, schema=schema)
-                        out = {f.name: [] for f in schema}
-                if out["term"]:
-                    yield pa.RecordBatch.from_pydict(out, schema=schema)
+                first = chars = 0
+                for k, n in enumerate(zip(*(pc.fill_null(pc.utf8_length(batch.column(c)), 0).to_pylist() for c in (2, 3)), strict=True)):
+                    chars += sum(n)
+                    if chars >= BLOCK_CHARS or k == batch.num_rows - 1:
+                        yield from postings_of(batch.slice(first, k + 1 - first), terms, schema)
+                        first, chars = k + 1, 0
 
         given = fresh.select("document_type", "source_id", "title", "content", F.col("published_at").cast("timestamp").alias("published_at"))
-        postings = given.mapInArrow(run, shape).repartition(self.buckets, "bucket", "part").sortWithinPartitions("bucket", "term")
-        postings.drop("part").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
+        # a task's postings grow with its texts and not with the table
+        size = given.agg(F.sum(F.coalesce(F.length("content"), F.lit(0)) + F.coalesce(F.length("title"), F.lit(0)))).first()[0] or 0
+        tasks = max(self.spread, min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), size // LEAST_CHARS), -(-size // TASK_CHARS))
+        postings = given.repartition(tasks, *KEY).mapInArrow(run, shape).sortWithinPartitions("bucket", "term")
+        postings.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
         fresh.select(*KEY, F.col("published_at").cast("timestamp").alias("published_at")).write.mode("append").parquet(f"{self.path}/documents")
 
     def documents(self) -> DataFrame:
