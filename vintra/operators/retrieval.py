@@ -4,22 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vintra.functions.stemming import Stems, lexemes as lexemes_of
-from vintra.sources.lexeme_index import BODY_WEIGHT, TITLE_WEIGHT, ZETA2, condition, known_by, parsed
+from vintra.functions.stemming import lexemes as lexemes_of
+from vintra.sources.lexeme_index import BODY_WEIGHT, TITLE_WEIGHT, ZETA2, Terms, condition, known_by, parsed
 
 
 def lexemes(text: Column) -> Column:
     """Array of (place, lexeme): stemmed lower-case words without stop words, in order, repeats included."""
 
-    @F.pandas_udf("array<struct<at int, term string>>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        stems = Stems()
+    @F.arrow_udf("array<struct<at int, term string>>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        terms = Terms()
         for texts in parts:
-            yield texts.map(lambda t: [{"at": n, "term": s} for n, s in lexemes_of(t, stems)])
+            rows, places, numbers = terms.of(texts.to_pylist())
+            ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(texts)))]).astype(np.int32)
+            found = pa.array(terms.terms, pa.string()).take(pa.array(numbers))
+            yield pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(places), found], names=["at", "term"]))
 
     return run(text)
 
