@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintra.functions.scalar import brier_binary, interval_score, log_loss, probability_bin, student_t_tail
+from vintra.sources.scratch import Scratch
 
 
 def scored(df: DataFrame) -> DataFrame:
@@ -130,12 +131,15 @@ def cluster_bootstrap(df: DataFrame, by: list[str], cluster: str, value: str, dr
 
 def top_words(df: DataFrame, by: list[str], text: str, n: int, stop: list[str]) -> DataFrame:
     """The n most frequent words and word pairs of each group: pairs that occur more than once take half of the places, rounded up."""
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit("([a-z][a-z0-9-]+)"), F.lit(1)), lambda w: ~w.isin(stop))
-    rows = df.select(*by, words.alias("_w"))
-    pairs = F.filter(F.transform(F.arrays_zip(F.col("_w").alias("a"), F.slice(F.col("_w"), F.lit(2), F.greatest(F.size("_w"), F.lit(1))).alias("b")), lambda p: F.when(p["b"].isNotNull(), F.concat_ws(" ", p["a"], p["b"]))), lambda p: p.isNotNull())
-    counted = lambda c, kind: rows.select(*by, F.explode(c).alias("term")).groupBy(*by, "term").agg(F.count("*").alias("n")).withColumn("kind", F.lit(kind))
+    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z][a-z0-9-]+)"), F.lit(1))
+    for x in stop:
+        words = F.array_remove(words, x)
+    # each word with the next one, null after a text's last: one pass counts the pairs, and words are sums over theirs
+    found = df.select(*by, words.alias("_w")).select(*by, F.explode(F.arrays_zip(F.col("_w").alias("a"), F.slice("_w", F.lit(2), F.size("_w")).alias("b"))).alias("_p"))
+    pairs = Scratch(df.sparkSession).save(found.groupBy(*by, F.col("_p.a").alias("_a"), F.col("_p.b").alias("_b")).agg(F.count("*").alias("n")), "pairs")
+    counted = {"pair": pairs.where("_b is not null").select(*by, F.concat_ws(" ", "_a", "_b").alias("term"), "n"), "word": pairs.groupBy(*by, F.col("_a").alias("term")).agg(F.sum("n").alias("n"))}
     w = Window.partitionBy(*by).orderBy(F.desc("n"), "term")
-    two = counted(pairs, "pair").where("n > 1").withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= math.ceil(n / 2))
+    two = counted["pair"].where("n > 1").withColumn("kind", F.lit("pair")).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= math.ceil(n / 2))
     taken = two.groupBy(*by).agg(F.count("*").alias("taken"))
-    one = counted(F.col("_w"), "word").withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n).join(taken, by, "left").where(F.col("nth") <= n - F.coalesce("taken", F.lit(0))).drop("taken")
+    one = counted["word"].withColumn("kind", F.lit("word")).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n).join(taken, by, "left").where(F.col("nth") <= n - F.coalesce("taken", F.lit(0))).drop("taken")
     return two.unionByName(one)
