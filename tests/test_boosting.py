@@ -86,6 +86,55 @@ def test_contributions_are_shapley_values(spark, rows):
             assert r.contributions[name] == pytest.approx(want, abs=1e-9)
 
 
+def test_rows_are_written_in_blocks_and_walked_by_columns(spark, rows):
+    specs = [boosting.Spec(F.col("id") % 4 == 0, F.col("id") % 4 == 1), boosting.Spec(F.col("id") % 4 == 2)]
+    table, edges, base, _ = boosting.binned(rows.repartition(3).unionByName(rows.withColumn("y", F.lit(None).cast("double"))), NAMES, "y", specs, Scratch(spark))
+    blocks = table.collect()
+    assert len(blocks) <= 3 + rows.rdd.getNumPartitions()  # a block a batch, not a row a row
+    pdf = rows.toPandas()
+    bins = boosting.Booster(NAMES, edges, "squared", 0.0, base[0], []).bins(pdf[NAMES].to_numpy(float))
+    want = sorted((y, *b, 1 * (k % 4 == 0) + 2 * (k % 4 == 1), 1 * (k % 4 == 2)) for k, y, b in zip(pdf.id, pdf.y, bins.tolist(), strict=True) if k % 4 < 3)
+    got = []
+    for r in blocks:
+        y = np.frombuffer(r["y"])
+        columns = [np.frombuffer(r[c], np.uint8).reshape(-1, len(y)) for c in ("bins", "use")]
+        got += zip(y.tolist(), *columns[0].tolist(), *columns[1].tolist(), strict=True)
+    assert sorted(got) == want
+    assert [b[0] for b in base] == pytest.approx([pdf.y[pdf.id % 4 == k].mean() for k in (0, 2)], abs=1e-8)
+
+
+@pytest.mark.parametrize("depth", [2, 3, 7, 9])
+def test_walks_and_looked_up_contributions_against_plain_ones(depth):
+    rng = np.random.default_rng(depth)
+    bins = np.asfortranarray(rng.integers(0, boosting.BINS + 1, (300, 4)).astype(np.uint8))
+    tree = boosting.Tree(depth)
+    inner = 2**depth - 1
+    tree.feature[:inner] = rng.integers(0, 4, inner)
+    tree.feature[1:inner][rng.random(inner - 1) < 0.4] = -1
+    for node in range(1, len(tree.feature)):
+        if tree.feature[(node - 1) // 2] < 0:
+            tree.feature[node] = -1
+    tree.cut[:], tree.missing_left[:], tree.value[:] = rng.integers(1, boosting.BINS + 1, len(tree.cut)), rng.random(len(tree.cut)) < 0.5, rng.normal(size=len(tree.value))
+    tree.cover[0] = 2**20
+    for node in range(inner):
+        tree.cover[2 * node + 1] = tree.cover[node] // 3
+        tree.cover[2 * node + 2] = tree.cover[node] - tree.cover[node] // 3
+
+    def walk(row):
+        node = 0
+        while (f := tree.feature[node]) >= 0:
+            left = tree.missing_left[node] if row[f] == boosting.MISSING else row[f] <= tree.cut[node]
+            node = 2 * node + (1 if left else 2)
+        return node
+
+    assert tree.leaves_of(bins).tolist() == [walk(r) for r in bins.tolist()]
+    model = boosting.Booster(list("abcd"), [np.zeros(0)] * 4, "squared", 0.5, np.zeros(1), [[tree]], 1)
+    left = {int(n): tree.goes_left(bins, n) for n in np.flatnonzero(tree.feature >= 0)}
+    assert (boosting.passed(tree) is None) == (len(left) > boosting.LOOKED_UP)
+    assert np.allclose(boosting.contributions(model, bins), 0.5 * boosting.shapley(tree, left, 4), atol=1e-12)
+    assert np.allclose(boosting.expected(model) + boosting.contributions(model, bins).sum(1), model.margin(bins)[:, 0], atol=1e-9)
+
+
 @pytest.mark.parametrize(("splits", "gap"), [(3, 0), (4, 2), (5, 1)])
 def test_no_fold_trains_within_the_gap(rows, splits, gap):
     folded = boosting.gap_folds(rows, "day", splits, gap).select("day", "_fold", *[boosting.trains(k).alias(f"t{k}") for k in range(splits)]).toPandas()

@@ -1,8 +1,8 @@
 """Gradient boosting on histograms, and explanations of its trees.
 
-Rows are cut into bins once and written. A level of a round is one Spark job: tasks walk their rows through the trees so far,
-add gradients up by node, feature and bin, and only these sums are shuffled; splits are chosen from them. Every spec (a grid point,
-a fold, a refit) has its own trees, and all specs share each job. Gradients are whole numbers of a fixed unit, so sums don't
+Rows are cut into bins once and written in blocks, one column of bytes a feature. A level of a round is one Spark job: tasks walk their
+blocks through the trees so far, a node at a time over whole columns, add gradients up by node, feature and bin, and only these sums are
+shuffled; splits are chosen from them. Every spec (a grid point, a fold, a refit) has its own trees, and all specs share each job. Gradients are whole numbers of a fixed unit, so sums don't
 depend on how rows are dealt to tasks. A model is a few flat arrays, whatever the number of rows.
 """
 
@@ -12,15 +12,19 @@ import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 #: Bin of a missing value; others count from 1.
 MISSING, BINS = 0, 32
 UNIT = 1 << 20
+#: Contributions of a tree with so many splits at most are looked up by which of them a row passes.
+LOOKED_UP = 8
 
 
 @dataclass(frozen=True)
@@ -51,17 +55,17 @@ class Tree:
 
     def goes_left(self, bins: np.ndarray, node: int) -> np.ndarray:
         b = bins[:, self.feature[node]]
-        return np.where(b == MISSING, self.missing_left[node], b <= self.cut[node])
+        # bytes wrap around: a missing value, less one, is above every cut
+        return b <= self.cut[node] if self.missing_left[node] else b - np.uint8(1) < self.cut[node]
 
-    def leaves_of(self, bins: np.ndarray) -> np.ndarray:
-        """The node at which each row ends."""
-        at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-        for _ in range(self.depth):
-            f = self.feature[at]
-            b = bins[rows, np.maximum(f, 0)]
-            left = np.where(b == MISSING, self.missing_left[at], b <= self.cut[at])
-            at = np.where(f < 0, at, 2 * at + 2 - left)
-        return at
+    def leaves_of(self, bins: np.ndarray, node: int = 0) -> np.ndarray:
+        """The node at which each row ends, from a node on."""
+        kind = np.uint8 if len(self.feature) <= 256 else np.int64
+        if self.feature[node] < 0:
+            return np.full(len(bins), node, kind)
+        left, right = (self.leaves_of(bins, child) for child in (2 * node + 1, 2 * node + 2))
+        # right, or with the bits that differ turned over
+        return right ^ ((left ^ right) & -self.goes_left(bins, node).astype(kind))
 
 
 @dataclass
@@ -78,7 +82,8 @@ class Booster:
     losses: list[float] = field(default_factory=list)
 
     def bins(self, values: np.ndarray) -> np.ndarray:
-        out = np.empty(values.shape, np.uint8)
+        """Bins of rows of values, a feature's side by side in memory."""
+        out = np.empty(values.shape, np.uint8, "F")
         for f, e in enumerate(self.edges):
             out[:, f] = np.where(np.isnan(values[:, f]), MISSING, np.searchsorted(e, values[:, f], "left") + 1)
         return out
@@ -87,7 +92,7 @@ class Booster:
         out = np.tile(self.base, (len(bins), 1))
         for trees in self.trees[: self.best if rounds is None else rounds]:
             for k, t in enumerate(trees):
-                out[:, k] += self.rate * t.value[t.leaves_of(bins)]
+                out[:, k] += (self.rate * t.value).take(t.leaves_of(bins))
         return out
 
     def gains(self) -> dict[str, float]:
@@ -123,63 +128,85 @@ def gradients(loss: str, margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray,
     return p - hot, p * (1 - p), -np.log(np.clip(p[np.arange(len(y)), y.astype(int)], 1e-15, 1))
 
 
-def binned(rows: DataFrame, features: list[str], label: str, specs: list[Spec], scratch) -> tuple[DataFrame, list[np.ndarray]]:
-    """Written rows (bins, use, y) and the edges of the bins: quantiles of each feature, at most BINS - 1.
+def binned(rows: DataFrame, features: list[str], label: str, specs: list[Spec], scratch) -> tuple[DataFrame, list[np.ndarray], list[np.ndarray], list[float]]:
+    """Written blocks of rows (bins, use, y), the edges of the bins (quantiles of each feature, at most BINS - 1), and starts() of the specs.
 
-    use has a byte for each spec: 1 trains, 2 validates. Rows without a label, and rows that no spec uses, aren't written.
+    bins has a byte a row for each feature in turn, use for each spec: 1 trains, 2 validates. Rows without a label, and rows that no spec uses, aren't written.
     """
-    shape = [F.percentile_approx(F.col(f).cast("double"), [k / BINS for k in range(1, BINS)], 10_000).alias(f"e{k}") for k, f in enumerate(features)]
+    shape = [F.percentile_approx(f, [k / BINS for k in range(1, BINS)], 10_000).alias(f"e{k}") for k, f in enumerate(features)]
     finite = [F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")).alias(f) for f in features]
-    row = rows.select(*finite).agg(*shape).first()
-    edges = [np.unique(np.array(e if e is not None else [], float)) for e in row]
-    use = F.array(*[F.when(F.coalesce(s.train, F.lit(False)), 1).when(F.coalesce(s.valid, F.lit(False)) if s.valid is not None else F.lit(False), 2).otherwise(0).cast("byte") for s in specs])
-    given = rows.select(*finite, F.col(label).cast("double").alias("y"), use.alias("use")).where(F.col("y").isNotNull() & F.exists("use", lambda u: u > 0))
+    use = [F.when(F.coalesce(s.train, F.lit(False)), 1).when(F.coalesce(s.valid, F.lit(False)) if s.valid is not None else F.lit(False), 2).otherwise(0).cast("byte").alias(f"_use{k}") for k, s in enumerate(specs)]
+    given = rows.select(*finite, F.col(label).cast("double").alias("_y"), *use)
+    row = given.agg(*shape, *starts(specs)).first()
+    edges = [np.unique(np.array(row[f"e{k}"] if row[f"e{k}"] is not None else [], float)) for k in range(len(features))]
     cutter = Booster(features, edges, "squared", 0.0, np.zeros(1), [])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bins = cutter.bins(b[features].to_numpy(float))
-            yield pd.DataFrame({"bins": [x.tobytes() for x in bins], "use": [bytes(np.asarray(u, np.uint8)) for u in b["use"]], "y": b["y"]})
+            bins = cutter.bins(matrix(b.columns[: len(features)]))
+            use = np.array([c.to_numpy(zero_copy_only=False) for c in b.columns[len(features) + 1 :]], np.uint8)
+            block = [bins.tobytes("F"), use.tobytes(), b.column(len(features)).to_numpy(zero_copy_only=False).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in block], names=["bins", "use", "y"])
 
-    return scratch.save(given.mapInPandas(run, "bins binary, use binary, y double"), "binned"), edges
+    used = given.where(F.col("_y").isNotNull() & reduce(Column.__or__, [F.col(f"_use{k}") > 0 for k in range(len(specs))]))
+    return scratch.save(used.mapInArrow(run, "bins binary, use binary, y binary"), "binned"), edges, *begun(row, specs)
+
+
+def matrix(columns: list[pa.Array]) -> np.ndarray:
+    """Rows of doubles, a column's side by side in memory; null is NaN."""
+    out = np.empty((len(columns[0]), len(columns)), float, "F")
+    for k, c in enumerate(columns):
+        out[:, k] = c.to_numpy(zero_copy_only=False)
+    return out
 
 
 def histograms(table: DataFrame, specs: list[Spec], models: list[Booster], growing: dict[int, list[Tree]], scale: list[float], level: int, n_features: int) -> pd.DataFrame:
     """Sums over training rows at the nodes of a level: (spec, class, node, feature, bin, g, h, n); at the first level also, as class -1,
     the loss and number of validation rows. One job for all specs."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(sums: dict, y: np.ndarray, use: np.ndarray, columns: np.ndarray) -> None:
+        width = 2**level
+        for s, (loss, classes) in specs_of.items():
+            mine = use[s] == 1
+            if level == 0 and (held := use[s] == 2).any():
+                of = gradients(loss, models[s].margin(columns[:, held].T, len(models[s].trees)), y[held])[2]
+                x = sums.setdefault((s, -1), np.zeros((1, 1, 3), np.int64))
+                x[0, 0] += [np.rint(of / scale[s] ** 2 * UNIT).astype(np.int64).sum(), 0, len(of)]
+            if s not in growing or not mine.any():
+                continue
+            own, label = (columns, y) if mine.all() else (columns[:, mine], y[mine])
+            g, h, _ = gradients(loss, models[s].margin(own.T, len(models[s].trees)), label)
+            g, h = np.rint(g / scale[s] * UNIT), np.rint(h * UNIT)
+            for k in range(classes):
+                x = sums.setdefault((s, k), np.zeros((width * n_features, BINS + 1, 3), np.int64))
+                gk, hk, start, of = g[:, k], h[:, k], 0, own
+                if level:
+                    node = growing[s][k].leaves_of(own.T).astype(np.intp) - (width - 1)
+                    if (node < 0).any():  # rows that ended above
+                        here = node >= 0
+                        node, of, gk, hk = node[here], own[:, here], gk[here], hk[here]
+                    start = node * (BINS + 1)
+                for f in range(n_features):
+                    at = of[f].astype(np.intp) + start
+                    n = np.bincount(at, minlength=width * (BINS + 1))
+                    # curvatures of squares are 1
+                    for j, w in enumerate((np.bincount(at, gk, len(n)), n * UNIT if loss == "squared" else np.bincount(at, hk, len(n)), n)):
+                        x[f * width : (f + 1) * width, :, j] += w.astype(np.int64).reshape(width, BINS + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, width = {}, 2**level
-        for b in batches:
-            bins = np.frombuffer(b"".join(b["bins"]), np.uint8).reshape(len(b), n_features)
-            use = np.frombuffer(b"".join(b["use"]), np.uint8).reshape(len(b), len(specs_of))
-            y = b["y"].to_numpy(float)
-            for s, (loss, classes) in specs_of.items():
-                mine = use[:, s] == 1
-                if level == 0 and (held := use[:, s] == 2).any():
-                    of = gradients(loss, models[s].margin(bins[held], len(models[s].trees)), y[held])[2]
-                    x = sums.setdefault((s, -1), np.zeros((1, 1, 3), np.int64))
-                    x[0, 0] += [np.rint(of / scale[s] ** 2 * UNIT).astype(np.int64).sum(), 0, len(of)]
-                if s not in growing or not mine.any():
-                    continue
-                own = bins[mine]
-                g, h, _ = gradients(loss, models[s].margin(own, len(models[s].trees)), y[mine])
-                g, h = np.rint(g / scale[s] * UNIT), np.rint(h * UNIT)
-                for k in range(classes):
-                    node = growing[s][k].leaves_of(own) - (width - 1)
-                    here = (node >= 0) & (node < width)
-                    x = sums.setdefault((s, k), np.zeros((width * n_features, BINS + 1, 3), np.int64))
-                    for f in range(n_features):
-                        at = node[here] * (BINS + 1) + own[here, f]
-                        for j, w in enumerate((g[here, k], h[here, k], None)):
-                            x[f * width : (f + 1) * width, :, j] += np.bincount(at, w, width * (BINS + 1)).astype(np.int64).reshape(width, BINS + 1)
+        for batch in batches:
+            for bins, use, y in zip(*batch.columns, strict=True):
+                y = np.frombuffer(y.as_buffer(), float)
+                add(sums, y, np.frombuffer(use.as_buffer(), np.uint8).reshape(-1, len(y)), np.frombuffer(bins.as_buffer(), np.uint8).reshape(-1, len(y)))
         for (s, k), x in sums.items():
             at, b = np.nonzero(x[:, :, 2])
-            yield pd.DataFrame({"spec": s, "class": k, "node": at % width, "feature": at // width, "bin": b, "g": x[at, b, 0], "h": x[at, b, 1], "n": x[at, b, 2]})
+            found = {"spec": np.full(len(at), s, np.int32), "class": np.full(len(at), k, np.int32), "node": (at % width).astype(np.int32), "feature": (at // width).astype(np.int32), "bin": b.astype(np.int32), "g": x[at, b, 0], "h": x[at, b, 1], "n": x[at, b, 2]}
+            yield pa.RecordBatch.from_pydict(found)
 
     specs_of = {s: (x.loss, len(models[s].base)) for s, x in enumerate(specs)}
     keys = ["spec", "class", "node", "feature", "bin"]
-    parts = table.mapInPandas(run, "spec int, class int, node int, feature int, bin int, g long, h long, n long")
+    parts = table.mapInArrow(run, "spec int, class int, node int, feature int, bin int, g long, h long, n long")
     return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")]).toArrow().to_pandas()
 
 
@@ -201,18 +228,21 @@ def best_split(sums: np.ndarray, l2: float, least: int, signs: np.ndarray, low:
     return found
 
 
-def starts(table: DataFrame, specs: list[Spec]) -> tuple[list[np.ndarray], list[float]]:
-    """Base margins (mean, log-odds, log of smoothed class shares) and the units of gradients, from exact sums."""
-    used = lambda s: F.get(F.col("u"), F.lit(s)) == "01"
-    rows = table.select("y", F.transform(F.sequence(F.lit(1), F.lit(len(specs))), lambda k: F.hex(F.substring("use", k, F.lit(1)))).alias("u"))
+def starts(specs: list[Spec]) -> list[Column]:
+    """Exact sums over the training rows (_y, _use) of each spec, from which it begins."""
     wide = []
     for s, x in enumerate(specs):
-        wide.append(F.max(F.when(used(s), F.abs("y"))).alias(f"most{s}"))
+        used = F.col("_y").isNotNull() & (F.col(f"_use{s}") == 1)
+        wide.append(F.max(F.when(used, F.abs("_y"))).alias(f"most{s}"))
         if x.loss == "squared":
-            wide += [F.sum(F.when(used(s), F.col("y").cast("decimal(38,9)"))).cast("double").alias(f"sum{s}"), F.count(F.when(used(s), 1)).alias(f"n{s}")]
+            wide += [F.sum(F.when(used, F.col("_y").cast("decimal(38,9)"))).cast("double").alias(f"sum{s}"), F.count(F.when(used, 1)).alias(f"n{s}")]
         else:
-            wide += [F.count(F.when(used(s) & (F.col("y") == k), 1)).alias(f"c{s}_{k}") for k in range(max(2, x.classes))]
-    row = rows.agg(*wide).first()
+            wide += [F.count(F.when(used & (F.col("_y") == k), 1)).alias(f"c{s}_{k}") for k in range(max(2, x.classes))]
+    return wide
+
+
+def begun(row: Row, specs: list[Spec]) -> tuple[list[np.ndarray], list[float]]:
+    """Base margins (mean, log-odds, log of smoothed class shares) and the units of gradients."""
     base, scale = [], []
     for s, x in enumerate(specs):
         if x.loss == "squared":
@@ -234,8 +264,7 @@ def fit(rows: DataFrame, features: list[str], label: str, specs: list[Spec], scr
     Labels of logistic models are 0 and 1, of softmax models 0 to classes - 1; a class without training rows keeps its small prior. Rows with a null label are
     left out. A spec without training rows, or whose labels agree, is its base value. Ties go to the first feature and cut.
     """
-    table, edges = binned(rows, features, label, specs, scratch)
-    base, scale = starts(table, specs)
+    table, edges, base, scale = binned(rows, features, label, specs, scratch)
     models = [Booster(features, edges, x.loss, x.rate, base[s], []) for s, x in enumerate(specs)]
     open_, n_features = set(range(len(specs))), len(features)
     signs = [np.array([x.monotone.get(f, 0) for f in features]) for x in specs]
@@ -301,15 +330,19 @@ def predicted(df: DataFrame, model: Booster, name: str = "prediction") -> DataFr
     """df with a column of what the model predicts: a double, or an array of class probabilities."""
     many = model.loss == "softmax"
 
-    @F.pandas_udf("array<double>" if many else "double")
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        for b in parts:
-            out = shares(model.margin(model.bins(b.to_numpy(float))), model.loss)
-            yield pd.Series(list(out) if many else out[:, 0])
+    @F.arrow_udf("array<double>" if many else "double")
+    def run(values: pa.Array) -> pa.Array:
+        out = shares(model.margin(model.bins(matrix(values.flatten()))), model.loss)
+        return lists(out) if many else pa.array(out[:, 0])
 
     return df.withColumn(name, run(F.struct(*[F.col(f).cast("double").alias(f) for f in model.features])))
 
 
+def lists(rows: np.ndarray) -> pa.Array:
+    """An Arrow list for each row of numbers."""
+    return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], rows.ravel())
+
+
 def paths(tree: Tree) -> list[tuple[float, list[tuple[int, float, list[tuple[int, bool]]]]]]:
     """(leaf value, [(feature, share of rows that its splits let pass, [(node, goes left)])]) of each leaf."""
     out, todo = [], [(0, {})]
@@ -333,37 +366,60 @@ def expected(model: Booster, k: int = 0) -> float:
     return total
 
 
-def contributions(model: Booster, bins: np.ndarray, k: int = 0) -> np.ndarray:
-    """Shapley values of each row's margin, by feature, in the game of path-dependent expectations.
+def shapley(tree: Tree, left: dict[int, np.ndarray], n_features: int) -> np.ndarray:
+    """Shapley values of rows by feature, in the game of path-dependent expectations of a tree; left: whether each row passes each split.
 
     In the game of one leaf a coalition's worth is its value times a factor a feature: whether the row passes the feature's splits, if
     the feature is in the coalition, else the share of rows that pass them. A feature's Shapley value weighs the coefficients of the
     product of the others' factors by the coalition's size.
     """
+    n = len(next(iter(left.values())))
+    out = np.zeros((n, n_features))
+    for value, of in paths(tree):
+        m = len(of)
+        passes = [np.logical_and.reduce([left[node] if side else ~left[node] for node, side in splits]).astype(float) for _, _, splits in of]
+        weights = [math.factorial(c) * math.factorial(m - 1 - c) / math.factorial(m) for c in range(m)]
+        for i, (f, share, _) in enumerate(of):
+            sizes = [np.ones(n)]
+            for j, (_, z, _) in enumerate(of):
+                if j != i:
+                    sizes = [(sizes[c] * z if c < len(sizes) else 0) + (sizes[c - 1] * passes[j] if c else 0) for c in range(len(sizes) + 1)]
+            out[:, f] += value * (passes[i] - share) * sum(w * c for w, c in zip(weights, sizes, strict=True))
+    return out
+
+
+def passed(tree: Tree) -> np.ndarray | None:
+    """shapley() of every set of splits that a row may pass, at the place that has its bits; None if there are too many splits."""
+    nodes = np.flatnonzero(tree.feature >= 0)
+    if not 0 < len(nodes) <= LOOKED_UP:
+        return None
+    places = np.arange(2 ** len(nodes))
+    return shapley(tree, {int(node): (places >> k & 1).astype(bool) for k, node in enumerate(nodes)}, int(tree.feature.max()) + 1)
+
+
+def contributions(model: Booster, bins: np.ndarray, k: int = 0, known: list[np.ndarray | None] | None = None) -> np.ndarray:
+    """Shapley values of each row's margin, by feature; known: passed() of the trees in use."""
     out = np.zeros((len(bins), len(model.features)))
-    for trees in model.trees[: model.best]:
-        tree = trees[k]
+    trees = [t[k] for t in model.trees[: model.best]]
+    for tree, values in zip(trees, [passed(t) for t in trees] if known is None else known, strict=True):
         left = {int(n): tree.goes_left(bins, n) for n in np.flatnonzero(tree.feature >= 0)}
-        for value, of in paths(tree):
-            m = len(of)
-            passes = [np.logical_and.reduce([left[n] if side else ~left[n] for n, side in splits]).astype(float) for _, _, splits in of]
-            weights = [math.factorial(c) * math.factorial(m - 1 - c) / math.factorial(m) for c in range(m)]
-            for i, (f, share, _) in enumerate(of):
-                sizes = [np.ones(len(bins))]
-                for j, (_, z, _) in enumerate(of):
-                    if j != i:
-                        sizes = [(sizes[c] * z if c < len(sizes) else 0) + (sizes[c - 1] * passes[j] if c else 0) for c in range(len(sizes) + 1)]
-                out[:, f] += model.rate * value * (passes[i] - share) * sum(w * c for w, c in zip(weights, sizes, strict=True))
+        if values is not None:
+            place = np.zeros(len(bins), np.uint8)
+            for bit, side in enumerate(left.values()):
+                place |= side.view(np.uint8) << np.uint8(bit)
+            out[:, : values.shape[1]] += model.rate * values.take(place, 0)
+        elif left:
+            out += model.rate * shapley(tree, left, out.shape[1])
     return out
 
 
 def explained(df: DataFrame, model: Booster, k: int = 0) -> DataFrame:
     """df with expected (the mean margin) and contributions (feature -> Shapley value); margin = expected + their sum."""
+    known = [passed(t[k]) for t in model.trees[: model.best]]
 
-    @F.pandas_udf("array<double>")
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        for b in parts:
-            yield pd.Series(list(contributions(model, model.bins(b.to_numpy(float)), k)))
+    @F.arrow_udf("array<double>")
+    def run(values: pa.Array) -> pa.Array:
+        return lists(contributions(model, model.bins(matrix(values.flatten())), k, known))
 
     values = run(F.struct(*[F.col(f).cast("double").alias(f) for f in model.features]))
     return df.withColumn("expected", F.lit(expected(model, k))).withColumn("contributions", F.map_from_arrays(F.array(*[F.lit(f) for f in model.features]), values))
