@@ -148,6 +148,30 @@ def test_lm_is_a_distribution_and_carries_state():
         assert got == pytest.approx(total, rel=1e-4)
 
 
+def test_lm_sums_of_runs_and_gradients():
+    """Runs of any length, and gradients against differences, where logits are small and where they would overflow."""
+    rng = np.random.default_rng(6)
+    for words in (rng.integers(0, 40, 300), np.zeros(50, int), np.arange(9), np.repeat([3, 5, 8], [8, 9, 1])):
+        words, rows = np.sort(words), rng.normal(size=(len(words), 3))
+        got = recurrent_lm.summed_runs(rows, np.flatnonzero(np.diff(words, prepend=-1)))
+        assert np.allclose(got, [rows[words == k].sum(0) for k in np.unique(words)])
+    y = rng.integers(0, 5, 30).astype(np.int32)
+    assert (recurrent_lm.by_word(y, 5) == np.argsort(y, kind="stable")).all() and (recurrent_lm.by_word(y, 1 << 20) == np.argsort(y, kind="stable")).all()
+    for size in (1.0, 400.0):
+        m, h = tiny_model(), rng.normal(size=(30, 3)) * size
+        grads = {k: np.zeros_like(v) for k, v in m.w.items() if k != "input"}
+        logs, dh = recurrent_lm.output(m, h, y, grads)
+        assert np.isfinite(logs).all() and np.allclose(logs, recurrent_lm.output(m, h, y)[0])
+        for name, of, g in [("h", h, dh), *((k, m.w[k], grads[k]) for k in ("class", "class_bias", "word", "word_bias"))]:
+            for at in np.ndindex(of.shape):
+                ends = []
+                for move in (1e-5, -2e-5):
+                    of[at] += move
+                    ends.append(-recurrent_lm.output(m, h, y)[0].sum())
+                of[at] += 1e-5
+                assert (ends[0] - ends[1]) / 2e-5 == pytest.approx(g[at], rel=1e-3, abs=1e-3), name
+
+
 def test_lm_base_score_and_held_out(spark):
     texts = [(k, "The cat sat on the mat\nand THE dog ran " * (1 + k % 5)) for k in range(120)] + [(500, None), (501, ""), (502, "never seen words"), (502, "never seen words")]
     docs = spark.createDataFrame([(k, t, "x") for k, t in texts], "doc_id long, text string, score string")

@@ -103,28 +103,43 @@ def new_model(top: list[tuple[bytes, int]], tokens: int, distinct: int, own: int
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """Of x, which is overwritten."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def step(w: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The next state, and what its gradient needs."""
+    """The next state, and what its gradient needs. Fastest if x and h lie in memory unit by unit, as the results do."""
     k = h.shape[1]
-    g = h @ w["state"]
+    g = (w["state"].T @ h.T).T
     zr = sigmoid(x[:, : 2 * k] + g[:, : 2 * k])
-    z, r = zr[:, :k], zr[:, k:]
-    n = np.tanh(x[:, 2 * k :] + r * g[:, 2 * k :])
-    return n + z * (h - n), z, r, n, g[:, 2 * k :]
+    z, r, gn = zr[:, :k], zr[:, k:], g[:, 2 * k :]
+    n = r * gn
+    n += x[:, 2 * k :]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    return new, z, r, n, gn
+
 
+def by_word(y: np.ndarray, size: int) -> np.ndarray:
+    """The stable order of word numbers up to size; numbers of two bytes are sorted by their digits."""
+    return np.argsort(y.astype(np.uint16) if size < 1 << 16 else y, axis=None, kind="stable")
 
-def exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(exp, its row sums, the logarithm of the sums of x) of x, which is overwritten; rows are shifted only where a value could overflow or all vanish."""
+
+def exponentials(x: np.ndarray, total: np.ndarray, small: bool) -> np.ndarray | float:
+    """Overwrites x by exp(x - shift) and total by its row sums; returns shift, which rows have only if a value, unless all are known
+    to be small, could overflow or all vanish."""
     shift = 0.0
-    if len(x) and (x.max() > 60 or x.min() < -60):
+    if not small and len(x) and (x.max() > 60 or x.min() < -60):
         shift = x.max(axis=1)
         x -= shift[:, None]
     np.exp(x, out=x)
-    total = x @ np.ones(x.shape[1], x.dtype)
-    return x, total, np.log(total) + shift
+    np.matmul(x, np.ones(x.shape[1], x.dtype), out=total)
+    return shift
 
 
 def output(m: Model, h: np.ndarray, y: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -132,43 +147,48 @@ def output(m: Model, h: np.ndarray, y: np.ndarray, grads: dict[str, np.ndarray]
     returns the gradient by h."""
     w, last = m.w, len(m.starts) - 1
     # sorted by word, so that each class is one slice
-    order = np.argsort(y, kind="stable")
-    y, h = y[order], h[order]
+    order = by_word(y, m.size)
+    y, h = y[order], h.take(order, 0)
     ends = np.append(np.searchsorted(y, m.starts), len(y))
     of = np.repeat(np.arange(last + 1), np.diff(ends))
     # biases are weights of a state that is always 1
     h = np.concatenate([h, np.ones((len(h), 1), h.dtype)], axis=1)
     of_class, of_word = (np.concatenate([w[n], w[f"{n}_bias"][:, None]], axis=1) for n in ("class", "word"))
+    # no product is above the most that a state could give
+    most = max(1.0, float(np.abs(h).max(initial=0)))
+    small_class, small_word = (float((np.abs(of) @ np.ones(of.shape[1], of.dtype)).max(initial=0)) * most < 60 for of in (of_class, of_word))
     p = h @ of_class.T
     rows = np.arange(len(y))
-    out = p[rows, of]
-    p, total, log_total = exponentials(p)
-    out -= log_total
-    dh = None
+    out, total = p[rows, of], np.empty(len(y), p.dtype)
+    shift = exponentials(p, total, small_class)
+    out -= np.log(total) + shift
+    own = ends[last]
+    out[:own] += np.einsum("ij,ij->i", h[:own], of_word.take(y[:own], 0))
+    dh, totals, found = None, np.ones(own, p.dtype), None
     if grads is not None:
-        d = np.divide(p, total[:, None], out=p)
-        d[rows, of] -= 1
-        dh = d @ w["class"]
-        found = d.T @ h
-        grads["class"] += found[:, :-1]
-        grads["class_bias"] += found[:, -1]
+        p /= total[:, None]
+        p[rows, of] -= 1
+        dh = p @ w["class"]
+        by_class, found = p.T @ h, np.zeros_like(of_word)
+        grads["class"] += by_class[:, :-1]
+        grads["class_bias"] += by_class[:, -1]
     for c in range(last):
-        i = slice(ends[c], ends[c + 1])
-        if i.start == i.stop:
+        i, k, a, b = ends[c], ends[c + 1], m.starts[c], m.starts[c + 1]
+        if i == k:
             continue
-        a, b = m.starts[c], m.starts[c + 1]
-        q = h[i] @ of_word[a:b].T
-        at = rows[: i.stop - i.start], y[i] - a
-        out[i] += q[at]
-        q, total, log_total = exponentials(q)
-        out[i] -= log_total
+        q, total = h[i:k] @ of_word[a:b].T, totals[i:k]
+        shift = exponentials(q, total, small_word)
         if grads is not None:
-            d = np.divide(q, total[:, None], out=q)
-            d[at] -= 1
-            dh[i] += d @ w["word"][a:b]
-            found = d.T @ h[i]
-            grads["word"][a:b] += found[:, :-1]
-            grads["word_bias"][a:b] += found[:, -1]
+            q /= total[:, None]
+            q.ravel()[rows[: k - i] * (b - a) + (y[i:k] - a)] -= 1
+            dh[i:k] += q @ w["word"][a:b]
+            np.matmul(q.T, h[i:k], out=found[a:b])
+        if not small_word:
+            out[i:k] -= shift
+    out[:own] -= np.log(totals)
+    if grads is not None:
+        grads["word"] += found[:, :-1]
+        grads["word_bias"] += found[:, -1]
     back = np.empty_like(order)
     back[order] = rows
     return out[back], None if dh is None else dh[back]
@@ -179,6 +199,19 @@ def rows_of(m: Model, words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(m.index.get, words, repeat(len(m.index))), np.int64, len(words))
 
 
+def summed_runs(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that begin at first: long runs as products, of which most rows are, others together."""
+    counts = np.diff(first, append=len(rows))
+    out, long = np.empty((len(first), rows.shape[1]), rows.dtype), counts > 8
+    ones = np.ones(counts.max(initial=0), rows.dtype)
+    for i in np.flatnonzero(long):
+        np.matmul(ones[: counts[i]], rows[first[i] : first[i] + counts[i]], out=out[i])
+    few = counts[~long]
+    if len(few):
+        out[~long] = np.add.reduceat(rows[np.repeat(~long, counts)], np.cumsum(few) - few, axis=0)
+    return out
+
+
 def train(m: Model, docs: list[np.ndarray], rate: float, streams: int = 384, window: int = 8, passes: int = 1) -> dict[str, np.ndarray]:
     """The weights after passes over documents (word numbers without the end), by Adagrad over windows; streams of
     documents run side by side, states carry over from window to window and start anew at each document. The rate falls
@@ -201,32 +234,49 @@ def train(m: Model, docs: list[np.ndarray], rate: float, streams: int = 384, win
     for t0 in range(0, width, window):
         xs, ys = x[t0 : t0 + window], y[t0 : t0 + window]
         grads = {name: np.zeros_like(v) for name, v in w.items() if name != "input"}
-        inputs, kept, states = w["input"][xs] + w["bias"], [], np.empty((*xs.shape, k), np.float32)
+        inputs, kept, states = w["input"] + w["bias"], [], np.empty((*xs.shape, k), np.float32)
         keeps = (xs != end).astype(np.float32)[:, :, None]
         for t in range(len(xs)):
             before = h * keeps[t]
-            h, z, r, n, gn = step(w, inputs[t], before)
+            h, z, r, n, gn = step(w, np.asfortranarray(inputs.take(xs[t], 0)), before)
             kept.append((before, z, r, n, gn))
             states[t] = h
         _, dh = output(m, states.reshape(-1, k), ys.ravel(), grads)
         dh = dh.reshape(len(xs), streams, k)
-        back, das = np.zeros_like(h), np.empty_like(inputs)
+        back, das = np.zeros_like(h), np.empty((*xs.shape, 3 * k), inputs.dtype)
+        da = np.empty((streams, 3 * k), inputs.dtype, "F")
+        dz, dr, dn = da[:, :k], da[:, k : 2 * k], da[:, 2 * k :]
         for t in range(len(xs) - 1, -1, -1):
             before, z, r, n, gn = kept[t]
-            d = dh[t] + back
-            dn = d * (1 - z) * (1 - n * n)
-            das[t, :, :k] = d * (before - n) * z * (1 - z)
-            das[t, :, k : 2 * k] = dn * gn * r * (1 - r)
-            das[t, :, 2 * k :] = dn
-            dg = das[t].copy()
-            dg[:, 2 * k :] *= r
-            grads["state"] += before.T @ dg
-            back = (d * z + dg @ w["state"].T) * keeps[t]
+            d = np.asfortranarray(dh[t])
+            d += back
+            rest = 1 - z
+            np.multiply(d, rest, out=dn)
+            np.subtract(before, n, out=dz)
+            dz *= d
+            dz *= z
+            dz *= rest
+            n *= n
+            np.subtract(1, n, out=n)
+            dn *= n
+            np.subtract(1, r, out=rest)
+            np.multiply(dn, gn, out=dr)
+            dr *= r
+            dr *= rest
+            das[t] = da
+            dn *= r
+            grads["state"] += before.T @ da
+            back = (w["state"] @ da.T).T
+            d *= z
+            back += d
+            back *= keeps[t]
         das = das.reshape(-1, 3 * k)
         grads["bias"] += das.sum(axis=0)
-        order = np.argsort(xs, axis=None, kind="stable")
-        words, first = np.unique(xs.ravel()[order], return_index=True)
-        grads["input"] = np.add.reduceat(das[order], first, axis=0)
+        order = by_word(xs, m.size)
+        ordered = xs.ravel()[order]
+        first = np.flatnonzero(np.diff(ordered, prepend=-1))
+        words = ordered[first]
+        grads["input"] = summed_runs(das.take(order, 0), first)
         norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) / ys.size
         scale = np.float32((1.0 / ys.size) * min(1.0, 1.0 / max(norm, 1e-9)))
         now = np.float32(rate * (1 - 0.8 * t0 / width))
@@ -234,8 +284,10 @@ def train(m: Model, docs: list[np.ndarray], rate: float, streams: int = 384, win
             # of the inputs only the window's words have a gradient
             at = words if name == "input" else slice(None)
             g *= scale
-            seen[name][at] += g * g
-            g /= np.sqrt(seen[name][at])
+            squares = g * g
+            squares += seen[name][at]
+            seen[name][at] = squares
+            g /= np.sqrt(squares, out=squares)
             g *= now
             w[name][at] -= g
     return w
@@ -264,7 +316,7 @@ def score_many(m: Model, docs: list[np.ndarray]) -> np.ndarray:
             states = np.empty((steps, live, k), np.float32)
             now = h[:live]
             for t in range(steps):
-                now = step(m.w, inputs[x[t]], now)[0]
+                now = step(m.w, np.asfortranarray(inputs.take(x[t], 0)), now)[0]
                 states[t] = now
             h, last = now, y[-1]
             inside = np.arange(t0, t0 + steps)[:, None] < lengths[None, :live]
