@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +173,35 @@ def test_lm_sums_of_runs_and_gradients():
                 assert (ends[0] - ends[1]) / 2e-5 == pytest.approx(g[at], rel=1e-3, abs=1e-3), name
 
 
+def test_lm_takes_texts_apart_in_arrow(spark):
+    """Words are those of the contract, whatever the bytes, and parts of a batch hold all its rows."""
+    texts = [b"a b\x0bC\x0cd\re\tF\ng", b" at both ends \n", b"", b" \t ", "A\x1cB\x1fC nb\u00a0sp \u2003 x\x85Y \u00c9 \u0130 \x00".encode(), None, b"bad\xff\xfe B\xc3 \xa0c", b"x  X"]
+    offsets = np.cumsum([0, *(len(t or b"") for t in texts)]).astype(np.int32)
+    valid = np.packbits([t is not None for t in texts], bitorder="little")
+    array = pa.Array.from_buffers(pa.string(), len(texts), [pa.py_buffer(valid), pa.py_buffer(offsets), pa.py_buffer(b"".join(t or b"" for t in texts))])
+    words, n = recurrent_lm.words_of(array)
+    want = [(t or b"").translate(common.LOWER_BYTES).split() for t in texts]
+    assert words.to_pylist() == sum(want, []) and n.tolist() == list(map(len, want))
+    batch = pa.RecordBatch.from_arrays([pa.array([None, "x" * recurrent_lm.PART, "y" * (recurrent_lm.PART + 1), "", "z"])], names=["text"])
+    assert [len(b) for b in recurrent_lm.parts_of([batch, batch.slice(0, 0)], "text")] == [2, 1, 2]
+    docs = spark.createDataFrame([("The cat\tthe",), (None,), (" ",)], "text string")
+    assert {(bytes(r["token"]), r["n"]) for r in recurrent_lm.count_tokens(docs).collect()} == {(b"the", 2), (b"cat", 1), (recurrent_lm.END, 3)}
+
+
+def test_lm_scores_long_documents_in_few_output_layers(monkeypatch):
+    """The output layer is for so many tokens, not for so many steps of however few documents; lanes don't mix their documents."""
+    m, rng = tiny_model(), np.random.default_rng(8)
+    docs = [rng.integers(0, m.size + 1, n).astype(np.int32) for n in (3000, *range(40), 700)]
+    apart = [recurrent_lm.score_many(m, [d])[0] for d in docs]
+    calls, output = [], recurrent_lm.output
+    monkeypatch.setattr(recurrent_lm, "output", lambda m, h, *rest, **by: calls.append(len(h)) or output(m, h, *rest, **by))
+    assert recurrent_lm.score_many(m, docs) == pytest.approx(apart, rel=1e-4)
+    assert sum(calls) == sum(len(d) + 1 for d in docs) and len(calls) <= 6
+    monkeypatch.setattr(recurrent_lm, "SIDE", 3)
+    assert recurrent_lm.score_many(m, docs) == pytest.approx(apart, rel=1e-4)
+    assert len(recurrent_lm.score_many(m, [])) == 0
+
+
 def test_lm_base_score_and_held_out(spark):
     texts = [(k, "The cat sat on the mat\nand THE dog ran " * (1 + k % 5)) for k in range(120)] + [(500, None), (501, ""), (502, "never seen words"), (502, "never seen words")]
     docs = spark.createDataFrame([(k, t, "x") for k, t in texts], "doc_id long, text string, score string")

@@ -13,44 +13,65 @@ one's state to its end. Texts are read twice, for the counts and to become numbe
 
 from __future__ import annotations
 
-from collections import Counter
+import heapq
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vintra.llm.common import LOWER_BYTES, Scratch
+from vintra.llm.common import Scratch
 
 #: The end of a document as a token: no word is empty.
 END = b""
-#: Documents scored side by side, and steps that share an output layer.
-SIDE, WINDOW = 1024, 32
+#: Documents scored side by side, tokens that share an output layer, bytes of texts, or of word numbers, that are worked on
+#: together, and partial counts that a task holds.
+SIDE, LAYER, PART, HELD = 256, 4096, 1 << 23, 400_000
 LOG10 = float(np.log(10.0))
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(LOWER_BYTES).split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts as one array of bytes, and how many each text has; A-Z are lower-cased, nulls have none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    counts, words = pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten().cast(pa.binary())
+    # white space at the ends of a text leaves empty words
+    real = pc.not_equal(pc.binary_length(words), 0)
+    of = np.repeat(np.arange(len(texts)), counts)[real.to_numpy(zero_copy_only=False)]
+    return words.filter(real), np.bincount(of, minlength=len(texts))
+
+
+def parts_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most PART bytes in a column, or one row."""
+    for batch in batches:
+        sizes = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(sizes):
+            upto = max(at + 1, int(np.searchsorted(sizes, PART + (sizes[at - 1] if at else 0), side="right")))
+            yield batch.slice(at, upto - at)
+            at = upto
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
     """(token binary, n long) over all (text) rows; the end is the empty token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        flush = lambda c: pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["token", "n"])
-        for batch in batches:
-            for text in batch.column(0).cast(pa.binary()):
-                counts.update(words_of(text.as_py()))
-                counts[END] += 1
-                if len(counts) > 300_000:
-                    yield flush(counts)
-                    counts.clear()
-        yield flush(counts)
+        merged = lambda held: pa.concat_tables(held).group_by("token").aggregate([("n", "sum")]).rename_columns(["token", "n"])
+        held: list[pa.Table] = []
+        for part in parts_of(batches, "text"):
+            words, _ = words_of(part.column("text"))
+            found = pc.value_counts(words)
+            held.append(pa.table({"token": pa.concat_arrays([found.field("values"), pa.array([END], pa.binary())]), "n": pa.concat_arrays([found.field("counts"), pa.array([len(part)], pa.int64())])}))
+            if sum(map(len, held)) > HELD:
+                held = [merged(held)]
+                if len(held[0]) > HELD // 2:
+                    yield from held[0].to_batches()
+                    held = []
+        if held:
+            yield from merged(held).to_batches()
 
     return docs.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
@@ -77,6 +98,11 @@ class Model:
     def size(self) -> int:
         return len(self.w["word_bias"])
 
+    @property
+    def kind(self) -> type:
+        """Of word numbers as they are written."""
+        return np.uint16 if self.size < 1 << 16 else np.int32
+
 
 def new_model(top: list[tuple[bytes, int]], tokens: int, distinct: int, own: int, hidden: int, classes: int) -> Model:
     """top: (token, count) by falling count, and the end. Biases make it the add-one unigram model."""
@@ -111,18 +137,20 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def step(w: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The next state, and what its gradient needs. Fastest if x and h lie in memory unit by unit, as the results do."""
+    """The next state, and what its gradient needs. Each gate's product lies in one piece, row by row."""
     k = h.shape[1]
-    g = (w["state"].T @ h.T).T
-    zr = sigmoid(x[:, : 2 * k] + g[:, : 2 * k])
-    z, r, gn = zr[:, :k], zr[:, k:], g[:, 2 * k :]
-    n = r * gn
-    n += x[:, 2 * k :]
+    g = np.matmul(h, w["state"].reshape(k, 3, k).transpose(1, 0, 2))
+    x = x.reshape(-1, 3, k).transpose(1, 0, 2)
+    zr = g[:2]
+    zr += x[:2]
+    z, r = sigmoid(zr)
+    n = r * g[2]
+    n += x[2]
     np.tanh(n, out=n)
     new = h - n
     new *= z
     new += n
-    return new, z, r, n, gn
+    return new, z, r, n, g[2]
 
 
 def by_word(y: np.ndarray, size: int) -> np.ndarray:
@@ -130,85 +158,105 @@ def by_word(y: np.ndarray, size: int) -> np.ndarray:
     return np.argsort(y.astype(np.uint16) if size < 1 << 16 else y, axis=None, kind="stable")
 
 
-def exponentials(x: np.ndarray, total: np.ndarray, small: bool) -> np.ndarray | float:
-    """Overwrites x by exp(x - shift) and total by its row sums; returns shift, which rows have only if a value, unless all are known
-    to be small, could overflow or all vanish."""
-    shift = 0.0
-    if not small and len(x) and (x.max() > 60 or x.min() < -60):
-        shift = x.max(axis=1)
-        x -= shift[:, None]
-    np.exp(x, out=x)
-    np.matmul(x, np.ones(x.shape[1], x.dtype), out=total)
-    return shift
+def joined(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Output weights beside their biases, which are weights of a state that is always 1."""
+    return {n: np.concatenate([w[n], w[f"{n}_bias"][:, None]], axis=1) for n in ("class", "word")}
+
 
+def apart(both: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Views of what joined() has put together."""
+    return {k: v for n, of in both.items() for k, v in ((n, of[:, :-1]), (f"{n}_bias", of[:, -1]))}
 
-def output(m: Model, h: np.ndarray, y: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+
+def unsafe(logits: np.ndarray) -> bool:
+    """Whether the exponentials of a row could overflow or all vanish."""
+    return logits.size > 0 and (logits.max() > 60 or logits.min() < -60)
+
+
+def output(m: Model, h: np.ndarray, y: np.ndarray, grads: dict[str, np.ndarray] | None = None, by: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log-probabilities of tokens y (the size for the class of others) after states h; with grads, adds to them and
-    returns the gradient by h."""
-    w, last = m.w, len(m.starts) - 1
+    returns the gradient by h. by: joined() weights, if they are at hand. Gradients are divided by a row's total after the products."""
+    w, last, k = m.w, len(m.starts) - 1, h.shape[1]
+    by = by or joined(w)
     # sorted by word, so that each class is one slice
     order = by_word(y, m.size)
-    y, h = y[order], h.take(order, 0)
+    y, ones = y[order], np.ones((len(h), k + 1), h.dtype)
+    ones[:, :k] = h
+    h = ones.take(order, 0)
     ends = np.append(np.searchsorted(y, m.starts), len(y))
     of = np.repeat(np.arange(last + 1), np.diff(ends))
-    # biases are weights of a state that is always 1
-    h = np.concatenate([h, np.ones((len(h), 1), h.dtype)], axis=1)
-    of_class, of_word = (np.concatenate([w[n], w[f"{n}_bias"][:, None]], axis=1) for n in ("class", "word"))
-    # no product is above the most that a state could give
-    most = max(1.0, float(np.abs(h).max(initial=0)))
-    small_class, small_word = (float((np.abs(of) @ np.ones(of.shape[1], of.dtype)).max(initial=0)) * most < 60 for of in (of_class, of_word))
-    p = h @ of_class.T
-    rows = np.arange(len(y))
-    out, total = p[rows, of], np.empty(len(y), p.dtype)
-    shift = exponentials(p, total, small_class)
-    out -= np.log(total) + shift
-    own = ends[last]
-    out[:own] += np.einsum("ij,ij->i", h[:own], of_word.take(y[:own], 0))
-    dh, totals, found = None, np.ones(own, p.dtype), None
+    p = h @ by["class"].T
+    own_class = np.arange(len(y)) * (last + 1) + of
+    out = p.take(own_class)
+    if unsafe(p):
+        shift = p.max(axis=1)
+        p -= shift[:, None]
+        out -= shift
+    np.exp(p, out=p)
+    total = p @ np.ones(last + 1, p.dtype)
+    out -= np.log(total)
+    dh = None
     if grads is not None:
-        p /= total[:, None]
-        p[rows, of] -= 1
-        dh = p @ w["class"]
-        by_class, found = p.T @ h, np.zeros_like(of_word)
+        p.ravel()[own_class] -= total
+        np.reciprocal(total, out=total)
+        by_class = p.T @ (h * total[:, None])
         grads["class"] += by_class[:, :-1]
         grads["class_bias"] += by_class[:, -1]
-    for c in range(last):
-        i, k, a, b = ends[c], ends[c + 1], m.starts[c], m.starts[c + 1]
-        if i == k:
-            continue
-        q, total = h[i:k] @ of_word[a:b].T, totals[i:k]
-        shift = exponentials(q, total, small_word)
+        dh = p @ w["class"]
+        dh *= total[:, None]
+    own = ends[last]
+    if own:
+        # the logits of all rows inside their classes, one after the other
+        widths = np.diff(m.starts)[of[:own]]
+        first = np.cumsum(widths) - widths
+        at = first + (y[:own] - m.starts[of[:own]])
+        logits = np.empty(first[-1] + widths[-1], p.dtype)
+        # of each class that occurs: its rows, its words and its part of the logits
+        parts = [(slice(i, j), slice(a, b), logits[first[i] : first[i] + (j - i) * (b - a)].reshape(j - i, b - a)) for i, j, a, b in zip(*(x.tolist() for x in (ends[:-2], ends[1:-1], m.starts[:-1], m.starts[1:])), strict=True) if i < j]
+        for rows, words, q in parts:
+            np.matmul(h[rows], by["word"][words].T, out=q)
+        out[:own] += logits.take(at)
+        if unsafe(logits):
+            shift = np.maximum.reduceat(logits, first)
+            logits -= np.repeat(shift, widths)
+            out[:own] -= shift
+        np.exp(logits, out=logits)
+        total = np.add.reduceat(logits, first)
+        out[:own] -= np.log(total)
         if grads is not None:
-            q /= total[:, None]
-            q.ravel()[rows[: k - i] * (b - a) + (y[i:k] - a)] -= 1
-            dh[i:k] += q @ w["word"][a:b]
-            np.matmul(q.T, h[i:k], out=found[a:b])
-        if not small_word:
-            out[i:k] -= shift
-    out[:own] -= np.log(totals)
-    if grads is not None:
-        grads["word"] += found[:, :-1]
-        grads["word_bias"] += found[:, -1]
+            logits[at] -= total
+            np.reciprocal(total, out=total)
+            shares, found, back = h[:own] * total[:, None], np.zeros_like(by["word"]), np.empty((own, k), dh.dtype)
+            for rows, words, q in parts:
+                np.matmul(q, w["word"][words], out=back[rows])
+                np.matmul(q.T, shares[rows], out=found[words])
+            back *= total[:, None]
+            dh[:own] += back
+            grads["word"] += found[:, :-1]
+            grads["word_bias"] += found[:, -1]
     back = np.empty_like(order)
-    back[order] = rows
+    back[order] = np.arange(len(y))
     return out[back], None if dh is None else dh[back]
 
 
-def rows_of(m: Model, words: list[bytes]) -> np.ndarray:
-    """Rows of words in place and count."""
-    return np.fromiter(map(m.index.get, words, repeat(len(m.index))), np.int64, len(words))
-
-
 def summed_runs(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of the runs of rows that begin at first: long runs as products, of which most rows are, others together."""
+    """Sums of the runs of rows that begin at first: long runs as products, of which most rows are; of the others all second
+    rows together, all third ones, and so on."""
     counts = np.diff(first, append=len(rows))
-    out, long = np.empty((len(first), rows.shape[1]), rows.dtype), counts > 8
+    out, long = np.empty((len(first), rows.shape[1]), rows.dtype), counts > 16
     ones = np.ones(counts.max(initial=0), rows.dtype)
     for i in np.flatnonzero(long):
         np.matmul(ones[: counts[i]], rows[first[i] : first[i] + counts[i]], out=out[i])
-    few = counts[~long]
-    if len(few):
-        out[~long] = np.add.reduceat(rows[np.repeat(~long, counts)], np.cumsum(few) - few, axis=0)
+    few = np.flatnonzero(~long)
+    few = few[np.argsort(-counts[few], kind="stable")]
+    at, sums = first[few], rows.take(first[few], 0)
+    # as many runs have more than k rows
+    more = np.searchsorted(-counts[few], -np.arange(1, 17))
+    for k, n in enumerate(more.tolist(), 1):
+        if not n:
+            break
+        sums[:n] += rows.take(at[:n] + k, 0)
+    out[few] = sums
     return out
 
 
@@ -224,106 +272,128 @@ def train(m: Model, docs: list[np.ndarray], rate: float, streams: int = 384, win
     streams = min(streams, len(flow))
     # what the streams don't share equally is learnt as an end
     width = -(-len(flow) // streams)
-    y = np.concatenate([flow, np.full(width * streams - len(flow), end, flow.dtype)]).reshape(streams, width).T
-    x = np.vstack([np.full((1, streams), end), y[:-1]])
-    w = {k: v.copy() for k, v in m.w.items()}
-    m = replace(m, w=w)
-    seen = {k: np.full_like(v, 1e-3) for k, v in w.items()}
+    y = np.concatenate([flow, np.full(width * streams - len(flow), end, flow.dtype)]).reshape(streams, width).T.copy()
+    x = np.vstack([np.full((1, streams), end, y.dtype), y[:-1]])
+    w, by = {k: v.copy() for k, v in m.w.items()}, joined(m.w)
+    w |= apart(by)
+    m, learnt = replace(m, w=w), {"state": w["state"], "bias": w["bias"], **by}
+    seen = {k: np.full_like(v, 1e-3) for k, v in (learnt | {"input": w["input"]}).items()}
     k = w["state"].shape[0]
     h = np.zeros((streams, k), np.float32)
     for t0 in range(0, width, window):
         xs, ys = x[t0 : t0 + window], y[t0 : t0 + window]
-        grads = {name: np.zeros_like(v) for name, v in w.items() if name != "input"}
-        inputs, kept, states = w["input"] + w["bias"], [], np.empty((*xs.shape, k), np.float32)
-        keeps = (xs != end).astype(np.float32)[:, :, None]
+        # the window's words, of which alone the inputs have a gradient, and where they stand
+        order = by_word(xs, m.size)
+        ordered = xs.ravel()[order]
+        first = np.flatnonzero(np.diff(ordered, prepend=-1))
+        words, at = ordered[first], np.empty_like(order)
+        at[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(order)))
+        at, of_words = at.reshape(xs.shape), w["input"].take(words, 0)
+        grads = {name: np.zeros_like(v) for name, v in learnt.items()}
+        inputs, kept, states, befores = of_words + w["bias"], [], np.empty((*xs.shape, k), np.float32), np.empty((*xs.shape, k), np.float32)
+        new = xs == end
         for t in range(len(xs)):
-            before = h * keeps[t]
-            h, z, r, n, gn = step(w, np.asfortranarray(inputs.take(xs[t], 0)), before)
-            kept.append((before, z, r, n, gn))
+            befores[t] = h
+            befores[t, new[t]] = 0
+            h, *gates = step(w, inputs.take(at[t], 0), befores[t])
+            kept.append(gates)
             states[t] = h
-        _, dh = output(m, states.reshape(-1, k), ys.ravel(), grads)
+        _, dh = output(m, states.reshape(-1, k), ys.ravel(), apart({n: grads[n] for n in by}), by)
         dh = dh.reshape(len(xs), streams, k)
-        back, das = np.zeros_like(h), np.empty((*xs.shape, 3 * k), inputs.dtype)
-        da = np.empty((streams, 3 * k), inputs.dtype, "F")
-        dz, dr, dn = da[:, :k], da[:, k : 2 * k], da[:, 2 * k :]
+        back, das = np.zeros_like(h), np.empty((*xs.shape, 3, k), inputs.dtype)
+        da = np.empty((streams, 3, k), inputs.dtype)
         for t in range(len(xs) - 1, -1, -1):
-            before, z, r, n, gn = kept[t]
-            d = np.asfortranarray(dh[t])
+            z, r, n, gn = kept[t]
+            d = dh[t]
             d += back
             rest = 1 - z
-            np.multiply(d, rest, out=dn)
-            np.subtract(before, n, out=dz)
+            dn = d * rest
+            dz = befores[t] - n
             dz *= d
             dz *= z
-            dz *= rest
+            np.multiply(dz, rest, out=da[:, 0])
             n *= n
             np.subtract(1, n, out=n)
             dn *= n
+            da[:, 2] = dn
+            np.multiply(dn, gn, out=gn)
+            gn *= r
             np.subtract(1, r, out=rest)
-            np.multiply(dn, gn, out=dr)
-            dr *= r
-            dr *= rest
+            np.multiply(gn, rest, out=da[:, 1])
             das[t] = da
-            dn *= r
-            grads["state"] += before.T @ da
-            back = (w["state"] @ da.T).T
+            np.multiply(dn, r, out=da[:, 2])
+            grads["state"] += befores[t].T @ da.reshape(streams, 3 * k)
+            back = da.reshape(streams, 3 * k) @ w["state"].T
             d *= z
             back += d
-            back *= keeps[t]
-        das = das.reshape(-1, 3 * k)
-        grads["bias"] += das.sum(axis=0)
-        order = by_word(xs, m.size)
-        ordered = xs.ravel()[order]
-        first = np.flatnonzero(np.diff(ordered, prepend=-1))
-        words = ordered[first]
-        grads["input"] = summed_runs(das.take(order, 0), first)
+            back[new[t]] = 0
+        grads["input"] = summed_runs(das.reshape(-1, 3 * k).take(order, 0), first)
+        grads["bias"] = grads["input"].sum(axis=0)
         norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) / ys.size
         scale = np.float32((1.0 / ys.size) * min(1.0, 1.0 / max(norm, 1e-9)))
         now = np.float32(rate * (1 - 0.8 * t0 / width))
         for name, g in grads.items():
-            # of the inputs only the window's words have a gradient
-            at = words if name == "input" else slice(None)
             g *= scale
             squares = g * g
-            squares += seen[name][at]
-            seen[name][at] = squares
+            squares += seen["input"].take(words, 0) if name == "input" else seen[name]
+            if name == "input":
+                seen[name][words] = squares
+            else:
+                seen[name][...] = squares
             g /= np.sqrt(squares, out=squares)
             g *= now
-            w[name][at] -= g
+            if name == "input":
+                of_words -= g
+                w[name][words] = of_words
+            else:
+                learnt[name] -= g
     return w
 
 
 def score_many(m: Model, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log-likelihood of each document (word numbers without the end), to its end; what the class of others holds
-    inside is left to the caller."""
+    inside is left to the caller. Documents run in lanes of about equal length, one after the other; each begins with a new state."""
     end, k = m.place[m.index[END]], m.w["state"].shape[0]
+    lanes: list[list[int]] = [[] for _ in range(min(SIDE, len(docs)))]
+    lengths, heap = np.array([len(d) + 1 for d in docs], np.int64), [(0, j) for j in range(len(lanes))]
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        n, j = heap[0]
+        lanes[j].append(i)
+        heapq.heapreplace(heap, (n + int(lengths[i]), j))
+    # by falling length, so that at each step the lanes that aren't over are the first ones
+    lanes.sort(key=lambda lane: -int(lengths[lane].sum()))
+    sums, dealt = np.array([lengths[lane].sum() for lane in lanes], np.int64), np.array([i for lane in lanes for i in lane], np.int64)
+    # an end stands before each lane, and after each document
+    flow, logs, begins = (np.full(lengths.sum() + len(lanes), x, kind) for x, kind in ((end, np.int32), (0, float), (False, bool)))
+    starts = np.cumsum(lengths[dealt]) - lengths[dealt] + np.repeat(np.arange(1, len(lanes) + 1), [len(lane) for lane in lanes])
+    begins[starts - 1] = True
+    for i, at in zip(dealt.tolist(), starts.tolist(), strict=True):
+        flow[at : at + len(docs[i])] = docs[i]
+    first = np.cumsum(sums + 1) - sums - 1
+    inputs, by, h = m.w["input"] + m.w["bias"], joined(m.w), np.zeros((len(lanes), k), np.float32)
+    t0, longest = 0, int(sums.max(initial=0))
+    while t0 < longest:
+        live = int(np.searchsorted(-sums, -t0))
+        steps = np.arange(t0, min(t0 + -(-LAYER // live), longest))
+        lasts = np.searchsorted(-sums, -steps)
+        ends = np.cumsum(lasts)
+        at = first[np.arange(ends[-1]) - np.repeat(ends - lasts, lasts)] + np.repeat(steps, lasts)
+        x, states = flow[at], np.empty((len(at), k), np.float32)
+        new = np.flatnonzero(begins[at])
+        upto = np.searchsorted(new, ends).tolist()
+        a = c = 0
+        for b, d in zip(ends.tolist(), upto, strict=True):
+            h = h[: b - a]
+            if c < d:
+                h = h.copy()
+                h[new[c:d] - a] = 0
+            h = states[a:b] = step(m.w, inputs.take(x[a:b], 0), h)[0]
+            a, c = b, d
+        logs[at + 1] = output(m, states, flow[at + 1], by=by)[0]
+        t0 += len(steps)
     out = np.zeros(len(docs))
-    order = np.argsort([-len(d) for d in docs], kind="stable")
-    inputs = m.w["input"] + m.w["bias"]
-    for s in range(0, len(order), SIDE):
-        group = order[s : s + SIDE]
-        lengths = np.array([len(docs[i]) + 1 for i in group])
-        h, total = np.zeros((len(group), k), np.float32), np.zeros(len(group))
-        last = np.full(len(group), end, np.int32)
-        for t0 in range(0, lengths[0], WINDOW):
-            live = int(np.searchsorted(-lengths, -t0))
-            steps = min(WINDOW, lengths[0] - t0)
-            y = np.full((steps, live), end, np.int32)
-            for j in range(live):
-                part = docs[group[j]][t0 : t0 + steps]
-                y[: len(part), j] = part
-            x = np.vstack([last[None, :live], y[:-1]])
-            states = np.empty((steps, live, k), np.float32)
-            now = h[:live]
-            for t in range(steps):
-                now = step(m.w, np.asfortranarray(inputs.take(x[t], 0)), now)[0]
-                states[t] = now
-            h, last = now, y[-1]
-            inside = np.arange(t0, t0 + steps)[:, None] < lengths[None, :live]
-            logp = np.zeros((steps, live))
-            logp[inside] = output(m, states[inside], y[inside])[0]
-            total[:live] += logp.sum(axis=0)
-        out[group] = total
+    if len(docs):
+        out[dealt] = np.add.reduceat(logs, starts)
     return out
 
 
@@ -337,7 +407,7 @@ def averaged(rows: DataFrame, m: Model, trainers: int, rate: float, options: dic
         mine = held.value
         texts = sorted(pdf["ids"])
         rng = np.random.default_rng(5)
-        got = train(mine, [np.frombuffer(texts[i], np.int32) for i in rng.permutation(len(texts))], rate, **options)
+        got = train(mine, [np.frombuffer(texts[i], mine.kind) for i in rng.permutation(len(texts))], rate, **options)
         flat = np.concatenate([got[n].ravel() for n in names]).astype(np.float32)
         return pd.DataFrame({"piece": range(pieces), "block": int(pdf["trainer"].iloc[0]) // block, "n": 1, "part": [p.tobytes() for p in np.array_split(flat, pieces)]})
 
@@ -345,7 +415,9 @@ def averaged(rows: DataFrame, m: Model, trainers: int, rate: float, options: dic
         return lambda pdf: pd.DataFrame({"piece": pdf["piece"][:1], "block": pdf["block"][:1], "n": [pdf["n"].sum()], "part": [np.sum([np.frombuffer(p, kind) for p in pdf["part"]], axis=0, dtype=float).tobytes()]})
 
     schema = "piece int, block long, n long, part binary"
-    parts = rows.select(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(trainers)).alias("trainer"), "ids").groupBy("trainer").applyInPandas(run, schema)
+    # a number of partitions that is given isn't lowered for their small size: a trainer works long on few bytes
+    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(trainers)).alias("trainer"), "ids").repartition(2 * trainers, "trainer")
+    parts = dealt.groupBy("trainer").applyInPandas(run, schema)
     sums = parts.groupBy("piece", "block").applyInPandas(summed(np.float32), schema).groupBy("piece").applyInPandas(summed(np.float64), schema)
     rows = {r["piece"]: (np.frombuffer(r["part"]) / r["n"]).astype(np.float32) for r in sums.collect()}
     if not rows:
@@ -403,23 +475,23 @@ def log_likelihoods(docs: DataFrame, train_docs: Column, own: int = 2048, hidden
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = first.value
-        far_row, logs = len(model.index), np.log10(model.count + 1)
-        end, other = model.index[END], np.log10(model.other_mass)
-        for batch in batches:
-            ids, n, known, base, inside, far = [], [], [], [], [], []
-            for text in batch.column(1).cast(pa.binary()):
-                words = words_of(text.as_py())
-                at = rows_of(model, words)
-                place, log = model.place[at], logs[at]
-                is_other = place == model.size
-                ids.append(place.astype(np.int32).tobytes())
-                n.append(len(words) + 1)
-                known.append(int((model.count[at] > 0).sum()) + int(model.count[end] > 0))
-                base.append(float(log.sum() + logs[end]))
-                inside.append(float((log[is_other] - other).sum()))
-                far.append([words[i] for i in np.flatnonzero(at == far_row)])
+        frequent, logs = pa.array(model.index, pa.binary()), np.log10(model.count + 1)
+        end, other, kind = model.index[END], np.log10(model.other_mass), np.dtype(model.kind)
+        for batch in parts_of(batches, "text"):
+            words, n = words_of(batch.column("text"))
+            ends = np.append(0, np.cumsum(n))
+            at = pc.index_in(words, value_set=frequent)
+            far = at.is_null()
+            # the last row stands for words that aren't frequent
+            at = at.fill_null(len(frequent)).to_numpy()
+            place, log, of = model.place[at], logs[at], np.repeat(np.arange(len(n)), n)
+            summed = lambda x, of=of, n=n: np.bincount(of, x, len(n))
+            far_ends = np.append(0, np.cumsum(np.bincount(of[far.to_numpy(zero_copy_only=False)], minlength=len(n))))
+            ids = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends * kind.itemsize).astype(np.int32)), pa.py_buffer(place.astype(kind))])
+            known = summed(model.count[at] > 0).astype(np.int64) + int(model.count[end] > 0)
+            inside = summed((log - other) * (place == model.size))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), batch.column(3), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(inside, pa.float64()), pa.array(far, pa.list_(pa.binary()))],
+                [*(batch.column(c) for c in ("doc_id", "learnt", "row")), ids, pa.array(n + 1, pa.int64()), pa.array(known), pa.array(summed(log) + logs[end]), pa.array(inside), pa.ListArray.from_arrays(pa.array(far_ends, pa.int32()), words.filter(far))],
                 names=["doc_id", "learnt", "row", "ids", "n_tokens", "known", "base", "inside", "far"],
             )
 
@@ -429,8 +501,9 @@ def log_likelihoods(docs: DataFrame, train_docs: Column, own: int = 2048, hidden
     held = spark.sparkContext.broadcast(replace(start, w=weights))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            states = score_many(held.value, [np.frombuffer(x.as_py(), np.int32) for x in batch.column("ids")]) / LOG10
+        kind = held.value.kind
+        for batch in parts_of(batches, "ids"):
+            states = score_many(held.value, [np.frombuffer(x.as_buffer(), kind) for x in batch.column("ids")]) / LOG10
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "learnt", "row", "n_tokens", "known", "base")), pa.array(states + batch.column("inside").to_numpy())], names=["doc_id", "learnt", "row", "n_tokens", "known", "base", "states"])
 
     scored = encoded.select("doc_id", "learnt", "row", "ids", "n_tokens", "known", "base", "inside").mapInArrow(score, "doc_id long, learnt boolean, row long, n_tokens long, known long, base double, states double")
