@@ -133,7 +133,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     np.negative(x, out=x)
     np.exp(x, out=x)
     x += 1
-    return np.reciprocal(x, out=x)
+    return np.divide(1, x, out=x)
 
 
 def step(w: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
