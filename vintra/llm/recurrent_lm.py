@@ -7,8 +7,8 @@ one too, has a probability, and before training the model equals the add-one uni
 
 Training is truncated backpropagation in numpy, in rounds: the training documents are dealt to the rounds and each round's to
 trainers, all of which start from the same weights; their weights are averaged in Spark for the next round. So every document is learnt from
-once, and weights meet often enough to stay close. Scoring runs many documents side by side, window by window, and carries each
-one's state to its end. Texts are read twice, for the counts and to become numbers, which are written.
+once, and weights meet often enough to stay close. Scoring deals documents to lanes of about equal length, which run side by side;
+a document's state is carried to its end. Texts are read twice, for the counts and to become numbers, which are written.
 """
 
 from __future__ import annotations
